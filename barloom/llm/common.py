@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, wherever the driver found it."""
+    """Make this package importable in the Python workers, wherever the driver found it, and bound
+    the rows that a worker gets at a time."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]

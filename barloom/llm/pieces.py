@@ -1,73 +1,59 @@
 """Word-wise encoding with caches, exact for tokenizers whose tokens never span the cut points.
 
-A text may be cut before a single space, and on both sides of a single line feed, if the
-characters around are no white space: neither tokenizer below has a token across such a point.
-Each unit is encoded by the tokenizer library once and then comes from a cache in the worker.
+A text may be cut before a single space, and before a single line feed, if the characters around
+are no white space: neither tokenizer below has a token across such a point. Each unit is encoded
+by the tokenizer library once and then comes from a bounded cache in the worker.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Texts that hold any of these are cut by CUT, others by plain str.split.
-ODD = re.compile(r"\s\s|^\s|\s\Z|▁")
+#: Stands before the first unit of a text; a line feed before the first unit of a line; other units
+#: follow a space, which their key leaves out.
+HEAD = "\x01"
 CUT = re.compile(r"(?<=[^\s▁])([ \n])(?=[^\s▁])")
-#: Longer units are encoded anew each time and never cached.
+#: Longer units are not cached beyond the texts at hand.
 LONGEST_CACHED = 48
 
 
-def units(text: str) -> tuple[str, list[str], list[str], int]:
-    """(head, units after a space, units after a line feed, number of cut line feeds): a cover of
-    the text whose order is lost; see ordered() for the ids."""
-    if not ODD.search(text):
-        lines = text.split("\n")
-        words = lines[0].split(" ")
-        head, spaced, fed = words[0], words[1:], []
-        for line in lines[1:]:
-            words = line.split(" ")
-            fed.append(words[0])
-            spaced += words[1:]
-        return head, spaced, fed, len(lines) - 1
+def keys(text: str) -> list[str]:
+    """The text's units in order."""
+    flat = text.replace("\n", " ")
+    if flat.isprintable() and "  " not in flat and "▁" not in flat and flat[:1] != " " and flat[-1:] != " ":
+        return (HEAD + text.replace("\n", " \n")).split(" ")
+    if HEAD in text:
+        return [HEAD + text]
     parts = CUT.split(text)
-    spaced = [b for a, b in zip(parts[1::2], parts[2::2]) if a == " "]
-    fed = [b for a, b in zip(parts[1::2], parts[2::2]) if a == "\n"]
-    return parts[0], spaced, fed, len(fed)
-
-
-def ordered(text: str) -> list[str]:
-    """The text's units in order, each with its leading space; line feeds as units of their own."""
-    if not ODD.search(text):
-        return "\0 ".join(text.split(" ")).replace("\n", "\0\n\0").split("\0") if "\0" not in text else _slow(text)
-    return _slow(text)
-
-
-def _slow(text: str) -> list[str]:
-    parts = CUT.split(text)
-    out = [parts[0]]
-    for sep, part in zip(parts[1::2], parts[2::2]):
-        out += [" " + part] if sep == " " else ["\n", part]
-    return out
+    return [HEAD + parts[0], *(u if sep == " " else "\n" + u for sep, u in zip(parts[1::2], parts[2::2]))]
 
 
 class UnitCache(dict):
-    """Results by unit. start() empties it when it has grown past its bound and drops long units."""
+    """Results by unit. What is used stays: when full, the entries become the old ones, from which
+    those that are met again come back before the next time drops the rest."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.long = most, []
+        self.most, self.old, self.long = most, {}, []
 
     def start(self) -> None:
         for u in self.long:
             self.pop(u, None)
         self.long = []
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
 
-    def fill(self, wanted: set[str], encode) -> None:
-        new = list(wanted - self.keys())
+    def fill(self, wanted: set, encode: Callable[[list], list]) -> None:
+        new = wanted - self.keys()
+        known = self.old.keys() & new
+        self.update((u, self.old[u]) for u in known)
+        new = list(new - known)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             self.update(zip(part, encode(part)))
@@ -77,7 +63,8 @@ class UnitCache(dict):
 class ByteLevelIds:
     """Ids of a `tokenizers` byte-level BPE as little-endian uint16 or uint32 bytes of each text."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -85,16 +72,26 @@ class ByteLevelIds:
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         self.tok, self.cache = Tokenizer.from_file(path), UnitCache(most)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.marks = {m: self._encode([m])[0] for m in ".,"}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, new: list[str]) -> list[bytes]:
+        """A mark after a letter is a token of its own, so that the word before it is looked up."""
+        marked = [u[-1:] in self.marks and u[-2:-1].isalpha() for u in new]
+        stems = [u[:-1] if m else u for u, m in zip(new, marked)]
+        todo = [s for s in dict.fromkeys(stems) if s not in self.cache]
+        got = dict(zip(todo, self._encode([s[1:] if s[:1] == HEAD else s if s[:1] == "\n" else " " + s for s in todo])))
+        self.cache.update(got)
+        return [self.cache[s] + self.marks[u[-1]] if m else self.cache[s] for u, s, m in zip(new, stems, marked)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return self._encode(texts)
-        cut = [ordered(t) for t in texts]
+        cut = [keys(t) for t in texts]
         self.cache.start()
-        self.cache.fill(set().union(*cut), self._encode)
+        self.cache.fill(set().union(*cut), self._units)
         return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
 
 
@@ -102,42 +99,38 @@ class PieceLengths:
     """Numbers of tokens by a `sentencepiece` model: a fixed table of frequent units first, then a
     cache of this worker, then the library."""
 
-    def __init__(self, path: str, frequent: dict[str, int], most: int = 400_000):
+    def __init__(self, path: str, frequent: dict[str, int], most: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.frequent, self.cache, self.fed = frequent, UnitCache(most), UnitCache(most // 4)
+        self.frequent, self.cache = frequent, UnitCache(most)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         one = self.sp.encode("a\nb", out_type=str)
         self.by_unit = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and one == ["▁a", "<0x0A>", "b"]
 
-    def spaced(self, new: list[str]) -> list[int]:
-        """Tokens of a space and the unit: the library itself puts a space before the text."""
-        return [len(x) for x in self.sp.encode(new, num_threads=1)]
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.sp.encode(texts, num_threads=1)]
 
-    def after_feed(self, new: list[str]) -> list[int]:
-        """Tokens of units that no space precedes: the library's space and a line feed come off."""
-        return [n - 2 for n in self.spaced(["\n" + u for u in new])]
+    def units(self, new: list[str]) -> list[int]:
+        """The library puts a space before each text: the one that a unit follows, or, before a
+        line feed, a token too many."""
+        return [n - (u[:1] == "\n") for u, n in zip(new, self.whole([u[1:] if u[:1] == HEAD else u for u in new]))]
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_unit:
-            return self.spaced(texts)
-        cut = [units(t) if t else ("", [], [], 0) for t in texts]
+            return self.whole(texts)
         table, out, rest = self.frequent.get, [], []
-        for _, spaced, _, feeds in cut:
-            known = list(map(table, spaced))
-            rest.append([u for u, n in zip(spaced, known) if n is None])
-            out.append(sum(filter(None, known)) + feeds)
+        for text in texts:
+            cut = keys(text) if text else []
+            known = list(map(table, cut))
+            rest.append([u for u, n in zip(cut, known) if n is None])
+            out.append(sum(filter(None, known)))
         self.cache.start()
-        self.fed.start()
-        self.cache.fill(set().union(*rest), self.spaced)
-        self.fed.fill(set().union(*(c[2] for c in cut)), self.after_feed)
-        one, two = self.cache.__getitem__, self.fed.__getitem__
-        heads = self.spaced([c[0] for c in cut])
-        return [n + h + sum(map(one, r)) + sum(map(two, c[2])) for n, h, r, c in zip(out, heads, rest, cut)]
+        self.cache.fill(set().union(*rest), self.units)
+        return [n + sum(map(self.cache.__getitem__, r)) for n, r in zip(out, rest)]
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive (from, to) ranges of about so many characters, to bound what is held at once."""
     start = size = 0
     for i, t in enumerate(texts):

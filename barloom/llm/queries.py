@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from barloom.llm.binary_output import op7_binary_ids
+from barloom.llm.language_id import op4_language_id
+from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from barloom.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op7_binary_ids": op7_binary_ids, "op8_token_counts": op8_token_counts}
+    return {"op2_pareto_mix": op2_pareto_mix, "op4_language_id": op4_language_id, "op7_binary_ids": op7_binary_ids, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_pareto_mix": OP2_SQL}
