@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from barloom.llm.binary_output import op7_binary_ids
+from barloom.llm.decontamination import OP9_SQL, op9_minhash_containment
 from barloom.llm.language_id import op4_language_id
 from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
+from barloom.llm.near_dedup import op10_probminhash
 from barloom.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op2_pareto_mix": op2_pareto_mix, "op4_language_id": op4_language_id, "op7_binary_ids": op7_binary_ids, "op8_token_counts": op8_token_counts}
+    return {"op2_pareto_mix": op2_pareto_mix, "op4_language_id": op4_language_id, "op7_binary_ids": op7_binary_ids, "op8_token_counts": op8_token_counts, "op9_minhash_containment": op9_minhash_containment, "op10_probminhash": op10_probminhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": OP2_SQL}
+    return {"op2_pareto_mix": OP2_SQL, "op9_minhash_containment": OP9_SQL}
