@@ -7,12 +7,15 @@ from barloom.llm.decontamination import OP9_SQL, op9_minhash_containment
 from barloom.llm.language_id import op4_language_id
 from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from barloom.llm.near_dedup import op10_probminhash
+from barloom.llm.sentence_spans import OP5_SQL, op5_sentence_spans
 from barloom.llm.token_counts import op8_token_counts
 
+ALL = (op2_pareto_mix, op4_language_id, op5_sentence_spans, op7_binary_ids, op8_token_counts, op9_minhash_containment, op10_probminhash)
+
 
 def queries() -> dict:
-    return {"op2_pareto_mix": op2_pareto_mix, "op4_language_id": op4_language_id, "op7_binary_ids": op7_binary_ids, "op8_token_counts": op8_token_counts, "op9_minhash_containment": op9_minhash_containment, "op10_probminhash": op10_probminhash}
+    return {q.__name__: q for q in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": OP2_SQL, "op9_minhash_containment": OP9_SQL}
+    return {"op2_pareto_mix": OP2_SQL, "op5_sentence_spans": OP5_SQL, "op9_minhash_containment": OP9_SQL}
