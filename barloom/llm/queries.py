@@ -9,8 +9,9 @@ from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from barloom.llm.near_dedup import op10_probminhash
 from barloom.llm.sentence_spans import OP5_SQL, op5_sentence_spans
 from barloom.llm.token_counts import op8_token_counts
+from barloom.llm.warc import OP1_SQL, op1_warc_salvage
 
-ALL = (op2_pareto_mix, op4_language_id, op5_sentence_spans, op7_binary_ids, op8_token_counts, op9_minhash_containment, op10_probminhash)
+ALL = (op1_warc_salvage, op2_pareto_mix, op4_language_id, op5_sentence_spans, op7_binary_ids, op8_token_counts, op9_minhash_containment, op10_probminhash)
 
 
 def queries() -> dict:
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": OP2_SQL, "op5_sentence_spans": OP5_SQL, "op9_minhash_containment": OP9_SQL}
+    return {"op1_warc_salvage": OP1_SQL, "op2_pareto_mix": OP2_SQL, "op5_sentence_spans": OP5_SQL, "op9_minhash_containment": OP9_SQL}
