@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ HEAD = "\x01"
 CUT = re.compile(r"(?<=[^\s▁])([ \n])(?=[^\s▁])")
 #: Longer units are not cached beyond the texts at hand.
 LONGEST_CACHED = 48
+#: Letters below this are letters to Python and to the libraries alike.
+PLAIN_BELOW = "\u0250"
 
 
 def keys(text: str) -> list[str]:
@@ -63,27 +66,42 @@ class UnitCache(dict):
 class ByteLevelIds:
     """Ids of a `tokenizers` byte-level BPE as little-endian uint16 or uint32 bytes of each text."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         self.tok, self.cache = Tokenizer.from_file(path), UnitCache(most)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        show = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {b: show(chr(b))[0][0] for b in range(128) if b != 10}  # how the model spells bytes
+        self.letters |= {b: ch for c in range(0x80, 0x250) for b, ch in zip(chr(c).encode(), show(chr(c))[0][0])}
+        self.space = self.letters[32]
         self.marks = {m: self._encode([m])[0] for m in ".,"}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, each after a space: one pre-token, so that the library's
+        model can take it without the steps before."""
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
+        tokenize = self.tok.model.tokenize
+        return [array(self.code, [t.id for t in tokenize(self.space + w)]).tobytes() for w in mapped]
+
     def _units(self, new: list[str]) -> list[bytes]:
         """A mark after a letter is a token of its own, so that the word before it is looked up."""
         marked = [u[-1:] in self.marks and u[-2:-1].isalpha() for u in new]
         stems = [u[:-1] if m else u for u, m in zip(new, marked)]
         todo = [s for s in dict.fromkeys(stems) if s not in self.cache]
-        got = dict(zip(todo, self._encode([s[1:] if s[:1] == HEAD else s if s[:1] == "\n" else " " + s for s in todo])))
-        self.cache.update(got)
+        plain = [s for s in todo if s.isalpha() and max(s) < PLAIN_BELOW]
+        self.cache.update(zip(plain, self._words(plain)))
+        todo = [s for s in todo if s not in self.cache]
+        self.cache.update(zip(todo, self._encode([s[1:] if s[:1] == HEAD else s if s[:1] == "\n" else " " + s for s in todo])))
         return [self.cache[s] + self.marks[u[-1]] if m else self.cache[s] for u, s, m in zip(new, stems, marked)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
