@@ -117,12 +117,13 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
     common.ship(docs.sparkSession)
     langs, prototypes = learn_prototypes(labelled)
     model = docs.sparkSession.sparkContext.broadcast((langs, prototypes.astype(np.float32)))
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, *(() if "text" in keep else (F.col("text").alias("__text"),)))
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted = model.value
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in slices([t or "" for t in texts]):
                 vectors, n = bundles(texts[a:b])
                 pred, score = np.full(b - a, "und", object), np.zeros(b - a)
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 

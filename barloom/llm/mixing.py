@@ -35,6 +35,10 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1.0) / F.lit(2.0**52 + 2.0)
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(key, source, words) of each source -> its target. One row a source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -57,9 +61,10 @@ def copy_levels(tiers: DataFrame, most: float = 2.0) -> DataFrame:
 
 
 def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED, bins: int = BINS, fills: int = FILLS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of each document (doc_id, text, source)."""
+    """doc_id, text_hash, size, source_size, target, taken and copies of each document (doc_id, text,
+    source); doc_id and text_hash find the row again."""
     size = common.n_words(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "source", size.alias("size"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
     rows = rows.withColumn("weight", F.when(F.col("size") < SHORT, F.lit(SHORT_WEIGHT)).otherwise(F.lit(LONG_WEIGHT)))
     rows = common.keep(rows.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     tiers = rows.groupBy("key", "weight").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
@@ -71,7 +76,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     rows = rows.join(plan, "key").withColumn("expected", expected).withColumn("sure", F.floor(F.col("expected") + EPS).cast("long")).withColumn("p", F.col("expected") - F.col("sure"))
     odds = (F.col("u") / (1.0 - F.col("u"))) / (F.col("p") / (1.0 - F.col("p")))
     rows = rows.withColumn("rank", F.when((F.col("p") > EPS) & (F.col("size") > 0), odds)).withColumn("bin", F.floor(F.col("rank") / (1.0 + F.col("rank")) * bins))
-    rows = common.keep(rows.select("row", "doc_id", "key", "size", "source_size", "target", "sure", "rank", "bin"), "mix-ranked")
+    rows = common.keep(rows.select("row", "doc_id", "text_hash", "key", "size", "source_size", "target", "sure", "rank", "bin"), "mix-ranked")
 
     sure = rows.groupBy("key").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("budget"))
     by_bin = rows.where("rank IS NOT NULL").groupBy("key", "bin").agg(F.sum("size").alias("words"))
@@ -93,7 +98,18 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     # without an end, all of a source's ranked documents fit
     extra = F.when(F.col("rank").isNull(), 0).when(F.col("end").isNull() | (F.col("bin") < F.col("end")) | F.col("one").isNotNull(), 1).otherwise(0)
     copies = (F.col("sure") + extra).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "text_hash", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it."""
+    ids = ["__id", "__hash"]
+    copies = pareto_mix(docs, **options).groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.sum("copies").alias("__copies"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash()})
+    rows = rows.join(copies, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+    # rows equal in id and text are interchangeable: one stands for all their copies
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("source"))).where("__k = 1 AND __copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

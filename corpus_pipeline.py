@@ -1,11 +1,78 @@
-"""The corpus pipeline."""
+"""Corpus pipeline: documents -> language filter -> near-duplicates -> benchmark decontamination ->
+source mix -> token ids in binary files.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages docs is written as
+Parquet and read again. All but the last return the columns of documents.
+
+Defined results: null doc_ids stay through all stages (they are never duplicates of one another, nor
+contaminated); rows with equal doc_id count as one document for deduplication, the smallest text
+stays; the mix writes a document as many times as it takes it, and each copy is encoded.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.llm import common
+from barloom.llm.binary_output import read_ids, write_ids
+from barloom.llm.decontamination import contaminated
+from barloom.llm.language_id import FOLDS, identify
+from barloom.llm.mixing import mixed
+from barloom.llm.near_dedup import near_duplicates
+
+#: Documents below this cosine with every language are rejected, like those without letters.
+MIN_SCORE = 0.02
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters (null and empty texts too) or like no language."""
+    labelled = docs.where(F.coalesce(common.crc_bucket(F.col("doc_id"), FOLDS) != 0, F.lit(True)))
+    told = identify(docs, labelled, docs.columns)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group."""
+    kept = near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("__k", one).where("__k = 1")
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    hits = common.keep(contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix wants it."""
+    return mixed(docs)
+
+
+def binary_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token ids; a row a document, read back from the files."""
+    return read_ids(write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("binary_ids", binary_ids),
+]
+
+#: The language and token stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.keep(docs, name)
     return docs
