@@ -18,6 +18,7 @@ gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ COLUMNS = "doc_id long, item_id long, n_shared long, n_item long, containment do
 TABLE_BITS = 20
 
 _hashes: list[WordHashes] = []
-_indexes: dict[int, "ItemIndex"] = {}
+_indexes: dict[str, "ItemIndex"] = {}
 
 
 def _hash_words(words: list[list[bytes]]) -> list[np.ndarray]:
@@ -111,7 +112,7 @@ class ItemIndex:
         return found
 
 
-def _search(block: int, items, threshold: float):
+def _search(block: str, items, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if block not in _indexes:
             _indexes.clear()
@@ -150,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         if len(part) > ITEM_BLOCK:
             raise ValueError("items repeat too often; drop repeated items first")
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part])
-        found = rows.mapInArrow(_search(id(shared), shared, threshold), COLUMNS)
+        found = rows.mapInArrow(_search(uuid.uuid4().hex, shared, threshold), COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out
 
