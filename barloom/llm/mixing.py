@@ -8,8 +8,8 @@ expected copies is certain. The rest is its inclusion probability p; documents a
 odds of a uniform number that their id seeds over the odds of p, and taken from the front until
 the source's remaining words are used up. Fill rounds then add the largest document that still fits.
 
-No task holds a source: ranks are first counted in `bins` bins a source, and rows are ordered only
-within the one bin where the budget ends.
+No task holds a source: ranks are first counted in bins, and rows are ordered only within the one bin
+of a source where the budget ends.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source; rows that
 repeat a doc_id are documents of their own (equal ids have equal ranks, smaller sizes first); a null
@@ -26,7 +26,8 @@ from barloom.llm import common
 EPS = 1e-9
 WEIGHTS = (5.0, 2.0, 1.0)
 SHORT, SHORT_WEIGHT, LONG_WEIGHT = 100, 1.0, 2.0
-BINS, FILLS, SEED = 4096, 3, "mix-1"
+#: Bins of ranks for each unit of their logarithm: a bin holds a thousandth of a source at most.
+BINS, FILLS, SEED = 256, 3, "mix-1"
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -75,7 +76,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     expected = F.least(F.lit(most), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
     rows = rows.join(plan, "key").withColumn("expected", expected).withColumn("sure", F.floor(F.col("expected") + EPS).cast("long")).withColumn("p", F.col("expected") - F.col("sure"))
     odds = (F.col("u") / (1.0 - F.col("u"))) / (F.col("p") / (1.0 - F.col("p")))
-    rows = rows.withColumn("rank", F.when((F.col("p") > EPS) & (F.col("size") > 0), odds)).withColumn("bin", F.floor(F.col("rank") / (1.0 + F.col("rank")) * bins))
+    rows = rows.withColumn("rank", F.when((F.col("p") > EPS) & (F.col("size") > 0), odds)).withColumn("bin", F.floor(F.log("rank") * bins))
     rows = common.keep(rows.select("row", "doc_id", "text_hash", "key", "size", "source_size", "target", "sure", "rank", "bin"), "mix-ranked")
 
     sure = rows.groupBy("key").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("budget"))
@@ -141,7 +142,7 @@ def mix_sql(documents: str = "documents") -> str:
 , expecting AS (SELECT row, doc_id, m.key, size, u, source_size, target, least(2.0::DOUBLE, coalesce(lv * weight, 0.0)) AS expected FROM mixrows m JOIN targets g ON m.key = g.key LEFT JOIN levels l ON m.key = l.key)
 , sured AS (SELECT *, floor(expected + {EPS})::BIGINT AS sure, expected - floor(expected + {EPS})::BIGINT AS p FROM expecting)
 , oddsed AS (SELECT *, CASE WHEN p > {EPS} AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS rank FROM sured)
-, ranked AS (SELECT *, floor(rank / (1.0::DOUBLE + rank) * {BINS}) AS bin FROM oddsed)
+, ranked AS (SELECT *, floor(ln(rank) * {BINS}) AS bin FROM oddsed)
 , budgets AS (SELECT key, max(target) - sum(sure * size)::BIGINT AS budget FROM ranked GROUP BY key)
 , upto AS (SELECT key, bin, words, sum(words) OVER (PARTITION BY key ORDER BY bin)::BIGINT AS upto FROM (SELECT key, bin, sum(size)::BIGINT AS words FROM ranked WHERE rank IS NOT NULL GROUP BY key, bin))
 , ends AS (SELECT u.key, min(bin) AS "end", arg_min(upto - words, bin) AS whole, any_value(budget) AS budget FROM upto u JOIN budgets b ON u.key = b.key WHERE upto > budget GROUP BY u.key)
