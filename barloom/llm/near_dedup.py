@@ -8,7 +8,13 @@ stands for the rest; only representatives are signed into bands, linked and veri
 In a bucket of equal bands each member is first compared with one leader; then, where a bucket still
 holds several components, all members outside its main component with the bucket's members of other
 components. So every colliding pair is verified or already connected, without writing down all
-pairs of a group of copies; nothing is capped.
+pairs of a group of copies; nothing is capped. Of these later pairs, those go to verification that
+
+- agree in MIN_AGREE of the signature's registers by two bits of each (a pair at the threshold misses
+  this a few times in a million), counted in the first band that they share, and
+- can reach the threshold: with u and v the shares of the two documents' weights that lie on shingles of
+  no other candidate, their similarity is at most 1 / (1 / (1 - u) + v / (1 - v)). The shares are worked
+  out where buckets are LARGE; elsewhere they count as 0.
 
 Defined results: null texts and texts without words are never duplicates (class and group are their
 own doc_id); texts of one to four words are only compared as exact copies; rows that repeat a doc_id
@@ -29,10 +35,12 @@ from pyspark.sql import functions as F
 from barloom.llm import common
 from barloom.llm.components import components
 from barloom.llm.pieces import slices
-from barloom.llm.probminhash import bands, signatures, similarity
+from barloom.llm.probminhash import bands, signatures, similarity, two_bits
 from barloom.llm.shingles import WordHashes, shingle_hashes, words_of
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
+#: Registers by two bits that pairs must agree in: at similarity 0.8, 102 of 120 do, give or take 3.9.
+MIN_AGREE, LARGE = 84, 48
 
 _hashes: list[WordHashes] = []
 
@@ -53,12 +61,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(s, return_counts=True) for s in shingles]
             signed = [i for i, s in enumerate(sets) if len(s[0])]
             found: list[list[int] | None] = [None] * (b - a)
+            sketches: list[list[int] | None] = [None] * (b - a)
             if signed:
                 owner = np.repeat(np.arange(len(signed)), [len(sets[i][0]) for i in signed])
                 kept = signatures(len(signed), owner, np.concatenate([sets[i][0] for i in signed]), np.concatenate([sets[i][1] for i in signed]), BANDS * ROWS)
-                for i, row in zip(signed, bands(kept, ROWS).tolist()):
-                    found[i] = row
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "copy": pa.array(copies, pa.binary()), "bands": pa.array(found, pa.list_(pa.int64()))})
+                for i, row, sketch in zip(signed, bands(kept, ROWS).tolist(), two_bits(kept).tolist()):
+                    found[i], sketches[i] = row, sketch
+            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "copy": pa.array(copies, pa.binary()), "bands": pa.array(found, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +95,45 @@ def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _alone(shingles: DataFrame) -> DataFrame:
+    """doc_id, alone: the share of each document's shingles, with repeats, that no other one has."""
+    found = shingles.mapInArrow(_counted, "doc_id long, shingle long, n long")
+    once = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.first("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("docs = 1")
+    total = found.groupBy("doc_id").agg(F.sum("n").alias("total"))
+    return once.groupBy("doc_id").agg(F.sum("n").alias("n")).join(total, "doc_id").select("doc_id", (F.col("n") / F.col("total")).alias("alone"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found, n = np.unique(np.frombuffer(data, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": np.full(len(found), doc), "shingle": found, "n": n.astype(np.int64)})
+
+
+def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different components that share a bucket and may reach the threshold."""
+    names = ("doc_id", "root", "bands", "sketch", "alone")
+    minor = mixed.where("root <> main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in names])
+    every = mixed.select("band", "value", "main", *[F.col(c).alias(f"y_{c}") for c in names])
+    differ = [F.get("x_sketch", k).bitwiseXOR(F.get("y_sketch", k)) for k in range(4)]
+    agree = BANDS * ROWS - F.bit_count(differ[0].bitwiseOR(differ[1])) - F.bit_count(differ[2].bitwiseOR(differ[3]))
+
+    def most(u: str, v: str):
+        """Upper bound of the similarity, both shares below one."""
+        return 1.0 / (1.0 / (1.0 - F.col(u)) + F.col(v) / (1.0 - F.col(v)))
+
+    possible = (F.col("x_alone") < 1.0) & (F.col("y_alone") < 1.0) & (most("x_alone", "y_alone") >= threshold - 1e-9) & (most("y_alone", "x_alone") >= threshold - 1e-9)
+    first_band = F.array_position(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), True) == F.col("band") + 1
+    met = minor.join(every, ["band", "value"]).where((F.col("x_root") != F.col("y_root")) & (agree >= MIN_AGREE) & possible & ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & first_band)
+    return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and group_id of each document (doc_id, text)."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.keep(rows.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>"), "signed")
-    classes = signed.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
+    signed = common.keep(rows.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>, sketch array<long>"), "signed")
+    classes = signed.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = common.keep(classes, "classes")
     entries = classes.where("bands IS NOT NULL").select(F.col("class_id").alias("doc_id"), F.posexplode("bands").alias("band", "value"))
     # the leader: another member in each band, so that the members of a large bucket meet many
@@ -109,11 +151,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "value", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     placed = common.keep(placed, "placed")
     sizes = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    mixed_buckets = placed.join(mains, ["band", "value"])
-    minor = mixed_buckets.where("root <> main").select("band", "value", F.col("doc_id").alias("x"), F.col("root").alias("xr"))
-    met = minor.join(mixed_buckets.drop("main"), ["band", "value"]).where("xr <> root")
-    rest = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    mains = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).where("roots > 1").drop("roots")
+    mixed = common.keep(placed.join(mains, ["band", "value"]), "mixed")
+    alone = _alone(shingles.join(mixed.where(F.col("size") > LARGE).select("doc_id").distinct(), "doc_id", "left_semi"))
+    facts = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    mixed = common.keep(mixed.drop("size").join(facts, "doc_id"), "mixed")
+    rest = _open_pairs(mixed, threshold).join(pairs, ["a", "b"], "left_anti")
     roots = components(first.unionByName(_links(rest, shingles, threshold)))
 
     known = classes.select("copy", "class_id").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("copy", "class_id", F.coalesce("root", "class_id").alias("group_id"))

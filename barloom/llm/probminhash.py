@@ -42,6 +42,15 @@ def bands(kept: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def two_bits(kept: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each register as four words: low and high bits of the first half of the
+    registers, then of the second half (at most 63 registers each)."""
+    half = kept.shape[1] // 2
+    place = np.uint64(1) << np.arange(half, dtype=np.uint64)
+    words = [((kept[:, k * half : (k + 1) * half] >> np.uint64(b)) & np.uint64(1)) @ place for k in range(2) for b in range(2)]
+    return np.stack(words, axis=1).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Exact probability Jaccard of two multisets of elements: the sum over common elements d of
     1 / sum over all e of max(x_e / x_d, y_e / y_d)."""
