@@ -19,14 +19,14 @@ def fifo_round_trips(fills: DataFrame, order: list[str]) -> DataFrame:
     overlaps, found by a join on the symbol and blocks of BLOCK shares, not by comparing all pairs.
     """
     w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = fills.withColumns({"b": F.when(F.col("side") == "buy", F.col("shares")).otherwise(0), "s": F.when(F.col("side") == "sell", F.col("shares")).otherwise(0)})
-    rows = rows.withColumns({"B": F.sum("b").over(w), "S": F.sum("s").over(w)})
-    over = F.greatest(F.lit(0), F.max(F.col("S") - F.col("B")).over(w))
-    rows = rows.withColumn("E", F.col("S") - over)
-    before = F.coalesce(F.lag("E").over(Window.partitionBy("symbol").orderBy(*order)), F.lit(0))
-    rows = rows.withColumn("E0", before)
-    buys = rows.where("b > 0").select("symbol", F.col("date").alias("entry_date"), F.col("price").alias("entry_price"), (F.col("B") - F.col("b")).alias("lo"), F.col("B").alias("hi"))
-    sells = rows.where("s > 0 AND E > E0").select("symbol", F.col("date").alias("exit_date"), F.col("price").alias("exit_price"), F.col("E0").alias("slo"), F.col("E").alias("shi"))
+    rows = fills.withColumns({"buy": F.when(F.col("side") == "buy", F.col("shares")).otherwise(0), "sell": F.when(F.col("side") == "sell", F.col("shares")).otherwise(0)})
+    rows = rows.withColumns({"bought": F.sum("buy").over(w), "sold": F.sum("sell").over(w)})
+    over = F.greatest(F.lit(0), F.max(F.col("sold") - F.col("bought")).over(w))
+    rows = rows.withColumn("upto", F.col("sold") - over)
+    before = F.coalesce(F.lag("upto").over(Window.partitionBy("symbol").orderBy(*order)), F.lit(0))
+    rows = rows.withColumn("since", before)
+    buys = rows.where("buy > 0").select("symbol", F.col("date").alias("entry_date"), F.col("price").alias("entry_price"), (F.col("bought") - F.col("buy")).alias("lo"), F.col("bought").alias("hi"))
+    sells = rows.where("sell > 0 AND upto > since").select("symbol", F.col("date").alias("exit_date"), F.col("price").alias("exit_price"), F.col("since").alias("slo"), F.col("upto").alias("shi"))
     block = 64
     blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(b) - 1) / block)))
     pairs = buys.withColumn("block", blocks("lo", "hi")).join(sells.withColumn("block", blocks("slo", "shi")), ["symbol", "block"]).where("lo < shi AND slo < hi")
@@ -96,13 +96,13 @@ def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float =
     weekly = ~pre & yes(c("week_end") & (c("close") < c("dma50")))
     reason = F.when(hard, "hard_stop").when(failed, "pivot_fail").when(trail, "prior_low_stop").when(weekly, "weekly_dma50").when(drop21, "dma21")
     price = F.when(hard, c("stop")).when(failed, c("close")).when(trail, c("prev_low")).otherwise(c("close"))
-    hits = rows.withColumns({"reason": reason, "price": price}).groupBy("id").agg(F.min(F.when(c("reason").isNotNull(), F.struct("d", "reason", "price"))).alias("x"), F.first("P").alias("P"), F.max_by("close", "d").alias("last_close"))
+    hits = rows.withColumns({"reason": reason, "price": price}).groupBy("id").agg(F.min(F.when(c("reason").isNotNull(), F.struct("d", "reason", "price"))).alias("hit"), F.first("P").alias("P"), F.max_by("close", "d").alias("last_close"))
     out = signals.join(hits, "id", "left")
-    early = c("x.reason").isin("hard_stop", "pivot_fail")
-    took = yes(c("P").isNotNull() & (c("x.d").isNull() | (c("P") < c("x.d")) | ((c("P") == c("x.d")) & ~early)))
-    final = F.coalesce("x.price", "last_close")
+    early = c("hit.reason").isin("hard_stop", "pivot_fail")
+    took = yes(c("P").isNotNull() & (c("hit.d").isNull() | (c("P") < c("hit.d")) | ((c("P") == c("hit.d")) & ~early)))
+    final = F.coalesce("hit.price", "last_close")
     ret = F.when(took, 0.5 * partial_at + 0.5 * (div(final, "entry") - 1.0)).otherwise(div(final, "entry") - 1.0)
-    return out.select("id", "symbol", "date", "entry", c("x.d").alias("exit_date"), F.coalesce("x.reason", F.lit("open")).alias("reason"), c("x.price").alias("exit_price"), took.alias("partial"), ret.alias("ret"))
+    return out.select("id", "symbol", "date", "entry", c("hit.d").alias("exit_date"), F.coalesce("hit.reason", F.lit("open")).alias("reason"), c("hit.price").alias("exit_price"), took.alias("partial"), ret.alias("ret"))
 
 
 def variant_compare(signals: DataFrame, daily: DataFrame, variants: dict[str, Column]) -> DataFrame:
