@@ -13,8 +13,9 @@ pairs of a group of copies; nothing is capped. Of these later pairs, those go to
 - agree in MIN_AGREE of the signature's registers by two bits of each (a pair at the threshold misses
   this a few times in a million), counted in the first band that they share, and
 - can reach the threshold: with u and v the shares of the two documents' weights that lie on shingles of
-  no other candidate, their similarity is at most 1 / (1 / (1 - u) + v / (1 - v)). The shares are worked
-  out where buckets are LARGE; elsewhere they count as 0.
+  no other candidate, their similarity is at most 1 / (1 / (1 - u) + v / (1 - v)); of two documents in
+  which no shingle repeats, at most c / (m + n - c), with m and n their shingles and c the smaller number
+  of those that others have too.
 
 Defined results: null texts and texts without words are never duplicates (class and group are their
 own doc_id); texts of one to four words are only compared as exact copies; rows that repeat a doc_id
@@ -40,7 +41,7 @@ from barloom.llm.shingles import WordHashes, shingle_hashes, words_of
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Registers by two bits that pairs must agree in: at similarity 0.8, 102 of 120 do, give or take 3.9.
-MIN_AGREE, LARGE = 84, 48
+MIN_AGREE = 84
 
 _hashes: list[WordHashes] = []
 
@@ -95,12 +96,15 @@ def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _alone(shingles: DataFrame) -> DataFrame:
-    """doc_id, alone: the share of each document's shingles, with repeats, that no other one has."""
+def _counts(shingles: DataFrame) -> DataFrame:
+    """doc_id, m (distinct shingles), flat (none repeats), common (distinct shingles that another document
+    has too) and alone (the share of the weight on those that none has)."""
     found = shingles.mapInArrow(_counted, "doc_id long, shingle long, n long")
     once = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.first("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("docs = 1")
-    total = found.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    return once.groupBy("doc_id").agg(F.sum("n").alias("n")).join(total, "doc_id").select("doc_id", (F.col("n") / F.col("total")).alias("alone"))
+    once = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n"))
+    total = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    out = total.join(once, "doc_id", "left").fillna(0, ["own", "own_n"])
+    return out.select("doc_id", "m", (F.col("m") == F.col("n")).alias("flat"), (F.col("m") - F.col("own")).alias("common"), (F.col("own_n") / F.col("n")).alias("alone"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +116,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different components that share a bucket and may reach the threshold."""
-    names = ("doc_id", "root", "bands", "sketch", "alone")
+    names = ("doc_id", "root", "bands", "sketch", "m", "flat", "common", "alone")
     minor = mixed.where("root <> main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in names])
     every = mixed.select("band", "value", "main", *[F.col(c).alias(f"y_{c}") for c in names])
     differ = [F.get("x_sketch", k).bitwiseXOR(F.get("y_sketch", k)) for k in range(4)]
@@ -123,6 +127,8 @@ def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
         return 1.0 / (1.0 / (1.0 - F.col(u)) + F.col(v) / (1.0 - F.col(v)))
 
     possible = (F.col("x_alone") < 1.0) & (F.col("y_alone") < 1.0) & (most("x_alone", "y_alone") >= threshold - 1e-9) & (most("y_alone", "x_alone") >= threshold - 1e-9)
+    shared = F.least("x_common", "y_common")
+    possible = possible & (~(F.col("x_flat") & F.col("y_flat")) | (shared >= (threshold - 1e-9) * (F.col("x_m") + F.col("y_m") - shared)))
     first_band = F.array_position(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), True) == F.col("band") + 1
     met = minor.join(every, ["band", "value"]).where((F.col("x_root") != F.col("y_root")) & (agree >= MIN_AGREE) & possible & ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & first_band)
     return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
@@ -151,11 +157,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "value", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     placed = common.keep(placed, "placed")
     sizes = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).where("roots > 1").drop("roots")
+    mains = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
     mixed = common.keep(placed.join(mains, ["band", "value"]), "mixed")
-    alone = _alone(shingles.join(mixed.where(F.col("size") > LARGE).select("doc_id").distinct(), "doc_id", "left_semi"))
-    facts = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
-    mixed = common.keep(mixed.drop("size").join(facts, "doc_id"), "mixed")
+    counts = _counts(shingles.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    facts = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(counts, "doc_id")
+    mixed = common.keep(mixed.join(facts, "doc_id"), "mixed")
     rest = _open_pairs(mixed, threshold).join(pairs, ["a", "b"], "left_anti")
     roots = components(first.unionByName(_links(rest, shingles, threshold)))
 
