@@ -6,7 +6,8 @@ source's words. Within a source, a document expects min(most, level * weight) co
 by a length tier; the level makes expected words meet the target. The whole part of a document's
 expected copies is certain. The rest is its inclusion probability p; documents are ranked by the
 odds of a uniform number that their id seeds over the odds of p, and taken from the front until
-the source's remaining words are used up. Fill rounds then add the largest document that still fits.
+the source's remaining words are used up. Fill rounds then add the largest
+document that is smaller than what is missing, and the last one the document that comes nearest to it.
 
 No task holds a source: ranks are first counted in bins, and rows are ordered only within the one bin
 of a source where the budget ends.
@@ -27,7 +28,7 @@ EPS = 1e-9
 WEIGHTS = (5.0, 2.0, 1.0)
 SHORT, SHORT_WEIGHT, LONG_WEIGHT = 100, 1.0, 2.0
 #: Bins of ranks for each unit of their logarithm: a bin holds a thousandth of a source at most.
-BINS, FILLS, SEED = 256, 3, "mix-1"
+BINS, FILLS, SEED = 256, 4, "mix-1"
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -89,11 +90,12 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     chosen = common.keep(at_end.where(F.col("whole") + F.col("running") <= F.col("budget")).select("key", "row", "size"), "mix-chosen")
 
     open_rows = rows.where("rank IS NOT NULL").join(ends, "key").where(F.col("bin") >= F.col("end"))
-    for _ in range(fills):
+    for k in range(fills):
+        most_size = F.col("gap") if k + 1 < fills else 2.0 * F.col("gap")
         left = ends.join(chosen.groupBy("key").agg(F.sum("size").alias("used")), "key", "left").select("key", (F.col("budget") - F.col("whole") - F.coalesce("used", F.lit(0))).alias("gap"))
-        fits = open_rows.join(left, "key").where(F.col("size") <= F.col("gap")).join(chosen.select("row"), "row", "left_anti")
-        best = fits.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("less"), "rank", "doc_id", "row")).alias("b"))
-        chosen = common.keep(chosen.unionByName(best.select("key", F.col("b.row").alias("row"), (-F.col("b.less")).alias("size"))), "mix-chosen")
+        fits = open_rows.join(left, "key").where(F.col("size") < most_size).join(chosen.select("row"), "row", "left_anti")
+        best = fits.groupBy("key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "row", "size")).alias("b"))
+        chosen = common.keep(chosen.unionByName(best.select("key", "b.row", "b.size")), "mix-chosen")
 
     out = rows.join(ends.select("key", "end"), "key", "left").join(chosen.select("row", F.lit(1).alias("one")), "row", "left")
     # without an end, all of a source's ranked documents fit
@@ -126,7 +128,7 @@ def mix_sql(documents: str = "documents") -> str:
     for k in range(FILLS):
         fills += f"""
 , left{k} AS (SELECT e.key, budget - whole - coalesce(used, 0) AS gap FROM ends e LEFT JOIN (SELECT key, sum(size) AS used FROM chosen{k} GROUP BY key) c ON e.key = c.key)
-, best{k} AS (SELECT key, row, size FROM (SELECT r.key, r.row, r.size, row_number() OVER (PARTITION BY r.key ORDER BY r.size DESC, r.rank, r.doc_id, r.row) AS k FROM ranked r JOIN ends e ON r.key = e.key JOIN left{k} l ON r.key = l.key WHERE r.rank IS NOT NULL AND r.bin >= e."end" AND r.size <= gap AND r.row NOT IN (SELECT row FROM chosen{k})) WHERE k = 1)
+, best{k} AS (SELECT key, row, size FROM (SELECT r.key, r.row, r.size, row_number() OVER (PARTITION BY r.key ORDER BY abs(gap - r.size), r.rank, r.doc_id, r.row) AS k FROM ranked r JOIN ends e ON r.key = e.key JOIN left{k} l ON r.key = l.key WHERE r.rank IS NOT NULL AND r.bin >= e."end" AND r.size < {1.0 if k + 1 < FILLS else 2.0}::DOUBLE * gap AND r.row NOT IN (SELECT row FROM chosen{k})) WHERE k = 1)
 , chosen{k + 1} AS (SELECT * FROM chosen{k} UNION ALL SELECT * FROM best{k})"""
     return f"""mixrows AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce('s' || source, 'n') AS key, size, CASE WHEN size < {SHORT} THEN {SHORT_WEIGHT} ELSE {LONG_WEIGHT} END::DOUBLE AS weight, {_UNIFORM} AS u
   FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {documents}))
