@@ -27,7 +27,7 @@ from barloom.llm import common
 from barloom.llm.pieces import slices
 
 DIMENSIONS, SEED, FOLDS, MOST_LANGUAGES = 1024, 20_011, 5, 1000
-#: Characters of one text that are bundled at a time.
+#: Symbols that are bundled at a time.
 SEGMENT = 1_000_000
 
 _letters: dict[int, np.ndarray] = {}
@@ -53,16 +53,21 @@ def symbols(text: str) -> np.ndarray:
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The bundled vector of each text, and its number of n-grams (0 without letters)."""
     vectors, grams = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
-    parts = [(i, t[a : a + SEGMENT]) for i, t in enumerate(texts) if t for a in range(0, len(t), SEGMENT)]
-    for a, b in slices([p for _, p in parts]):
+    for a, b in slices([t or "" for t in texts], SEGMENT):
         owner, codes = [], []
-        for i, p in parts[a:b]:
-            c = symbols(p)
-            if len(c) > 2:
+        for i, t in enumerate(texts[a:b], a):
+            c = symbols(t) if t else ()
+            for k in range(0, len(c) - 2, SEGMENT):
                 owner.append(i)
-                codes.append(c)
-        if not codes:
-            continue
+                codes.append(c[k : k + SEGMENT + 2])
+        _add(vectors, grams, np.array(owner), codes)
+    return vectors, grams
+
+
+def _add(vectors: np.ndarray, grams: np.ndarray, owners: np.ndarray, pieces: list[np.ndarray]) -> None:
+    """Add the n-grams of pieces to their owners, about SEGMENT symbols at a time."""
+    for a, b in slices(pieces, SEGMENT):
+        owner, codes = owners[a:b], pieces[a:b]
         present, index = np.unique(np.concatenate(codes), return_inverse=True)
         n, size = np.array([len(c) for c in codes]), len(present)
         keys = (index[:-2] * size + index[1:-1]) * size + index[2:]
@@ -84,7 +89,6 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             counts = np.bincount(rows[mine] * len(g) + column[mine] - c, minlength=len(n) * len(g)).reshape(len(n), len(g)).astype(np.float32)
             np.add.at(vectors, owner, counts @ bound)
         np.add.at(grams, owner, n - 2)
-    return vectors, grams
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
