@@ -1,6 +1,6 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 9).
 
-Test items are partitioned by their number of five-word shingles, up to 16, 32, 64, ... A class of
+Test items are partitioned by their number of five-word shingles, up to 1, 2, 4, 8, 16, ... A class of
 items up to m shingles is searched in windows of 2m shingles that start every m, so that any run of
 m shingles of a document lies within one window and the window's Jaccard similarity with an item
 that it contains has a lower bound of about 0.2, however long the document is. A window and an item that
@@ -30,7 +30,7 @@ from barloom.llm import common
 from barloom.llm.pieces import slices
 from barloom.llm.shingles import WordHashes, mixed, shingle_hashes, words_of
 
-WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, BASE, SEED = 5, 0.8, 64, 20_000, 16, 77
+WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, SEED = 5, 0.8, 64, 20_000, 77
 COLUMNS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 TABLE_BITS = 20
 
@@ -63,7 +63,7 @@ class ItemIndex:
                 self.words.append(w)
                 self.sets.append(s)
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        most = [max(BASE, 1 << (len(s) - 1).bit_length()) for s in self.sets]
+        most = [1 << (len(s) - 1).bit_length() for s in self.sets]
         for m in sorted(set(most)):
             members = np.array([i for i, x in enumerate(most) if x == m])
             tables = []
@@ -77,24 +77,27 @@ class ItemIndex:
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs of which a window and the item share a minimum hash."""
-        blocks = np.array([-(-len(d) // BASE) for d in docs])
+        if not self.classes:
+            return set()
+        base = min(self.classes)
+        blocks = np.array([-(-len(d) // base) for d in docs])
         first = np.concatenate([[0], np.cumsum(blocks)])
         total = int(first[-1])
-        if not total or not self.classes:
+        if not total:
             return set()
-        grid = np.zeros(total * BASE, np.uint64)
+        grid = np.zeros(total * base, np.uint64)
         for d, at in zip(docs, first):
             if len(d):
-                grid[at * BASE : at * BASE + len(d)] = d
-                grid[at * BASE + len(d) : (at + -(-len(d) // BASE)) * BASE] = d[-1]
-        grid = np.ascontiguousarray(grid.reshape(total, BASE).T)
+                grid[at * base : at * base + len(d)] = d
+                grid[at * base + len(d) : (at + -(-len(d) // base)) * base] = d[-1]
+        grid = np.ascontiguousarray(grid.reshape(total, base).T)
         owner = np.repeat(np.arange(len(docs)), blocks)
         found: set[tuple[int, int]] = set()
         value, largest = np.empty_like(grid), max(self.classes)
         for k in range(HASHES):
             np.multiply(grid, self.mul[k], out=value)
             value += self.add[k]
-            level, m = value.min(axis=0), BASE
+            level, m = value.min(axis=0), base
             while True:
                 window = np.minimum(level, np.append(level[1:], level[-1]))
                 if m in self.classes:
@@ -102,7 +105,7 @@ class ItemIndex:
                     for w in np.flatnonzero(there[window >> np.uint64(64 - TABLE_BITS)]):
                         a, b = np.searchsorted(low, window[w], "left"), np.searchsorted(low, window[w], "right")
                         if a < b:
-                            step = m // BASE
+                            step = m // base
                             near = set(owner[w * step : (w + 2) * step].tolist())  # a window may reach into the next documents
                             found.update((d, i) for d in near for i in members[a:b].tolist())
                 if m >= largest:
