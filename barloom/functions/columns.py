@@ -7,9 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: A bar series, and its sessions.
-SERIES = Window.partitionBy("symbol").orderBy("date")
-SESSION = Window.partitionBy("symbol", "session_date").orderBy("ts")
+
+def series() -> WindowSpec:
+    """A symbol's daily bars in order."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def session() -> WindowSpec:
+    """A session's bars in order."""
+    return Window.partitionBy("symbol", "session_date").orderBy("ts")
 
 
 def col(c: str | Column) -> Column:
@@ -51,16 +57,16 @@ def weighted(*parts: tuple[float, Column]) -> Column:
     return reduce(lambda x, y: x + y, (F.lit(float(w)) * p for w, p in parts))
 
 
-def lag(c: str | Column, n: int = 1, over: WindowSpec = SERIES) -> Column:
-    return F.lag(col(c), n).over(over)
+def lag(c: str | Column, n: int = 1, over: WindowSpec | None = None) -> Column:
+    return F.lag(col(c), n).over(over or series())
 
 
-def last_n(n: int, over: WindowSpec = SERIES) -> WindowSpec:
-    return over.rowsBetween(-(n - 1), 0)
+def last_n(n: int, over: WindowSpec | None = None) -> WindowSpec:
+    return (over or series()).rowsBetween(-(n - 1), 0)
 
 
-def prior_n(n: int, over: WindowSpec = SERIES) -> WindowSpec:
-    return over.rowsBetween(-n, -1)
+def prior_n(n: int, over: WindowSpec | None = None) -> WindowSpec:
+    return (over or series()).rowsBetween(-n, -1)
 
 
 def rolling(agg, c: str | Column, frame: WindowSpec, least: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SERIES, clip01, col, div, floor0, lag, last_n, pct_rank, prior_n, rolling, strict_max, weighted, yes, zero
+from barloom.functions.columns import clip01, col, div, floor0, lag, last_n, pct_rank, prior_n, rolling, series, strict_max, weighted, yes, zero
 
 
 def sma(c: str | Column, n: int, least: int | None = None) -> Column:
@@ -33,7 +33,7 @@ def week_key(date: str = "date") -> Column:
 
 def base_features(daily: DataFrame) -> DataFrame:
     """Lags, ranges, averages and levels that the scores are made of."""
-    out = daily.withColumns({"prev_close": lag("close"), "prev_high": lag("high"), "prev_low": lag("low"), "tr": true_range(), "history_n": F.row_number().over(SERIES)})
+    out = daily.withColumns({"prev_close": lag("close"), "prev_high": lag("high"), "prev_low": lag("low"), "tr": true_range(), "history_n": F.row_number().over(series())})
     out = out.withColumns({
         **{f"atr{n}": sma("tr", n) for n in (5, 14, 20)},
         **{f"sma{n}": sma("close", n) for n in (10, 20, 21, 50)},
@@ -66,10 +66,10 @@ def money_flow_pressure(n: int = 20, least: int = 10) -> Column:
 def anchored_vwap(daily: DataFrame, n: int = 63) -> DataFrame:
     """VWAP since the first bar of the highest high of the last n bars."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    before = SERIES.rowsBetween(Window.unboundedPreceding, -1)
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    before = series().rowsBetween(Window.unboundedPreceding, -1)
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
     pv = typical * F.col("volume")
-    out = daily.withColumns({"__pv": pv, "__n": F.row_number().over(SERIES)}).withColumns({"__a": F.coalesce(F.sum("__pv").over(before), F.lit(0.0)), "__b": F.coalesce(F.sum("volume").over(before), F.lit(0.0))})
+    out = daily.withColumns({"__pv": pv, "__n": F.row_number().over(series())}).withColumns({"__a": F.coalesce(F.sum("__pv").over(before), F.lit(0.0)), "__b": F.coalesce(F.sum("volume").over(before), F.lit(0.0))})
     anchor = F.max(F.struct(F.col("high"), (-F.col("__n")).alias("k"), "__a", "__b")).over(last_n(n))
     out = out.withColumns({"__x": anchor, "__p": F.sum("__pv").over(upto), "__v": F.sum("volume").over(upto)})
     return out.withColumn("anchored_vwap", div(F.col("__p") - F.col("__x.__a"), F.col("__v") - F.col("__x.__b"))).drop("__pv", "__n", "__a", "__b", "__x", "__p", "__v")
@@ -102,7 +102,7 @@ def group_mean_with_prev(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def prior_runup() -> Column:
     """Larger of the monthly and the quarterly return (one is enough), as of the previous session."""
-    return F.lag(F.greatest("roc21", "roc63")).over(SERIES)
+    return F.lag(F.greatest("roc21", "roc63")).over(series())
 
 
 def surf(share: tuple[str, int, float], distance: float, deep: float, deep_most: float, atr: str = "atr20") -> Column:
@@ -188,7 +188,7 @@ def global_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def forward_outcomes(events: DataFrame, daily: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), strong: float = 0.05) -> DataFrame:
     """Returns after h bars of each event (symbol, date, entry), same-day adverse excursion, success."""
-    bars = daily.select("symbol", "date", F.col("low").alias("__low"), *[F.lead("close", h).over(SERIES).alias(f"__c{h}") for h in horizons])
+    bars = daily.select("symbol", "date", F.col("low").alias("__low"), *[F.lead("close", h).over(series()).alias(f"__c{h}") for h in horizons])
     out = events.join(bars, ["symbol", "date"], "left").withColumns({f"ret_{h}": div(f"__c{h}", "entry") - 1.0 for h in horizons} | {"mae": div("__low", "entry") - 1.0})
     last = F.col(f"ret_{horizons[-1]}")
     return out.withColumns({"success": yes(last > 0), "strong_success": yes(last >= strong)}).drop("__low", *[f"__c{h}" for h in horizons])

@@ -6,13 +6,18 @@ Hash the bars by symbol once (by_symbol): windows by session and by slot then sh
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SESSION, clip01, div, floor0, weighted, yes, zero
+from barloom.functions.columns import clip01, div, floor0, session, weighted, yes, zero
 
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = SESSION.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def so_far() -> WindowSpec:
+    return session().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> WindowSpec:
+    return session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def by_symbol(bars: DataFrame) -> DataFrame:
@@ -22,21 +27,21 @@ def by_symbol(bars: DataFrame) -> DataFrame:
 def session_running(bars: DataFrame) -> DataFrame:
     """slot (position in the session), running volume and extremes, session open, previous close."""
     return bars.withColumns({
-        "slot": F.row_number().over(SESSION) - 1,
-        "cum_volume": F.sum("volume").over(SO_FAR),
-        "session_open": F.first("open").over(SO_FAR),
-        "session_high_so_far": F.max("high").over(SO_FAR),
-        "session_low_so_far": F.min("low").over(SO_FAR),
-        "prev_bar_close": F.lag("close").over(SESSION),
+        "slot": F.row_number().over(session()) - 1,
+        "cum_volume": F.sum("volume").over(so_far()),
+        "session_open": F.first("open").over(so_far()),
+        "session_high_so_far": F.max("high").over(so_far()),
+        "session_low_so_far": F.min("low").over(so_far()),
+        "prev_bar_close": F.lag("close").over(session()),
     })
 
 
 def session_vwap(bars: DataFrame, every: int = 3) -> DataFrame:
     """VWAP so far, and the close against it, sampled each `every` slots and carried on."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    out = bars.withColumn("vwap", div(F.sum(typical * F.col("volume")).over(SO_FAR), F.sum("volume").over(SO_FAR)))
+    out = bars.withColumn("vwap", div(F.sum(typical * F.col("volume")).over(so_far()), F.sum("volume").over(so_far())))
     sampled = F.when(F.col("slot") % every == every - 1, div("close", "vwap") - 1.0)
-    return out.withColumn("close_vs_vwap", F.last(sampled, ignorenulls=True).over(SO_FAR))
+    return out.withColumn("close_vs_vwap", F.last(sampled, ignorenulls=True).over(so_far()))
 
 
 def ema_15m(bars: DataFrame, span: int = 8, least: int = 8, every: int = 3) -> DataFrame:
@@ -51,7 +56,7 @@ def ema_15m(bars: DataFrame, span: int = 8, least: int = 8, every: int = 3) -> D
     kind = dict(bars.dtypes)["ts"]
     means = at.groupBy("symbol").applyInPandas(smooth, f"symbol string, ts {kind}, ema double")
     out = bars.join(means, ["symbol", "ts"], "left")
-    return out.withColumn("ema_15m", F.last("ema", ignorenulls=True).over(SO_FAR)).drop("ema")
+    return out.withColumn("ema_15m", F.last("ema", ignorenulls=True).over(so_far())).drop("ema")
 
 
 def same_slot_volume(bars: DataFrame, lookback: int = 20, least: int = 5, slot: str = "slot") -> DataFrame:
@@ -63,7 +68,7 @@ def same_slot_volume(bars: DataFrame, lookback: int = 20, least: int = 5, slot:
 
 
 def next_bar(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({"next_open": F.lead("open").over(SESSION), "next_ts": F.lead("ts").over(SESSION), "session_close": F.last("close", ignorenulls=True).over(WHOLE)})
+    return bars.withColumns({"next_open": F.lead("open").over(session()), "next_ts": F.lead("ts").over(session()), "session_close": F.last("close", ignorenulls=True).over(whole())})
 
 
 def intraday_feature_panel(bars: DataFrame, daily_prev: DataFrame, low: int = 5, high: int = 90) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SERIES, div, yes, zero
+from barloom.functions.columns import div, series, yes, zero
 from barloom.operators.daily import week_key
 
 TAX_RATE = 0.20315
@@ -83,8 +83,8 @@ def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float =
     peak, then the weekly close below the 50-day or, before a partial profit, below the 21-day average.
     """
     c = F.col
-    avg = lambda n: F.when(F.count("close").over(SERIES.rowsBetween(1 - n, 0)) >= n, F.avg("close").over(SERIES.rowsBetween(1 - n, 0)))
-    bars = daily.select("symbol", c("date").alias("d"), "high", "low", "close", F.lag("low").over(SERIES).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end"))
+    avg = lambda n: F.when(F.count("close").over(series().rowsBetween(1 - n, 0)) >= n, F.avg("close").over(series().rowsBetween(1 - n, 0)))
+    bars = daily.select("symbol", c("date").alias("d"), "high", "low", "close", F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end"))
     rows = signals.join(bars, "symbol").where((c("d") > c("date")) & (c("d") <= F.date_add("date", horizon_days)))
     path = Window.partitionBy("id").orderBy("d")
     rows = rows.withColumns({"age": F.datediff("d", "date"), "peak": F.greatest("entry", F.coalesce(F.max("close").over(path.rowsBetween(Window.unboundedPreceding, -1)), c("entry"))), "P": F.min(F.when(c("high") >= c("entry") * (1.0 + partial_at), c("d"))).over(Window.partitionBy("id"))})

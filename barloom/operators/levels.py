@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SERIES, clip01, div, floor0, lag, prior_n, rolling, strict_max, weighted, yes, zero
+from barloom.functions.columns import clip01, div, floor0, lag, prior_n, rolling, series, strict_max, weighted, yes, zero
 from barloom.operators.daily import base_features, leader_pass, regime, relative_strength, surf
 
 
@@ -18,19 +18,19 @@ def swing_high(left: int = 2, right: int = 2) -> Column:
     h = F.col("high")
     cond = F.lit(True)
     for k in range(1, left + 1):
-        cond = cond & (h > F.lag("high", k).over(SERIES))
+        cond = cond & (h > F.lag("high", k).over(series()))
     for k in range(1, right + 1):
-        cond = cond & (h >= F.lead("high", k).over(SERIES))
+        cond = cond & (h >= F.lead("high", k).over(series()))
     return yes(cond)
 
 
 def _line(df: DataFrame, pivot: Column, price: str, seen_after: int) -> DataFrame:
     """__line: (i1, p1, i2, p2) of the last two pivots that are `seen_after` bars old; __i: bar number."""
-    df = df.withColumn("__i", F.row_number().over(SERIES)).withColumn("__pivot", pivot)
+    df = df.withColumn("__i", F.row_number().over(series())).withColumn("__pivot", pivot)
     here = F.when(F.col("__pivot"), F.struct(F.col("__i").alias("i"), F.col(price).alias("p")))
-    df = df.withColumn("__here", here).withColumn("__prev", F.last("__here", ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("__here", here).withColumn("__prev", F.last("__here", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)))
     pair = F.when(F.col("__pivot"), F.struct(F.col("__prev.i").alias("i1"), F.col("__prev.p").alias("p1"), F.col("__i").alias("i2"), F.col(price).alias("p2")))
-    df = df.withColumn("__pair", pair).withColumn("__line", F.last("__pair", ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, -seen_after)))
+    df = df.withColumn("__pair", pair).withColumn("__line", F.last("__pair", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -seen_after)))
     return df.drop("__pivot", "__here", "__prev", "__pair")
 
 
@@ -51,13 +51,13 @@ def diag_resistance(daily: DataFrame, left: int = 2, right: int = 2, min_gap: in
 def extrema(df: DataFrame, order: int = 3) -> DataFrame:
     """is_high, is_low: strict extrema over `order` bars on both sides; beyond the ends the end bar itself
     stands for the missing ones."""
-    whole = SERIES.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     high, low = F.lit(True), F.lit(True)
-    n, size = F.row_number().over(SERIES), F.count(F.lit(1)).over(whole)
+    n, size = F.row_number().over(series()), F.count(F.lit(1)).over(whole)
     for k in range(1, order + 1):
         for step in (F.lag, F.lead):
-            h = F.when(n > k, step("high", k).over(SERIES)).otherwise(F.first("high").over(whole)) if step is F.lag else F.when(n <= size - k, step("high", k).over(SERIES)).otherwise(F.last("high").over(whole))
-            low_k = F.when(n > k, step("low", k).over(SERIES)).otherwise(F.first("low").over(whole)) if step is F.lag else F.when(n <= size - k, step("low", k).over(SERIES)).otherwise(F.last("low").over(whole))
+            h = F.when(n > k, step("high", k).over(series())).otherwise(F.first("high").over(whole)) if step is F.lag else F.when(n <= size - k, step("high", k).over(series())).otherwise(F.last("high").over(whole))
+            low_k = F.when(n > k, step("low", k).over(series())).otherwise(F.first("low").over(whole)) if step is F.lag else F.when(n <= size - k, step("low", k).over(series())).otherwise(F.last("low").over(whole))
             high, low = high & (F.col("high") > h), low & (F.col("low") < low_k)
     return df.withColumns({"is_high": yes(high), "is_low": yes(low)})
 
@@ -65,7 +65,7 @@ def extrema(df: DataFrame, order: int = 3) -> DataFrame:
 def zigzag_pivots(daily: DataFrame, order: int = 3) -> DataFrame:
     """symbol, i, date, kind, price: alternating extrema. Of a run of one kind the most extreme stays, the
     first of equals; a bar that is both is a high first. Pivots too near the end are then dropped."""
-    rows = extrema(daily.withColumns({"i": F.row_number().over(SERIES), "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}), order)
+    rows = extrema(daily.withColumns({"i": F.row_number().over(series()), "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}), order)
     both = F.array(F.when(F.col("is_high"), F.struct(F.lit(0).alias("o"), F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(F.col("is_low"), F.struct(F.lit(1).alias("o"), F.lit("low").alias("kind"), F.col("low").alias("price"))))
     found = rows.where("is_high OR is_low").select("symbol", "date", "i", "n", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("symbol", "date", "i", "n", "x.*")
     w = Window.partitionBy("symbol").orderBy("i", "o")
@@ -97,7 +97,7 @@ def zigzag_line(daily: DataFrame, order: int = 3, confirm_bars: int = 1, min_gap
 
 def zigzag_setup_score(lined: DataFrame) -> DataFrame:
     """Score of bars with a valid line (needs vol20), and what was known on the previous bar."""
-    recent = SERIES.rowsBetween(-4, 0)
+    recent = series().rowsBetween(-4, 0)
     lists = lined.withColumns({"__h": F.collect_list("high").over(recent), "__l": F.collect_list("low").over(recent), "__v": F.collect_list("volume").over(recent)})
 
     def tail(c: str, most: int) -> Column:

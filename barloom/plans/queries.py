@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SERIES, div, lag, last_n, pct_rank, prior_n, rolling, yes, zero
+from barloom.functions.columns import div, lag, last_n, pct_rank, prior_n, rolling, series, yes, zero
 from barloom.operators import clean, daily, intraday, learn, ledger, levels, report
 from barloom.plans import oracle as q
 from barloom.sources import fixtures as fx
@@ -423,7 +423,7 @@ RANKED_SQL = f"""lab AS (SELECT symbol, date, round(close) AS score, ({'lead(clo
 
 
 def _labelled(spark, d) -> DataFrame:
-    out = fx.daily(spark, d).withColumns({"score": F.rint("close"), "y": (F.lead("close").over(SERIES) > F.col("close")).cast("int")})
+    out = fx.daily(spark, d).withColumns({"score": F.rint("close"), "y": (F.lead("close").over(series()) > F.col("close")).cast("int")})
     return out.where("y IS NOT NULL")
 
 
@@ -438,7 +438,7 @@ def ranking_metrics(spark, d):
 def logistic_scores(spark, d):
     """Next-day direction by logistic regression on preprocessed features; scores of all rows."""
     names = ["roc21", "range_pct", "pullback_depth"]
-    panel = daily.base_features(fx.daily(spark, d)).withColumn("y", (F.lead("close").over(SERIES) > F.col("close")).cast("int"))
+    panel = daily.base_features(fx.daily(spark, d)).withColumn("y", (F.lead("close").over(series()) > F.col("close")).cast("int"))
     ready = learn.transform(panel, learn.fit_preprocessor(panel, names)).select("symbol", "date", "y", *[f"{c}_x" for c in names])
     return learn.train_and_score_logistic(ready.where("y IS NOT NULL"), ready, [f"{c}_x" for c in names], "y").select("symbol", "date", "score")
 
