@@ -19,7 +19,7 @@ def day(k):
 def bars(spark, highs, lows=None, closes=None, symbol="A"):
     lows = lows or [h - 1.0 for h in highs]
     closes = closes or [(h + low) / 2 for h, low in zip(highs, lows)]
-    rows = [(symbol, day(k), c, float(h), float(low), float(c), 1000.0) for k, (h, low, c) in enumerate(zip(highs, lows, closes))]
+    rows = [(symbol, day(k), float(c), float(h), float(low), float(c), 1000.0) for k, (h, low, c) in enumerate(zip(highs, lows, closes))]
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
 
 
