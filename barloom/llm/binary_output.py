@@ -91,7 +91,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     """One row a document, read back from the files of a manifest."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one slim row a file
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    return files.repartition(F.col("path")).mapInArrow(_read, ROWS)
+    return files.repartition(common.tasks_for(manifest), F.col("path")).mapInArrow(_read, ROWS)
 
 
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(files: DataFrame, most: int = 10_000) -> int:
+    """Partitions to read files with, one row a file: a fixed number, which Spark does not merge as it
+    would merge the few bytes that the rows themselves have."""
+    return max(1, min(most, files.count()))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,8 +21,11 @@ HEAD = "\x01"
 CUT = re.compile(r"(?<=[^\s▁])([ \n])(?=[^\s▁])")
 #: Longer units are not cached beyond the texts at hand.
 LONGEST_CACHED = 48
-#: Letters below this are letters to Python and to the libraries alike.
-PLAIN_BELOW = "\u0250"
+#: Lead, letters (below U+0250, where Python and the libraries agree on letters) and ASCII marks but the
+#: apostrophe, which may begin a token with the letters after it.
+PLAIN = re.compile(rf"([\n{HEAD}]?)((?:(?![\W\d_])[\u0041-\u024F])+)([!-&(-/:-@\[-`{{-~]{{0,8}})")
+#: Words that go through the model at a time.
+JOINED = 64
 
 
 def keys(text: str) -> list[str]:
@@ -81,28 +84,53 @@ class ByteLevelIds:
         self.letters = {b: show(chr(b))[0][0] for b in range(128) if b != 10}  # how the model spells bytes
         self.letters |= {b: ch for c in range(0x80, 0x250) for b, ch in zip(chr(c).encode(), show(chr(c))[0][0])}
         self.space = self.letters[32]
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        vocabulary = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
+        # no token has a space behind a letter, so that words can go through the model together
+        letters = ["".join(self.letters[x] for x in chr(c).encode()) for c in range(0x41, 0x250) if chr(c).isalpha()]
+        inner = [t[:k] for t in vocabulary for k in range(1, len(t)) if t[k] == self.space and t.strip(self.space)]
+        self.marks = {"": b"", HEAD: b"", "\n": self._encode(["\n"])[0]}
+        self.together = not any(p.endswith(x) or x.endswith(p) for p in inner for x in letters)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _spelled(self, words: list[str]) -> list[str]:
+        return "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n") if words else []
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
         """Ids of words of plain letters, each after a space: one pre-token, so that the library's
         model can take it without the steps before."""
-        mapped = "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
+        out: list[bytes] = []
+        tokenize, width = self.tok.model.tokenize, np.dtype(self.kind).itemsize
+        spelled = self._spelled(words)
+        for i in range(0, len(spelled), JOINED):
+            part = spelled[i : i + JOINED]
+            ids = np.array([t.id for t in tokenize(self.space + self.space.join(part))], self.kind)
+            at = [*(np.flatnonzero(self.starts[ids]) * width).tolist(), len(ids) * width]
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip(at, at[1:])]
+        return out
+
+    def _without_space(self, words: list[str]) -> list[bytes]:
         tokenize = self.tok.model.tokenize
-        return [array(self.code, [t.id for t in tokenize(self.space + w)]).tobytes() for w in mapped]
+        return [array(self.code, [t.id for t in tokenize(w)]).tobytes() for w in self._spelled(words)]
 
     def _units(self, new: list[str]) -> list[bytes]:
-        """A mark after a letter is a token of its own, so that the word before it is looked up."""
-        marked = [u[-1:] in self.marks and u[-2:-1].isalpha() for u in new]
-        stems = [u[:-1] if m else u for u, m in zip(new, marked)]
-        todo = [s for s in dict.fromkeys(stems) if s not in self.cache]
-        plain = [s for s in todo if s.isalpha() and max(s) < PLAIN_BELOW]
-        self.cache.update(zip(plain, self._words(plain)))
-        todo = [s for s in todo if s not in self.cache]
-        self.cache.update(zip(todo, self._encode([s[1:] if s[:1] == HEAD else s if s[:1] == "\n" else " " + s for s in todo])))
-        return [self.cache[s] + self.marks[u[-1]] if m else self.cache[s] for u, s, m in zip(new, stems, marked)]
+        """Marks that end a word of plain letters are a pre-token of their own; word and marks are
+        looked up apart, and so are a line feed and the word after it."""
+        cut = [PLAIN.fullmatch(u) for u in new] if self.together else [None] * len(new)
+        words = dict.fromkeys(m[2] for m in cut if m and not m[1])
+        todo = [w for w in words if w not in self.cache]
+        self.cache.update(zip(todo, self._after_space(todo)))
+        bare = {m[2] for m in cut if m and m[1]}
+        first = dict(zip(bare, self._without_space(list(bare))))
+        rest = {m[3] for m in cut if m and m[3]} - self.marks.keys()
+        self.marks.update(zip(rest, self._encode(list(rest))))
+        other = [u for u, m in zip(new, cut) if not m]
+        whole = dict(zip(other, self._encode([u[1:] if u[:1] == HEAD else u if u[:1] == "\n" else " " + u for u in other])))
+        return [whole[u] if not m else self.marks[m[1]] + first[m[2]] + self.marks[m[3]] if m[1] else self.cache[m[2]] + self.marks[m[3]] for u, m in zip(new, cut)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:

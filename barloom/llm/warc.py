@@ -140,7 +140,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 with store.open_input_file(name) as f:
                     yield from _batches(_rows(path, f.read(), payloads), _schema())
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, ROWS)
+    return manifest.select("path").repartition(common.tasks_for(manifest), F.col("path")).mapInArrow(read, ROWS)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
