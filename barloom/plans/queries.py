@@ -448,3 +448,77 @@ def ema_15m(spark, d):
     """Exponential averages have no closed form in SQL; tests hold them against a loop."""
     out = intraday.ema_15m(intraday.session_running(fx.intraday(spark, d)))
     return rows(out, "ema_15m", "symbol", "ts")
+
+
+@query("WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'cancelled' END AS status, (o_orderkey % 7)::INT AS quantity, (o_orderkey % 5)::INT AS filled FROM orders) SELECT CASE WHEN filled > 0 AND filled >= quantity THEN 'filled' WHEN status = 'cancelled' THEN CASE WHEN filled > 0 THEN 'partially_filled_cancelled' ELSE 'cancelled' END WHEN filled > 0 THEN 'partially_filled' WHEN status = 'filled' THEN 'filled' ELSE 'open' END AS state, count(*) AS n FROM o GROUP BY 1")
+def order_states(spark, d):
+    o = fx.table(spark, d, "orders")
+    o = o.select(F.when(F.col("o_orderstatus") == "F", "filled").when(F.col("o_orderstatus") == "O", "open").otherwise("cancelled").alias("status"), (F.col("o_orderkey") % 7).cast("int").alias("quantity"), (F.col("o_orderkey") % 5).cast("int").alias("filled"))
+    return o.groupBy(ledger.order_status("status", "quantity", "filled").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'slot' || (o_orderkey % 50) AS slot_id, arg_max(o_orderkey, (o_orderdate, o_orderkey::VARCHAR)) AS o_orderkey FROM orders GROUP BY 1")
+def slot_orders(spark, d):
+    o = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("placed_at"), F.col("o_orderkey").cast("string").alias("client_order_id"), F.to_json(F.struct(F.concat(F.lit("slot"), (F.col("o_orderkey") % 50).cast("string")).alias("slot_id"))).alias("payload_json"))
+    return ledger.latest_order_per_slot(o).select("slot_id", "o_orderkey")
+
+
+@query(q.stack(q.DAILY, "a AS (SELECT DISTINCT date, symbol FROM daily WHERE close >= 75)", "b AS (SELECT DISTINCT date, symbol FROM daily WHERE volume >= 30000)", select=f"SELECT {q.r4('(SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b))::DOUBLE / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b))', 'overlap')}"))
+def list_overlap(spark, d):
+    bars = fx.daily(spark, d)
+    return rows(report.shortlist_overlap(bars.where("close >= 75"), bars.where("volume >= 30000")), "overlap")
+
+
+@query(q.stack(q.DAILY, q.UNIVERSE, select="SELECT DISTINCT upper(symbol) AS symbol FROM (SELECT symbol FROM daily WHERE close >= 100 UNION ALL SELECT symbol FROM universe WHERE market_cap > 5000)"))
+def monitored(spark, d):
+    return report.monitor_symbols(fx.daily(spark, d).where("close >= 100"), fx.universe(spark, d).where("market_cap > 5000"))
+
+
+@query(q.stack(q.INTRADAY, "m AS (SELECT symbol, ts, hour(ts) * 60 + minute(ts) - 570 AS m FROM bars)", select="SELECT symbol, ts, m::INT AS minutes_from_open, (m // 5)::INT AS slot, CASE WHEN m BETWEEN 0 AND 90 THEN 'open_drive' WHEN m BETWEEN 95 AND 300 THEN 'midday' WHEN m > 300 THEN 'power_hour' ELSE 'off_hours' END AS session_bucket, m BETWEEN 5 AND 90 AS in_window FROM m WHERE m >= 0"))
+def session_times(spark, d):
+    out = clean.session_fields(fx.intraday(spark, d))
+    return out.select("symbol", "ts", "minutes_from_open", "slot", "session_bucket", clean.in_signal_window(F.col("minutes_from_open")).alias("in_window"))
+
+
+@query(q.stack(q.DAILY, f"f AS (SELECT symbol, date AS feature_date, close FROM daily WHERE close >= 60)", "mp AS (SELECT * FROM (SELECT feature_date, lead(feature_date) OVER (ORDER BY feature_date) AS next_session_date FROM (SELECT DISTINCT feature_date FROM f)) WHERE next_session_date IS NOT NULL)", "tr AS (SELECT date AS session_date, symbol, close / nullif(open, 0) - 1.0 AS net_return FROM daily WHERE volume >= 20000)", "lb AS (SELECT date AS session_date, symbol, coalesce(close > lag(close) OVER (PARTITION BY symbol ORDER BY date), false)::INT AS close_up FROM daily)", select=f"SELECT f.symbol, f.feature_date, mp.next_session_date, (t.net_return IS NOT NULL)::INT AS any_trade, coalesce((t.net_return > 0)::INT, 0) AS any_profit, {q.r4('t.net_return', 'best_return')}, coalesce(lb.close_up, 0) AS close_up, lb.symbol IS NOT NULL AS has_daily FROM f JOIN mp USING (feature_date) LEFT JOIN lb ON lb.symbol = f.symbol AND lb.session_date = mp.next_session_date LEFT JOIN tr t ON t.symbol = f.symbol AND t.session_date = mp.next_session_date"))
+def training_panel(spark, d):
+    bars = fx.daily(spark, d)
+    features = bars.where("close >= 60").select("symbol", F.col("date").alias("feature_date"), "close")
+    trades = bars.where("volume >= 20000").select(F.col("date").alias("session_date"), "symbol", (div("close", "open") - 1.0).alias("net_return"))
+    out = learn.training_panel(features, learn.watchlist_labels(trades, bars))
+    return rows(out, "best_return", "symbol", "feature_date", "next_session_date", "any_trade", "any_profit", "close_up", "has_daily")
+
+
+@query(q.stack(q.INTRADAY, "c AS (SELECT DISTINCT symbol, session_date FROM bars WHERE close >= 30)", "cal AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS pos FROM (SELECT DISTINCT session_date FROM bars))", "w AS (SELECT DISTINCT c.symbol, k.session_date FROM c JOIN cal p USING (session_date) JOIN cal k ON k.pos BETWEEN p.pos - 3 AND p.pos)", select="SELECT b.symbol, b.ts FROM bars b SEMI JOIN w ON b.symbol = w.symbol AND b.session_date = w.session_date"))
+def lookback_bars(spark, d):
+    bars = fx.intraday(spark, d)
+    return intraday.lookback_sessions(bars, bars.where("close >= 30").select("symbol", "session_date"), 3).select("symbol", "ts")
+
+
+def _signals(spark, d) -> DataFrame:
+    """Daily breakouts with what sizing and priorities need."""
+    s = levels.daily_scores(fx.daily(spark, d)).where("breakout_type <> 'none'")
+    return s.withColumns({"trigger_close": F.col("close"), "trigger_score": F.col("trigger_score_daily"), "cum_vol_ratio": div("volume", "vol20"), "move_from_open": div("close", "open") - 1.0, "low_so_far_at_trigger": F.col("low"), "effective_pivot_level": F.col("resistance_used"), "entry_stop_policy": F.when(F.col("leader_score") >= 90, "ignore_stop_limit").otherwise("respect_stop_limit"), "runup": F.lit(0.0)})
+
+
+_SIG = "sig AS (SELECT *, close AS trigger_close, trigger_score_daily AS trigger_score, volume / nullif(vol20, 0) AS cum_vol_ratio, close / nullif(open, 0) - 1.0 AS move_from_open FROM scored WHERE breakout_type <> 'none')"
+
+
+@query(SCORED + f""", {_SIG}
+, st AS (SELECT *, least(low, coalesce(resistance_used, pivot_high)) * (1.0 - 0.001::DOUBLE) AS stop FROM sig WHERE coalesce(open / nullif(prev_close, 0) - 1.0 < 0.10, false))
+, sz AS (SELECT *, floor(least(100000.0 * 0.01 / nullif(close - stop, 0), 100000.0 / 3 / close, 50000.0 / close))::BIGINT AS shares FROM st WHERE coalesce(close - stop > 0, false) AND (coalesce(close - stop <= least(atr20, adr20_pct * close), false) OR coalesce(leader_score >= 90, false)))
+SELECT symbol, date, shares, {q.rows('stop')} FROM sz WHERE shares > 0""")
+def sized_signals(spark, d):
+    return rows(report.risk_sizing(_signals(spark, d), 100000.0, 50000.0), "stop", "symbol", "date", "shares")
+
+
+@query(SCORED + f""", {_SIG}, {q.UNIVERSE}
+, im AS (SELECT industry, date, median(0.25 * roc21 + 0.35 * roc63 + 0.4 * roc126) AS median FROM base JOIN universe USING (symbol) GROUP BY 1, 2)
+, ir AS (SELECT industry, date, lag(rk) OVER (PARTITION BY industry ORDER BY date) AS industry_rs FROM (SELECT *, {q.pct_rank('median', 'date')} AS rk FROM im))
+, ru AS (SELECT symbol, date, lag(greatest(roc21, roc63)) OVER ({q.W}) AS runup FROM base)
+, jp AS (SELECT s.*, runup, industry, market_cap, industry_rs FROM (SELECT * FROM sig) s LEFT JOIN ru USING (symbol, date) LEFT JOIN universe USING (symbol) LEFT JOIN ir USING (industry, date))
+, jr AS (SELECT *, 1.0 - (rank() OVER (ORDER BY market_cap) + (count(*) OVER (PARTITION BY market_cap) - 1) / 2.0) / count(*) OVER () AS small_cap_score, coalesce(leader_score >= 95 AND setup_score_pre >= 68 AND trigger_score >= 77 AND cum_vol_ratio >= 3 AND move_from_open >= -0.05, false) AS a_plus FROM jp)
+SELECT symbol, date, a_plus, {q.rows('small_cap_score industry_rs')}, {q.r4(' + '.join([f"25.0 * {q.zero(q.clip01('(leader_score - 60.0) / 40.0'))}", f"20.0 * {q.zero(q.clip01('1.0 - abs(setup_score_pre - 72.0) / 10.0'))}", f"18.0 * {q.zero(q.clip01('(coalesce(trigger_score, 60.0) - 50.0) / 40.0'))}", f"15.0 * {q.zero(q.clip01('ln(1.0 + coalesce(cum_vol_ratio, 0.75)) / ln(6.0)'))}", f"12.0 * {q.zero(q.clip01('runup / 1.2'))}", f"10.0 * {q.zero(q.clip01('(move_from_open + 0.02) / 0.08'))}", '20.0 * a_plus::INT']), 'industry_priority')} FROM jr""")
+def industry_priorities(spark, d):
+    features = daily.base_features(fx.daily(spark, d)).withColumn("runup", daily.prior_runup())
+    return rows(report.industry_priority(_signals(spark, d).drop("runup"), features, fx.universe(spark, d)), "small_cap_score industry_rs industry_priority", "symbol", "date", "a_plus")
