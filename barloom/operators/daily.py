@@ -144,7 +144,7 @@ def hold_score(daily: DataFrame) -> DataFrame:
 def relative_strength(features: DataFrame) -> DataFrame:
     """symbol, date, rs_today and, as of the previous session, leader_score: percent ranks by date of
     three returns, .45 / .35 / .20. Slim: three columns go through the exchange by date."""
-    slim = features.select("symbol", "date", "roc21", "roc63", "roc126")
+    slim = features.select("symbol", "date", "roc21", "roc63", "roc126").repartition("date")  # serves all three ranks
     blend = weighted(*((w, zero(100.0 * pct_rank(c, "date"))) for w, c in ((0.45, "roc21"), (0.35, "roc63"), (0.20, "roc126"))))
     ranked = slim.withColumn("rs_today", blend).select("symbol", "date", "rs_today")
     return ranked.withColumn("leader_score", lag("rs_today"))
