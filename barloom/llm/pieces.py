@@ -26,6 +26,8 @@ LONGEST_CACHED = 48
 PLAIN = re.compile(rf"([\n{HEAD}]?)((?:(?![\W\d_])[\u0041-\u024F])+)([!-&(-/:-@\[-`{{-~]{{0,8}})")
 #: Words that go through the model at a time.
 JOINED = 64
+#: Different runs of marks that are kept.
+MOST_MARKS = 20_000
 
 
 def keys(text: str) -> list[str]:
@@ -126,6 +128,8 @@ class ByteLevelIds:
         self.cache.update(zip(todo, self._after_space(todo)))
         bare = {m[2] for m in cut if m and m[1]}
         first = dict(zip(bare, self._without_space(list(bare))))
+        if len(self.marks) > MOST_MARKS:
+            self.marks = {k: v for k, v in self.marks.items() if k in ("", HEAD, "\n")}
         rest = {m[3] for m in cut if m and m[3]} - self.marks.keys()
         self.marks.update(zip(rest, self._encode(list(rest))))
         other = [u for u, m in zip(new, cut) if not m]
