@@ -27,15 +27,10 @@ from barloom.llm.dac import Dac, build
 MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: One encoder a worker process and tokenizer file, so that its cache lives on between tasks.
-_encoders: dict[str, pieces.ByteLevelIds] = {}
-
 
 def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = pieces.ByteLevelIds(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = common.worker_state(("ids", tokenizer), lambda: pieces.ByteLevelIds(tokenizer))
         store, base = common.open_fs(folder)
         store.create_dir(base, recursive=True)
         end = np.array([end_id], encoder.kind).tobytes()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+_worker: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def worker_state(key, make):
+    """What a Python worker keeps from task to task: one object, that of the operator at work. Another
+    operator's caches go as soon as this one starts, so that stages in a row do not add up."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI: spark.checkpoint.dir where it
     is set; where it is not (tests), a temporary folder that this process sets."""

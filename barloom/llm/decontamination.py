@@ -34,16 +34,6 @@ WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, SEED = 5, 0.8, 64, 20_000, 77
 COLUMNS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 TABLE_BITS = 20
 
-_hashes: list[WordHashes] = []
-_indexes: dict[str, "ItemIndex"] = {}
-
-
-def _hash_words(words: list[list[bytes]]) -> list[np.ndarray]:
-    if not _hashes:
-        _hashes.append(WordHashes())
-    return _hashes[0].hash(words)
-
-
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(2 * HASHES, dtype=np.uint64) + np.uint64(SEED))
     return seeds[:HASHES] | np.uint64(1), seeds[HASHES:]
@@ -54,9 +44,10 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.mul, self.add = multipliers()
+        self.hashes = WordHashes()
         self.ids, self.words, self.sets = [], [], []
         words = [words_of(t) for _, t in items]
-        for (item, _), w, h in zip(items, words, _hash_words(words)):
+        for (item, _), w, h in zip(items, words, self.hashes.hash(words)):
             s = np.unique(shingle_hashes(h, WIDTH))
             if len(s):
                 self.ids.append(item)
@@ -117,16 +108,13 @@ class ItemIndex:
 
 def _search(block: str, items, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block not in _indexes:
-            _indexes.clear()
-            _indexes[block] = ItemIndex(items.value)
-        index = _indexes[block]
+        index = common.worker_state(("items", block), lambda: ItemIndex(items.value))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for a, b in slices([t or "" for t in texts]):
                 words = [words_of(t) for t in texts[a:b]]
-                docs = [shingle_hashes(h, WIDTH) for h in _hash_words(words)]
+                docs = [shingle_hashes(h, WIDTH) for h in index.hashes.hash(words)]
                 for d, i in sorted(index.candidates(docs)):
                     if np.isin(index.sets[i], docs[d]).sum() >= threshold * len(index.sets[i]) - 1e-9:
                         mine, theirs = ({tuple(w[k : k + WIDTH]) for k in range(len(w) - WIDTH + 1)} for w in (index.words[i], words[d]))

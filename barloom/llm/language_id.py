@@ -92,6 +92,7 @@ def _add(vectors: np.ndarray, grams: np.ndarray, owners: np.ndarray, pieces: lis
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.worker_state("letters", dict)  # lets go of another operator's caches
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -125,6 +126,7 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
     at = keep.index("text") if "text" in keep else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_state("letters", dict)
         names, wanted = model.value
         for batch in batches:
             texts = batch.column(at).to_pylist()

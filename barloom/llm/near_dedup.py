@@ -43,14 +43,9 @@ WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Registers by two bits that pairs must agree in: at similarity 0.8, 102 of 120 do, give or take 3.9.
 MIN_AGREE = 84
 
-_hashes: list[WordHashes] = []
-
-
 def _shingles(texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    if not _hashes:
-        _hashes.append(WordHashes())
     words = [words_of(t) for t in texts]
-    return words, [shingle_hashes(h, WIDTH) for h in _hashes[0].hash(words)]
+    return words, [shingle_hashes(h, WIDTH) for h in common.worker_state("words", WordHashes).hash(words)]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
