@@ -6,9 +6,9 @@ other words, TAILS classes by a hash of their last two bytes are the model's voc
 class a word has probability (c + 1) / (n + v + 1), with c its count and n and v the tokens and the distinct
 words of the class, so that all words together, one unknown word a class included, have probability one.
 
-The network is trained in ROUNDS rounds by truncated backpropagation: in each, every partition trains a
-copy on its training documents of one of SHARE shares (a share of the corpus, so that what is learnt from
-grows with it), and the copies are averaged, weighted by tokens. Scoring carries the state through a
+The network is trained in ROUNDS rounds by truncated backpropagation: the training documents are dealt over
+the rounds by a hash, so that each is learnt from once; in a round, every partition trains a copy on its
+documents of that round, and the copies are averaged, weighted by tokens. Scoring carries the state through a
 document from its first to its last token.
 
 Counts reach the map side as a table of the TABLE most frequent tokens, a fixed bound; words that are not in
@@ -39,7 +39,7 @@ from barloom.llm.gated_model import TAILS, GatedModel
 
 FOLDS, HELD_OUT = 7, 2
 HEADS, TABLE = 1024, 200_000
-ROUNDS, SHARE, RATE = 2, 16, 0.1
+ROUNDS, RATE = 2, 0.1
 #: The end token's key: no word is empty.
 END = b""
 #: Tokens that are scored at a time, and that a copy is trained on at a time.
@@ -128,7 +128,7 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
 def train(docs: DataFrame, shared, vocabulary: Vocabulary) -> np.ndarray:
     """Parameters after ROUNDS rounds over training documents (doc_id, text)."""
     spark, flat = docs.sparkSession, vocabulary.model().flat()
-    share = F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(SHARE))
+    turn = F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
 
@@ -154,7 +154,7 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary) -> np.ndarray:
             total = sum(n * np.frombuffer(p, np.float32).astype(np.float64) for n, p in zip(rows["n"], rows["p"]))
             return pd.DataFrame({"n": [int(rows["n"].sum())], "p": [(total / rows["n"].sum()).astype(np.float32).tobytes()]})
 
-        mine = docs.where(share == k).select("text")
+        mine = docs.where(turn == k).select("text")
         copies = mine.mapInArrow(learn, "part int, n long, p binary").groupBy("part").applyInPandas(merge, "n long, p binary").collect()
         if copies:
             flat = (sum(c.n * np.frombuffer(c.p, np.float32).astype(np.float64) for c in copies) / sum(c.n for c in copies)).astype(np.float32)

@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 
+from barloom.llm import common
 from barloom.llm.gated_model import TAILS, GatedModel
-from barloom.llm.language_model import op3_gated_lm, score_documents
+from barloom.llm.language_model import _count, learn_vocabulary, op3_gated_lm, score_documents, train
 
 from .common_frames import documents, empty
 
@@ -95,3 +96,15 @@ def test_odd_rows(spark):
     assert same([tuple(r)[:6] for r in out], reference([(r.doc_id, r.text) for r in docs.collect()]))
     assert all(np.isfinite(r.score) and r.score < 0 for r in out)
     assert score_documents(empty(spark)).count() == 0
+
+
+def test_every_training_document_reaches_the_network(spark):
+    common.ship(spark)
+    rows = [(k, f"these words of document {k} follow one another") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = learn_vocabulary(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").sum("n").toDF("word", "n"))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    start = vocabulary.model().flat()
+    for row in rows:  # each alone must change the parameters
+        alone = spark.createDataFrame([row], docs.schema).coalesce(1)
+        assert not np.array_equal(train(alone, shared, vocabulary), start), row
