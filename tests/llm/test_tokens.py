@@ -80,5 +80,13 @@ def test_token_counts(spark):
     assert count_tokens(empty(spark), SPM).count() == 0
 
 
+def test_token_counts_of_repeated_words_with_nul(spark):
+    words = ["a\x00b", "\x00", "extraordinarily", "x\x00\x00y", "the", "unbelievable,", "\x00z"]
+    rows = [(k, " ".join([f"text{k}", *words[k % 7 :], *words * 3])) for k in range(60)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=SPM)
+    got = count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), SPM).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: len(sp.encode(t)) for k, t in rows}
+
+
 def test_no_documents(spark):
     assert read_ids(write_ids(empty(spark), BPE)).count() == 0
