@@ -2,25 +2,32 @@
 
 Elements are five-word shingles, weighted by how often they occur in the document; documents are
 near-duplicates at a probability Jaccard similarity of 0.8 or more (equal to the Jaccard similarity
-where no shingle repeats). Exact copies (equal words) form a class, of which the smallest doc_id
-stands for the rest; only representatives are signed into bands, linked and verified.
-
-In a bucket of equal bands each member is first compared with one leader; then, where a bucket still
-holds several components, all members outside its main component with the bucket's members of other
-components. So every colliding pair is verified or already connected, without writing down all
-pairs of a group of copies; nothing is capped. Of these later pairs, those go to verification that
-
-- agree in MIN_AGREE of the signature's registers by two bits of each (a pair at the threshold misses
-  this a few times in a million), counted in the first band that they share, and
-- can reach the threshold: with u and v the shares of the two documents' weights that lie on shingles of
-  no other candidate, their similarity is at most 1 / (1 / (1 - u) + v / (1 - v)); of two documents in
-  which no shingle repeats, at most c / (m + n - c), with m and n their shingles and c the smaller number
-  of those that others have too.
+where no shingle repeats). Exact copies (equal words) form a class; only classes are signed into bands,
+linked and verified, under numbers that are given to them when their table is written.
+
+In a bucket of equal bands each class is first compared with the leader, the member that meets most
+others over all its bands, so that a group of near copies links to its common origin in a few pairs
+a document. Buckets that then still hold several components are looked at again: classes outside a
+bucket's main component meet those members of other components that may be similar enough, and no
+colliding pair of different components is left unverified unless an exact bound excludes it. Nothing
+is capped. The bounds, for classes with m and n distinct shingles:
+
+- a class whose weight lies by more than 1 - threshold on shingles of no other candidate has no link;
+- where no shingle repeats, c shared shingles give a similarity of c / (m + n - c), and c is at most the
+  number of shingles that others have too: this leaves a range of sizes n, which is part of the join's key;
+- c is also at most m less the set bits of one document's bitmap of shingles that the other's lacks;
+- with u and v the shares of weight on shingles of no other candidate, the similarity is at most
+  1 / (1 / (1 - u) + v / (1 - v)).
+
+Pairs must also agree in MIN_AGREE of the signature's registers by two bits of each (a pair at the
+threshold misses this a few times in a million).
 
 Defined results: null texts and texts without words are never duplicates (class and group are their
-own doc_id); texts of one to four words are only compared as exact copies; rows that repeat a doc_id
-each get a row; a null doc_id has no class of its own; an empty table gives no row; other columns are
-ignored. `group_id` is the smallest doc_id of all documents that links connect.
+own doc_id); texts of one to four words are only compared as exact copies; very long texts are hashed
+whole; rows that repeat a doc_id each get a row, by their own text; a class has the smallest doc_id of
+its rows (null where all are null), a group the smallest of all classes that links connect; ties of ids
+do not occur as equal words are one class; an empty table gives no row; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import common
-from barloom.llm.components import components
+from barloom.llm.components import components, merged
 from barloom.llm.pieces import slices
 from barloom.llm.probminhash import bands, signatures, similarity, two_bits
 from barloom.llm.shingles import WordHashes, shingle_hashes, words_of
@@ -42,6 +49,10 @@ from barloom.llm.shingles import WordHashes, shingle_hashes, words_of
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Registers by two bits that pairs must agree in: at similarity 0.8, 102 of 120 do, give or take 3.9.
 MIN_AGREE = 84
+#: Words of 64 bits in a document's bitmap of shingles; size classes for each unit of a size's logarithm.
+WORDS, CLASSES = 16, 16
+EPS = 1e-9
+
 
 def _shingles(texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarray]]:
     words = [words_of(t) for t in texts]
@@ -50,7 +61,7 @@ def _shingles(texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarr
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         for a, b in slices([t or "" for t in texts]):
             words, shingles = _shingles(texts[a:b])
             copies = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
@@ -63,15 +74,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = signatures(len(signed), owner, np.concatenate([sets[i][0] for i in signed]), np.concatenate([sets[i][1] for i in signed]), BANDS * ROWS)
                 for i, row, sketch in zip(signed, bands(kept, ROWS).tolist(), two_bits(kept).tolist()):
                     found[i], sketches[i] = row, sketch
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "copy": pa.array(copies, pa.binary()), "bands": pa.array(found, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "hash": hashes.slice(a, b - a), "copy": pa.array(copies, pa.binary()), "bands": pa.array(found, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in slices([t or "" for t in texts]):
+        nodes, texts = batch.column(0), batch.column(1).to_pylist()
+        for a, b in slices(texts):
             _, shingles = _shingles(texts[a:b])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "shingles": pa.array([s.tobytes() for s in shingles], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": nodes.slice(a, b - a), "shingles": pa.array([s.tobytes() for s in shingles], pa.binary())})
 
 
 def _verify(threshold: float):
@@ -85,84 +96,146 @@ def _verify(threshold: float):
 
 
 def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold."""
-    left = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    """Those of the pairs (a, b) that reach the threshold. The pairs are a written table, so that each join
+    stands between plain exchanges and Spark can split the rows of a leader that very many meet."""
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def _counts(shingles: DataFrame) -> DataFrame:
-    """doc_id, m (distinct shingles), flat (none repeats), common (distinct shingles that another document
-    has too) and alone (the share of the weight on those that none has)."""
-    found = shingles.mapInArrow(_counted, "doc_id long, shingle long, n long")
-    once = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.first("doc_id").alias("doc_id"), F.sum("n").alias("n")).where("docs = 1")
-    once = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n"))
-    total = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    out = total.join(once, "doc_id", "left").fillna(0, ["own", "own_n"])
-    return out.select("doc_id", "m", (F.col("m") == F.col("n")).alias("flat"), (F.col("m") - F.col("own")).alias("common"), (F.col("own_n") / F.col("n")).alias("alone"))
+    """node, bits (a bitmap of its shingles), m (distinct shingles), flat (none repeats), common (distinct
+    shingles that another one has too) and alone (the share of the weight on those that none has)."""
+    found = shingles.mapInArrow(_counted, "node long, shingle long, n long")
+    once = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.first("node").alias("node"), F.sum("n").alias("n")).where("docs = 1")
+    once = once.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n"))
+    out = shingles.mapInArrow(_sized, "node long, m long, n long, bits array<long>").join(once, "node", "left").fillna(0, ["own", "own_n"])
+    return out.select("node", "bits", "m", (F.col("m") == F.col("n")).alias("flat"), (F.col("m") - F.col("own")).alias("common"), (F.col("own_n") / F.col("n")).alias("alone"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, n = np.unique(np.frombuffer(data, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": np.full(len(found), doc), "shingle": found, "n": n.astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"node": np.full(len(found), node), "shingle": found, "n": n.astype(np.int64)})
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        m, n, bits = [], [], []
+        for data in batch.column(1).to_pylist():
+            all_of = np.frombuffer(data, np.uint64)
+            set_bits = np.zeros(64 * WORDS, bool)
+            set_bits[(all_of >> np.uint64(20)) % np.uint64(64 * WORDS)] = True
+            m.append(len(np.unique(all_of)))
+            n.append(len(all_of))
+            bits.append(np.packbits(set_bits, bitorder="little").view(np.int64).tolist())
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "m": pa.array(m, pa.int64()), "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
 
 def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different components that share a bucket and may reach the threshold."""
-    names = ("doc_id", "root", "bands", "sketch", "m", "flat", "common", "alone")
+    low = threshold - EPS
+    mixed = mixed.where(F.col("alone") <= 1.0 - low)
+    names = ("node", "root", "sketch", "bits", "m", "flat", "common", "alone")
     minor = mixed.where("root <> main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in names])
     every = mixed.select("band", "value", "main", *[F.col(c).alias(f"y_{c}") for c in names])
     differ = [F.get("x_sketch", k).bitwiseXOR(F.get("y_sketch", k)) for k in range(4)]
     agree = BANDS * ROWS - F.bit_count(differ[0].bitwiseOR(differ[1])) - F.bit_count(differ[2].bitwiseOR(differ[3]))
 
-    def most(u: str, v: str):
+    def most(u: str, v: str) -> Column:
         """Upper bound of the similarity, both shares below one."""
         return 1.0 / (1.0 / (1.0 - F.col(u)) + F.col(v) / (1.0 - F.col(v)))
 
-    possible = (F.col("x_alone") < 1.0) & (F.col("y_alone") < 1.0) & (most("x_alone", "y_alone") >= threshold - 1e-9) & (most("y_alone", "x_alone") >= threshold - 1e-9)
-    shared = F.least("x_common", "y_common")
-    possible = possible & (~(F.col("x_flat") & F.col("y_flat")) | (shared >= (threshold - 1e-9) * (F.col("x_m") + F.col("y_m") - shared)))
-    first_band = F.array_position(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), True) == F.col("band") + 1
-    met = minor.join(every, ["band", "value"]).where((F.col("x_root") != F.col("y_root")) & (agree >= MIN_AGREE) & possible & ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & first_band)
-    return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    def lacking(x: str, y: str) -> Column:
+        """Set bits of x's bitmap that y's lacks."""
+        return sum((F.bit_count(F.get(f"{x}_bits", k).bitwiseAND(F.bitwise_not(F.get(f"{y}_bits", k)))) for k in range(WORDS)), F.lit(0))
 
+    def size_class(m: Column) -> Column:
+        return F.floor(F.log(m) * CLASSES)
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id and group_id of each document (doc_id, text)."""
+    differs = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+    ends = (F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    # both without repeats: by bucket and size class
+    shared = F.least("x_common", "y_common", F.col("x_m") - lacking("x", "y"), F.col("y_m") - lacking("y", "x"))
+    smallest, largest = low * F.col("x_m"), F.col("x_common") * (1.0 + 1.0 / low) - F.col("x_m")
+    flat = minor.where("x_flat").withColumns({"least": smallest, "most": largest}).where("most >= least")
+    flat = flat.withColumn("size", F.explode(F.sequence(size_class(F.col("least") - EPS), size_class(F.col("most") + EPS))))
+    plain = every.where("y_flat").withColumn("size", size_class(F.col("y_m")))
+    coarse = F.least("x_common", "y_common") >= low * (F.col("x_m") + F.col("y_m") - F.least("x_common", "y_common"))
+    met = flat.join(plain, ["band", "value", "size"]).where(differs & coarse & (agree >= MIN_AGREE) & (shared >= low * (F.col("x_m") + F.col("y_m") - shared))).select(*ends)
+    # one with repeats: by bucket and the shares alone
+    possible = ~(F.col("x_flat") & F.col("y_flat")) & (most("x_alone", "y_alone") >= low) & (most("y_alone", "x_alone") >= low)
+    other = minor.drop("x_bits").join(every.drop("y_bits"), ["band", "value"]).where(differs & possible & (agree >= MIN_AGREE)).select(*ends)
+    return met.unionByName(other).distinct()
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
+#: Orders rows: by doc_id, null last, then by the hash of the text, which also names the row.
+ROW = ("no_id", "doc_id", "hash")
+
+
+def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One row a document (doc_id, hash, copy), and one a class (copy, row, group): the class's first row by ROW
+    and the group's number. Documents without words have no copy and no class."""
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.keep(rows.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>, sketch array<long>"), "signed")
-    classes = signed.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = common.keep(classes, "classes")
-    entries = classes.where("bands IS NOT NULL").select(F.col("class_id").alias("doc_id"), F.posexplode("bands").alias("band", "value"))
-    # the leader: another member in each band, so that the members of a large bucket meet many
-    leader = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id"))["doc_id"].alias("leader")
-    shared = entries.groupBy("band", "value").agg(leader, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    entries = common.keep(entries.join(shared, ["band", "value"]), "entries")
-
-    members = entries.select("doc_id").distinct()
-    candidates = rows.join(members, "doc_id", "left_semi")
-    shingles = common.keep(candidates.mapInArrow(_shingle_rows, "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "shingles")
-    pairs = entries.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash"), "text")
+    signed = common.keep(rows.mapInArrow(_sign, "doc_id long, hash long, copy binary, bands array<long>, sketch array<long>"), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    classes = signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = common.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = classes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "value"))
+    sizes = common.keep(entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    entries = common.keep(entries.join(sizes, ["band", "value"]), "entries")
+    met = common.keep(entries.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    leaders = entries.join(met, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
+    pairs = entries.join(common.keep(leaders, "leaders"), ["band", "value"]).where("node <> leader")
+    pairs = common.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+
+    wanted = classes.join(met, "node", "left_semi").select(F.col("row.doc_id").alias("i"), F.col("row.hash").alias("h"), "node")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("node", "text")
+    shingles = texts.mapInArrow(_shingle_rows, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    shingles = common.keep(shingles, "shingles")
     first = common.keep(_links(pairs, shingles, threshold), "links")
+    roots = common.keep(components(first), "roots")
 
-    roots = components(first)
-    placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "value", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    placed = common.keep(placed, "placed")
-    sizes = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    mixed = common.keep(placed.join(mains, ["band", "value"]), "mixed")
-    counts = _counts(shingles.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
-    facts = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(counts, "doc_id")
-    mixed = common.keep(mixed.join(facts, "doc_id"), "mixed")
-    rest = _open_pairs(mixed, threshold).join(pairs, ["a", "b"], "left_anti")
-    roots = components(first.unionByName(_links(rest, shingles, threshold)))
-
-    known = classes.select("copy", "class_id").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("copy", "class_id", F.coalesce("root", "class_id").alias("group_id"))
+    placed = common.keep(entries.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root")), "placed")
+    by_root = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = by_root.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    mixed = common.keep(placed.join(common.keep(mains, "mains"), ["band", "value"]), "mixed")
+    facts = _counts(shingles.join(mixed.select("node").distinct(), "node", "left_semi")).join(classes.select("node", "sketch"), "node")
+    mixed = common.keep(mixed.join(common.keep(facts, "facts"), "node"), "mixed")
+    rest = common.keep(_open_pairs(mixed, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = merged(roots, _links(rest, shingles, threshold))
+    told = classes.select("copy", "row", "node").join(roots, "node", "left").select("copy", "row", F.coalesce("root", "node").alias("group"))
+    return signed.select("doc_id", "hash", "copy"), common.keep(told, "told")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id and group_id of each document (doc_id, text)."""
+    signed, classes = _grouped(docs, threshold)
+    ids = classes.groupBy("group").agg(F.min("row.doc_id").alias("group_id"))
+    known = common.keep(classes.join(ids, "group").select("copy", F.col("row.doc_id").alias("class_id"), "group_id"), "known")
     out = signed.select("doc_id", "copy").join(known, "copy", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"))
+    own = F.when(F.col("copy").isNull(), F.col("doc_id"))
+    return out.select("doc_id", F.coalesce("class_id", own).alias("class_id"), F.coalesce("group_id", own).alias("group_id"))
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that stay: of each group the first by doc_id (null last) and text
+    hash, and documents without words."""
+    _, classes = _grouped(docs, threshold)
+    first = common.keep(classes.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__i"), F.col("row.hash").alias("__h")), "firsts")
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash()})
+    kept = rows.join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).drop("__i", "__h")
+    # rows equal in id and text: one of them
+    kept = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("text"))).where("__k = 1")
+    wordless = docs.where(F.coalesce(~F.col("text").rlike(common.WORD), F.lit(True)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*names).unionByName(wordless)
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
