@@ -71,6 +71,7 @@ class GatedModel:
         the summed loss and returns that of the states."""
         p = self.p
         head = np.flatnonzero(ids < self.heads)
+        ids = ids.astype(np.int16)
         cls = np.where(ids < self.heads, ids // SIZE, ids - self.heads + self.head_classes)
         logit = h @ p["W"] + p["b"]
         logit -= logit.max(1, keepdims=True)
@@ -79,7 +80,7 @@ class GatedModel:
         rows = np.arange(len(ids))
         out = logit[rows, cls] - np.log(total)
         order = head[np.argsort(cls[head], kind="stable")]
-        c = cls[order]
+        c = cls[order].astype(np.int64)
         first = np.flatnonzero(np.diff(c, prepend=-1))
         word = ids[order] - c * SIZE
         inner = np.empty((len(order), SIZE), np.float32)
@@ -126,15 +127,15 @@ class GatedModel:
             dh = (dh * z + d_hu[t] @ ut + d_states[t]) * keep[t][:, None]
         grads["U"] = np.concatenate([s[0] for s in saved]).T @ d_hu.reshape(-1, 3 * HIDDEN)
         flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
         grads["E"] = (flat[order][first], np.add.reduceat(d_pre.reshape(-1, 3 * HIDDEN)[order], first))
         return grads, -float(logp.sum()), last
 
     def train(self, docs: list[np.ndarray], rate: float, lanes: int = 64, window: int = 16, memory: dict | None = None) -> dict:
         """One pass of truncated backpropagation through time with Adagrad; memory goes on between calls."""
         memory = memory if memory is not None else {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        for ids, valid, keep, h, put in windows(docs, lanes, window):
+        for ids, valid, keep, h, put, _ in windows(docs, lanes, window):
             n = max(1, int(valid.sum()))
             grads, _, last = self.gradients(ids, valid, keep, h)
             put(last)
@@ -148,12 +149,12 @@ class GatedModel:
                 self.p[k][rows] -= rate * g / np.sqrt(memory[k][rows])
         return memory
 
-    def score(self, docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], lanes: int = 512) -> np.ndarray:
         """Natural log probability of each document's tokens; the state goes from window to window."""
         out = np.zeros(len(docs))
         total, longest = sum(map(len, docs)), max(map(len, docs), default=1)
         lanes = int(min(lanes, max(8, total // max(longest, 1))))
-        for ids, valid, keep, h, put, owner in windows(docs, lanes, WINDOW, owners=True):
+        for ids, valid, keep, h, put, owner in windows(docs, lanes, WINDOW):
             states, last = self.forward(ids, keep, h)
             put(last)
             logp, _ = self.log_probs(states[valid], ids[valid])
@@ -161,9 +162,10 @@ class GatedModel:
         return out
 
 
-def windows(docs: list[np.ndarray], lanes: int, window: int, owners: bool = False) -> Iterator[tuple]:
+def windows(docs: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple]:
     """Deal documents to lanes, longest first to the emptiest lane, and go through all lanes a window at
-    a time; lanes that have ended drop out. Yields ids, valid, keep, state and a setter for the state."""
+    a time; lanes that have ended drop out. Yields ids, valid, keep, state, a setter for the state and the
+    documents."""
     lanes = max(1, min(lanes, len(docs)))
     heap, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for d in sorted(range(len(docs)), key=lambda d: (-len(docs[d]), d)):
@@ -171,30 +173,23 @@ def windows(docs: list[np.ndarray], lanes: int, window: int, owners: bool = Fals
         dealt[k].append(d)
         heapq.heappush(heap, (size + len(docs[d]), k))
     dealt = sorted((x for x in dealt if x), key=lambda x: -sum(len(docs[d]) for d in x))
-    sizes = [sum(len(docs[d]) for d in x) for x in dealt]
-    if not sizes or not sizes[0]:
+    sizes = np.array([sum(len(docs[d]) for d in x) for x in dealt], np.int64)
+    if not len(sizes) or not sizes[0]:
         return
-    tokens, starts, owner = [np.concatenate([docs[d] for d in x]) for x in dealt], [], []
-    for x in dealt:
+    # the lanes as columns of one table
+    ids, owner, first = np.zeros((sizes[0], len(dealt)), np.uint16), np.full((sizes[0], len(dealt)), -1, np.int32), np.ones((sizes[0], len(dealt)), np.float32)
+    for k, x in enumerate(dealt):
         n = [len(docs[d]) for d in x]
-        begin = np.zeros(sum(n), bool)
-        begin[np.cumsum([0, *n[:-1]])] = True
-        starts.append(begin)
-        owner.append(np.repeat(x, n))
+        ids[: sizes[k], k], owner[: sizes[k], k] = np.concatenate([docs[d] for d in x]), np.repeat(x, n)
+        starts = np.cumsum([0, *n[:-1]])
+        first[starts[starts < sizes[k]], k] = 0.0
     state = {"h": np.zeros((len(dealt), HIDDEN), np.float32)}
 
     def put(h: np.ndarray) -> None:
         state["h"] = h
 
-    for t in range(0, sizes[0], window):
-        active = sum(s > t for s in sizes)
-        steps = min(window, sizes[0] - t)
-        ids, valid, keep = np.zeros((steps, active), np.int64), np.zeros((steps, active), bool), np.ones((steps, active), np.float32)
-        own = np.zeros((steps, active), np.int64)
-        for k in range(active):
-            part = tokens[k][t : t + steps]
-            ids[: len(part), k], valid[: len(part), k] = part, True
-            keep[: len(part), k] = ~starts[k][t : t + steps]
-            if owners:
-                own[: len(part), k] = owner[k][t : t + steps]
-        yield (ids, valid, keep, state["h"][:active], put, *((own,) if owners else ()))
+    for t in range(0, int(sizes[0]), window):
+        active = int((sizes > t).sum())
+        part = slice(t, t + window)
+        own = owner[part, :active]
+        yield ids[part, :active], own >= 0, first[part, :active], state["h"][:active], put, own

@@ -6,17 +6,20 @@ other words, TAILS classes by a hash of their last two bytes are the model's voc
 class a word has probability (c + 1) / (n + v + 1), with c its count and n and v the tokens and the distinct
 words of the class, so that all words together, one unknown word a class included, have probability one.
 
-The network is trained in ROUNDS rounds by truncated backpropagation: the training documents are dealt over
-the rounds by a hash, so that each is learnt from once; in a round, every partition trains a copy on its
-documents of that round, and the copies are averaged, weighted by tokens. Scoring carries the state through a
-document from its first to its last token.
+Documents are encoded once, as two bytes a token, and written. The network is trained on every training
+token once, by truncated backpropagation in ROUNDS rounds: segments of documents are dealt over rounds and
+copies by hashes, each copy learns from about COPY_TOKENS tokens of its round, and the copies are averaged,
+weighted by tokens, FAN at a time. The number of copies depends on the number of training tokens alone, not
+on how the table is partitioned; the work of a copy does not grow with the table. Scoring carries the state
+through a document from its first to its last token.
 
 Counts reach the map side as a table of the TABLE most frequent tokens, a fixed bound; words that are not in
 it go through a join with all counts.
 
 Defined results: a null or empty text has the end token only; a null doc_id is not held out, so it is
-training data; repeated rows are documents of their own; without training documents all counts are 0; an
-empty table gives no row; very long texts are scored whole; other columns are ignored.
+training data; repeated rows are documents of their own; ties in the vocabulary go to the smaller word;
+without training documents all counts are 0; an empty table gives no row; very long texts are scored whole
+(and trained on in segments); other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,24 +29,27 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import common
 from barloom.llm.gated_model import TAILS, GatedModel
+from barloom.llm.pieces import slices
 
 FOLDS, HELD_OUT = 7, 2
 HEADS, TABLE = 1024, 200_000
-ROUNDS, RATE = 2, 0.1
+#: Training: rounds, tokens a copy and round, tokens of a segment, copies averaged at a time.
+ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 750_000, 16_384, 32, 0.2
+#: Lanes and window of a copy's first updates, how many tokens those see, and of the rest.
+FIRST, FIRST_TOKENS, THEN = (32, 16), 100_000, (256, 24)
 #: The end token's key: no word is empty.
 END = b""
-#: Tokens that are scored at a time, and that a copy is trained on at a time.
-SCORED_AT_ONCE, TRAINED_AT_ONCE = 2_400_000, 120_000
+#: Tokens that are scored at a time.
+SCORED_AT_ONCE = 2_400_000
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
@@ -102,19 +108,6 @@ def _index(vocabulary) -> tuple:
     return common.worker_state(("vocabulary", vocabulary.key), lambda: (vocabulary, *vocabulary.index()))
 
 
-def _look_up(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    """Positions in the table, the end token's last; -1 for words that are not in it."""
-    found = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-    return np.append(found, place[END])
-
-
-def _tokens(words: list[bytes], found: np.ndarray, tokens: np.ndarray, heads: int) -> np.ndarray:
-    out = tokens[found]
-    for i in np.flatnonzero(found < 0):
-        out[i] = heads + tail_class(words[i])
-    return out
-
-
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals of the counts (word, n), and their TABLE largest."""
     tail = (F.crc32(F.expr("substring(word, -2, 2)")) % F.lit(TAILS)).cast("int")
@@ -125,81 +118,130 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(pairs, sum(tail_n), sum(tail_v), tail_n, tail_v)
 
 
-def train(docs: DataFrame, shared, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters after ROUNDS rounds over training documents (doc_id, text)."""
-    spark, flat = docs.sparkSession, vocabulary.model().flat()
-    turn = F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(ROUNDS))
+def _encoder(shared):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, tokens, logs = _index(shared.value)
+        counted, tail_log = known.counts > 0, np.concatenate([np.zeros(known.heads), known.tail_log])
+        kept_logs = np.where(tokens >= known.heads, logs, 0.0)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in slices([t or "" for t in texts]):
+                flat: list[bytes] = []
+                ends = []
+                for t in texts[a:b]:
+                    flat += words_of(t)
+                    flat.append(END)
+                    ends.append(len(flat))
+                starts = np.array([0, *ends[:-1]])
+                found = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+                doc = tokens[found].astype(np.uint16)
+                lost = np.flatnonzero(found < 0)
+                doc[lost] = [known.heads + tail_class(flat[i]) for i in lost]
+                there = found >= 0
+                words: list[list[bytes]] = [[] for _ in ends]
+                times: list[list[int]] = [[] for _ in ends]
+                owner = np.searchsorted(ends, lost, "right")
+                cuts = np.flatnonzero(np.diff(owner, prepend=-1)) if len(lost) else np.empty(0, np.int64)
+                for x, y in zip(cuts, np.append(cuts[1:], len(lost))):
+                    missed = Counter(flat[i] for i in lost[x:y])
+                    words[owner[x]], times[owner[x]] = list(missed.keys()), list(missed.values())
+                # of tail words: the part of the table's counts, less the totals of the classes
+                told = {
+                    "n_tokens": np.diff(starts, append=len(flat)),
+                    "n_table": np.add.reduceat((counted[found] & there).astype(np.int64), starts),
+                    "log_table": np.add.reduceat(np.where(there, logs[found], 0.0), starts),
+                    "log_tail": np.add.reduceat(np.where(there, kept_logs[found], 0.0) - tail_log[doc], starts),
+                    "tokens": pa.array([doc[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary()),
+                    "words": pa.array(words, pa.list_(pa.binary())),
+                    "times": pa.array(times, pa.list_(pa.int64())),
+                }
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict({"key": part.column(0), "doc_id": part.column(1), "held_out": part.column(2), **told})
+
+    return encode
+
+
+ENCODED = "key long, doc_id long, held_out boolean, n_tokens long, n_table long, log_table double, log_tail double, tokens binary, words array<binary>, times array<long>"
+COPY = "copy long, n long, p binary"
+
+
+def _average(table: pa.Table) -> pa.Table:
+    rows = table.sort_by("copy")
+    n = rows.column("n").to_numpy()
+    total = np.zeros(len(rows.column("p")[0].as_py()) // 4)
+    for k, p in zip(n, rows.column("p")):
+        total += k * np.frombuffer(p.as_py(), np.float32)
+    return pa.table({"copy": pa.array([rows.column("copy")[0].as_py() // FAN], pa.int64()), "n": [int(n.sum())], "p": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int = COPY_TOKENS) -> np.ndarray:
+    """Parameters after ROUNDS rounds over training documents (doc_id, tokens of two bytes)."""
+    spark, flat = encoded.sparkSession, vocabulary.model().flat()
+    width = 2 * SEGMENT
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("tokens") - 1) / width).cast("int"))).alias("at")
+    rows = encoded.where(F.length("tokens") > 0).select("doc_id", "key", "tokens", at)
+    rows = rows.select("doc_id", "key", "at", F.substring("tokens", F.col("at") * width + 1, F.lit(width)).alias("tokens"))
+    # the key tells documents without an id apart; it is not used where there is one, as it depends on the layout
+    name = F.xxhash64(F.coalesce(F.col("doc_id"), F.col("key")), "at", "tokens")
+    copies = max(1, round(vocabulary.n / ROUNDS / copy_tokens))
+    rows = rows.select(name.alias("name"), F.pmod(F.xxhash64(name, F.lit("round")), F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(name, F.lit("copy")), F.lit(copies)).alias("copy"), "tokens")
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
 
-        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, place, tokens, _ = _index(shared.value)
-            model, memory, held, n, seen = known.model().load(start.value), None, [], 0, 0
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    words = words_of(text)
-                    held.append(_tokens(words, _look_up(words, place), tokens, known.heads))
-                    n += len(held[-1])
-                    if n >= TRAINED_AT_ONCE:
-                        memory, seen = model.train(held, RATE, memory=memory), seen + n
-                        held, n = [], 0
-            if n:
-                model.train(held, RATE, memory=memory)
-                seen += n
-            if seen:
-                part = TaskContext.get().partitionId() % 16
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([seen], pa.int64()), "p": pa.array([model.flat().tobytes()], pa.binary())})
-
-        def merge(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(n * np.frombuffer(p, np.float32).astype(np.float64) for n, p in zip(rows["n"], rows["p"]))
-            return pd.DataFrame({"n": [int(rows["n"].sum())], "p": [(total / rows["n"].sum()).astype(np.float32).tobytes()]})
-
-        mine = docs.where(turn == k).select("text")
-        copies = mine.mapInArrow(learn, "part int, n long, p binary").groupBy("part").applyInPandas(merge, "n long, p binary").collect()
-        if copies:
-            flat = (sum(c.n * np.frombuffer(c.p, np.float32).astype(np.float64) for c in copies) / sum(c.n for c in copies)).astype(np.float32)
+        def learn(table: pa.Table) -> pa.Table:
+            model = _index(shared.value)[0].model().load(start.value)
+            table = table.sort_by([("name", "ascending"), ("tokens", "ascending")])
+            docs = [np.frombuffer(t.as_py(), np.uint16) for t in table.column("tokens")]
+            sizes = np.cumsum([len(d) for d in docs])
+            first = int(np.searchsorted(sizes, FIRST_TOKENS, "right"))
+            memory = None
+            for part, (lanes, window) in ((docs[:first], FIRST), (docs[first:], THEN)):
+                if part:
+                    memory = model.train(part, RATE, lanes, window, memory)
+            return pa.table({"copy": pa.array([table.column("copy")[0].as_py()], pa.int64()), "n": [int(sizes[-1])], "p": pa.array([model.flat().tobytes()], pa.binary())})
+
+        merged = rows.where(F.col("round") == k).select("name", "copy", "tokens").groupBy("copy").applyInArrow(learn, COPY)
+        left = copies
+        while True:
+            merged = common.keep(merged, "copies")
+            if left <= FAN:
+                break
+            merged = merged.groupBy(F.floor(F.col("copy") / FAN)).applyInArrow(_average, COPY)
+            left = -(-left // FAN)
+        trained = merged.orderBy("copy").collect()  # FAN at most
+        if trained:
+            flat = (sum(c.n * np.frombuffer(c.p, np.float32).astype(np.float64) for c in trained) / sum(c.n for c in trained)).astype(np.float32)
     return flat
 
 
 def _scorer(shared, parameters):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place, tokens, logs = _index(shared.value)
-        model = known.model().load(parameters.value)
-        names = ("key", "doc_id", "held_out", "n_tokens", "n_table", "log_table", "log_tail", "words", "times")
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        held: list[tuple] = []
+        model = _index(shared.value)[0].model().load(parameters.value)
+        held: list[pa.RecordBatch] = []
         docs: list[np.ndarray] = []
+        n = 0
 
-        def out() -> pa.RecordBatch:
-            columns = {k: pa.array(v, t) for k, v, t in zip(names, zip(*held), kinds)}
-            columns["model"] = pa.array(model.score(docs) / math.log(10), pa.float64())
-            return pa.RecordBatch.from_pydict({k: columns[k] for k in ("key", "doc_id", "held_out", "n_tokens", "n_table", "log_table", "log_tail", "model", "words", "times")})
+        def out() -> Iterator[pa.RecordBatch]:
+            scores, at = model.score(docs) / math.log(10), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores[at : at + b.num_rows])], names=[*b.schema.names[:-1], "model"])
+                at += b.num_rows
 
-        n = 0
         for batch in batches:
-            for *told, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                found = _look_up(words, place)
-                doc = _tokens(words, found, tokens, known.heads)
-                there, tail = found[found >= 0], doc[doc >= known.heads] - known.heads
-                missed = Counter(words[i] for i in np.flatnonzero(found < 0))
-                # of tail words: the part of the table's counts, less the totals of the classes
-                log_tail = float(logs[there[there >= known.heads]].sum() - known.tail_log[tail].sum())
-                held.append((*told, len(found), int((known.counts[there] > 0).sum()), float(logs[there].sum()), log_tail, list(missed.keys()), list(missed.values())))
-                docs.append(doc.astype(np.int32))
-                n += len(doc)
-                if n >= SCORED_AT_ONCE:
-                    yield out()
-                    held.clear()
-                    docs.clear()
-                    n = 0
+            held.append(batch)
+            for t in batch.column(batch.num_columns - 1):
+                docs.append(np.frombuffer(t.as_py(), np.uint16))
+                n += len(docs[-1])
+            if n >= SCORED_AT_ONCE:
+                yield from out()
+                held, docs, n = [], [], 0
         if held:
-            yield out()
+            yield from out()
 
     return score
 
 
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_table long, log_table double, log_tail double, model double, words array<binary>, times array<long>"
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_table long, log_table double, log_tail double, model double"
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -208,17 +250,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = F.coalesce(common.crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    training = docs.where(~held_out)
-    counts = common.keep(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = common.keep(docs.where(~held_out).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     vocabulary = learn_vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocabulary)
-    parameters = spark.sparkContext.broadcast(train(training, shared, vocabulary))
-
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", held_out.alias("held_out"), "text")
-    scored = common.keep(keyed.mapInArrow(_scorer(shared, parameters), SCORED), "scored")
-    missed = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    encoded = common.keep(keyed.mapInArrow(_encoder(shared), ENCODED), "encoded")
+    parameters = spark.sparkContext.broadcast(train(encoded.where("NOT held_out"), shared, vocabulary))
+
+    names = [x.split()[0] for x in SCORED.split(", ")][:-1]
+    scored = encoded.select(*names, "tokens").mapInArrow(_scorer(shared, parameters), SCORED)
+    missed = encoded.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = missed.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("log_rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"))
-    rows = scored.drop("words", "times").join(rare, "key", "left")
+    rows = scored.join(rare, "key", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     total = math.log10(vocabulary.n + vocabulary.v + 1)
     return rows.select(
