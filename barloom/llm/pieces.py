@@ -21,9 +21,9 @@ HEAD = "\x01"
 CUT = re.compile(r"(?<=[^\s▁])([ \n])(?=[^\s▁])")
 #: Longer units are not cached beyond the texts at hand.
 LONGEST_CACHED = 48
-#: Lead, letters (below U+0250, where Python and the libraries agree on letters) and ASCII marks but the
-#: apostrophe, which may begin a token with the letters after it.
-PLAIN = re.compile(rf"([\n{HEAD}]?)((?:(?![\W\d_])[\u0041-\u024F])+)([!-&(-/:-@\[-`{{-~]{{0,8}})")
+#: Letters up to here are letters to Python and the libraries alike; ASCII marks but the apostrophe, which may
+#: begin a token with the letters after it.
+LAST_LETTER, MARKS = "\u024f", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that go through the model at a time.
 JOINED = 64
 #: Different runs of marks that are kept.
@@ -122,27 +122,52 @@ class ByteLevelIds:
     def _units(self, new: list[str]) -> list[bytes]:
         """Marks that end a word of plain letters are a pre-token of their own; word and marks are
         looked up apart, and so are a line feed and the word after it."""
-        cut = [PLAIN.fullmatch(u) for u in new] if self.together else [None] * len(new)
-        words = dict.fromkeys(m[2] for m in cut if m and not m[1])
-        todo = [w for w in words if w not in self.cache]
-        self.cache.update(zip(todo, self._after_space(todo)))
-        bare = {m[2] for m in cut if m and m[1]}
-        first = dict(zip(bare, self._without_space(list(bare))))
+        if not self.together:
+            return self._whole(new)
         if len(self.marks) > MOST_MARKS:
             self.marks = {k: v for k, v in self.marks.items() if k in ("", HEAD, "\n")}
-        rest = {m[3] for m in cut if m and m[3]} - self.marks.keys()
-        self.marks.update(zip(rest, self._encode(list(rest))))
-        other = [u for u, m in zip(new, cut) if not m]
-        whole = dict(zip(other, self._encode([u[1:] if u[:1] == HEAD else u if u[:1] == "\n" else " " + u for u in other])))
-        return [whole[u] if not m else self.marks[m[1]] + first[m[2]] + self.marks[m[3]] if m[1] else self.cache[m[2]] + self.marks[m[3]] for u, m in zip(new, cut)]
+        words, leads, marks, other, bare = [], [], [], [], set()
+        for u in new:
+            word = u.rstrip(MARKS)
+            lead = word[:1]
+            if lead == "\n" or lead == HEAD:
+                word = word[1:]
+            else:
+                lead = ""
+            if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
+                if lead:
+                    bare.add(word)
+                words.append(word)
+                leads.append(lead)
+                marks.append(u[len(lead) + len(word) :])
+            else:
+                words.append("")
+                leads.append("")
+                marks.append("")
+                other.append(u)
+        cache, known = self.cache, self.marks
+        todo = [w for w in {w for w, lead in zip(words, leads) if w and not lead} if w not in cache]
+        cache.update(zip(todo, self._after_space(todo)))
+        first = dict(zip(bare, self._without_space(list(bare))))
+        rest = set(marks) - known.keys()
+        known.update(zip(rest, self._encode(list(rest))))
+        whole = iter(self._whole(other))
+        return [known[lead] + first[w] + known[m] if lead else (cache[w] + known[m] if m else cache[w]) if w else next(whole) for w, lead, m in zip(words, leads, marks)]
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        return self._encode([u[1:] if u[:1] == HEAD else u if u[:1] == "\n" else " " + u for u in units])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return self._encode(texts)
         cut = [keys(t) for t in texts]
         self.cache.start()
-        self.cache.fill(set().union(*cut), self._units)
-        return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
+        got = [list(map(self.cache.get, c)) for c in cut]
+        open_docs = [i for i, g in enumerate(got) if None in g]
+        self.cache.fill({u for i in open_docs for u, x in zip(cut[i], got[i]) if x is None}, self._units)
+        for i in open_docs:
+            got[i] = map(self.cache.__getitem__, cut[i])
+        return list(map(b"".join, got))
 
 
 class PieceLengths:
