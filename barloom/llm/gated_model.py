@@ -153,7 +153,7 @@ class GatedModel:
         """Natural log probability of each document's tokens; the state goes from window to window."""
         out = np.zeros(len(docs))
         total, longest = sum(map(len, docs)), max(map(len, docs), default=1)
-        lanes = int(min(lanes, max(8, total // max(longest, 1))))
+        lanes = int(min(lanes, max(8, 4 * total // max(longest, 1))))
         for ids, valid, keep, h, put, owner in windows(docs, lanes, WINDOW):
             states, last = self.forward(ids, keep, h)
             put(last)

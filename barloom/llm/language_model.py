@@ -43,7 +43,7 @@ from barloom.llm.pieces import slices
 FOLDS, HELD_OUT = 7, 2
 HEADS, TABLE = 1024, 200_000
 #: Training: rounds, tokens a copy and round, tokens of a segment, copies averaged at a time.
-ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 750_000, 16_384, 32, 0.2
+ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 750_000, 2048, 32, 0.2
 #: Lanes and window of a copy's first updates, how many tokens those see, and of the rest.
 FIRST, FIRST_TOKENS, THEN = (32, 16), 100_000, (256, 24)
 #: The end token's key: no word is empty.
@@ -200,7 +200,9 @@ def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int =
                     memory = model.train(part, RATE, lanes, window, memory)
             return pa.table({"copy": pa.array([table.column("copy")[0].as_py()], pa.int64()), "n": [int(sizes[-1])], "p": pa.array([model.flat().tobytes()], pa.binary())})
 
-        merged = rows.where(F.col("round") == k).select("name", "copy", "tokens").groupBy("copy").applyInArrow(learn, COPY)
+        mine = rows.where(F.col("round") == k).select("name", "copy", "tokens")
+        # a task a copy: these few bytes are much work, so Spark must not merge partitions by size
+        merged = mine.repartition(min(copies, 10_000), "copy").groupBy("copy").applyInArrow(learn, COPY)
         left = copies
         while True:
             merged = common.keep(merged, "copies")
