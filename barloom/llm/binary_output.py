@@ -33,8 +33,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
         encoder = common.worker_state(("ids", tokenizer), lambda: pieces.ByteLevelIds(tokenizer))
         store, base = common.open_fs(folder)
         store.create_dir(base, recursive=True)
-        end = np.array([end_id], encoder.kind).tobytes()
-        width, part, seq = len(end), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         docs, lengths, chunks, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -42,7 +41,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             # a name of its own for each attempt: files of failed attempts are in no manifest
             name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.dac"
             with store.open_output_stream(f"{base}/{name}") as f:
-                f.write(build(docs, lengths, np.frombuffer(b"".join(chunks), encoder.kind), end_id))
+                f.write(build(docs, lengths, np.concatenate(chunks), end_id))
             row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)], "n_ids": [total]})
             docs, lengths, chunks, total, seq = [], [], [], 0, seq + 1
             return row
@@ -50,11 +49,16 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in pieces.slices(texts):
-                for doc, got in zip(ids[a:b], encoder.encode(texts[a:b])):
-                    docs.append(doc)
-                    chunks += (got, end)
-                    lengths.append(len(got) // width + 1)
-                    total += lengths[-1]
+                found, sizes = encoder.ids(texts[a:b], [end_id])
+                doc = at = 0
+                while doc < len(sizes):  # a file ends with the document that fills it
+                    upto = total + np.cumsum(sizes[doc:])
+                    n = min(int(np.searchsorted(upto, file_ids)) + 1, len(upto))
+                    size = int(upto[n - 1]) - total
+                    docs += ids[a + doc : a + doc + n]
+                    lengths += sizes[doc : doc + n].tolist()
+                    chunks.append(found[at : at + size])
+                    doc, at, total = doc + n, at + size, total + size
                     if total >= file_ids:
                         yield flush()
         if docs:

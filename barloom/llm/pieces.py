@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 
@@ -68,8 +69,63 @@ class UnitCache(dict):
         self.long += [u for u in new if len(u) > LONGEST_CACHED]
 
 
+class IdTable:
+    """Ids by unit, in one array. What is used stays: when full, the units become the old ones, from which
+    those that are met again come back before the next time drops the rest."""
+
+    def __init__(self, most: int, kind: str, most_ids: int = 8_000_000):
+        self.most, self.most_ids, self.kind = most, most_ids, kind
+        self.clear()
+        self.old = (self.place, self.flat, self.ends)
+
+    def clear(self) -> None:
+        self.place: dict = {}
+        self.flat, self.ends = np.empty(1 << 16, self.kind), np.zeros(1 << 16, np.int64)
+        self.n, self.size, self.long = 0, 0, []
+
+    def start(self) -> None:
+        for u in self.long:
+            self.place.pop(u, None)
+        self.long = []
+        if len(self.place) > self.most or self.size > self.most_ids:
+            self.old = (self.place, self.flat, self.ends)
+            self.clear()
+
+    def add(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Units with their ids, one after the other."""
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(units) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(units)] = self.size + np.cumsum(lengths)
+        self.place.update(zip(units, range(self.n, self.n + len(units))))
+        self.n, self.size = self.n + len(units), self.size + len(ids)
+        self.long += [u for u in units if u is not None and len(u) > LONGEST_CACHED]
+
+    @staticmethod
+    def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after the other, and their numbers."""
+        first, lengths = ends[index], ends[index + 1] - ends[index]
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
+        return flat[np.arange(total) + np.repeat(first - upto + lengths, lengths)], lengths
+
+    def recall(self, wanted: set) -> set:
+        """Take over wanted units that the old table has; the others."""
+        place, flat, ends = self.old
+        known = [u for u in wanted if u in place]
+        if known:
+            self.add(known, *self.gather(flat, ends, np.fromiter(map(place.__getitem__, known), np.int64, len(known))))
+        return wanted.difference(known)
+
+    def bytes_of(self, unit) -> bytes:
+        k = self.place[unit]
+        return self.flat[self.ends[k] : self.ends[k + 1]].tobytes()
+
+
 class ByteLevelIds:
-    """Ids of a `tokenizers` byte-level BPE as little-endian uint16 or uint32 bytes of each text."""
+    """Ids of a `tokenizers` byte-level BPE as little-endian uint16 or uint32."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -79,9 +135,10 @@ class ByteLevelIds:
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
-        self.tok, self.cache = Tokenizer.from_file(path), UnitCache(most)
+        self.tok = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
+        self.table = IdTable(most, self.kind)
         show = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {b: show(chr(b))[0][0] for b in range(128) if b != 10}  # how the model spells bytes
         self.letters |= {b: ch for c in range(0x80, 0x250) for b, ch in zip(chr(c).encode(), show(chr(c))[0][0])}
@@ -119,14 +176,17 @@ class ByteLevelIds:
         tokenize = self.tok.model.tokenize
         return [array(self.code, [t.id for t in tokenize(w)]).tobytes() for w in self._spelled(words)]
 
-    def _units(self, new: list[str]) -> list[bytes]:
-        """Marks that end a word of plain letters are a pre-token of their own; word and marks are
-        looked up apart, and so are a line feed and the word after it."""
+    def _learn(self, new: set) -> None:
+        """Put units into the table. Marks that end a word of plain letters are a pre-token of their own; word
+        and marks are looked up apart, and so are a line feed and the word after it."""
+        table = self.table
+        new = table.recall(new)
+        plain, marked, other = [], [], []
         if not self.together:
-            return self._whole(new)
+            other = list(new)
+            new = ()
         if len(self.marks) > MOST_MARKS:
             self.marks = {k: v for k, v in self.marks.items() if k in ("", HEAD, "\n")}
-        words, leads, marks, other, bare = [], [], [], [], set()
         for u in new:
             word = u.rstrip(MARKS)
             lead = word[:1]
@@ -135,39 +195,58 @@ class ByteLevelIds:
             else:
                 lead = ""
             if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
-                if lead:
-                    bare.add(word)
-                words.append(word)
-                leads.append(lead)
-                marks.append(u[len(lead) + len(word) :])
+                if lead or len(word) < len(u):
+                    marked.append((u, lead, word, u[len(lead) + len(word) :]))
+                else:
+                    plain.append(u)
             else:
-                words.append("")
-                leads.append("")
-                marks.append("")
                 other.append(u)
-        cache, known = self.cache, self.marks
-        todo = [w for w in {w for w, lead in zip(words, leads) if w and not lead} if w not in cache]
-        cache.update(zip(todo, self._after_space(todo)))
-        first = dict(zip(bare, self._without_space(list(bare))))
-        rest = set(marks) - known.keys()
-        known.update(zip(rest, self._encode(list(rest))))
-        whole = iter(self._whole(other))
-        return [known[lead] + first[w] + known[m] if lead else (cache[w] + known[m] if m else cache[w]) if w else next(whole) for w, lead, m in zip(words, leads, marks)]
+        todo = table.recall({w for _, lead, w, _ in marked if not lead and w not in table.place}.union(plain))
+        self._add(list(todo), self._after_space(list(todo)))
+        bare = list({w for _, lead, w, _ in marked if lead})
+        first = dict(zip(bare, self._without_space(bare)))
+        rest = list({m for *_, m in marked} - self.marks.keys())
+        self.marks.update(zip(rest, self._encode(rest)))
+        known, get = self.marks, table.bytes_of
+        self._add([u for u, *_ in marked], [known[lead] + first[w] + known[m] if lead else get(w) + known[m] for _, lead, w, m in marked])
+        self._add(other, self._whole(other))
+
+    def _add(self, units: list, data: list[bytes]) -> None:
+        width = np.dtype(self.kind).itemsize
+        self.table.add(units, np.frombuffer(b"".join(data), self.kind), np.fromiter(map(len, data), np.int64, len(data)) // width)
 
     def _whole(self, units: list[str]) -> list[bytes]:
         return self._encode([u[1:] if u[:1] == HEAD else u if u[:1] == "\n" else " " + u for u in units])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str], end: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with the end ids behind it, and their numbers."""
+        behind = np.array(end, self.kind)
         if not self.by_unit:
-            return self._encode(texts)
-        cut = [keys(t) for t in texts]
-        self.cache.start()
-        got = [list(map(self.cache.get, c)) for c in cut]
-        open_docs = [i for i, g in enumerate(got) if None in g]
-        self.cache.fill({u for i in open_docs for u, x in zip(cut[i], got[i]) if x is None}, self._units)
-        for i in open_docs:
-            got[i] = map(self.cache.__getitem__, cut[i])
-        return list(map(b"".join, got))
+            data = [d + behind.tobytes() for d in self._encode(texts)]
+            return np.frombuffer(b"".join(data), self.kind), np.array([len(d) for d in data], np.int64) // behind.itemsize
+        table = self.table
+        table.start()
+        units: list = []
+        starts = []
+        for t in texts:
+            starts.append(len(units))
+            units += keys(t)
+            units.append(None)  # stands for the end
+        if None not in table.place:
+            table.add([None], behind, np.array([len(behind)]))
+        index = np.fromiter(map(table.place.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            missed = [units[i] for i in missing]
+            self._learn(set(missed))
+            index[missing] = np.fromiter(map(table.place.__getitem__, missed), np.int64, len(missed))
+        ids, lengths = table.gather(table.flat, table.ends, index)
+        return ids, np.add.reduceat(lengths, starts) if starts else np.empty(0, np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, lengths = self.ids(texts)
+        at = np.cumsum([0, *lengths])
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 class PieceLengths:
