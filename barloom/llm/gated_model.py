@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN, SIZE, TAILS, WINDOW = 32, 32, 16, 32
+HIDDEN, SIZE, TAILS, WINDOW = 16, 32, 16, 16
 
 
 class GatedModel:
@@ -46,24 +46,25 @@ class GatedModel:
 
     def forward(self, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, saved: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States before each of the tokens (steps, lanes), and the last state. keep is 0 where a
-        document begins."""
+        document begins. Gates are clipped lines, 0.5 + x / 4 between 0 and 1."""
         u, n2 = self.p["U"], 2 * HIDDEN
         x = self.p["E"][ids]
-        states = np.empty((*ids.shape, HIDDEN), np.float32)
+        states = np.empty((*ids.shape, HIDDEN), x.dtype)
         for t in range(len(ids)):
-            h = h * keep[t][:, None]
-            states[t] = h
+            h = np.multiply(h, keep[t][:, None], out=states[t])
             hu = h @ u
-            g = x[t, :, :n2] + hu[:, :n2]
-            g *= 0.5
-            np.tanh(g, out=g)
-            g *= 0.5
+            g = hu[:, :n2] + x[t, :, :n2]
+            g *= 0.25
             g += 0.5
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-            n = np.tanh(x[t, :, n2:] + r * hu[:, n2:])
+            np.clip(g, 0.0, 1.0, out=g)
+            n = g[:, HIDDEN:] * hu[:, n2:]
+            n += x[t, :, n2:]
+            np.tanh(n, out=n)
             if saved is not None:
-                saved.append((h, z, r, n, hu[:, n2:]))
-            h = n + z * (h - n)
+                saved.append((h, g, n, hu))
+            h = h - n
+            h *= g[:, :HIDDEN]
+            h += n
         return states, h
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -113,19 +114,27 @@ class GatedModel:
         logp, d_out = self.log_probs(states[valid], ids[valid], grads)
         d_states = np.zeros_like(states)
         d_states[valid] = d_out
-        d_pre = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
+        d_pre = np.empty((*ids.shape, 3 * HIDDEN), states.dtype)
         d_hu = np.empty_like(d_pre)
-        dh, ut = np.zeros_like(h), self.p["U"].T
+        dh, ut, n2 = np.zeros_like(h), np.ascontiguousarray(self.p["U"].T), 2 * HIDDEN
         for t in reversed(range(len(ids))):
-            before, z, r, n, hn = saved[t]
-            dn = dh * (1.0 - z) * (1.0 - n * n)
-            d_pre[t, :, :HIDDEN] = dh * (before - n) * z * (1.0 - z)
-            d_pre[t, :, HIDDEN : 2 * HIDDEN] = dn * hn * r * (1.0 - r)
-            d_pre[t, :, 2 * HIDDEN :] = dn
-            d_hu[t] = d_pre[t]
-            d_hu[t, :, 2 * HIDDEN :] = dn * r
-            dh = (dh * z + d_hu[t] @ ut + d_states[t]) * keep[t][:, None]
-        grads["U"] = np.concatenate([s[0] for s in saved]).T @ d_hu.reshape(-1, 3 * HIDDEN)
+            before, g, n, hu = saved[t]
+            z, pre, back = g[:, :HIDDEN], d_pre[t], d_hu[t]
+            dn = n * n
+            np.subtract(1.0, dn, out=dn)
+            dn *= 1.0 - z
+            dn *= dh
+            np.multiply(dh, before - n, out=pre[:, :HIDDEN])
+            np.multiply(dn, hu[:, n2:], out=pre[:, HIDDEN:n2])
+            pre[:, :n2] *= np.where((g > 0.0) & (g < 1.0), states.dtype.type(0.25), states.dtype.type(0.0))
+            pre[:, n2:] = dn
+            back[:, :n2] = pre[:, :n2]
+            np.multiply(dn, g[:, HIDDEN:], out=back[:, n2:])
+            dh = dh * z
+            dh += back @ ut
+            dh += d_states[t]
+            dh *= keep[t][:, None]
+        grads["U"] = states.reshape(-1, HIDDEN).T @ d_hu.reshape(-1, 3 * HIDDEN)
         flat = ids.ravel()
         order = np.argsort(flat.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))

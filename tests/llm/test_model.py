@@ -101,7 +101,7 @@ def plain_score(model, tokens):
             inner = p["V"][cls] @ h + p["c"][cls]
             out += inner[t % SIZE] - math.log(np.exp(inner).sum())
         x, hu = p["E"][t], h @ p["U"]
-        z, r = (1 / (1 + np.exp(-(x[k : k + HIDDEN] + hu[k : k + HIDDEN]))) for k in (0, HIDDEN))
+        z, r = (np.clip(0.5 + (x[k : k + HIDDEN] + hu[k : k + HIDDEN]) / 4, 0, 1) for k in (0, HIDDEN))
         h = z * h + (1 - z) * np.tanh(x[2 * HIDDEN :] + r * hu[2 * HIDDEN :])
     return out
 
