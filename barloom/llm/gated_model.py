@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN, SIZE, TAILS, WINDOW = 16, 32, 16, 16
+HIDDEN, SIZE, TAILS, WINDOW = 16, 32, 16, 24
 
 
 class GatedModel:
@@ -44,27 +44,31 @@ class GatedModel:
             at += v.size
         return self
 
-    def forward(self, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, saved: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, saved: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States before each of the tokens (steps, lanes), and the last state. keep is 0 where a
         document begins. Gates are clipped lines, 0.5 + x / 4 between 0 and 1."""
-        u, n2 = self.p["U"], 2 * HIDDEN
-        x = self.p["E"][ids]
+        n2 = 2 * HIDDEN
+        x, u = self.p["E"][ids], self.p["U"].copy()
+        x[:, :, :n2] *= 0.25
+        x[:, :, :n2] += 0.5
+        u[:, :n2] *= 0.25
         states = np.empty((*ids.shape, HIDDEN), x.dtype)
+        hu, gates = (np.empty((*ids.shape, k), x.dtype) if saved is not None else [None] * len(ids) for k in (3 * HIDDEN, n2))
+        new = np.empty_like(states) if saved is not None else [None] * len(ids)
         for t in range(len(ids)):
             h = np.multiply(h, keep[t][:, None], out=states[t])
-            hu = h @ u
-            g = hu[:, :n2] + x[t, :, :n2]
-            g *= 0.25
-            g += 0.5
-            np.clip(g, 0.0, 1.0, out=g)
-            n = g[:, HIDDEN:] * hu[:, n2:]
+            y = np.matmul(h, u, out=hu[t])
+            g = np.add(y[:, :n2], x[t, :, :n2], out=gates[t])
+            np.maximum(g, 0.0, out=g)
+            np.minimum(g, 1.0, out=g)
+            n = np.multiply(g[:, HIDDEN:], y[:, n2:], out=new[t])
             n += x[t, :, n2:]
             np.tanh(n, out=n)
-            if saved is not None:
-                saved.append((h, g, n, hu))
             h = h - n
             h *= g[:, :HIDDEN]
             h += n
+        if saved is not None:
+            saved |= {"hu": hu, "gates": gates, "new": new}
         return states, h
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -108,33 +112,34 @@ class GatedModel:
 
     def gradients(self, ids: np.ndarray, valid: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
         """Gradients of the loss over one window, truncated at its start; the loss; the last state."""
-        saved: list = []
+        saved: dict = {}
         states, last = self.forward(ids, keep, h, saved)
         grads: dict = {}
         logp, d_out = self.log_probs(states[valid], ids[valid], grads)
         d_states = np.zeros_like(states)
         d_states[valid] = d_out
-        d_pre = np.empty((*ids.shape, 3 * HIDDEN), states.dtype)
-        d_hu = np.empty_like(d_pre)
-        dh, ut, n2 = np.zeros_like(h), np.ascontiguousarray(self.p["U"].T), 2 * HIDDEN
+        n2, kind = 2 * HIDDEN, states.dtype.type
+        gates, new = saved["gates"], saved["new"]
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        open_gates = ((gates > 0.0) & (gates < 1.0)) * kind(0.25)
+        to_new = (1.0 - new * new) * (1.0 - z)
+        to_z = (states - new) * open_gates[:, :, :HIDDEN]
+        to_r = saved["hu"][:, :, n2:] * open_gates[:, :, HIDDEN:]
+        d_new, d_hu = np.empty_like(states), np.empty((*ids.shape, 3 * HIDDEN), states.dtype)
+        dh, ut = np.zeros_like(h), np.ascontiguousarray(self.p["U"].T)
         for t in reversed(range(len(ids))):
-            before, g, n, hu = saved[t]
-            z, pre, back = g[:, :HIDDEN], d_pre[t], d_hu[t]
-            dn = n * n
-            np.subtract(1.0, dn, out=dn)
-            dn *= 1.0 - z
-            dn *= dh
-            np.multiply(dh, before - n, out=pre[:, :HIDDEN])
-            np.multiply(dn, hu[:, n2:], out=pre[:, HIDDEN:n2])
-            pre[:, :n2] *= np.where((g > 0.0) & (g < 1.0), states.dtype.type(0.25), states.dtype.type(0.0))
-            pre[:, n2:] = dn
-            back[:, :n2] = pre[:, :n2]
-            np.multiply(dn, g[:, HIDDEN:], out=back[:, n2:])
-            dh = dh * z
+            back = d_hu[t]
+            np.multiply(dh, to_z[t], out=back[:, :HIDDEN])
+            dn = np.multiply(dh, to_new[t], out=d_new[t])
+            np.multiply(dn, to_r[t], out=back[:, HIDDEN:n2])
+            np.multiply(dn, r[t], out=back[:, n2:])
+            dh = dh * z[t]
             dh += back @ ut
             dh += d_states[t]
             dh *= keep[t][:, None]
         grads["U"] = states.reshape(-1, HIDDEN).T @ d_hu.reshape(-1, 3 * HIDDEN)
+        d_pre = d_hu
+        d_pre[:, :, n2:] = d_new
         flat = ids.ravel()
         order = np.argsort(flat.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))

@@ -13,7 +13,7 @@ weighted by tokens, FAN at a time. The number of copies depends on the number of
 on how the table is partitioned; the work of a copy does not grow with the table. Scoring carries the state
 through a document from its first to its last token.
 
-Counts reach the map side as a table of the TABLE most frequent tokens, a fixed bound; words that are not in
+Counts reach the map side as a table of the most frequent tokens, TABLE at most; words that are not in
 it go through a join with all counts.
 
 Defined results: a null or empty text has the end token only; a null doc_id is not held out, so it is
@@ -41,7 +41,7 @@ from barloom.llm.gated_model import TAILS, GatedModel
 from barloom.llm.pieces import slices
 
 FOLDS, HELD_OUT = 7, 2
-HEADS, TABLE = 1024, 200_000
+HEADS, TABLE = 1024, 400_000
 #: Training: rounds, tokens a copy and round, tokens of a segment, copies averaged at a time.
 ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 750_000, 2048, 32, 0.2
 #: Lanes and window of a copy's first updates, how many tokens those see, and of the rest.
@@ -109,12 +109,20 @@ def _index(vocabulary) -> tuple:
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals of the counts (word, n), and their TABLE largest."""
+    """Totals of the counts (word, n), and the largest of them: all words above the count that leaves TABLE at
+    most, which a histogram of counts tells."""
     tail = (F.crc32(F.expr("substring(word, -2, 2)")) % F.lit(TAILS)).cast("int")
     totals = {r.k: r for r in counts.groupBy(tail.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tail_n, tail_v = ([int(totals[k][x]) if k in totals else 0 for k in range(TAILS)] for x in ("n", "v"))
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
-    pairs = list(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    sizes = counts.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("b")).collect()  # a row for a sixteenth of a doubling
+    held, least = 0, 1 << 62
+    for r in sizes:
+        held += r.words
+        if held > TABLE:
+            break
+        least = r.least
+    top = counts.where(F.col("n") >= least).toArrow()
+    pairs = sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     return Vocabulary(pairs, sum(tail_n), sum(tail_v), tail_n, tail_v)
 
 
