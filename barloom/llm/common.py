@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,10 +52,12 @@ def worker_state(key, make):
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI: spark.checkpoint.dir where it
-    is set; where it is not (tests), a temporary folder that this process sets."""
+    is set; where it is not, in local mode (tests), a temporary folder that this process sets."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", "") or (sc.getCheckpointDir() or "")
     if not found:
+        if not re.match(r"local(\[[^,]*(,\d+)?\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = sc.getCheckpointDir()
     return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"

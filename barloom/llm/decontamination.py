@@ -7,13 +7,15 @@ that it contains has a lower bound of about 0.2, however long the document is. A
 agree in any of HASHES minimum hashes are candidates (missed below 1e-5 of the time at that
 similarity); candidates are verified by exact containment of the item's shingles in the document.
 
-Documents are read once for each block of ITEM_BLOCK items and are not shuffled; a block of items is
-what is broadcast, so its size does not grow with the benchmark.
+Documents are read once for each block of items and are not shuffled; a block of different item texts
+(ITEM_BLOCK of them or BLOCK_BYTES, on average half of it) is what is broadcast, so its size does not grow
+with the benchmark. Items of equal text are searched once and joined back.
 
 Defined results: a row (doc_id, item_id, n_shared, n_item, containment) for each document that
 contains at least `threshold` of an item's distinct shingles. Null or empty texts and items of fewer
-than five words match nothing; repeated documents or items each match; an empty table on either side
-gives no row; other columns are ignored.
+than five words match nothing; repeated documents or items each match, null ids too; very long texts are
+searched whole, in windows; an empty table on either side gives no row; other columns, whatever their
+names, are ignored. without_items() drops the rows that contain an item, by row and not by doc_id.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from barloom.llm import common
 from barloom.llm.pieces import slices
 from barloom.llm.shingles import WordHashes, mixed, shingle_hashes, words_of
 
-WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, SEED = 5, 0.8, 64, 20_000, 77
-COLUMNS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, BLOCK_BYTES, SEED = 5, 0.8, 64, 20_000, 16_000_000, 77
+COLUMNS = "doc_id long, text_id long, n_shared long, n_item long, containment double"
 TABLE_BITS = 20
 
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -106,44 +108,80 @@ class ItemIndex:
         return found
 
 
+def _hits(index: ItemIndex, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(position of a text, id of an item's text, shared shingles, shingles of the item)."""
+    for a, b in slices([t or "" for t in texts]):
+        words = [words_of(t) for t in texts[a:b]]
+        docs = [shingle_hashes(h, WIDTH) for h in index.hashes.hash(words)]
+        for d, i in sorted(index.candidates(docs)):
+            if np.isin(index.sets[i], docs[d]).sum() >= threshold * len(index.sets[i]) - 1e-9:
+                mine, theirs = ({tuple(w[k : k + WIDTH]) for k in range(len(w) - WIDTH + 1)} for w in (index.words[i], words[d]))
+                shared = len(mine & theirs)
+                if shared >= threshold * len(mine) - 1e-9:
+                    yield a + d, index.ids[i], shared, len(mine)
+
+
 def _search(block: str, items, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = common.worker_state(("items", block), lambda: ItemIndex(items.value))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for a, b in slices([t or "" for t in texts]):
-                words = [words_of(t) for t in texts[a:b]]
-                docs = [shingle_hashes(h, WIDTH) for h in index.hashes.hash(words)]
-                for d, i in sorted(index.candidates(docs)):
-                    if np.isin(index.sets[i], docs[d]).sum() >= threshold * len(index.sets[i]) - 1e-9:
-                        mine, theirs = ({tuple(w[k : k + WIDTH]) for k in range(len(w) - WIDTH + 1)} for w in (index.words[i], words[d]))
-                        shared = len(mine & theirs)
-                        if shared >= threshold * len(mine) - 1e-9:
-                            rows.append((ids[a + d], index.ids[i], shared, len(mine), shared / len(mine)))
-            names, kinds = ["doc_id", "item_id", "n_shared", "n_item", "containment"], [pa.int64()] * 4 + [pa.float64()]
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[d], i, shared, size, shared / size) for d, i, shared, size in _hits(index, batch.column(1).to_pylist(), threshold)]
+            names, kinds = ["doc_id", "text_id", "n_shared", "n_item", "containment"], [pa.int64()] * 4 + [pa.float64()]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return search
 
 
+def _drop(block: str, items, threshold: float):
+    """The text is the last column, beside all that are returned."""
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = common.worker_state(("items", block), lambda: ItemIndex(items.value))
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[d for d, *_ in _hits(index, batch.column(batch.num_columns - 1).to_pylist(), threshold)]] = False
+            out = batch.filter(pa.array(clean))
+            yield pa.RecordBatch.from_arrays(out.columns[:-1], names=batch.schema.names[:-1])
+
+    return drop
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple[str, object]]:
+    """Broadcast blocks of item texts (text_id, text) under a name each."""
+    n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // (ITEM_BLOCK // 2)), -(-(size or 0) // (BLOCK_BYTES // 2)))  # by hash: a block of twice the mean is out of reach
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        yield uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([(r.text_id, r.text) for r in part])
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    """(text_id, text) of the different texts of items that have a shingle at all."""
+    texts = items.where(common.n_words(F.col("text")) >= WIDTH).select("text").distinct()
+    return common.keep(texts.withColumn("text_id", F.monotonically_increasing_id()), "item-texts")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of documents (doc_id, text) and the items (item_id, text) that they contain."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = items.count()
-    blocks = max(1, -(-n // (ITEM_BLOCK // 2)))  # hashed: a block of twice the mean is out of reach
+    common.ship(docs.sparkSession)
+    texts = _texts(items)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).limit(ITEM_BLOCK + 1).collect()
-        if len(part) > ITEM_BLOCK:
-            raise ValueError("items repeat too often; drop repeated items first")
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part])
-        found = rows.mapInArrow(_search(uuid.uuid4().hex, shared, threshold), COLUMNS)
-        out = found if out is None else out.unionByName(found)
+    found = None
+    for name, block in _blocks(texts):
+        part = rows.mapInArrow(_search(name, block, threshold), COLUMNS)
+        found = part if found is None else found.unionByName(part)
+    members = items.select(F.col("item_id").cast("long").alias("item_id"), "text").join(texts, "text").select("item_id", "text_id")
+    return found.join(members, "text_id").select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (text, ...) that contain none of the items (text). One pass over docs a block of items."""
+    common.ship(docs.sparkSession)
+    out, schema = docs, docs.schema
+    for name, block in _blocks(_texts(items)):
+        out = out.select("*", F.col("text").alias("__text")).mapInArrow(_drop(name, block, threshold), schema)
     return out
 
 

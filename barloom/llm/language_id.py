@@ -5,28 +5,32 @@ product of the first letter's vector rotated twice, the second's rotated once an
 document bundles (adds) its n-grams, a language the n-grams of its documents, each document with
 weight one. A document's language is the prototype of largest cosine.
 
-Prototypes are learnt from all labelled training rows: partitions hand in one vector a language,
-Spark adds them up, and languages x dimensions numbers are broadcast (at most MOST_LANGUAGES).
+Prototypes are learnt from all labelled training rows: partitions hand in one vector a language and Spark
+adds them up. LANGUAGES prototypes are broadcast at a time; where there are more, documents pass once more
+for each further block. Letters that make up at least RARE of some language's letters are its alphabet, and
+`known` is the share of a text's letters that are in one.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or where nothing was
 learnt; ties go to the smaller language; negative cosines count as 0; very long texts are bundled
-whole, in slices; repeated rows each get their row; an empty table gives no row; other columns are
-ignored.
+whole, in slices; repeated rows each get their row; an empty table gives no row; other columns are kept
+where they are asked for, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm import common
 from barloom.llm.pieces import slices
 
-DIMENSIONS, SEED, FOLDS, MOST_LANGUAGES = 1024, 20_011, 5, 1000
+DIMENSIONS, SEED, FOLDS, LANGUAGES, RARE = 1024, 20_011, 5, 2048, 1e-5
 #: Symbols that are bundled at a time.
 SEGMENT = 1_000_000
 
@@ -50,13 +54,16 @@ def symbols(text: str) -> np.ndarray:
     return codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
 
 
-def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vector of each text, and its number of n-grams (0 without letters)."""
+def bundles(texts: list[str | None], see: Callable[[int, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bundled vector of each text, and its number of n-grams (0 without letters); see is told each
+    text's symbols."""
     vectors, grams = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
     for a, b in slices([t or "" for t in texts], SEGMENT):
         owner, codes = [], []
         for i, t in enumerate(texts[a:b], a):
             c = symbols(t) if t else ()
+            if see and len(c):
+                see(i, c)
             for k in range(0, len(c) - 2, SEGMENT):
                 owner.append(i)
                 codes.append(c[k : k + SEGMENT + 2])
@@ -94,56 +101,108 @@ def _add(vectors: np.ndarray, grams: np.ndarray, owners: np.ndarray, pieces: lis
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.worker_state("letters", dict)  # lets go of another operator's caches
     sums: dict[str, np.ndarray] = {}
+    letters: dict[str, Counter[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        found = [letters[x] for x in sums]
+        columns = {"codes": pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))}
+        return pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "vector": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64())), **columns})
+
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices([t or "" for t in texts]):
-            vectors, n = bundles(texts[a:b])
+            codes: dict[str, list[np.ndarray]] = {}
+            vectors, n = bundles(texts[a:b], lambda i, c, a=a, codes=codes: codes.setdefault(langs[a + i], []).append(c))
             for lang in sorted(set(langs[a:b])):
                 rows = [i for i, x in enumerate(langs[a:b]) if x == lang and n[i]]
                 if rows:
                     sums[lang] = sums.get(lang, 0.0) + (vectors[rows] / n[rows, None]).sum(axis=0, dtype=np.float64)
-    yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "vector": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
-
-
-def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from all rows (text, lang)."""
+                    counts = np.bincount(np.concatenate(codes[lang]))
+                    there = np.flatnonzero(counts)
+                    letters.setdefault(lang, Counter()).update(dict(zip(there.tolist(), counts[there].tolist())))
+        if len(sums) > LANGUAGES:
+            yield out()
+            sums.clear()
+            letters.clear()
+    if sums:
+        yield out()
+
+
+def learn_prototypes(labelled: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Prototypes (lang, v: pos and x in order) and the code points of all alphabets, from all rows (text, lang)."""
     common.ship(labelled.sparkSession)
-    parts = labelled.where("lang IS NOT NULL").select("text", "lang").mapInArrow(_learn, "lang string, vector array<double>")
+    parts = labelled.where("lang IS NOT NULL").select("text", "lang").mapInArrow(_learn, "lang string, vector array<double>, codes array<int>, n array<long>")
+    parts = common.keep(parts, "language-sums")
     summed = parts.select("lang", F.posexplode("vector")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
-    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    vectors = np.array([[e.x for e in r.v] for r in rows]).reshape(len(rows), DIMENSIONS)
-    return [r.lang for r in rows], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-
-
-def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score; learns from `labelled` (text, lang)."""
-    common.ship(docs.sparkSession)
-    langs, prototypes = learn_prototypes(labelled)
-    model = docs.sparkSession.sparkContext.broadcast((langs, prototypes.astype(np.float32)))
-    rows = docs.select(*keep, *(() if "text" in keep else (F.col("text").alias("__text"),)))
-    at = keep.index("text") if "text" in keep else len(keep)
+    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    letters = parts.select("lang", F.explode(F.arrays_zip("codes", "n")).alias("e")).where("e.codes <> 0").groupBy("lang", F.col("e.codes").alias("code")).agg(F.sum("e.n").alias("n"))
+    total = letters.groupBy("lang").agg(F.sum("n").alias("total"))
+    used = letters.join(total, "lang").where(F.col("n") >= RARE * F.col("total")).select("code").distinct()  # code points: bounded
+    return common.keep(rows, "prototypes"), np.array([r.code for r in used.collect()], np.int64)
+
+
+def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """The columns `keep` of docs (text, ...) but those called like a result, and, under `names`, the language, its cosine and the share of the
+    text's letters that are known; learns from `labelled` (text, lang)."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    keep = [c for c in keep if c not in names]
+    prototypes, codes = learn_prototypes(labelled)
+    n = prototypes.count()
+    blocks = max(1, -(-n // LANGUAGES))
+    alphabet = spark.sparkContext.broadcast(codes)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    kinds = rows.schema.fields[:-1]
+    told = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())]
+    for k in range(blocks):
+        part = prototypes.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).orderBy("lang").collect()
+        vectors = np.array([[e.x for e in r.v] for r in part]).reshape(len(part), DIMENSIONS)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+        model = spark.sparkContext.broadcast(([r.lang for r in part], vectors.astype(np.float32)))
+        last = k + 1 == blocks
+        schema = T.StructType([*kinds, *told, *([] if last else [T.StructField("__text", T.StringType())])])
+        rows = rows.mapInArrow(_predict(model, alphabet, len(kinds), k > 0, last, schema.names), schema)
+    return rows
+
+
+def _predict(model, alphabet, width: int, again: bool, last: bool, out: list[str]):
+    """The first `width` columns, the prediction and, unless last, the text, which is the last column that comes
+    in. Where languages come in blocks, later passes find the prediction so far before the text."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make() -> np.ndarray:
+            there = np.zeros(0x110000, bool)
+            there[alphabet.value] = True
+            return there
+
         common.worker_state("letters", dict)
         names, wanted = model.value
+        learnt = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices([t or "" for t in texts]):
-                vectors, n = bundles(texts[a:b])
-                pred, score = np.full(b - a, "und", object), np.zeros(b - a)
+                known = np.zeros(b - a)
+
+                def see(i: int, c: np.ndarray, known=known) -> None:
+                    letters = int(np.count_nonzero(c))
+                    known[i] = learnt[c].sum() / letters if letters else 0.0
+
+                vectors, n = bundles(texts[a:b], see)
+                part = batch.slice(a, b - a)
+                if again:
+                    pred, score = np.array(part.column(width).to_pylist(), object), part.column(width + 1).to_numpy(zero_copy_only=False).copy()
+                else:
+                    pred, score = np.full(b - a, "und", object), np.zeros(b - a)
                 if names:
                     cos = vectors @ wanted.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
                     best = cos.argmax(axis=1)
-                    known = n > 0
-                    pred[known] = np.array(names, object)[best[known]]
-                    score[known] = np.clip(cos[np.arange(b - a), best], 0, 1)[known]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                    found, cosine = np.array(names, object)[best], np.clip(cos[np.arange(b - a), best], 0, 1).astype(np.float64)
+                    better = (n > 0) & ((pred == "und") | (cosine > score) | ((cosine == score) & (found < pred)))
+                    pred[better], score[better] = found[better], cosine[better]
+                columns = [*part.columns[:width], pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns if last else [*columns, part.column(part.num_columns - 1)], names=out)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return predict
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

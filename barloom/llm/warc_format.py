@@ -13,6 +13,10 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(re.escape(GZIP) + b"|" + re.escape(VERSION))
 
 
+#: A member that inflates to more is quarantined: it would not fit a row.
+MOST_INFLATED = (1 << 31) - 1
+
+
 class Found(NamedTuple):
     """A record (reason is null) or a quarantined gap. Offsets and lengths are bytes of the archive;
     of records that share a gzip member, the member's."""
@@ -64,12 +68,15 @@ def _parse(data, at: int) -> tuple[int, dict[str, str], bytes]:
 
 def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
     """(end, what it holds, what fails) of the gzip member at a position."""
-    view, inflate, out, pos = memoryview(data), zlib.decompressobj(wbits=31), [], at
+    view, inflate, out, pos, size = memoryview(data), zlib.decompressobj(wbits=31), [], at, 0
     try:
         while pos < len(data) and not inflate.eof:
             part = view[pos : pos + 65536]
             out.append(inflate.decompress(part))
             pos += len(part) - len(inflate.unused_data)
+            size += len(out[-1])
+            if size > MOST_INFLATED:
+                return pos, b"".join(out), "gzip member inflates beyond a row"
     except zlib.error as e:
         return pos, b"".join(out), f"gzip: {e}"
     return pos, b"".join(out), None if inflate.eof else "gzip member is cut off"
@@ -78,8 +85,11 @@ def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
 def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive, plain or of gzip members, in order. Where a check fails, the next
     member or version line that starts a valid record is searched, and the bytes passed over come
-    out as one gap. Records that a damaged member still yields whole come before its gap."""
+    out as one gap. Records that a damaged member still yields whole come before its gap; where its bytes
+    also hold them as they are (stored blocks), they are not found again."""
     at, bad, why = 0, None, ""
+    seen: list[tuple] = []  # of the damaged members that reach furthest
+    until = 0
     while at < len(data):
         found: list[Found] = []
         end, reason = at, None
@@ -88,8 +98,11 @@ def salvage(data: bytes) -> Iterator[Found]:
             parts = list(salvage(inner)) if inner[:7] == VERSION else []
             if reason:
                 found = [Found(at, end - at, None, p.headers, p.block) for p in parts if p.reason is None]
-                for f in found:
-                    yield f
+                yield from found
+                if at >= until:
+                    seen = []
+                seen += [(f.headers, f.block) for f in found]
+                until = max(until, end)
             elif parts:
                 found = [p._replace(offset=at, length=end - at) for p in parts]
             else:
@@ -97,6 +110,9 @@ def salvage(data: bytes) -> Iterator[Found]:
         else:
             try:
                 end, headers, block = _parse(data, at)
+                if at < until and (headers, block) in seen:
+                    at = end
+                    continue
                 found = [Found(at, end - at, None, headers, block)]
             except ValueError as e:
                 reason = str(e)

@@ -4,47 +4,48 @@ source mix -> token ids in binary files.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages docs is written as
 Parquet and read again. All but the last return the columns of documents.
 
-Defined results: null doc_ids stay through all stages (they are never duplicates of one another, nor
-contaminated); rows with equal doc_id count as one document for deduplication, the smallest text
-stays; the mix writes a document as many times as it takes it, and each copy is encoded.
+Defined results: every stage decides by rows, not by doc_id, so that null and repeated doc_ids are documents
+like others; the mix writes a document as many times as it takes it, and each copy is encoded.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import common
 from barloom.llm.binary_output import read_ids, write_ids
-from barloom.llm.decontamination import contaminated
+from barloom.llm.decontamination import without_items
 from barloom.llm.language_id import FOLDS, identify
 from barloom.llm.mixing import mixed
-from barloom.llm.near_dedup import near_duplicates
+from barloom.llm.near_dedup import without_near_duplicates
 
-#: Documents below this cosine with every language are rejected, like those without letters.
-MIN_SCORE = 0.02
+#: Documents below this cosine with every language are rejected, like those without letters; and those of
+#: which less than half of the letters belong to a language that was learnt.
+MIN_SCORE, MIN_KNOWN = 0.02, 0.5
+
+
+def _quoted(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters (null and empty texts too) or like no language."""
+    """Rejects documents without letters (null and empty texts too), in letters that no labelled document of
+    any language has, or like no language."""
     labelled = docs.where(F.coalesce(common.crc_bucket(F.col("doc_id"), FOLDS) != 0, F.lit(True)))
-    told = identify(docs, labelled, docs.columns)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    told = identify(docs, labelled, docs.columns, ("__lang_pred", "__score", "__known"))
+    return told.where(f"__lang_pred <> 'und' AND __score >= {MIN_SCORE} AND __known >= {MIN_KNOWN}").select(*_quoted(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group."""
-    kept = near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("__k", one).where("__k = 1")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one document of each group: that of the smallest doc_id (null last), then text hash."""
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
-    hits = common.keep(contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return without_items(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from barloom.llm.decontamination import OP9_SQL, contaminated, op9_minhash_containment
+from barloom.llm.decontamination import OP9_SQL, contaminated, op9_minhash_containment, without_items
 
 from .common_frames import documents, empty
 
@@ -51,3 +51,18 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1, r.item_id or -1) for r in contaminated(docs, items).collect()))
     assert got == sorted([(6, 4)] * 2 + [(7, 4)] * 4 + [(10, 4)] * 2 + [(-1, -1)])
     assert contaminated(empty(spark), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
+    kept = without_items(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 8, 9, 11]
+    assert without_items(docs, items.limit(0)).count() == docs.count() and without_items(empty(spark), items).count() == 0
+
+
+def test_items_that_repeat_and_blocks(spark, monkeypatch):
+    import barloom.llm.decontamination as m
+
+    monkeypatch.setattr(m, "ITEM_BLOCK", 4)
+    text = "nobody was amused by all of this today"
+    items = spark.range(3000).selectExpr("id AS item_id", f"CASE WHEN id < 2990 THEN '{text}' ELSE concat('{text} ', id) END AS text")
+    docs = spark.createDataFrame([(1, f"they say {text} again"), (2, "something else was said by them all"), (None, text + " 2999")], "doc_id long, text string")
+    got = contaminated(docs, items)
+    assert got.where("doc_id = 1").count() == 3000 and got.where("doc_id IS NULL").count() == 3000 and got.count() == 6000  # 4 of 5 shingles are enough
+    assert [r.doc_id for r in without_items(docs, items).collect()] == [2]

@@ -64,6 +64,16 @@ def test_garbage_truncation_and_whole_file_gzip():
     assert list(salvage(b"")) == []
 
 
+def test_records_in_stored_blocks_of_a_damaged_member_come_once():
+    recs = archive(True)
+    squeeze = zlib.compressobj(0, wbits=31)  # stored, so that the records also lie in the archive as they are
+    member = bytearray(squeeze.compress(recs[0] + recs[1]) + squeeze.flush())
+    member[-5] ^= 1  # the trailer
+    got = [page_of(f) for f in salvage(bytes(member) + recs[2]) if f.reason is None]
+    assert got == [0, 1, 2]
+    assert [page_of(f) for f in salvage(bytes(member) + bytes(member)) if f.reason is None] == [0, 1, 0, 1]
+
+
 def test_missing_mandatory_header_is_a_gap():
     data = zlib.decompress(record({"WARC-Type": "resource"}, b"x"), 31)
     assert [f.reason for f in salvage(data)] == ["a mandatory header is missing"]
