@@ -22,6 +22,21 @@ class Quantiser:
     def __init__(self, dims: int, books: np.ndarray, eta: float):
         self.dims, self.books, self.eta = dims, books, eta
 
+    @staticmethod
+    def width() -> int:
+        return WIDTH
+
+    @staticmethod
+    def pack(codes: np.ndarray) -> np.ndarray:
+        """(n, subspaces) codes below 16 -> bytes of two codes each."""
+        even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
+        return even[:, 0::2] | even[:, 1::2] << 4
+
+    def unpack(self, packed: np.ndarray) -> np.ndarray:
+        out = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
+        out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
+        return out[:, : self.books.shape[0]]
+
     @staticmethod
     def split(x: np.ndarray) -> np.ndarray:
         """(n, dims) -> (n, subspaces, WIDTH), padded with zeros."""

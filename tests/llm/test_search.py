@@ -31,6 +31,29 @@ def test_recall_and_exact_scores(spark):
     assert all(abs(exact[q, v] - s) < 1e-12 for q in got for v, s in got[q] if (q, v) in exact)
 
 
+def test_a_vector_that_very_many_share(spark):
+    rng = np.random.default_rng(5)
+    common = rng.standard_normal(6).tolist()
+    rows = [(k, common if k % 3 else rng.standard_normal(6).tolist()) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    ids, x = np.arange(900), np.array([v for _, v in rows])
+    got = {}
+    for r in sorted(nearest(df, F.col("vec_id") % 100 == 0, rerank=40, rows_at_once=200).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(ids, x, [k for k in range(900) if k % 100 == 0])
+    for q in want:
+        if q % 3:
+            assert got[q] == [v for v, _ in want[q]]
+        else:
+            assert len(set(got[q]) & {v for v, _ in want[q]}) >= 8
+
+
+def test_packed_codes():
+    codes = np.random.default_rng(1).integers(0, 16, (50, 7))
+    m = Quantiser(14, np.zeros((7, 16, 2)), 1.0)
+    assert m.pack(codes).shape == (50, 4) and (m.unpack(m.pack(codes)) == codes).all()
+
+
 def test_parallel_error_is_smaller_than_plain():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((4000, 16))
@@ -56,7 +79,7 @@ def test_odd_rows(spark):
     rows += [(0, rows[3][1]), (200, rows[3][1]), (200, rows[3][1]), (100, None), (300, []), (400, [0.0] * 5), (500, [float("nan")] + [1.0] * 4), (600, [None] + [1.0] * 4), (700, [1.0, 2.0]), (None, [1.0] * 5), (800, [float("inf")] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumns({"b": F.lit("x"), "score": F.lit(1)})
     got = {}
-    for r in sorted(nearest(df, F.col("vec_id") % 100 == 0, block=8).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(nearest(df, F.col("vec_id") % 100 == 0, rows_at_once=8, query_block=1).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     good = {k: v for k, v in rows if k is not None and v and len(v) == 5 and None not in v and np.isfinite(v).all() and any(v)}
     ids, x = np.array(list(good)), np.array(list(good.values()))
