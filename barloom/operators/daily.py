@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip01, col, div, floor0, lag, last_n, pct_rank, prior_n, rolling, series, strict_max, weighted, yes, zero
+from barloom.functions.ranks import pct_ranks
 
 
 def sma(c: str | Column, n: int, least: int | None = None) -> Column:
@@ -76,12 +77,15 @@ def anchored_vwap(daily: DataFrame, n: int = 63) -> DataFrame:
 
 
 def rs_blend() -> Column:
-    """Relative strength of one symbol: missing returns count as 0."""
-    return weighted((0.4, zero(F.col("roc63"))), (0.2, zero(F.col("roc126"))), (0.2, zero(F.col("roc252"))), (0.2, zero(F.col("roc21"))))
+    """Relative strength of one symbol in percent, the shortest return first; missing returns count as 0."""
+    return weighted(*((100.0 * w, zero(F.col(f"roc{n}"))) for w, n in ((0.4, 21), (0.2, 63), (0.2, 126), (0.2, 252))))
 
 
 def daily_feature_history(daily: DataFrame, universe: DataFrame) -> DataFrame:
-    """End-of-day features, group means, and each of them as of the previous session."""
+    """End-of-day features of adjusted closes (adj_close where there is one), group means, and each of them
+    as of the previous session."""
+    if "adj_close" in daily.columns:
+        daily = daily.withColumn("close", F.coalesce("adj_close", "close"))
     out = base_features(daily)
     out = out.withColumn("money_flow", money_flow_pressure())
     out = anchored_vwap(out).withColumn("rs_score", rs_blend())
@@ -123,10 +127,11 @@ def regime(fast: str = "sma10", slow: str = "sma20") -> Column:
 def hold_score(daily: DataFrame) -> DataFrame:
     """Score for holding on: trend, surf, shallow pullback, slope, quiet days, no distribution."""
     out = base_features(daily)
-    out = out.withColumns({"s10": surf(("sma10", 5, 0.80), 1.00, 0.985, 1.0), "s21": surf(("sma21", 8, 0.75), 1.20, 0.98, 1.5), "h10": rolling(F.max, "high", last_n(10), 1)})
+    out = out.withColumns({"s10": surf(("sma10", 5, 0.80), 1.00, 0.985, 1.0), "s21": surf(("sma21", 8, 0.75), 1.20, 0.98, 1.5), "h10": rolling(F.max, "high", last_n(10), 10)})
     position = div(F.col("close") - F.col("low"), F.col("high") - F.col("low"))
-    depth = clip01(1.0 - div(F.col("h10") - F.col("close"), "h10") / 0.10)
-    slope = weighted((0.6, zero(clip01((div("sma10", lag("sma10", 3)) - 1.0) / 0.03))), (0.4, zero(clip01((div("sma21", lag("sma21", 5)) - 1.0) / 0.05))))
+    depth = clip01(1.0 - floor0(div(F.col("h10") - F.col("close"), "h10")) / 0.10)
+    # a slope that is missing leaves nothing of both
+    slope = zero(weighted((0.6, clip01((div("sma10", lag("sma10", 3)) - 1.0) / 0.03)), (0.4, clip01((div("sma21", lag("sma21", 5)) - 1.0) / 0.05))))
     quiet = yes((F.col("range_pct") < F.col("range_median10")) & (F.col("volume") < F.col("vol20")) & (F.col("close") <= F.col("prev_close")))
     dumped = yes((F.col("close") < F.col("prev_close")) & (F.col("volume") > 1.2 * F.col("vol20")) & (position < 0.35) & (F.col("range_pct") > 1.05 * F.col("range_median10")))
     points = {
@@ -178,12 +183,8 @@ def legacy_watchlist(df: DataFrame, weights: dict[str, float], n: int) -> DataFr
 
 
 def global_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Percent rank over all rows: distinct values are counted first, so that only they are ordered."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.orderBy(value)
-    ranks = counts.withColumns({"__r": F.sum("__n").over(upto) - F.col("__n") + 1, "__all": F.sum("__n").over(Window.partitionBy())})
-    rank = (F.col("__r") + (F.col("__n") - 1) / 2.0) / F.col("__all")
-    return df.join(ranks.select(value, rank.alias(out)), value, "left")
+    """Percent rank over all rows, NULL for NULL."""
+    return df.join(pct_ranks(df, value, out), value, "left")
 
 
 def forward_outcomes(events: DataFrame, daily: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), strong: float = 0.05) -> DataFrame:

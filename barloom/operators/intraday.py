@@ -82,13 +82,16 @@ def intraday_feature_panel(bars: DataFrame, daily_prev: DataFrame, low: int = 5,
     return out.withColumns({"dist_prev_high": div("close", "prev_high") - 1.0, "rs_x_rvol": F.col("rs_score_prev") * F.col("cum_vol_ratio"), "range_to_atr": div(div(F.col("high") - F.col("low"), "close"), "atr_pct_prev")})
 
 
-def exec_cost_labels(panel: DataFrame, slip: float = 0.0005, spread: float = 0.0004, commission: float = 0.0002) -> DataFrame:
-    """Net return from the next open to the session's close after costs that grow with the bar's range."""
-    stress = F.greatest(F.lit(0.0), F.least(F.lit(0.01), 0.0005 + 0.25 * F.abs(div(F.col("high") - F.col("low"), "close"))))
-    cost = slip + spread / 2.0 + stress
+def exec_cost_labels(panel: DataFrame, slip: float = 0.0005, spread: float = 0.0005, commission: float = 0.002, floor: float = 0.0010, cap: float = 0.0040) -> DataFrame:
+    """Net return from the next open to the session's close after costs on either side; the entry also
+    pays a penalty between floor and cap that grows with how far the session still goes."""
+    side = slip + spread / 2.0
     rows = panel.where("next_open IS NOT NULL AND session_close IS NOT NULL")
-    net = div(F.col("session_close") * (1.0 - cost), F.col("next_open") * (1.0 + cost)) - 1.0 - 2.0 * commission
-    return rows.withColumns({"net_return": net, "label": (net > 0).cast("int")})
+    reach = zero(div(F.abs(F.col("session_close") - F.col("next_open")), "next_open"))
+    penalty = F.greatest(F.lit(floor), F.least(F.lit(cap), 0.0005 + 0.25 * reach))
+    entry, out = F.col("next_open") * (1.0 + side + penalty), F.col("session_close") * (1.0 - side)
+    net = div(out * (1.0 - commission), entry * (1.0 + commission)) - 1.0
+    return rows.withColumns({"net_return": net, "label": yes(net > 0).cast("int")})
 
 
 def _volume_points() -> Column:

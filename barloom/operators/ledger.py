@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,21 +77,46 @@ def open_trade_count(fills: DataFrame) -> DataFrame:
     return by.agg(F.count_if(F.col("b") > F.col("s")).alias("open_trades"))
 
 
-def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float = 0.20, peak_at: float = 3.0, horizon_days: int = 400) -> DataFrame:
-    """First exit of each signal (id, symbol, date, entry, stop, pivot), independently of all others.
+def _exit_bars(daily: DataFrame) -> DataFrame:
+    """Daily bars with what exits look at, and the next days on which the averages give way."""
+    c = F.col
+    later = series().rowsBetween(1, Window.unboundedFollowing)
+    avg = lambda n: F.when(F.count("close").over(series().rowsBetween(1 - n, 0)) >= n, F.avg("close").over(series().rowsBetween(1 - n, 0)))
+    bars = daily.select("symbol", c("date").alias("d"), "date", "high", "low", "close", F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end"))
+    bars = bars.withColumns({"last": F.max("date").over(Window.partitionBy("symbol")), "next21": F.min(F.when(c("close") < c("dma21"), c("date"))).over(later), "next50": F.min(F.when(c("week_end") & (c("close") < c("dma50")), c("date"))).over(series().rowsBetween(0, Window.unboundedFollowing))})
+    return bars.drop("date").withColumn("month", F.trunc("d", "month"))
+
+
+def _path(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """Signals (symbol, date, until, ...) with their later bars up to a day, joined by symbol and month."""
+    months = F.explode(F.sequence(F.trunc("date", "month"), F.trunc("until", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month")
+    return signals.where("until > date").select("*", months).join(bars, ["symbol", "month"]).where((F.col("d") > F.col("date")) & (F.col("d") <= F.col("until"))).drop("month")
+
+
+def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float = 0.20, peak_at: float = 3.0, fail_days: int = 1) -> DataFrame:
+    """First exit of each signal (id, symbol, date, entry, stop, pivot; fail_days where they differ),
+    independently of all others.
 
-    Bars after the entry day within the horizon are joined by symbol; the first day of each rule is an
-    aggregate, and the earliest rule wins: hard stop or pivot failure, then the prior-low stop after a
-    peak, then the weekly close below the 50-day or, before a partial profit, below the 21-day average.
+    The earliest rule wins: hard stop or pivot failure, then the prior-low stop after a peak, then the weekly
+    close below the 50-day or, before a partial profit, below the 21-day average. A trade cannot outlive the
+    first close below the 21-day average or, where the partial profit came by then, the first weekly close
+    below the 50-day average after it; only bars up to that day are joined, however long the history is.
     """
     c = F.col
-    avg = lambda n: F.when(F.count("close").over(series().rowsBetween(1 - n, 0)) >= n, F.avg("close").over(series().rowsBetween(1 - n, 0)))
-    bars = daily.select("symbol", c("date").alias("d"), "high", "low", "close", F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end"))
-    rows = signals.join(bars, "symbol").where((c("d") > c("date")) & (c("d") <= F.date_add("date", horizon_days)))
+    bars = _exit_bars(daily)
+    signals_ = signals if "fail_days" in signals.columns else signals.withColumn("fail_days", F.lit(fail_days))
+    names = ("id", "symbol", "date", "entry", "stop", "pivot", "fail_days")
+    here = bars.select("symbol", c("d").alias("date"), "last", "next21")
+    rows = signals_.select(*names).join(here, ["symbol", "date"], "left").withColumn("until", F.coalesce("next21", "last"))
+    partial = F.min(F.when(c("high") >= c("entry") * (1.0 + partial_at), c("d"))).alias("P")
+    first = _path(rows, bars.select("symbol", "month", "d", "high")).groupBy("id").agg(partial)
+    rows = rows.join(first, "id", "left").join(bars.select("symbol", c("d").alias("P"), "next50"), ["symbol", "P"], "left")
+    rows = rows.withColumn("until", F.when(c("P").isNotNull(), F.coalesce("next50", "last")).otherwise(c("until")))
+    rows = _path(rows.select(*names, "until", "P"), bars.drop("last", "next21", "next50", "high"))
     path = Window.partitionBy("id").orderBy("d")
-    rows = rows.withColumns({"age": F.datediff("d", "date"), "peak": F.greatest("entry", F.coalesce(F.max("close").over(path.rowsBetween(Window.unboundedPreceding, -1)), c("entry"))), "P": F.min(F.when(c("high") >= c("entry") * (1.0 + partial_at), c("d"))).over(Window.partitionBy("id"))})
+    rows = rows.withColumns({"age": F.datediff("d", "date"), "peak": F.greatest("entry", F.coalesce(F.max("close").over(path.rowsBetween(Window.unboundedPreceding, -1)), c("entry")))})
     hard = yes(c("low") <= c("stop"))
-    failed = yes((c("age") <= 1) & (c("close") < c("pivot")))
+    failed = yes((c("age") <= c("fail_days")) & (c("close") < c("pivot")))
     pre = yes(c("P").isNull() | (c("d") < c("P")))
     drop21 = pre & yes(c("close") < c("dma21"))
     trail = ~pre & yes((c("peak") >= peak_at * c("entry")) & (c("low") < c("prev_low")))
@@ -105,11 +132,51 @@ def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float =
     return out.select("id", "symbol", "date", "entry", c("hit.d").alias("exit_date"), F.coalesce("hit.reason", F.lit("open")).alias("reason"), c("hit.price").alias("exit_price"), took.alias("partial"), ret.alias("ret"))
 
 
-def variant_compare(signals: DataFrame, daily: DataFrame, variants: dict[str, Column]) -> DataFrame:
-    """Statistics of the exits of each named filter; outcomes are computed once."""
-    done = exit_rule_outcomes(signals, daily).join(signals.drop("symbol", "date", "entry"), "id")
-    tagged = done.withColumn("variant", F.explode(F.filter(F.array(*[F.when(yes(cond), F.lit(name)) for name, cond in variants.items()]), lambda x: x.isNotNull())))
-    return tagged.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"), F.median("ret").alias("median_ret"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.count_if(F.col("reason") == "open").alias("still_open"))
+@dataclass(frozen=True)
+class Variant:
+    """A filter of signals with the entry gap, stop buffer and pivot-failure days it runs with."""
+
+    name: str
+    after: str | None = None
+    trigger_min: float | None = None
+    gap_max: float = 0.10
+    buffer: float = 0.0010
+    fail_days: int = 1
+
+
+#: The variants that are compared.
+VARIANTS = (
+    Variant("baseline"),
+    Variant("time_0945_only", after="09:45"),
+    Variant("fastfail2_only", fail_days=2),
+    Variant("A_0945_fastfail2", after="09:45", fail_days=2),
+    Variant("epgap5_only", gap_max=0.05),
+    Variant("B_stop25", buffer=0.0025),
+    Variant("AplusB_0945_fastfail2_stop25", after="09:45", fail_days=2, buffer=0.0025),
+    Variant("C_trigger78", trigger_min=78.0),
+    Variant("trigger78_epgap5", trigger_min=78.0, gap_max=0.05),
+    Variant("trigger78_epgap5_stop25", trigger_min=78.0, gap_max=0.05, buffer=0.0025),
+    Variant("ABC_0945_fastfail2_stop25_trigger78", after="09:45", trigger_min=78.0, fail_days=2, buffer=0.0025),
+)
+
+
+def variant_compare(signals: DataFrame, daily: DataFrame, variants: tuple[Variant, ...] = VARIANTS) -> DataFrame:
+    """Statistics of the exits of each variant over signals (id, symbol, date, entry, base (the stop before its
+    buffer), pivot, gap, trigger_score, trigger_hhmm). Exits are computed once for each pair of buffer and
+    failure days that occurs."""
+    c = F.col
+    rules = sorted({(v.buffer, v.fail_days) for v in variants})
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(b).alias("buffer"), F.lit(n).alias("fail_days")) for i, (b, n) in enumerate(rules)])).alias("r")
+    rows = signals.select("*", each).select(*signals.columns, "r.*").withColumns({"stop": c("base") * (1.0 - c("buffer")), "id": F.concat_ws("#", "id", "rule")})
+    exits = exit_rule_outcomes(rows.select("id", "symbol", "date", "entry", "stop", "pivot", "fail_days"), daily).select("id", "reason", "ret")
+
+    def passes(v: Variant) -> Column:
+        ok = (c("rule") == rules.index((v.buffer, v.fail_days))) & ~yes(c("gap") >= v.gap_max)
+        ok = ok & yes(c("trigger_hhmm") >= v.after) if v.after else ok
+        return ok & yes(c("trigger_score") >= v.trigger_min) if v.trigger_min is not None else ok
+
+    tagged = rows.select("id", F.explode(F.filter(F.array(*[F.when(passes(v), F.lit(v.name)) for v in variants]), lambda x: x.isNotNull())).alias("variant")).join(exits, "id")
+    return tagged.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"), F.median("ret").alias("median_ret"), F.avg((c("ret") > 0).cast("double")).alias("win_rate"), F.count_if(c("reason") == "open").alias("still_open"))
 
 
 def tax_reserve(trips: DataFrame, rate: float = TAX_RATE) -> DataFrame:
@@ -124,9 +191,18 @@ def aggregate_positions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(F.sum("quantity").alias("quantity"), average.alias("avg_price"), F.sum("market_value").alias("market_value"), F.collect_list("payload_json").alias("payloads"))
 
 
+#: States that are final as they are, and names of a request to cancel.
+FINAL = ("FILLED", "CANCELLED", "CANCELED", "REJECTED", "FAILED", "EXPIRED")
+CANCELLING = ("CANCEL_REQUESTED", "CANCELLATION_REQUESTED", "PENDING_CANCEL")
+
+
 def order_status(status: str, quantity: str, filled: str) -> Column:
-    s, q, f = F.lower(F.trim(F.col(status))), F.col(quantity), F.coalesce(F.col(filled), F.lit(0))
-    return F.when(s.isin("rejected", "failed", "error"), "rejected").when((f > 0) & (f >= q), "filled").when(s.isin("cancelled", "canceled", "expired"), F.when(f > 0, "partially_filled_cancelled").otherwise("cancelled")).when(f > 0, "partially_filled").when(s == "filled", "filled").otherwise("open")
+    """An order's state: filled shares first, then requests and final states by name, then what the name says."""
+    s = F.upper(F.replace(F.coalesce(F.nullif(F.col(status), F.lit("")), F.lit("UNKNOWN")), F.lit(" "), F.lit("_")))
+    q, f = F.coalesce(F.col(quantity), F.lit(0)), F.coalesce(F.col(filled), F.lit(0))
+    out = F.when((f >= q) & (q > 0), "FILLED").when(s.isin(*CANCELLING), "CANCEL_REQUESTED").when(s.isin(*FINAL), s)
+    out = out.when(s.contains("CANCEL"), F.when(f == 0, "CANCELLED").otherwise("PARTIALLY_FILLED"))
+    return out.when(s.contains("REJECT"), "REJECTED").when(s.contains("FAIL"), "FAILED").when(s.contains("PART") & (f > 0), "PARTIALLY_FILLED").otherwise(s)
 
 
 def latest_order_per_slot(orders: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip01, div, floor0, weighted, yes, zero
+from barloom.operators.clean import scope_daily_history, setup_candidates
 from barloom.operators.daily import global_pct_rank, industry_rs
+from barloom.operators.intraday import best_trigger_in_window, by_symbol, candidate_sessions, first_trigger, same_slot_volume, session_running, standard_breakouts, zigzag_breakouts
+from barloom.operators.levels import daily_scores, daily_zigzag_scores
 
 
 @dataclass(frozen=True)
@@ -78,8 +81,8 @@ def tight_entry(report: DataFrame, cfg: TightEntry = TightEntry()) -> DataFrame:
 
 
 def merge_lanes(standard: DataFrame, zigzag: DataFrame, leader_min: float = 60.0, cum_vol_min: float = 1.5, above_pivot: float = 0.01) -> DataFrame:
-    """Both lanes in one table; the compact rule then decides. lane_before and signal_before keep what the
-    lanes had said. Needs cum_vol_ratio, trigger_close, leader_score, history_ok and broke_out in both."""
+    """Both lanes in one table; the compact rule then decides. standard_signal and zigzag_signal tell which of its
+    signals a lane had found too, lane_before and signal_before what the lanes had said. Needs cum_vol_ratio, trigger_close, leader_score, history_ok and broke_out in both."""
     c = F.col
     std = standard.withColumns({"lane_before": F.lit("standard"), "signal_before": yes(c("breakout_signal")), "effective_pivot_level": c("pivot_high")})
     zz = zigzag.withColumns({"lane_before": F.lit("zigzag"), "signal_before": yes(c("entry_signal")), "effective_pivot_level": c("zigzag_line_value")})
@@ -88,6 +91,8 @@ def merge_lanes(standard: DataFrame, zigzag: DataFrame, leader_min: float = 60.0
     signal = yes(c("history_ok")) & yes(c("broke_out")) & yes(c("leader_score") >= leader_min) & (volume >= cum_vol_min) & yes(c("trigger_close") >= pivot * (1.0 + above_pivot))
     return out.withColumns({
         "breakout_signal": signal,
+        "standard_signal": signal & c("signal_before") & (c("lane_before") == "standard"),
+        "zigzag_signal": signal & c("signal_before") & (c("lane_before") == "zigzag"),
         "entry_source": F.when(signal, "compact_breakout").otherwise("none"),
         "entry_lane": F.when(signal, "compact").otherwise("none"),
         "entry_stop_policy": F.when(signal, "respect_stop_limit").otherwise("none"),
@@ -99,16 +104,81 @@ def merge_lanes(standard: DataFrame, zigzag: DataFrame, leader_min: float = 60.0
 
 
 def daily_summary(report: DataFrame) -> DataFrame:
+    """Counts a date of the merged report: setups, signals, what each lane alone had signalled, and rows whose
+    source is the tight lane."""
     c = F.col
     return report.groupBy("date").agg(
-        F.count(F.lit(1)).alias("setup_count"),
-        F.count_if(c("breakout_signal")).alias("signal_count"),
-        F.count_if(c("breakout_signal") & (c("lane_before") == "standard")).alias("standard_count"),
-        F.count_if(c("breakout_signal") & (c("lane_before") == "zigzag")).alias("zigzag_count"),
-        F.count_if(c("entry_lane") == "tight_reversal").alias("tight_reversal_count"),
+        F.count_if(yes(c("setup_candidate"))).alias("setup_count"),
+        F.count_if(yes(c("breakout_signal"))).alias("signal_count"),
+        F.count_if(yes(c("standard_signal"))).alias("standard_count"),
+        F.count_if(yes(c("zigzag_signal"))).alias("zigzag_count"),
+        F.count_if(yes(c("entry_source") == "tight_reversal")).alias("tight_reversal_count"),
     )
 
 
+@dataclass(frozen=True)
+class ReportConfig:
+    """Thresholds and windows of the report; min_history and pivot_window follow the daily history at hand."""
+
+    min_history: int = 126
+    pivot_window: int = 20
+    lookback_days: int = 450
+    setup_floor: float = 50.0
+    leader_min: float = 60.0
+    standard: StandardRules = StandardRules()
+    tight: TightEntry = TightEntry()
+    compact_cum_vol: float = 1.5
+    compact_above_pivot: float = 0.01
+
+
+_CONTEXT = ("pivot_high", "diag_valid", "diag_resistance", "atr20", "prev_close")
+_LINE = ("zigzag_line_value", "zigzag_line_valid_pre", "atr20", "prev_close", "recent_low_5", "pullback_depth")
+
+
+def standard_lane(daily: DataFrame, bars: DataFrame, first, last, cfg: ReportConfig = ReportConfig()) -> DataFrame:
+    """Setup candidates of the sessions with the first breakout of their bars (with session and slot features)
+    and the standard rules."""
+    scored = daily_scores(daily, cfg.min_history, cfg.leader_min, cfg.pivot_window)
+    found = setup_candidates(scored, first, last, cfg.setup_floor).withColumn("setup_candidate", F.lit(True)).drop("breakout_type")
+    context = found.select("symbol", F.col("date").alias("session_date"), *_CONTEXT)
+    events = standard_breakouts(candidate_sessions(bars, context), context)
+    triggers = first_trigger(events)
+    out = standard_rules(attach_triggers(found, triggers), cfg.standard)
+    names = {"trigger_cum_vol_ratio": "cum_vol_ratio", "trigger_bar_vol_ratio": "bar_vol_ratio", "trigger_move_from_open": "move_from_open", "trigger_low": "trigger_bar_low", "trigger_session_low_so_far": "low_so_far_at_trigger"}
+    return out.withColumnsRenamed(names)
+
+
+def zigzag_lane(daily: DataFrame, bars: DataFrame, first, last, cfg: ReportConfig = ReportConfig()) -> DataFrame:
+    """Candidates of the falling line with the best breakout near their session's first, and the tight lane."""
+    scored = daily_zigzag_scores(daily, cfg.leader_min, cfg.min_history).where("setup_candidate")
+    scored = scored.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    context = scored.select("symbol", F.col("date").alias("session_date"), *_LINE)
+    best = best_trigger_in_window(zigzag_breakouts(candidate_sessions(bars, context), context))
+    names = {"session_date": "date", "close": "trigger_close", "low": "trigger_bar_low", "session_low_so_far": "low_so_far_at_trigger"}
+    best = best.select("symbol", "session_date", "trigger_time", "close", "trigger_score", "cum_vol_ratio", "bar_vol_ratio", "move_from_open", "low", "session_low_so_far", "pts_hold", "broke_out").withColumnsRenamed(names)
+    out = scored.join(best, ["symbol", "date"], "left").withColumns({"broke_out": yes(F.col("broke_out")), "breakout_type": F.when(yes(F.col("broke_out")), "zigzag_diagonal").otherwise("none")})
+    return tight_entry(out, cfg.tight)
+
+
+_MERGED = ("symbol", "date", "open", "high", "low", "close", "volume", "prev_close", "atr20", "adr20_pct", "history_ok", "leader_pass", "setup_candidate", "leader_score", "setup_score_pre", "trigger_time", "trigger_close", "trigger_score", "cum_vol_ratio", "bar_vol_ratio", "move_from_open", "breakout_type", "broke_out", "pivot_high", "trigger_bar_low", "low_so_far_at_trigger")
+
+
+def breakout_signal_report(daily: DataFrame, bars: DataFrame, cfg: ReportConfig = ReportConfig()) -> tuple[DataFrame, DataFrame]:
+    """The nightly report over daily bars and intraday bars (symbol, ts, session_date, ...), and its counts a date.
+
+    Both lanes score the daily history before the intraday sessions, look for breakouts in the bars of their
+    candidates' sessions, and are merged; the compact rule decides. Same-slot baselines see all sessions."""
+    first, last = bars.agg(F.min("session_date"), F.max("session_date")).first()
+    if first is None:
+        first, last = daily.agg(F.min("date"), F.max("date")).first()
+    scoped = scope_daily_history(daily, first, last, cfg.lookback_days)
+    slots = same_slot_volume(session_running(by_symbol(bars)))
+    standard = standard_lane(scoped, slots, first, last, cfg).select(*_MERGED, "breakout_signal", "standard_rule_pass", "setup_tier")
+    zigzag = zigzag_lane(scoped, slots, first, last, cfg).select(*_MERGED, "zigzag_line_value", "entry_signal", "entry_dist_norm", "gap_norm", "entry_filter_reason", "pts_hold")
+    report = merge_lanes(standard, zigzag, cfg.leader_min, cfg.compact_cum_vol, cfg.compact_above_pivot)
+    return report, daily_summary(report)
+
+
 def run_summary(report: DataFrame, audits: DataFrame) -> DataFrame:
     """One row: rows, symbols and signals of the report, stale and missing symbols of the audits."""
     a = audits.agg(F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("status") == "missing").alias("missing"))
@@ -117,6 +187,8 @@ def run_summary(report: DataFrame, audits: DataFrame) -> DataFrame:
 
 
 SORTS = {
+    "candidates": (("same_day_priority_score", 0), ("entry_priority_bucket", 1), ("priority_score_within_source", 0), ("leader_score", 0), ("trigger_time", 1), ("symbol", 1)),
+    "shortlist": (("same_day_priority_score", 0), ("entry_priority_bucket", 1), ("priority_score_within_source", 0), ("leader_score", 0), ("setup_score_pre", 0), ("symbol", 1)),
     "report": (("date", 1), ("breakout_signal", 0), ("entry_priority_bucket", 1), ("priority_score_within_source", 0), ("trigger_time", 1), ("leader_score", 0), ("symbol", 1)),
     "standard": (("date", 1), ("broke_out", 0), ("breakout_signal", 0), ("trigger_time", 1), ("leader_score", 0), ("symbol", 1)),
     "entry": (("date", 1), ("entry_signal", 0), ("same_day_priority_score", 0), ("leader_score", 0), ("trigger_time", 1), ("symbol", 1)),
@@ -152,7 +224,7 @@ def dedupe_signals(signals: DataFrame) -> DataFrame:
 def select_candidates(report: DataFrame, k: int, every_date: bool = False) -> DataFrame:
     """The k best signals of the latest date, or of every date."""
     rows = report.where(yes(F.col("breakout_signal")))
-    keys = order_of("report", ("date", "breakout_signal"))
+    keys = order_of("candidates")
     if every_date:
         return rows.withColumn("pick", F.row_number().over(Window.partitionBy("date").orderBy(*keys))).where(F.col("pick") <= k)
     latest = rows.agg(F.max("date").alias("date"))
@@ -165,10 +237,10 @@ def next_weekday(d: str) -> Column:
 
 
 def shortlist(report: DataFrame, n: int = 100) -> DataFrame:
-    """Setups and signals of the latest date, one row a symbol, the first n, for the next weekday."""
-    rows = report.where(yes(F.col("setup_candidate")) | yes(F.col("breakout_signal")))
-    rows = rows.join(F.broadcast(rows.agg(F.max("date").alias("date"))), "date")  # one row
-    keys = order_of("report", ("date",))
+    """Setups and signals of the report's latest date, one row a symbol, the first n, for the next weekday."""
+    rows = report.join(F.broadcast(report.agg(F.max("date").alias("date"))), "date")  # one row
+    rows = rows.where(yes(F.col("setup_candidate")) | yes(F.col("breakout_signal")))
+    keys = order_of("shortlist")
     rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("symbol").orderBy(*keys))).where("__k = 1").drop("__k")
     top = rows.orderBy(*keys).limit(n)
     return top.withColumns({"rank_order": F.row_number().over(Window.orderBy(*keys)), "session_date": next_weekday("date")})  # n rows
@@ -189,6 +261,11 @@ def watchlist_topk(scored: DataFrame, k: int) -> DataFrame:
     return out.withColumns({"daily_cutoff": F.min("score").over(day), "daily_rows": F.count(F.lit(1)).over(day)})
 
 
+def top_n(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+    """The n first rows by the keys."""
+    return df.orderBy(*keys).limit(n)
+
+
 def monitor_symbols(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(F.upper("symbol").alias("symbol")).union(b.select(F.upper("symbol"))).distinct().orderBy("symbol")
 
@@ -232,19 +309,24 @@ def industry_priority(report: DataFrame, features: DataFrame, universe: DataFram
         "n_move": clip01((c("move_from_open") + 0.02) / 0.08),
     }
     out = out.withColumns({k: zero(v) for k, v in parts.items()})
+    out = out.withColumns({"small_cap_score": F.coalesce("small_cap_score", F.lit(0.5)), "industry_rs": F.coalesce("industry_rs", F.lit(0.5))})
     a_plus = yes((c("leader_score") >= 95) & (c("setup_score_pre") >= 68) & (c("trigger_score") >= 77) & (c("cum_vol_ratio") >= 3) & (c("move_from_open") >= -0.05))
-    score = weighted(*zip((25.0, 20.0, 18.0, 15.0, 12.0, 10.0), map(c, parts))) + 20.0 * a_plus.cast("double")
-    return out.withColumns({"a_plus": a_plus, "industry_priority": score})
+    score = weighted(*zip((25.0, 20.0, 18.0, 15.0, 12.0, 10.0), map(c, parts))) + 20.0 * c("leader95").cast("double")
+    return out.withColumns({"a_plus": a_plus, "leader95": yes(c("leader_score") >= 95)}).withColumn("industry_priority", score)
 
 
 def risk_sizing(signals: DataFrame, equity: float, cash: float, risk: float = 0.01, slots: int = 3, buffer: float = 0.001) -> DataFrame:
-    """Stop and share count of each signal; no row for gaps of 10 % and more or stops that are too wide."""
+    """Stop and share count of each signal; no row for gaps of 10 % and more (an unknown gap passes), without
+    a low, a level or a price, or where the stop is wider than the limits that are known."""
     c = F.col
     price = c("trigger_close")
-    out = signals.where(yes(div("open", "prev_close") - 1.0 < 0.10))
-    out = out.withColumn("stop", F.least("low_so_far_at_trigger", F.coalesce("effective_pivot_level", "pivot_high")) * (1.0 - buffer))
+    gap = F.when((c("prev_close") > 0) & c("open").isNotNull(), c("open") / c("prev_close") - 1.0)
+    out = signals.where(~yes(gap >= 0.10))
+    low, level = c("low_so_far_at_trigger"), F.coalesce("effective_pivot_level", "pivot_high")
+    out = out.where(low.isNotNull() & level.isNotNull() & yes(price > 0)).withColumn("stop", F.least(low, level) * (1.0 - buffer))
     out = out.withColumn("risk_per_share", price - c("stop"))
-    limit = F.least("atr20", c("adr20_pct") * price)
-    out = out.where(yes(c("risk_per_share") > 0) & (yes(c("risk_per_share") <= limit) | yes(c("entry_stop_policy") == "ignore_stop_limit")))
+    limit = F.least("atr20", c("adr20_pct") * price)  # skips what is missing
+    respects = F.coalesce("entry_stop_policy", F.lit("respect_stop_limit")) == "respect_stop_limit"
+    out = out.where(yes(c("risk_per_share") > 0) & ~(respects & yes(c("risk_per_share") > limit)))
     shares = F.floor(F.least(div(F.lit(equity * risk), "risk_per_share"), div(F.lit(equity / slots), price), div(F.lit(cash), price)))
     return out.withColumn("shares", shares.cast("long")).where("shares > 0")

@@ -70,7 +70,7 @@ def relative_strength(spark, d):
     return rows(daily.relative_strength(daily.base_features(fx.daily(spark, d))), "rs_today leader_score", "symbol", "date")
 
 
-@query(q.stack(q.DAILY, q.features(), f"t AS (SELECT symbol, date, 0.4 * coalesce(roc63, 0) + 0.2 * coalesce(roc126, 0) + 0.2 * coalesce(roc252, 0) + 0.2 * coalesce(roc21, 0) AS rs_score, atr14 / nullif(close, 0) AS atr_pct, ((close - low) - (high - close)) / nullif(high - low, 0) AS mf FROM base)", f"v AS (SELECT *, rs_score / nullif(atr_pct, 0) AS rrs, {q.roll('avg', 'mf', 20, 10)} AS money_flow FROM t)", select=f"SELECT symbol, date, {q.rows('rs_score rrs money_flow')}, {q.r4(q.lag('rs_score'), 'rs_score_prev')}, {q.r4(q.lag('rrs'), 'rrs_prev')} FROM v"))
+@query(q.stack(q.DAILY, q.features(), f"t AS (SELECT symbol, date, 40.0 * coalesce(roc21, 0) + 20.0 * coalesce(roc63, 0) + 20.0 * coalesce(roc126, 0) + 20.0 * coalesce(roc252, 0) AS rs_score, atr14 / nullif(close, 0) AS atr_pct, ((close - low) - (high - close)) / nullif(high - low, 0) AS mf FROM base)", f"v AS (SELECT *, rs_score / nullif(atr_pct, 0) AS rrs, {q.roll('avg', 'mf', 20, 10)} AS money_flow FROM t)", select=f"SELECT symbol, date, {q.rows('rs_score rrs money_flow')}, {q.r4(q.lag('rs_score'), 'rs_score_prev')}, {q.r4(q.lag('rrs'), 'rrs_prev')} FROM v"))
 def feature_history(spark, d):
     out = daily.daily_feature_history(fx.daily(spark, d), fx.universe(spark, d))
     return rows(out, "rs_score rrs money_flow rs_score_prev rrs_prev", "symbol", "date")
@@ -142,14 +142,14 @@ def daily_screen(spark, d):
 HOLD_SQL = " + ".join([
     f"25.0 * {q.regime('sma10', 'sma21')}",
     "25.0 * coalesce(greatest(s10, s21), 0.0)",
-    f"15.0 * {q.zero(q.clip01('1.0 - ((h10 - close) / nullif(h10, 0)) / 0.10'))}",
-    f"15.0 * (0.6 * {q.zero(q.clip01(f'(sma10 / nullif({q.lag('sma10', 3)}, 0) - 1.0) / 0.03'))} + 0.4 * {q.zero(q.clip01(f'(sma21 / nullif({q.lag('sma21', 5)}, 0) - 1.0) / 0.05'))})",
+    f"15.0 * {q.zero(q.clip01(f'1.0 - {q.floor0('(h10 - close) / nullif(h10, 0)')} / 0.10'))}",
+    f"15.0 * coalesce(0.6 * {q.clip01(f'(sma10 / nullif({q.lag('sma10', 3)}, 0) - 1.0) / 0.03')} + 0.4 * {q.clip01(f'(sma21 / nullif({q.lag('sma21', 5)}, 0) - 1.0) / 0.05')}, 0.0)",
     "10.0 * coalesce(range_pct < range_median10 AND volume < vol20 AND close <= prev_close, false)::INT",
     "10.0 * (1.0 - coalesce(close < prev_close AND volume > 1.2 * vol20 AND (close - low) / nullif(high - low, 0) < 0.35 AND range_pct > 1.05 * range_median10, false)::INT)",
 ])
 
 
-@query(q.stack(q.DAILY, q.features(), f"h AS (SELECT *, {q.surf('sma10', 5, 0.8, 1.0, 0.985, 1.0)} AS s10, {q.surf('sma21', 8, 0.75, 1.2, 0.98, 1.5)} AS s21, {q.roll('max', 'high', 10, 1)} AS h10 FROM base)", select=f"SELECT symbol, date, {q.r4(HOLD_SQL, 'hold_score')} FROM h"))
+@query(q.stack(q.DAILY, q.features(), f"h AS (SELECT *, {q.surf('sma10', 5, 0.8, 1.0, 0.985, 1.0)} AS s10, {q.surf('sma21', 8, 0.75, 1.2, 0.98, 1.5)} AS s21, {q.roll('max', 'high', 10)} AS h10 FROM base)", select=f"SELECT symbol, date, {q.r4(HOLD_SQL, 'hold_score')} FROM h"))
 def hold_scores(spark, d):
     return rows(daily.hold_score(fx.daily(spark, d)), "hold_score", "symbol", "date")
 
@@ -159,11 +159,12 @@ def breakout_events(spark, d) -> DataFrame:
     bars = fx.daily(spark, d).withColumns({"pivot_high": rolling(F.max, "high", prior_n(3), 3), "prev_close": lag("close"), "vol20": daily.sma("volume", 20, 5)})
     hit = yes((F.col("close") >= F.col("pivot_high")) & (F.col("prev_close") < F.col("pivot_high")))
     out = bars.where(hit).withColumns({"entry": F.col("close"), "stop": F.col("low") * 0.999, "pivot": F.col("pivot_high"), "x": div("close", "pivot_high") - 1.0, "v": div("volume", "vol20")})
-    return out.select("symbol", "date", "entry", "stop", "pivot", "x", "v", F.concat_ws("|", "symbol", F.col("date").cast("string")).alias("id"))
+    out = out.withColumns({"base": F.col("low"), "gap": div("open", "prev_close") - 1.0, "trigger_score": 40.0 + 40.0 * F.col("v"), "trigger_hhmm": F.concat(F.lit("09:"), (F.dayofmonth("date") % 30 + 30).cast("string"))})
+    return out.select("symbol", "date", "entry", "stop", "pivot", "x", "v", "base", "gap", "trigger_score", "trigger_hhmm", F.concat_ws("|", "symbol", F.col("date").cast("string")).alias("id"))
 
 
 EVENTS_SQL = f"""eb AS (SELECT *, {q.roll('max', 'high', 3, None, True)} AS pivot_high, {q.lag('close')} AS prev_close, {q.roll('avg', 'volume', 20, 5)} AS vol20 FROM daily)
-, evs AS (SELECT symbol, date, close AS entry, low * 0.999 AS stop, pivot_high AS pivot_level, close / nullif(pivot_high, 0) - 1.0 AS x, volume / nullif(vol20, 0) AS v, symbol || '|' || date::VARCHAR AS id FROM eb WHERE close >= pivot_high AND prev_close < pivot_high)"""
+, evs AS (SELECT symbol, date, close AS entry, low * 0.999 AS stop, pivot_high AS pivot_level, close / nullif(pivot_high, 0) - 1.0 AS x, volume / nullif(vol20, 0) AS v, low AS base, open / nullif(prev_close, 0) - 1.0 AS gap, 40.0 + 40.0 * (volume / nullif(vol20, 0)) AS trigger_score, '09:' || (day(date) % 30 + 30)::VARCHAR AS trigger_hhmm, symbol || '|' || date::VARCHAR AS id FROM eb WHERE close >= pivot_high AND prev_close < pivot_high)"""
 OUTCOMES_SQL = f"""outs AS (SELECT e.*, c5 / nullif(entry, 0) - 1.0 AS ret_5, c10 / nullif(entry, 0) - 1.0 AS ret_10, c20 / nullif(entry, 0) - 1.0 AS ret_20, dlow / nullif(entry, 0) - 1.0 AS mae FROM evs e JOIN (SELECT symbol, date, low AS dlow, lead(close, 5) OVER ({q.W}) AS c5, lead(close, 10) OVER ({q.W}) AS c10, lead(close, 20) OVER ({q.W}) AS c20 FROM daily) USING (symbol, date))"""
 
 
@@ -191,9 +192,74 @@ def threshold_sweep(spark, d):
     return rows(sweep(spark, d), "mean_ret median_ret win_rate mean_mae score", "grid_id", "n")
 
 
-@query(q.stack(q.DAILY, EVENTS_SQL, OUTCOMES_SQL, GRID_SQL, SWEEP_SQL, "sc AS (SELECT *, mean_ret + 0.35 * median_ret + 0.03 * win_rate + 0.15 * mean_mae AS score FROM sweep)", select="SELECT grid_id, n FROM sc ORDER BY n < 50, score DESC, n DESC, grid_id LIMIT 1"))
+@query(q.stack(q.DAILY, EVENTS_SQL, OUTCOMES_SQL, GRID_SQL, SWEEP_SQL, "sc AS (SELECT s.*, x_min, mean_ret + 0.35 * median_ret + 0.03 * win_rate + 0.15 * mean_mae AS score FROM sweep s JOIN grid USING (grid_id))", select="SELECT grid_id, n FROM sc ORDER BY CASE WHEN n >= 50 AND x_min >= 0.01 THEN 0 WHEN n >= 50 THEN 1 ELSE 2 END, score DESC, n DESC, grid_id LIMIT 1"))
 def best_thresholds(spark, d):
-    return learn.select_best(sweep(spark, d), 50).select("grid_id", "n")
+    swept = sweep(spark, d).join(F.broadcast(sweep_grid(spark).select("grid_id", "x_min")), "grid_id")  # 96 points
+    return learn.select_best(swept, 50, F.col("x_min") >= 0.01).select("grid_id", "n")
+
+
+#: The grids of the two lanes, by threshold; `max` thresholds may not be exceeded.
+STANDARD_GRID = {
+    "leader_min": (80.0, 85.0, 89.0, 90.0, 94.0),
+    "setup_min": (48.0, 52.0, 55.0, 58.0, 61.0, 65.0, 70.0, 71.0),
+    "trigger_min": (68.0, 70.0, 72.0, 74.0, 76.0, 78.0, 80.0),
+    "cum_vol_min": (0.0, 1.0, 1.20, 1.35, 1.50),
+    "bar_vol_min": (0.0, 1.0, 1.10),
+}
+TIGHT_GRID = {
+    "leader_min": (80.0, 85.0, 89.0, 90.0, 94.0),
+    "setup_min": (50.0, 55.0, 57.0, 60.0, 62.0, 65.0),
+    "trigger_min": (62.0, 65.0, 68.0, 69.0, 72.0, 75.0),
+    "cum_vol_min": (0.0, 1.0, 1.20, 1.35),
+    "dist_max": (0.50, 0.65, 0.80, 1.00, 1.20),
+    "gap_max": (0.40, 0.55, 0.70, 0.90, 1.10),
+}
+
+
+def lane_grid(spark: SparkSession, values: dict[str, tuple[float, ...]]) -> DataFrame:
+    """All combinations; grid_id names the thresholds in order."""
+    grid = spark.range(1).drop("id")
+    for name, numbers in values.items():
+        grid = grid.select("*", F.explode(F.array(*map(F.lit, numbers))).alias(name))
+    return grid.withColumn("grid_id", F.concat_ws("/", *[(F.col(c) * 100).cast("int").cast("string") for c in values]))
+
+
+def lane_grid_sql(values: dict[str, tuple[float, ...]]) -> str:
+    lists = ", ".join(f"(SELECT unnest([{', '.join(map(repr, numbers))}])::DOUBLE AS {name})" for name, numbers in values.items())
+    return f"grid AS (SELECT *, {" || '/' || ".join(f'((({c}) * 100)::INT)::VARCHAR' for c in values)} AS grid_id FROM {lists})"
+
+
+def lane_events(spark, d) -> DataFrame:
+    """Daily breakouts of three bars with the scores that the grids look at, shifted to where these thresholds cut."""
+    s = levels.daily_scores(fx.daily(spark, d), pivot_window=3).where("breakout_type <> 'none' AND history_ok")
+    s = s.withColumns({"entry": F.col("close"), "leader": F.col("leader_score") + 20.0, "setup": F.col("setup_score_pre") + 10.0, "trigger": F.col("trigger_score_daily"), "cum_vol": zero(div("volume", "vol20")), "bar_vol": zero(div("volume", "vol5")), "dist": div(div("close", "resistance_used") - 1.0, "adr20_pct"), "gap_norm": div(F.greatest(F.lit(0.0), div("open", "prev_close") - 1.0), "adr20_pct")})
+    return daily.forward_outcomes(s, fx.daily(spark, d)).where("ret_20 IS NOT NULL")
+
+
+LANE_SQL = q.stack(q.DAILY, q.features(pivot=3), q.diagonal(), q.strength(), q.scores(), select="") + f""", le AS (SELECT symbol, date, close AS entry, low, leader_score + 20.0 AS leader, setup_score_pre + 10.0 AS setup, trigger_score_daily AS "trigger", coalesce(volume / nullif(vol20, 0), 0.0) AS cum_vol, coalesce(volume / nullif(vol5, 0), 0.0) AS bar_vol, (close / nullif(resistance_used, 0) - 1.0) / nullif(adr20_pct, 0) AS dist, {q.floor0('open / nullif(prev_close, 0) - 1.0')} / nullif(adr20_pct, 0) AS gap_norm FROM scored WHERE breakout_type <> 'none' AND history_ok)
+, lo AS (SELECT le.*, c20 / nullif(entry, 0) - 1.0 AS ret_20, le.low / nullif(entry, 0) - 1.0 AS mae FROM le JOIN (SELECT symbol, date, lead(close, 20) OVER ({q.W}) AS c20 FROM daily) USING (symbol, date) WHERE c20 IS NOT NULL)
+"""
+
+
+def _lane_sweep_sql(values: dict, condition: str, least: int) -> str:
+    return LANE_SQL + f", {lane_grid_sql(values)}, sweep AS (SELECT grid_id, count(*) AS n, avg(ret_20) AS mean_ret, median(ret_20) AS median_ret, avg((ret_20 > 0)::INT) AS win_rate, avg(mae) AS mean_mae FROM lo JOIN grid ON {condition} GROUP BY 1 HAVING count(*) >= {least}) SELECT {q.rows('mean_ret median_ret win_rate mean_mae', 'grid_id', 'n')}, {q.r4('mean_ret + 0.35 * median_ret + 0.03 * win_rate + 0.15 * mean_mae', 'score')} FROM sweep"
+
+
+_LEAST = {"leader": "leader_min", "setup": "setup_min", "trigger": "trigger_min", "cum_vol": "cum_vol_min"}
+
+
+@query(_lane_sweep_sql(STANDARD_GRID, 'leader >= leader_min AND setup >= setup_min AND "trigger" >= trigger_min AND cum_vol >= cum_vol_min AND bar_vol >= bar_vol_min', 20))
+def standard_sweep(spark, d):
+    """The 4,200 points of the standard lane."""
+    out = learn.threshold_sweep(lane_events(spark, d), lane_grid(spark, STANDARD_GRID), _LEAST | {"bar_vol": "bar_vol_min"}, min_count=20, ret="ret_20")
+    return rows(out, "mean_ret median_ret win_rate mean_mae score", "grid_id", "n")
+
+
+@query(_lane_sweep_sql(TIGHT_GRID, 'leader >= leader_min AND setup >= setup_min AND "trigger" >= trigger_min AND cum_vol >= cum_vol_min AND dist <= dist_max AND gap_norm <= gap_max', 10))
+def tight_sweep(spark, d):
+    """The 18,000 points of the tight lane."""
+    out = learn.threshold_sweep(lane_events(spark, d), lane_grid(spark, TIGHT_GRID), _LEAST, {"dist": "dist_max", "gap_norm": "gap_max"}, min_count=10, ret="ret_20")
+    return rows(out, "mean_ret median_ret win_rate mean_mae score", "grid_id", "n")
 
 
 @query(q.stack(q.DAILY, EVENTS_SQL, OUTCOMES_SQL, "z AS (SELECT *, coalesce(ret_20 > 0, false) AS success, coalesce(ret_20 >= 0.05, false) AS strong FROM outs)", "y AS (SELECT * FROM z WHERE CASE WHEN (SELECT count(*) FROM z WHERE strong) >= 10 THEN strong ELSE success END)", select=f"SELECT count(*) AS n, {q.r4('quantile_cont(x, 0.3)', 'x_min')}, {q.r4('quantile_cont(v, 0.8)', 'v_max')} FROM y"))
@@ -208,25 +274,43 @@ def feature_distribution(spark, d):
     return rows(out, "mean std p01 p50 p99", "feature", "n")
 
 
-EXIT_SQL = f"""xb AS (SELECT symbol, date AS d, high, low, close, {q.lag('low')} AS prev_low, {q.roll('avg', 'close', 21)} AS dma21, {q.roll('avg', 'close', 50)} AS dma50, date = max(date) OVER (PARTITION BY symbol, date + ((5 - isodow(date) + 7) % 7)::INT) AS week_end FROM daily)
-, xp AS (SELECT e.*, d, high, low, close, prev_low, dma21, dma50, week_end, d - date AS age FROM evs e JOIN xb USING (symbol) WHERE d > date AND d <= date + 400)
-, xq AS (SELECT *, greatest(entry, coalesce(max(close) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS peak, min(CASE WHEN high >= entry * 1.2 THEN d END) OVER (PARTITION BY id) AS p FROM xp)
-, xr AS (SELECT *, CASE WHEN low <= stop THEN 'hard_stop' WHEN age <= 1 AND close < pivot_level THEN 'pivot_fail' WHEN p IS NOT NULL AND d >= p AND peak >= 3.0 * entry AND low < prev_low THEN 'prior_low_stop' WHEN p IS NOT NULL AND d >= p AND week_end AND close < dma50 THEN 'weekly_dma50' WHEN (p IS NULL OR d < p) AND close < dma21 THEN 'dma21' END AS reason FROM xq)
+def exit_sql(events: str = "evs", fail_days: str = "1") -> str:
+    """First exits of events (id, symbol, date, entry, stop, pivot_level), up to the day that no trade outlives."""
+    later = "PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    here = "PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return f"""xa AS (SELECT symbol, date, date AS d, high, low, close, {q.lag('low')} AS prev_low, {q.roll('avg', 'close', 21)} AS dma21, {q.roll('avg', 'close', 50)} AS dma50, date = max(date) OVER (PARTITION BY symbol, date + ((5 - isodow(date) + 7) % 7)::INT) AS week_end, max(date) OVER (PARTITION BY symbol) AS last FROM daily)
+, xb AS (SELECT *, min(CASE WHEN close < dma21 THEN d END) OVER ({later}) AS next21, min(CASE WHEN week_end AND close < dma50 THEN d END) OVER ({here}) AS next50 FROM xa)
+, xe AS (SELECT e.*, last, coalesce(next21, last) AS until FROM {events} e JOIN xb USING (symbol, date))
+, xf AS (SELECT id, min(d) AS p FROM xe e JOIN xa b ON e.symbol = b.symbol AND b.d > e.date AND b.d <= until WHERE b.high >= entry * 1.2 GROUP BY id)
+, xg AS (SELECT e.* EXCLUDE (until), p, CASE WHEN p IS NULL THEN until ELSE coalesce(b.next50, e.last) END AS until FROM xe e LEFT JOIN xf USING (id) LEFT JOIN xb b ON b.symbol = e.symbol AND b.d = p)
+, xp AS (SELECT e.*, b.d, b.low, b.close, prev_low, dma21, dma50, week_end, b.d - e.date AS age FROM xg e JOIN xa b ON e.symbol = b.symbol AND b.d > e.date AND b.d <= until)
+, xq AS (SELECT *, greatest(entry, coalesce(max(close) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS peak FROM xp)
+, xr AS (SELECT *, CASE WHEN low <= stop THEN 'hard_stop' WHEN age <= {fail_days} AND close < pivot_level THEN 'pivot_fail' WHEN p IS NOT NULL AND d >= p AND peak >= 3.0 * entry AND low < prev_low THEN 'prior_low_stop' WHEN p IS NOT NULL AND d >= p AND week_end AND close < dma50 THEN 'weekly_dma50' WHEN (p IS NULL OR d < p) AND close < dma21 THEN 'dma21' END AS reason FROM xq)
 , xs AS (SELECT id, min(d) AS exit_date, arg_min(reason, d) AS reason, arg_min(CASE reason WHEN 'hard_stop' THEN stop WHEN 'prior_low_stop' THEN prev_low ELSE close END, d) AS exit_price FROM xr WHERE reason IS NOT NULL GROUP BY id)
 , xt AS (SELECT id, min(p) AS p, arg_max(close, d) AS last_close FROM xq GROUP BY id)
-, xu AS (SELECT e.id, e.symbol, e.date, entry, exit_date, coalesce(reason, 'open') AS reason, exit_price, coalesce(p IS NOT NULL AND (exit_date IS NULL OR p < exit_date OR (p = exit_date AND reason NOT IN ('hard_stop', 'pivot_fail'))), false) AS partial, coalesce(exit_price, last_close) / nullif(entry, 0) - 1.0 AS raw FROM evs e LEFT JOIN xs USING (id) LEFT JOIN xt USING (id))
+, xu AS (SELECT e.id, e.symbol, e.date, entry, exit_date, coalesce(reason, 'open') AS reason, exit_price, coalesce(p IS NOT NULL AND (exit_date IS NULL OR p < exit_date OR (p = exit_date AND reason NOT IN ('hard_stop', 'pivot_fail'))), false) AS partial, coalesce(exit_price, last_close) / nullif(entry, 0) - 1.0 AS raw FROM {events} e LEFT JOIN xs USING (id) LEFT JOIN xt USING (id))
 , exits AS (SELECT *, CASE WHEN partial THEN 0.1 + 0.5 * raw ELSE raw END AS ret FROM xu)"""
 
 
-@query(q.stack(q.DAILY, EVENTS_SQL, EXIT_SQL, select=f"SELECT {q.rows('exit_price ret', 'symbol', 'date', 'exit_date', 'reason', 'partial')} FROM exits"))
+@query(q.stack(q.DAILY, EVENTS_SQL, exit_sql(), select=f"SELECT {q.rows('exit_price ret', 'symbol', 'date', 'exit_date', 'reason', 'partial')} FROM exits"))
 def exit_outcomes(spark, d):
     return rows(ledger.exit_rule_outcomes(breakout_events(spark, d), fx.daily(spark, d)), "exit_price ret", "symbol", "date", "exit_date", "reason", "partial")
 
 
-@query(q.stack(q.DAILY, EVENTS_SQL, EXIT_SQL, "vs AS (SELECT ret, reason, unnest(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN v >= 1.5 THEN 'high_volume' END, CASE WHEN x <= 0.02 THEN 'near_pivot' END], lambda t: t IS NOT NULL)) AS variant FROM exits JOIN (SELECT id, x, v FROM evs) USING (id))", select=f"SELECT variant, count(*) AS n, {q.r4('avg(ret)', 'mean_ret')}, {q.r4('median(ret)', 'median_ret')}, {q.r4('avg((ret > 0)::INT)', 'win_rate')}, count(*) FILTER (reason = 'open') AS still_open FROM vs GROUP BY 1"))
+def _variant_sql(v: ledger.Variant) -> str:
+    parts = [f"buffer = {v.buffer!r} AND fail_days = {v.fail_days} AND NOT coalesce(gap >= {v.gap_max!r}, false)"]
+    parts += [f"trigger_hhmm >= '{v.after}'"] if v.after else []
+    parts += [f"trigger_score >= {v.trigger_min!r}"] if v.trigger_min is not None else []
+    return f"SELECT '{v.name}' AS variant, reason, ret FROM rv JOIN exits USING (id) WHERE {' AND '.join(parts)}"
+
+
+_RULES = "rv AS (SELECT e.* EXCLUDE (stop, id), base * (1.0::DOUBLE - buffer) AS stop, id || '#' || buffer || '#' || fail_days AS id, buffer, fail_days FROM evs e, (VALUES (0.001::DOUBLE), (0.0025)) b(buffer), (VALUES (1), (2)) f(fail_days))"
+
+
+@query(q.stack(q.DAILY, EVENTS_SQL, _RULES, exit_sql("rv", "fail_days"), f"vs AS ({' UNION ALL '.join(map(_variant_sql, ledger.VARIANTS))})", select=f"SELECT variant, count(*) AS n, {q.r4('avg(ret)', 'mean_ret')}, {q.r4('median(ret)', 'median_ret')}, {q.r4('avg((ret > 0)::INT)', 'win_rate')}, count(*) FILTER (reason = 'open') AS still_open FROM vs GROUP BY 1"))
 def variants(spark, d):
-    out = ledger.variant_compare(breakout_events(spark, d), fx.daily(spark, d), {"all": F.lit(True), "high_volume": F.col("v") >= 1.5, "near_pivot": F.col("x") <= 0.02})
-    return rows(out, "mean_ret median_ret win_rate", "variant", "n", "still_open")
+    """The eleven variants of filter, stop buffer and pivot-failure days."""
+    return rows(ledger.variant_compare(breakout_events(spark, d), fx.daily(spark, d)), "mean_ret median_ret win_rate", "variant", "n", "still_open")
 
 
 def round_trips(spark, d) -> DataFrame:
@@ -303,7 +387,10 @@ def slot_volume(spark, d):
     return rows(out, "slot_volume_mean slot_cum_volume_mean bar_vol_ratio cum_vol_ratio", "symbol", "ts")
 
 
-@query(RUN + f", n AS (SELECT *, lead(open) OVER ({q.S}) AS next_open, last(close) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_close FROM running), c AS (SELECT *, 0.0005 + 0.0004 / 2.0 + greatest(0.0, least(0.01, 0.0005 + 0.25 * abs((high - low) / nullif(close, 0)))) AS cost FROM n WHERE next_open IS NOT NULL), e AS (SELECT *, (session_close * (1.0 - cost)) / nullif(next_open * (1.0 + cost), 0) - 1.0 - 2.0 * 0.0002 AS net_return FROM c) SELECT symbol, ts, {q.rows('next_open session_close net_return')}, (net_return > 0)::INT AS label FROM e")
+@query(RUN + f""", n AS (SELECT *, lead(open) OVER ({q.S}) AS next_open, last(close) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_close FROM running)
+, c AS (SELECT *, greatest(0.0010, least(0.0040, 0.0005 + 0.25 * coalesce(abs(session_close - next_open) / nullif(next_open, 0), 0.0))) AS penalty FROM n WHERE next_open IS NOT NULL)
+, e AS (SELECT *, (session_close * (1.0 - 0.00075) * (1.0 - 0.002)) / nullif(next_open * (1.0 + 0.00075 + penalty) * (1.0 + 0.002), 0) - 1.0 AS net_return FROM c)
+SELECT symbol, ts, {q.rows('next_open session_close net_return')}, coalesce(net_return > 0, false)::INT AS label FROM e""")
 def cost_labels(spark, d):
     out = intraday.exec_cost_labels(intraday.next_bar(intraday.session_running(fx.intraday(spark, d))))
     return rows(out, "next_open session_close net_return", "symbol", "ts", "label")
@@ -411,12 +498,20 @@ def top_universe(spark, d):
     return rows(out, "market_cap", "symbol", "industry", "rank_market_cap")
 
 
-@query(q.stack(q.DAILY, "d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM daily))", "f AS (SELECT k AS fold, 0 AS train_from, 40 + k * s - 5 AS train_to, 40 + k * s AS valid_from, CASE WHEN k = 4 THEN n ELSE least(40 + (k + 1) * s, n) END AS valid_to FROM (SELECT DISTINCT n, greatest(1, ((n - 40) // 5)) AS s FROM d), range(5) t(k))", "g AS (SELECT * FROM f WHERE train_to >= 40 AND valid_from < valid_to)", "t AS (SELECT date, fold, CASE WHEN o < train_to THEN 'train' WHEN o >= valid_from THEN 'valid' END AS part FROM d JOIN g ON o >= train_from AND o < valid_to)", select="SELECT fold, part, count(*) AS n, count(DISTINCT symbol) AS symbols, min(date) AS first_date, max(date) AS last_date FROM daily JOIN t USING (date) WHERE part IS NOT NULL GROUP BY 1, 2"))
+@query(q.stack(
+    q.DAILY,
+    "d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM daily))",
+    "sz AS (SELECT any_value(n) AS n, greatest(1, (any_value(n) - 40) // 5) AS s FROM d)",
+    # the first block has too little training before its embargo; what is left after five blocks is the last fold
+    "f AS (SELECT k - 1 AS fold, 40 + k * s - 5 AS train_to, 40 + k * s AS valid_from, CASE WHEN k = 5 THEN n ELSE 40 + (k + 1) * s END AS valid_to FROM sz, range(1, 6) t(k) WHERE 40 + k * s < n)",
+    "t AS (SELECT date, fold, CASE WHEN o < train_to THEN 'train' WHEN o >= valid_from THEN 'valid' END AS part FROM d JOIN f ON o < valid_to)",
+    select="SELECT fold, part, count(*) AS n, count(DISTINCT symbol) AS symbols, min(date) AS first_date, max(date) AS last_date FROM daily JOIN t USING (date) WHERE part IS NOT NULL GROUP BY 1, 2",
+))
 def walk_forward(spark, d):
     bars = fx.daily(spark, d)
     folds = learn.walk_forward_folds(bars.select("date"), 5, 40, 5)
     out = learn.fold_rows(bars, folds).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    return out.withColumn("fold", F.col("fold").cast("long"))
+    return out
 
 
 RANKED_SQL = f"""lab AS (SELECT symbol, date, round(close) AS score, ({'lead(close) OVER (' + q.W + ')'} > close)::INT AS y FROM daily), la AS (SELECT * FROM lab WHERE y IS NOT NULL)"""
@@ -450,10 +545,15 @@ def ema_15m(spark, d):
     return rows(out, "ema_15m", "symbol", "ts")
 
 
-@query("WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'cancelled' END AS status, (o_orderkey % 7)::INT AS quantity, (o_orderkey % 5)::INT AS filled FROM orders) SELECT CASE WHEN filled > 0 AND filled >= quantity THEN 'filled' WHEN status = 'cancelled' THEN CASE WHEN filled > 0 THEN 'partially_filled_cancelled' ELSE 'cancelled' END WHEN filled > 0 THEN 'partially_filled' WHEN status = 'filled' THEN 'filled' ELSE 'open' END AS state, count(*) AS n FROM o GROUP BY 1")
+_STATES = ("new", "Submitted", "filled", "cancelled", "pending cancel", "Cancel Requested", "user cancel", "rejected", "order rejected", "fail: limit", "part filled", "expired", "")
+
+
+@query(f"""WITH o AS (SELECT upper(replace(CASE WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN' ELSE coalesce(nullif({list(_STATES)!r}[o_orderkey % {len(_STATES)} + 1], ''), 'UNKNOWN') END, ' ', '_')) AS s, o_orderkey % 7 AS q, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_orderkey % 5 END AS f FROM orders)
+SELECT CASE WHEN f >= q AND q > 0 THEN 'FILLED' WHEN s IN ('CANCEL_REQUESTED', 'CANCELLATION_REQUESTED', 'PENDING_CANCEL') THEN 'CANCEL_REQUESTED' WHEN s IN ('FILLED', 'CANCELLED', 'CANCELED', 'REJECTED', 'FAILED', 'EXPIRED') THEN s WHEN s LIKE '%CANCEL%' THEN CASE WHEN f = 0 THEN 'CANCELLED' ELSE 'PARTIALLY_FILLED' END WHEN s LIKE '%REJECT%' THEN 'REJECTED' WHEN s LIKE '%FAIL%' THEN 'FAILED' WHEN s LIKE '%PART%' AND f > 0 THEN 'PARTIALLY_FILLED' ELSE s END AS state, count(*) AS n FROM o GROUP BY 1""")
 def order_states(spark, d):
-    o = fx.table(spark, d, "orders")
-    o = o.select(F.when(F.col("o_orderstatus") == "F", "filled").when(F.col("o_orderstatus") == "O", "open").otherwise("cancelled").alias("status"), (F.col("o_orderkey") % 7).cast("int").alias("quantity"), (F.col("o_orderkey") % 5).cast("int").alias("filled"))
+    k = F.col("o_orderkey")
+    status = F.when(k % 11 != 0, F.get(F.array(*map(F.lit, _STATES)), (k % len(_STATES)).cast("int")))
+    o = fx.table(spark, d, "orders").select(status.alias("status"), (k % 7).cast("int").alias("quantity"), F.when(k % 6 != 0, k % 5).cast("int").alias("filled"))
     return o.groupBy(ledger.order_status("status", "quantity", "filled").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -504,12 +604,20 @@ def _signals(spark, d) -> DataFrame:
 _SIG = "sig AS (SELECT *, close AS trigger_close, trigger_score_daily AS trigger_score, volume / nullif(vol20, 0) AS cum_vol_ratio, close / nullif(open, 0) - 1.0 AS move_from_open FROM scored WHERE breakout_type <> 'none')"
 
 
+def _gappy(signals: DataFrame) -> DataFrame:
+    """Signals some of which lack what sizing looks at, by day of the month."""
+    day = F.dayofmonth("date")
+    missing = {"prev_close": day % 5 == 0, "atr20": day % 3 == 0, "adr20_pct": day % 4 == 0, "low_so_far_at_trigger": day % 13 == 0}
+    return signals.withColumns({c: F.when(~m, F.col(c)) for c, m in missing.items()})
+
+
 @query(SCORED + f""", {_SIG}
-, st AS (SELECT *, least(low, coalesce(resistance_used, pivot_high)) * (1.0 - 0.001::DOUBLE) AS stop FROM sig WHERE coalesce(open / nullif(prev_close, 0) - 1.0 < 0.10, false))
-, sz AS (SELECT *, floor(least(100000.0 * 0.01 / nullif(close - stop, 0), 100000.0 / 3 / close, 50000.0 / close))::BIGINT AS shares FROM st WHERE coalesce(close - stop > 0, false) AND (coalesce(close - stop <= least(atr20, adr20_pct * close), false) OR coalesce(leader_score >= 90, false)))
+, lk AS (SELECT symbol, date, open, close, leader_score, coalesce(resistance_used, pivot_high) AS level, CASE WHEN day(date) % 13 <> 0 THEN low END AS low, CASE WHEN day(date) % 5 <> 0 THEN prev_close END AS prev_close, CASE WHEN day(date) % 3 <> 0 THEN atr20 END AS atr20, CASE WHEN day(date) % 4 <> 0 THEN adr20_pct END AS adr20_pct FROM sig)
+, st AS (SELECT *, least(low, level) * (1.0 - 0.001::DOUBLE) AS stop, least(atr20, adr20_pct * close) AS most FROM lk WHERE low IS NOT NULL AND level IS NOT NULL AND NOT coalesce(prev_close > 0 AND open / nullif(prev_close, 0) - 1.0 >= 0.10, false))
+, sz AS (SELECT *, floor(least(100000.0 * 0.01 / nullif(close - stop, 0), 100000.0 / 3 / close, 50000.0 / close))::BIGINT AS shares FROM st WHERE close - stop > 0 AND (coalesce(leader_score >= 90, false) OR most IS NULL OR close - stop <= most))
 SELECT symbol, date, shares, {q.rows('stop')} FROM sz WHERE shares > 0""")
 def sized_signals(spark, d):
-    return rows(report.risk_sizing(_signals(spark, d), 100000.0, 50000.0), "stop", "symbol", "date", "shares")
+    return rows(report.risk_sizing(_gappy(_signals(spark, d)), 100000.0, 50000.0), "stop", "symbol", "date", "shares")
 
 
 @query(SCORED + f""", {_SIG}, {q.UNIVERSE}
@@ -517,8 +625,212 @@ def sized_signals(spark, d):
 , ir AS (SELECT industry, date, lag(rk) OVER (PARTITION BY industry ORDER BY date) AS industry_rs FROM (SELECT *, {q.pct_rank('median', 'date')} AS rk FROM im))
 , ru AS (SELECT symbol, date, lag(greatest(roc21, roc63)) OVER ({q.W}) AS runup FROM base)
 , jp AS (SELECT s.*, runup, industry, market_cap, industry_rs FROM (SELECT * FROM sig) s LEFT JOIN ru USING (symbol, date) LEFT JOIN universe USING (symbol) LEFT JOIN ir USING (industry, date))
-, jr AS (SELECT *, 1.0 - (rank() OVER (ORDER BY market_cap) + (count(*) OVER (PARTITION BY market_cap) - 1) / 2.0) / count(*) OVER () AS small_cap_score, coalesce(leader_score >= 95 AND setup_score_pre >= 68 AND trigger_score >= 77 AND cum_vol_ratio >= 3 AND move_from_open >= -0.05, false) AS a_plus FROM jp)
-SELECT symbol, date, a_plus, {q.rows('small_cap_score industry_rs')}, {q.r4(' + '.join([f"25.0 * {q.zero(q.clip01('(leader_score - 60.0) / 40.0'))}", f"20.0 * {q.zero(q.clip01('1.0 - abs(setup_score_pre - 72.0) / 10.0'))}", f"18.0 * {q.zero(q.clip01('(coalesce(trigger_score, 60.0) - 50.0) / 40.0'))}", f"15.0 * {q.zero(q.clip01('ln(1.0 + coalesce(cum_vol_ratio, 0.75)) / ln(6.0)'))}", f"12.0 * {q.zero(q.clip01('runup / 1.2'))}", f"10.0 * {q.zero(q.clip01('(move_from_open + 0.02) / 0.08'))}", '20.0 * a_plus::INT']), 'industry_priority')} FROM jr""")
+, jr AS (SELECT * EXCLUDE (industry_rs), coalesce(industry_rs, 0.5) AS industry_rs, 1.0 - (rank() OVER (ORDER BY market_cap) + (count(*) OVER (PARTITION BY market_cap) - 1) / 2.0) / count(*) OVER () AS small_cap_score, coalesce(leader_score >= 95 AND setup_score_pre >= 68 AND trigger_score >= 77 AND cum_vol_ratio >= 3 AND move_from_open >= -0.05, false) AS a_plus FROM jp)
+SELECT symbol, date, a_plus, {q.rows('small_cap_score industry_rs')}, {q.r4(' + '.join([f"25.0 * {q.zero(q.clip01('(leader_score - 60.0) / 40.0'))}", f"20.0 * {q.zero(q.clip01('1.0 - abs(setup_score_pre - 72.0) / 10.0'))}", f"18.0 * {q.zero(q.clip01('(coalesce(trigger_score, 60.0) - 50.0) / 40.0'))}", f"15.0 * {q.zero(q.clip01('ln(1.0 + coalesce(cum_vol_ratio, 0.75)) / ln(6.0)'))}", f"12.0 * {q.zero(q.clip01('runup / 1.2'))}", f"10.0 * {q.zero(q.clip01('(move_from_open + 0.02) / 0.08'))}", '20.0 * coalesce(leader_score >= 95, false)::INT']), 'industry_priority')} FROM jr""")
 def industry_priorities(spark, d):
     features = daily.base_features(fx.daily(spark, d)).withColumn("runup", daily.prior_runup())
     return rows(report.industry_priority(_signals(spark, d).drop("runup"), features, fx.universe(spark, d)), "small_cap_score industry_rs industry_priority", "symbol", "date", "a_plus")
+
+
+#: Thresholds that let signals through on thirty sessions: ranks of one return, windows of five and ten bars.
+CFG = report.ReportConfig(min_history=10, pivot_window=5, lookback_days=20, setup_floor=10.0, leader_min=15.0, standard=report.StandardRules(leader_min=15.0, trigger_min=20.0, cum_vol_min=0.5, above_pivot=0.0), tight=report.TightEntry(leader_min=15.0, setup_min=20.0, trigger_min=20.0, max_dist=3.0, max_gap=2.0, override_dist=1.0, override_setup=40.0, override_trigger=40.0), compact_cum_vol=0.5, compact_above_pivot=0.001)
+
+
+def signal_report(spark, d) -> tuple[DataFrame, DataFrame]:
+    bars = fx.intraday(spark, d)
+    return report.breakout_signal_report(fx.daily_of(bars), bars, CFG)
+
+
+_SLOTS = q.stack(q.INTRADAY, q.RUNNING, q.SLOTTED, q.ROLLED.replace("rolled AS (", "rolled0 AS ("), select="") + ", span AS (SELECT min(session_date) AS a, max(session_date) AS b FROM bars), rolled AS (SELECT r.* FROM rolled0 r, span WHERE r.date BETWEEN a - 20 AND b)"
+_STD = f"""{q.features('rolled', pivot=5)}
+, {q.diagonal()}
+, {q.strength()}
+, {q.scores(history=10)}
+, sc0 AS (SELECT *, coalesce(leader_score >= 15, false) OR coalesce({q.lag('roc21')} >= 0.15 AND {q.lag('roc63')} >= 0.3 AND {q.lag('roc126')} >= 0.5, false) AS lead_ok FROM scored)
+, cand AS (SELECT sc0.*, CASE WHEN setup_score_pre >= 60 THEN 'normal' WHEN setup_score_pre >= 50 THEN 'override' ELSE 'none' END AS setup_tier FROM sc0, span WHERE date BETWEEN a AND b AND history_n >= 10 AND lead_ok AND setup_score_pre >= 10)
+, ctx AS (SELECT symbol, date, pivot_high, diag_valid, diag_resistance, atr20, prev_close FROM cand)"""
+_REPORT = (
+    _SLOTS
+    + f""", {_STD}
+, {STD_SQL.replace('FROM slotted s LEFT JOIN ctx', 'FROM slotted s JOIN ctx')}
+, ft AS (SELECT symbol, session_date, min(ts) AS trigger_time, {', '.join(f'arg_min({c}, ts) FILTER ({c} IS NOT NULL) AS {n}' for c, n in (('close', 'trigger_close'), ('trigger_score', 'trigger_score'), ('cum_vol_ratio', 'cum_vol_ratio'), ('bar_vol_ratio', 'bar_vol_ratio'), ('move_from_open', 'move_from_open'), ('low', 'trigger_bar_low'), ('session_low_so_far', 'low_so_far'), ('breakout_type', 'kind')))} FROM std WHERE h_up OR d_up GROUP BY 1, 2)
+, sl AS (SELECT c.symbol, c.date, 'standard' AS lane, true AS setup_candidate, setup_tier, leader_score, setup_score_pre, pivot_high, pivot_high AS level, trigger_time, trigger_close, trigger_score, cum_vol_ratio, bar_vol_ratio, move_from_open, trigger_bar_low, low_so_far, coalesce(kind, 'none') AS breakout_type, kind IS NOT NULL AS broke_out,
+    coalesce(kind IS NOT NULL AND leader_score >= 15 AND trigger_score >= 20 AND coalesce(cum_vol_ratio, 0) >= 0.5 AND coalesce(bar_vol_ratio, 0) >= 0 AND move_from_open >= 0 AND trigger_close >= pivot_high, false) AS lane_signal, NULL AS reason FROM cand c LEFT JOIN ft ON c.symbol = ft.symbol AND c.date = ft.session_date)
+, {q.zigzag('rolled')}
+, {q.zigzag_lines()}
+, {q.zigzag_scores()}
+, zc AS (SELECT z.*, leader_score FROM zscore z JOIN rs USING (symbol, date), span WHERE date BETWEEN a AND b AND history_n >= 10 AND coalesce(leader_score >= 15, false) AND zigzag_line_valid_pre)
+, {ZZ_SQL.replace('JOIN zscore c ON', 'JOIN zc c ON')}
+, bf AS (SELECT *, min(slot) OVER (PARTITION BY symbol, session_date) AS f0 FROM zev WHERE up)
+, bt AS (SELECT * FROM (SELECT *, {_MOVE} AS move_from_open, 10.0 * (0.7 * {q.zero(_HOLD)} + 0.3 * {q.zero(q.clip01(f'1.0 - {_ZOVER} / 0.06'))}) AS pts_hold, row_number() OVER (PARTITION BY symbol, session_date ORDER BY trigger_score DESC NULLS LAST, ts) AS k FROM bf WHERE slot <= f0 + 6) WHERE k = 1)
+, zj AS (SELECT c.symbol, c.date, c.leader_score, c.zigzag_setup_pre AS setup_score_pre, c.pivot_high, c.zigzag_line_value, c.history_n, b.ts AS trigger_time, b.close AS trigger_close, b.trigger_score, b.cum_vol_ratio, b.bar_vol_ratio, b.move_from_open, b.low AS trigger_bar_low, b.session_low_so_far AS low_so_far, coalesce(b.up, false) AS broke_out, (b.close / nullif(c.zigzag_line_value, 0) - 1.0) / nullif(c.adr20_pct, 0) AS dist, {q.floor0('c.open / nullif(c.prev_close, 0) - 1.0')} / nullif(c.adr20_pct, 0) AS gap FROM zc c LEFT JOIN bt b ON c.symbol = b.symbol AND c.date = b.session_date)
+, zt AS (SELECT *, broke_out AND coalesce(leader_score >= 15 AND setup_score_pre >= 20 AND trigger_score >= 20, false) AS base_ok FROM zj)
+, zl AS (SELECT symbol, date, 'zigzag' AS lane, true AS setup_candidate, NULL AS setup_tier, leader_score, setup_score_pre, pivot_high, zigzag_line_value AS level, trigger_time, trigger_close, trigger_score, cum_vol_ratio, bar_vol_ratio, move_from_open, trigger_bar_low, low_so_far, CASE WHEN broke_out THEN 'zigzag_diagonal' ELSE 'none' END AS breakout_type, broke_out,
+    base_ok AND coalesce(dist <= 3.0 AND gap <= 2.0, false) AS lane_signal,
+    CASE WHEN NOT base_ok THEN 'failed_base_signal' WHEN coalesce(dist <= 3.0 AND gap <= 2.0, false) THEN 'passed_entry_engine' WHEN coalesce(dist > 3.0, false) THEN 'entry_distance_norm_too_high' WHEN coalesce(gap > 2.0, false) THEN 'gap_norm_too_high' ELSE 'failed_tight_lane_shape' END AS reason FROM zt)
+, rep AS (SELECT *, broke_out AND coalesce(leader_score >= 15, false) AND coalesce(cum_vol_ratio, 0.0) >= 0.5 AND coalesce(trigger_close >= coalesce(level, pivot_high) * (1.0 + 0.001::DOUBLE), false) AS signal FROM (SELECT * FROM sl UNION ALL SELECT * FROM zl))
+"""
+)
+_PICKED = "trigger_close trigger_score cum_vol_ratio leader_score setup_score_pre"
+
+
+@query(_REPORT + f"SELECT symbol, date, lane, breakout_type, setup_tier, trigger_time, lane_signal, signal AS breakout_signal, reason AS entry_filter_reason, CASE WHEN signal THEN 0 ELSE 99 END AS bucket, {q.rows(_PICKED + ' trigger_bar_low low_so_far level')} FROM rep")
+def breakout_report(spark, d):
+    """The whole nightly report: both lanes, their rules and triggers, and the compact rule."""
+    out, _ = signal_report(spark, d)
+    out = out.withColumnsRenamed({"lane_before": "lane", "signal_before": "lane_signal", "low_so_far_at_trigger": "low_so_far", "effective_pivot_level": "level", "entry_priority_bucket": "bucket"})
+    return rows(out, _PICKED + " trigger_bar_low low_so_far level", "symbol", "date", "lane", "breakout_type", "setup_tier", "trigger_time", "lane_signal", "breakout_signal", "entry_filter_reason", "bucket")
+
+
+@query(_REPORT + "SELECT date, count(*) AS setup_count, count(*) FILTER (signal) AS signal_count, count(*) FILTER (signal AND lane_signal AND lane = 'standard') AS standard_count, count(*) FILTER (signal AND lane_signal AND lane = 'zigzag') AS zigzag_count, 0 AS tight_reversal_count FROM rep GROUP BY 1")
+def report_summary(spark, d):
+    _, out = signal_report(spark, d)
+    return out.select("date", *[F.col(c).cast("long").alias(c) for c in out.columns[1:]])
+
+
+_ORDER = "CASE WHEN signal THEN 0 ELSE 99 END, CASE WHEN signal THEN coalesce(cum_vol_ratio, 0.0) END DESC NULLS LAST"
+
+
+@query(_REPORT + f"SELECT symbol, date, lane, signal, row_number() OVER (ORDER BY date, signal DESC, {_ORDER}, trigger_time NULLS LAST, leader_score DESC NULLS LAST, symbol, lane) AS place FROM rep")
+def sorted_report(spark, d):
+    """Places in the report's canonical order; ties of both lanes go by lane."""
+    out, _ = signal_report(spark, d)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*report.order_of("report"), "lane_before"))  # a row a candidate of thirty sessions
+    return out.select("symbol", "date", F.col("lane_before").alias("lane"), F.col("breakout_signal").alias("signal"), place.cast("long").alias("place"))
+
+
+@query(_REPORT + f", one AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY {_ORDER}, trigger_time NULLS LAST, leader_score DESC NULLS LAST) AS k FROM rep WHERE signal) SELECT symbol, date, trigger_time, {q.rows('cum_vol_ratio leader_score')} FROM one WHERE k = 1")
+def deduped_signals(spark, d):
+    """Signals as projected for the next step, one a symbol and date."""
+    out, _ = signal_report(spark, d)
+    projected = report.signals_projection(out.where("breakout_signal"))
+    return rows(report.dedupe_signals(projected), "cum_vol_ratio leader_score", "symbol", "date", "trigger_time")
+
+
+@query(_REPORT + f", one AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN signal THEN coalesce(cum_vol_ratio, 0.0) END DESC NULLS LAST, leader_score DESC NULLS LAST, trigger_time NULLS LAST, symbol) AS k FROM rep WHERE signal) SELECT symbol, date, k AS pick, {q.rows('cum_vol_ratio')} FROM one WHERE k <= 3")
+def picked_candidates(spark, d):
+    """The three best signals of every date."""
+    out, _ = signal_report(spark, d)
+    return rows(report.select_candidates(out, 3, every_date=True).withColumn("pick", F.col("pick").cast("long")), "cum_vol_ratio", "symbol", "date", "pick")
+
+
+@query(_REPORT + f""", lt AS (SELECT * FROM rep WHERE date = (SELECT max(date) FROM rep))
+, o1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN signal THEN coalesce(cum_vol_ratio, 0.0) END DESC NULLS LAST, {_ORDER}, leader_score DESC NULLS LAST, setup_score_pre DESC NULLS LAST) AS k FROM lt)
+, o2 AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN signal THEN coalesce(cum_vol_ratio, 0.0) END DESC NULLS LAST, {_ORDER}, leader_score DESC NULLS LAST, setup_score_pre DESC NULLS LAST, symbol) AS rank_order FROM o1 WHERE k = 1)
+SELECT symbol, date, rank_order, date + CASE isodow(date) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS session_date, {q.rows('leader_score setup_score_pre')} FROM o2 WHERE rank_order <= 5""")
+def next_shortlist(spark, d):
+    out, _ = signal_report(spark, d)
+    return rows(report.shortlist(out, 5).withColumn("rank_order", F.col("rank_order").cast("long")), "leader_score setup_score_pre", "symbol", "date", "rank_order", "session_date")
+
+
+@query(_REPORT + ", a AS (SELECT u.symbol, CASE WHEN m IS NULL THEN 'missing' WHEN (SELECT max(date) FROM rolled0) - m > 0 THEN 'stale' ELSE 'fresh' END AS status FROM (SELECT DISTINCT symbol FROM rolled0) u LEFT JOIN (SELECT symbol, max(date) AS m FROM rolled0 WHERE symbol <> 'E3' AND (symbol <> 'E5' OR date < (SELECT max(date) FROM rolled0)) GROUP BY 1) USING (symbol)) SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(*) FILTER (signal) AS signals, (SELECT count(*) FROM a WHERE status = 'stale') AS stale, (SELECT count(*) FROM a WHERE status = 'missing') AS missing FROM rep")
+def report_totals(spark, d):
+    """One row over the report and an audit in which a symbol is missing and one is a day behind."""
+    out, _ = signal_report(spark, d)
+    rolled = fx.daily_of(fx.intraday(spark, d))
+    newest = rolled.agg(F.max("date").alias("newest"))
+    bars = rolled.crossJoin(newest).where("symbol <> 'E3' AND (symbol <> 'E5' OR date < newest)").withColumnRenamed("date", "ts")  # one row
+    return report.run_summary(out, clean.audit_symbol_gaps(bars, rolled.select("symbol")))
+
+
+@query(SCORED + f"SELECT symbol, date, CASE WHEN setup_score_pre >= 60 THEN 'normal' WHEN setup_score_pre >= 50 THEN 'override' ELSE 'none' END AS setup_tier, {q.rows('setup_score_pre leader_score')} FROM scored WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND history_ok AND leader_pass AND setup_score_pre >= 50")
+def setups(spark, d):
+    """Setup candidates of a year; without the scope, as history before it feeds the scores."""
+    scored = levels.daily_scores(fx.daily(spark, d))
+    return rows(clean.setup_candidates(scored, "1997-01-01", "1997-12-31", 50.0), "setup_score_pre leader_score", "symbol", "date", "setup_tier")
+
+
+@query(q.stack(q.DAILY, select=f"SELECT symbol, date, {q.r4('close')} FROM daily WHERE date BETWEEN DATE '1997-06-01' - 90 AND DATE '1997-06-30'"))
+def scoped_history(spark, d):
+    return rows(clean.scope_daily_history(fx.daily(spark, d), "1997-06-01", "1997-06-30", 90), "close", "symbol", "date")
+
+
+@query(SCORED + f", top AS (SELECT *, row_number() OVER (ORDER BY total_score DESC, symbol, date) AS k FROM scored WHERE total_score IS NOT NULL AND breakout_type <> 'none') SELECT symbol, date, {q.rows('total_score')} FROM top WHERE k <= 30")
+def best_breakouts(spark, d):
+    """The thirty best breakouts."""
+    scored = levels.daily_scores(fx.daily(spark, d)).where("total_score IS NOT NULL AND breakout_type <> 'none'")
+    return rows(report.top_n(scored, 30, F.desc("total_score"), F.asc("symbol"), F.asc("date")), "total_score", "symbol", "date")
+
+
+@query(q.stack(q.DAILY, f"l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM daily), p AS (SELECT symbol, max(date) AS date, 1.01 * arg_max(close, date) AS price FROM daily WHERE right(symbol, 1) IN ('1', '2') GROUP BY 1)", select=f"SELECT l.symbol, l.date, floor(coalesce(p.price, l.close) * 10000 + 0.48713) / 10000 AS close FROM l LEFT JOIN p USING (symbol, date) WHERE k = 1 AND right(l.symbol, 1) <> '9'"))
+def latest_with_quotes(spark, d):
+    """The newest row of each symbol that is not held, its close replaced by a quote where there is one."""
+    bars = fx.daily(spark, d)
+    latest = report.latest_per_symbol(report.anti_symbols(bars, bars.where(F.col("symbol").endswith("9"))))
+    quotes = bars.where(F.substring("symbol", -1, 1).isin("1", "2")).groupBy("symbol").agg(F.max("date").alias("date"), (1.01 * F.max_by("close", "date")).alias("price"))
+    return rows(report.patch_close(latest, quotes), "close", "symbol", "date")
+
+
+@query(SCORED + f", t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY total_score DESC, leader_score DESC NULLS LAST, symbol) AS k FROM scored WHERE total_score IS NOT NULL) SELECT symbol, date AS feature_date, k AS rank_order, count(*) OVER (PARTITION BY date) AS daily_rows, {q.r4('min(total_score) OVER (PARTITION BY date)', 'daily_cutoff')} FROM t WHERE k <= 5")
+def ranked_watchlist(spark, d):
+    scored = levels.daily_scores(fx.daily(spark, d)).where("total_score IS NOT NULL").select("symbol", F.col("date").alias("feature_date"), F.col("total_score").alias("score"), "leader_score")
+    return rows(report.watchlist_topk(scored, 5).withColumn("rank_order", F.col("rank_order").cast("long")), "daily_cutoff", "symbol", "feature_date", "rank_order", "daily_rows")
+
+
+def _positions(spark, d) -> DataFrame:
+    """A position in each symbol, entered ten bars before its newest bar, with flags by symbol."""
+    n = F.col("symbol").substr(2, 5).cast("int")
+    bars = fx.daily(spark, d).withColumns({"k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))), "low10": F.min("low").over(last_n(10))})
+    p = bars.where(F.col("k") == F.when(n % 6 == 0, 2).otherwise(11))
+    entry = F.col("close") * F.when(n % 5 == 0, 0.4).when(n % 5 == 1, 0.8).otherwise(1.0)
+    return p.select("symbol", F.col("date").alias("entry_date"), entry.alias("entry_price"), (entry * F.when(n % 7 == 0, 1.2).otherwise(0.5)).alias("initial_stop"), (entry * F.when(n % 6 == 0, 1.5).otherwise(1.0)).alias("pivot_level"), F.lit(101).alias("initial_shares"), F.lit(101).alias("quantity"), (n % 3 == 0).alias("partial_profit_taken"), (n % 4 == 0).alias("reduced_on_dma21"), (n % 2 == 0).alias("pending_dma21_grace"), (entry * F.when(n % 5 == 0, 3.2).otherwise(1.1)).alias("peak_close"))
+
+
+def _exit_rows(spark, d) -> DataFrame:
+    out = daily.hold_score(fx.daily(spark, d)).withColumn("dma50", F.col("sma50"))
+    return report.latest_per_symbol(out.withColumns({"dma21": F.col("sma21")})).select("symbol", "date", "close", "high", "low", "prev_low", "dma21", "dma50", "week_end", "hold_score")
+
+
+_HOLD_ROWS = f"hx AS (SELECT *, {q.surf('sma10', 5, 0.8, 1.0, 0.985, 1.0)} AS s10, {q.surf('sma21', 8, 0.75, 1.2, 0.98, 1.5)} AS s21, {q.roll('max', 'high', 10)} AS h10, {q.lag('low')} AS prev_low, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM base), hs AS (SELECT *, {HOLD_SQL} AS hold_score FROM hx)"
+
+
+@query(q.stack(
+    q.DAILY, q.features(), _HOLD_ROWS,
+    """ps AS (SELECT symbol, n, date AS entry_date, e AS entry_price, e * CASE WHEN n % 7 = 0 THEN 1.2 ELSE 0.5 END AS initial_stop, e * CASE WHEN n % 6 = 0 THEN 1.5 ELSE 1.0 END AS pivot_level, n % 3 = 0 AS taken, n % 4 = 0 AS reduced, n % 2 = 0 AS grace, e * CASE WHEN n % 5 = 0 THEN 3.2 ELSE 1.1 END AS peak
+  FROM (SELECT *, close * CASE n % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 0.8 ELSE 1.0 END AS e FROM (SELECT *, substr(symbol, 2)::INT AS n FROM hs) WHERE k = CASE WHEN n % 6 = 0 THEN 2 ELSE 11 END))""",
+    """act AS (SELECT p.*, h.close, h.date, CASE
+  WHEN h.low <= initial_stop THEN ['exit', 'hard_stop'] WHEN h.date - entry_date <= 1 AND h.close < pivot_level THEN ['exit', 'pivot_fail']
+  WHEN taken AND peak >= entry_price * 3.0 AND h.low < prev_low THEN ['exit', 'prior_low_stop'] WHEN NOT taken AND h.high >= entry_price * 1.2 THEN ['reduce', 'partial_profit']
+  WHEN taken AND h.week_end AND h.close < h.sma50 THEN ['exit', 'weekly_dma50']
+  WHEN NOT taken AND h.close < h.sma21 AND hold_score >= 20 AND NOT grace THEN ['hold', 'dma21_grace'] WHEN NOT taken AND h.close < h.sma21 AND hold_score >= 20 AND NOT reduced THEN ['reduce', 'dma21_reduce']
+  WHEN NOT taken AND h.close < h.sma21 THEN ['exit', 'dma21'] ELSE ['hold', 'none'] END AS x, initial_stop AS stop, prev_low FROM ps p JOIN hs h ON p.symbol = h.symbol AND h.k = 1)""",
+    select=f"SELECT symbol, x[1] AS action, x[2] AS reason, CASE x[1] WHEN 'exit' THEN 0 WHEN 'reduce' THEN 50 ELSE 101 END AS target_shares, {q.r4("CASE x[2] WHEN 'hard_stop' THEN stop WHEN 'prior_low_stop' THEN prev_low WHEN 'partial_profit' THEN entry_price * 1.2 ELSE close END", 'price')}, taken OR x[2] = 'partial_profit' AS partial_now, grace OR x[2] = 'dma21_grace' AS grace_now, {q.r4('greatest(peak, close)', 'peak_now')} FROM act",
+))
+def exit_actions(spark, d):
+    """What to do with a position in each symbol, hold-score branch included."""
+    out = ledger.exit_action(_positions(spark, d), _exit_rows(spark, d), hold_branch=True, hold_floor=20.0)
+    return rows(out, "price peak_now", "symbol", "action", "reason", "target_shares", "partial_now", "grace_now")
+
+
+@query(RUN + f""", v AS (SELECT *, sum((high + low + close) / 3.0 * volume) OVER ({q.S}) / nullif(sum(volume) OVER ({q.S}), 0) AS vwap, hour(ts) * 60 + minute(ts) - 570 AS minutes_from_open, lead(open) OVER ({q.S}) AS next_open, last(close) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_close FROM slotted)
+, w AS (SELECT *, last_value(CASE WHEN slot % 3 = 2 THEN close / nullif(vwap, 0) - 1.0 END IGNORE NULLS) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close_vs_vwap FROM v)
+, {q.ROLLED}
+, dp AS (SELECT symbol, date AS session_date, {q.lag('high')} AS prev_high, {q.lag('close / nullif(open, 0) - 1.0')} AS rs_score_prev, {q.lag('(high - low) / nullif(close, 0)')} AS atr_pct_prev FROM rolled)
+SELECT w.symbol, w.ts, minutes_from_open, {q.rows('close_vs_vwap next_open session_close')}, {q.r4('close / nullif(prev_high, 0) - 1.0', 'dist_prev_high')}, {q.r4('rs_score_prev * cum_vol_ratio', 'rs_x_rvol')}, {q.r4('((high - low) / nullif(close, 0)) / nullif(atr_pct_prev, 0)', 'range_to_atr')} FROM w LEFT JOIN dp USING (symbol, session_date) WHERE minutes_from_open BETWEEN 5 AND 90""")
+def intraday_panel(spark, d):
+    """Features of the bars within the signal window (the exponential average is tested apart)."""
+    bars = fx.intraday(spark, d)
+    rolled = fx.daily_of(bars).withColumns({"prev_high": lag("high"), "rs_score_prev": lag(div("close", "open") - 1.0), "atr_pct_prev": lag(div(F.col("high") - F.col("low"), "close"))})
+    out = intraday.intraday_feature_panel(bars, rolled.select("symbol", "date", "prev_high", "rs_score_prev", "atr_pct_prev"))
+    return rows(out, "close_vs_vwap next_open session_close dist_prev_high rs_x_rvol range_to_atr", "symbol", "ts", F.col("minutes_from_open").cast("long").alias("minutes_from_open"))
+
+
+@query(q.stack(q.INTRADAY, select=f"SELECT replace(symbol, 'E', 'E-') AS symbol, timezone('America/New_York', timezone('UTC', ts)) AS ts, timezone('America/New_York', timezone('UTC', ts))::DATE AS session_date, {q.rows(BAR)} FROM bars"))
+def new_york_bars(spark, d):
+    """Bars read as UTC instants, in New York wall clock, symbols cleaned."""
+    bars = fx.intraday(spark, d).withColumns({"Symbol": F.concat(F.lit(" "), F.lower(F.replace(F.col("symbol"), F.lit("E"), F.lit("e.")))), "ts": F.col("ts").cast("timestamp")})
+    out = clean.normalize_intraday_bars(bars.withColumnRenamed("Symbol", "SYMBOL"))
+    return rows(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), BAR, "symbol", "ts", "session_date")
+
+
+@query(q.stack(q.DAILY, select="SELECT symbol, max(date) AS latest_ts, (SELECT DATE '2002-01-01' - max(date) FROM daily)::DOUBLE AS age_days FROM daily GROUP BY 1"))
+def freshness(spark, d):
+    bars = fx.daily(spark, d).withColumnRenamed("date", "ts")
+    age = clean.bars_freshness_days(bars, F.lit("2002-01-01").cast("date"))
+    return clean.latest_ts_by_symbol(bars).crossJoin(age)  # one row
+
+
+@query(INTRA + f", ft AS (SELECT symbol, session_date, min(ts) AS trigger_time, arg_min(trigger_score, ts) FILTER (trigger_score IS NOT NULL) AS trigger_score FROM std WHERE h_up OR d_up GROUP BY 1, 2) SELECT symbol, session_date, trigger_time, {q.rows('trigger_score')} FROM ft WHERE strftime(trigger_time, '%H:%M') >= '09:45' AND trigger_score >= 40")
+def filtered_triggers(spark, d):
+    found = intraday.first_trigger(_standard_events(spark, d))
+    return rows(clean.signal_score_filter(clean.signal_time_filter(found, "09:45"), 40.0), "trigger_score", "symbol", "session_date", "trigger_time")

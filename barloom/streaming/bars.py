@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,11 +30,16 @@ def quote_stream(df: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def quotes_to_bars(quotes: DataFrame) -> DataFrame:
-    """Bars of all quotes (batch): volume is the growth of cumulative volume, carried across bars; the
-    first quote and a day's reset give 0."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    step = F.greatest(F.lit(0.0), F.col("cumulative_volume") - F.lag("cumulative_volume").over(w))
-    rows = quotes.withColumns({"v": F.coalesce(F.when(F.lag("cumulative_volume").over(w).isNotNull(), step), F.lit(0.0)), "bar": F.window("ts", f"{MINUTES} minutes")["start"]})
+    """Bars of all quotes (batch): volume is the growth of cumulative volume, carried across bars and days; the
+    first quote and a day's reset give 0. Quotes are ordered within a symbol's day; from day to day only the
+    last cumulative volume is carried."""
+    rows = quotes.withColumn("day", F.to_date("ts"))
+    last = rows.groupBy("symbol", "day").agg(F.max_by("cumulative_volume", "ts").alias("last"))
+    carried = last.select("symbol", "day", F.lag("last").over(Window.partitionBy("symbol").orderBy("day")).alias("carried"))
+    before = F.coalesce(F.lag("cumulative_volume").over(Window.partitionBy("symbol", "day").orderBy("ts")), F.col("carried"))
+    rows = rows.join(carried, ["symbol", "day"]).withColumn("before", before)
+    step = F.greatest(F.lit(0.0), F.col("cumulative_volume") - F.col("before"))
+    rows = rows.withColumns({"v": F.coalesce(F.when(F.col("before").isNotNull(), step), F.lit(0.0)), "bar": F.window("ts", f"{MINUTES} minutes")["start"]})
     return rows.groupBy("symbol", F.col("bar").alias("ts")).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("v").alias("volume"))
 
 
@@ -89,15 +94,41 @@ def stop_alerts(quotes: DataFrame, positions: DataFrame, peak_at: float = 2.0) -
     return rows.withColumn("alert", alert).where("alert IS NOT NULL").select("symbol", "ts", "price", "alert")
 
 
-def live_breakouts(bars: DataFrame, history: DataFrame, context: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """For each micro-batch of bars: first triggers of the symbols in it, from history and all bars so far
-    (history is a table that the caller's bar sink appends to), appended to `out`."""
+TRIGGER = "symbol string, session_date date, trigger_time timestamp, trigger_close double, trigger_score double, trigger_cum_vol_ratio double, trigger_bar_vol_ratio double, trigger_move_from_open double, trigger_low double, trigger_session_low_so_far double, trigger_breakout_type string"
+
+
+def live_breakouts(bars: DataFrame, history: DataFrame, context: DataFrame, out: str, checkpoint: str, lookback_days: int = 45, **trigger) -> StreamingQuery:
+    """First triggers of sessions, as bars arrive: each once, in the folder of the micro-batch that found it
+    (out/epoch=n, overwritten where a batch is run again).
+
+    A batch looks at its own symbols alone, in the history (a table that the caller's bar sink appends to) of
+    the last `lookback_days`, which hold the sessions of the same-slot baseline. trigger: as for
+    DataStreamWriter.trigger, all that is available at once by default."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        touched = batch.select("symbol").distinct()
-        seen = history.unionByName(batch.withColumn("session_date", F.to_date("ts")), allowMissingColumns=True).dropDuplicates(["symbol", "ts"]).join(touched, "symbol", "left_semi")
+        rows = batch.withColumn("session_date", F.to_date("ts"))
+        first = rows.agg(F.min("session_date")).first()[0]
+        if first is None:
+            return
+        touched = rows.select("symbol").distinct()
+        recent = history.where(F.col("session_date") >= F.date_sub(F.lit(first), lookback_days))
+        seen = recent.unionByName(rows, allowMissingColumns=True).dropDuplicates(["symbol", "ts"]).join(touched, "symbol", "left_semi")
         events = standard_breakouts(same_slot_volume(session_running(seen)), context)
-        new = batch.select("symbol", F.to_date("ts").alias("session_date")).distinct()
-        first_trigger(events).join(new, ["symbol", "session_date"], "left_semi").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        found = first_trigger(events).join(rows.select("symbol", "session_date").distinct(), ["symbol", "session_date"], "left_semi")
+        told = _earlier(batch.sparkSession, out, epoch)
+        found = found if told is None else found.join(told, ["symbol", "session_date"], "left_anti")
+        found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _earlier(spark: SparkSession, out: str, epoch: int) -> DataFrame | None:
+    """Sessions that batches before this one have told of."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(f"{TRIGGER}, epoch long").parquet(out).where(F.col("epoch") < epoch).select("symbol", "session_date")
+
 
-    return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_triggers(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(f"{TRIGGER}, epoch long").parquet(out)

@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import ranks
 from barloom.functions.columns import assert_unique, pct_rank, require_columns
 from barloom.operators import clean, daily, intraday, learn, ledger, levels, report
 from barloom.sources import fixtures as fx
@@ -64,8 +67,6 @@ def loop_zigzag(highs, lows, order):
 
 
 def test_zigzag_equals_a_loop(spark):
-    import random
-
     r = random.Random(3)
     for n in (1, 4, 60):
         highs = [10 + r.randint(0, 6) for _ in range(n)]
@@ -95,8 +96,6 @@ def test_fifo_discards_what_was_not_there(spark):
 
 
 def test_fifo_equals_a_queue(spark):
-    import random
-
     r, rows, want = random.Random(4), [], []
     for s in "ABC":
         queue = []
@@ -152,8 +151,137 @@ def test_tight_entry_reasons_in_order(spark):
 def test_walk_forward_skips_the_first_fold(spark):
     dates = spark.range(40).select(F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("date"))
     got = [tuple(r) for r in learn.walk_forward_folds(dates, 5, 15, 1).orderBy("fold").collect()]
-    assert [r[0] for r in got] == [1, 2, 3, 4]
-    assert got[0] == (1, 0, 19, 20, 25) and got[-1][-1] == 40
+    assert got == [(0, 0, 19, 20, 25), (1, 0, 24, 25, 30), (2, 0, 29, 30, 35), (3, 0, 34, 35, 40)]
+    dates = dates.limit(37)  # what is left after five blocks makes the fifth fold
+    got = [tuple(r)[2:] for r in learn.walk_forward_folds(dates, 5, 15, 1).orderBy("fold").collect()]
+    assert got == [(18, 19, 23), (22, 23, 27), (26, 27, 31), (30, 31, 35), (34, 35, 37)]
+    got = [tuple(r)[2:] for r in learn.walk_forward_folds(dates, 5, 15, 0).orderBy("fold").collect()]
+    assert got[0] == (15, 15, 19) and got[-1] == (31, 31, 37) and len(got) == 5
+    assert learn.walk_forward_folds(dates.limit(15), 5, 15, 1).count() == 0
+
+
+def test_cost_labels_by_hand(spark):
+    rows = [(100.0, 101.0), (100.0, 100.3), (100.0, 100.0), (0.0, 5.0), (None, 5.0)]
+    got = [(r.net_return, r.label) for r in intraday.exec_cost_labels(spark.createDataFrame(rows, "next_open double, session_close double")).collect()]
+
+    def by_hand(entry, close):
+        penalty = min(0.0040, max(0.0010, 0.0005 + 0.25 * abs(close - entry) / entry))
+        return close * (1 - 0.00075) * 0.998 / (entry * (1 + 0.00075 + penalty) * 1.002) - 1
+
+    for (e, c), (net, label) in zip(rows[:3], got):
+        assert net == pytest.approx(by_hand(e, c)) and label == int(net > 0)
+    assert [x[1] for x in got] == [1, 0, 0, 0] and got[3][0] is None
+
+
+def test_relative_strength_and_hold_score_by_hand(spark):
+    highs = [100.0 * 1.01**k for k in range(300)]
+    one = bars(spark, highs, [0.99 * h for h in highs], highs)
+    r = daily.base_features(one).withColumn("rs", daily.rs_blend()).orderBy(F.desc("date")).first()
+    want = 100 * (0.4 * (1.01**21 - 1) + 0.2 * (1.01**63 - 1) + 0.2 * (1.01**126 - 1) + 0.2 * (1.01**252 - 1))
+    assert r.rs == pytest.approx(want)
+    adjusted = one.withColumn("adj_close", F.when(F.col("date") < F.lit(day(299)), F.col("close")).otherwise(F.col("close") * 2))
+    universe = spark.createDataFrame([("A", "s", "i")], "symbol string, sector string, industry string")
+    a, b = (daily.daily_feature_history(x, universe).orderBy(F.desc("date")).first() for x in (one, adjusted))
+    assert b.close == pytest.approx(2 * a.close) and b.rs_score > a.rs_score
+    early = {x.history_n: x for x in daily.hold_score(one).where("history_n <= 30").collect()}
+    assert early[9].hold_pullback == 0.0 and early[10].hold_pullback > 0  # a high of ten rows needs ten
+    assert early[20].hold_slope == 0.0 and early[26].hold_slope > 0  # without the longer slope the shorter counts for nothing
+
+
+def test_order_states_by_hand(spark):
+    rows = [("new", 10, 10, "FILLED"), ("rejected", 10, 12, "FILLED"), ("pending cancel", 10, 3, "CANCEL_REQUESTED"), ("cancelled", 10, 3, "CANCELLED"), ("user cancel", 10, 3, "PARTIALLY_FILLED"), ("user cancel", 10, 0, "CANCELLED"), ("order reject", 1, 0, "REJECTED"), ("failure", 1, 0, "FAILED"), ("partial", 5, 1, "PARTIALLY_FILLED"), ("partial", 5, 0, "PARTIAL"), ("filled", 0, 0, "FILLED"), (None, 1, None, "UNKNOWN"), ("submitted", 1, 0, "SUBMITTED")]
+    df = spark.createDataFrame(rows, "s string, q int, f int, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", ledger.order_status("s", "q", "f")).collect())
+
+
+def test_sizing_with_missing_values(spark):
+    names = "id int, open double, prev_close double, low_so_far_at_trigger double, effective_pivot_level double, pivot_high double, trigger_close double, atr20 double, adr20_pct double, entry_stop_policy string"
+    rows = [
+        (1, 10.0, 10.0, 9.5, 9.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),
+        (2, 11.0, 10.0, 9.5, 9.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # opens ten percent up
+        (3, None, 10.0, 9.5, 9.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # unknown gap
+        (4, 10.0, 10.0, None, 9.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # no low
+        (5, 10.0, 10.0, 9.5, None, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # no level
+        (6, 10.0, 10.0, 9.5, 9.8, None, 10.0, None, None, "respect_stop_limit"),  # no limit
+        (7, 10.0, 10.0, 9.5, 9.8, None, 10.0, 0.1, None, "respect_stop_limit"),  # too wide
+        (8, 10.0, 10.0, 9.5, 9.8, None, 10.0, 0.1, 0.01, "ignore_stop_limit"),
+        (9, 10.0, 10.0, 10.5, 10.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # no risk
+    ]
+    got = {r.id: r.shares for r in report.risk_sizing(spark.createDataFrame(rows, names), 9000.0, 9000.0).collect()}
+    shares = int(90 / (10 - 9.5 * 0.999))
+    assert got == dict.fromkeys((1, 3, 6, 8), shares)
+
+
+def test_priority_bonus_and_missing_ranks(spark):
+    report_ = spark.createDataFrame([("A", day(3), 96.0, 10.0, 0.0, 0.0, 0.0), ("B", day(3), 94.0, 10.0, 0.0, 0.0, 0.0)], "symbol string, date date, leader_score double, setup_score_pre double, trigger_score double, cum_vol_ratio double, move_from_open double")
+    features = daily.base_features(bars(spark, range(10, 60))).withColumn("runup", daily.prior_runup())
+    universe = spark.createDataFrame([("A", "i", None), ("B", None, None)], "symbol string, industry string, market_cap double")
+    got = {r.symbol: r for r in report.industry_priority(report_, features, universe).collect()}
+    assert got["A"].industry_priority == pytest.approx(25.0 * 36 / 40 + 10.0 * 0.02 / 0.08 + 20.0) and not got["A"].a_plus
+    assert got["B"].industry_priority == pytest.approx(25.0 * 34 / 40 + 10.0 * 0.02 / 0.08)
+    assert got["A"].small_cap_score == got["B"].industry_rs == 0.5
+
+
+def test_best_point_falls_back_in_steps(spark):
+    df = spark.createDataFrame([("a", 5, 9.0, 90.0), ("b", 60, 1.0, 80.0), ("c", 70, 0.5, 95.0)], "grid_id string, n long, score double, leader_min double")
+    best = lambda *a: learn.select_best(df, *a).first().grid_id
+    assert best(50, F.col("leader_min") >= 90) == "c" and best(50, F.col("leader_min") >= 99) == "b" and best(99, F.col("leader_min") >= 90) == "a" and best(50) == "b"
+
+
+def test_ranks_and_quantiles_of_whole_columns(spark):
+    r = random.Random(6)
+    x = [r.choice([None, round(r.gauss(0, 1), 2)]) for _ in range(4000)] + [0.5] * 900
+    df = spark.createDataFrame([(v,) for v in x], "x double").repartition(6)
+    series = pd.Series(x)
+    known = series.dropna()
+    got = {row.x: row.k for row in ranks.pct_ranks(df, "x", "k").collect()}
+    assert got == pytest.approx(dict(zip(known, known.rank(pct=True))))
+    probabilities = [0.0, 0.01, 0.5, 0.83, 1.0]
+    row = ranks.quantiles(df, "x", probabilities).first()
+    assert row.n == len(known) and [row[f"q{i}"] for i in range(5)] == pytest.approx([known.quantile(p) for p in probabilities])
+    none = ranks.quantiles(df.where("x IS NULL"), "x", [0.5]).first()
+    assert none.n == 0 and none.q0 is None
+
+
+def test_sweep_equals_brute_force(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, r.random()]), r.random(), round(r.gauss(0, 1), 1), -r.random()) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, ret double, mae double").repartition(3)
+    grid = spark.createDataFrame([(f"{x}/{y}", x, y) for x in (0.0, 0.3, 0.7) for y in (0.2, 0.5, 0.9, 1.0)], "grid_id string, x double, y double")
+    for chunk in (50, 10**6):
+        got = {g.grid_id: g for g in learn.threshold_sweep(df, grid, {"a": "x"}, {"b": "y"}, min_count=2, chunk_rows=chunk).collect()}
+        for g in grid.collect():
+            mine = [(ret, mae) for a, b, ret, mae in rows if a is not None and a >= g.x and b <= g.y]
+            assert len(mine) >= 2
+            s, row = pd.Series([m[0] for m in mine]), got[g.grid_id]
+            assert (row.n, row.mean_ret, row.median_ret, row.win_rate, row.mean_mae) == pytest.approx((len(mine), s.mean(), s.median(), (s > 0).mean(), sum(m[1] for m in mine) / len(mine)))
+
+
+def test_logistic_scores_equal_a_plain_fit(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(400):
+        x = [r.gauss(0, 1), r.gauss(0, 2)]
+        rows.append((k, day(k % 20), *x, int(x[0] - 0.5 * x[1] + r.gauss(0, 1) > 0.8)))
+    df = spark.createDataFrame(rows, "k int, date date, a double, b double, y int")
+    fitted = learn.fit_preprocessor(df, ["a", "b"])
+    ready = learn.transform(df, fitted)
+    p = pd.DataFrame(rows, columns=["k", "date", "a", "b", "y"])
+    z = p.groupby("date")[["a", "b"]].transform(lambda c: (c - c.mean()) / c.std(ddof=1))
+    z = z.apply(lambda c: c.clip(c.quantile(0.01), c.quantile(0.99)))
+    z = (z.fillna(z.median()) - z.fillna(z.median()).mean()) / z.fillna(z.median()).std(ddof=0)
+    got = {x.k: (x.a_x, x.b_x, x.score) for x in learn.train_and_score_logistic(ready, ready, ["a_x", "b_x"], "y").collect()}
+    x, y = np.column_stack([np.ones(len(z)), z.to_numpy()]), p["y"].to_numpy()
+    weight, beta = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), np.zeros(3)
+    for _ in range(60):  # Newton's method on the penalised likelihood, the intercept free
+        m = 1 / (1 + np.exp(-x @ beta))
+        penalty = np.diag([0.0, 1.0, 1.0])
+        beta -= np.linalg.solve(x.T @ (x * (weight * m * (1 - m))[:, None]) + penalty, x.T @ (weight * (m - y)) + penalty @ beta)
+    want = 1 / (1 + np.exp(-x @ beta))
+    for k in range(400):
+        assert got[k][:2] == pytest.approx(tuple(z.iloc[k]), abs=1e-6) and got[k][2] == pytest.approx(want[k], abs=1e-4)
+    c = learn.coefficient_summary(spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (2, "a", 8.0)], "fold int, feature string, coefficient double")).first()
+    assert (c.folds, c.mean, c.median) == (3, 4.0, 3.0)
 
 
 def test_truncation_leaves_earlier_rows_unchanged(spark):
@@ -233,8 +361,9 @@ def test_report_flow(spark):
     signals = merged.where("breakout_signal")
     n = signals.count()
     assert n > 0 and signals.where("entry_priority_bucket <> 0 OR entry_lane <> 'compact' OR leader_score < 60 OR cum_vol_ratio < 1.5").count() == 0
-    total = report.daily_summary(merged).agg(F.sum("signal_count"), F.sum("standard_count") + F.sum("zigzag_count")).first()
-    assert total[0] == total[1] == n
+    total = report.daily_summary(merged).agg(F.sum("signal_count"), F.sum("standard_count"), F.sum("zigzag_count"), F.sum("tight_reversal_count"), F.sum("setup_count")).first()
+    both = merged.where("breakout_signal AND signal_before AND lane_before = 'standard'").count()
+    assert tuple(total) == (n, both, 0, 0, merged.where("setup_candidate").count())
     one = report.dedupe_signals(signals)
     assert one.count() == signals.select("symbol", "date").distinct().count()
     assert report.select_candidates(merged, 2, every_date=True).groupBy("date").count().where("count > 2").count() == 0

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from barloom.sources import fixtures as fx
-from barloom.streaming.bars import bar_stream, clean_quotes, quote_stream, quotes_to_bars
+from barloom.operators.intraday import first_trigger, same_slot_volume, session_running, standard_breakouts
+from barloom.streaming.bars import bar_stream, clean_quotes, live_breakouts, quote_stream, quotes_to_bars, read_triggers
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,33 @@ def test_volume_is_carried_and_resets_are_cut(spark):
     df = clean_quotes(spark.createDataFrame(rows, "symbol string, ts string, price double, cumulative_volume double"))
     got = [(r.open, r.close, r.volume) for r in quotes_to_bars(df).orderBy("ts").collect()]
     assert got == [(1.0, 2.0, 30.0), (3.0, 3.0, 20.0), (4.0, 4.0, 0.0)]
+
+
+def test_live_triggers_come_once(spark, tmp_path):
+    import shutil
+
+    bars = fx.intraday(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    rolled = fx.daily_of(bars)
+    context = rolled.select("symbol", F.col("date").alias("session_date"), (F.col("open") * 1.001).alias("pivot_high"), F.lit(False).alias("diag_valid"), F.lit(None).cast("double").alias("diag_resistance"), F.lit(1.0).alias("atr20"), F.col("open").alias("prev_close"))
+    last = bars.agg(F.max("session_date")).first()[0]
+    old, new = bars.where(F.col("session_date") < last), bars.where(F.col("session_date") == last)
+    folder = tmp_path / "bars"
+    rows = new.drop("session_date").orderBy("ts").toPandas()
+    for k in range(3):  # bars of one session come in three batches; the sink's table grows with them
+        part = spark.createDataFrame(rows.iloc[k::3] if k else rows.iloc[0::3])
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+    schema = spark.read.parquet(str(folder)).schema
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run(path):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        live_breakouts(stream, old.unionByName(new), context, out, path).awaitTermination(240)
+
+    run(mark)
+    events = standard_breakouts(same_slot_volume(session_running(bars)), context)
+    want = {(r.symbol, r.session_date, r.trigger_time) for r in first_trigger(events).where(F.col("session_date") == last).collect()}
+    got = [(r.symbol, r.session_date, r.trigger_time) for r in read_triggers(spark, out).collect()]
+    assert want and sorted(got) == sorted(want)
+    run(str(tmp_path / "again"))  # a new checkpoint runs all batches again: each overwrites its own folder
+    assert sorted((r.symbol, r.session_date, r.trigger_time) for r in read_triggers(spark, out).collect()) == sorted(want)
+    shutil.rmtree(out)
