@@ -43,8 +43,8 @@ from barloom.llm.pieces import slices
 FOLDS, HELD_OUT = 7, 2
 HEADS, TABLE = 1024, 400_000
 #: Training: rounds, tokens a copy and round, tokens of a segment, copies averaged at a time.
-ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 750_000, 2048, 32, 0.2
-#: Lanes and window of a copy's first updates, how many tokens those see, and of the rest.
+ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 1_500_000, 2048, 32, 0.2
+#: Lanes and window of a copy's first updates in the first round, how many tokens those see, and of the rest.
 FIRST, FIRST_TOKENS, THEN = (32, 16), 100_000, (256, 24)
 #: The end token's key: no word is empty.
 END = b""
@@ -194,14 +194,14 @@ def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int =
     copies = max(1, round(vocabulary.n / ROUNDS / copy_tokens))
     rows = rows.select(name.alias("name"), F.pmod(F.xxhash64(name, F.lit("round")), F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(name, F.lit("copy")), F.lit(copies)).alias("copy"), "tokens")
     for k in range(ROUNDS):
-        start = spark.sparkContext.broadcast(flat)
+        start, again = spark.sparkContext.broadcast(flat), k > 0
 
         def learn(table: pa.Table) -> pa.Table:
             model = _index(shared.value)[0].model().load(start.value)
             table = table.sort_by([("name", "ascending"), ("tokens", "ascending")])
             docs = [np.frombuffer(t.as_py(), np.uint16) for t in table.column("tokens")]
             sizes = np.cumsum([len(d) for d in docs])
-            first = int(np.searchsorted(sizes, FIRST_TOKENS, "right"))
+            first = 0 if again else int(np.searchsorted(sizes, FIRST_TOKENS, "right"))
             memory = None
             for part, (lanes, window) in ((docs[:first], FIRST), (docs[first:], THEN)):
                 if part:
