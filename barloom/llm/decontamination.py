@@ -179,10 +179,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (text, ...) that contain none of the items (text). One pass over docs a block of items."""
     common.ship(docs.sparkSession)
-    out, schema = docs, docs.schema
+    # by position within the tasks, as names may hold dots
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema, text = out.schema, F.col(f"c{docs.columns.index('text')}").alias("__text")
     for name, block in _blocks(_texts(items)):
-        out = out.select("*", F.col("text").alias("__text")).mapInArrow(_drop(name, block, threshold), schema)
-    return out
+        out = out.select("*", text).mapInArrow(_drop(name, block, threshold), schema)
+    return out.toDF(*docs.columns)
 
 
 def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

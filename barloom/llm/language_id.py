@@ -151,7 +151,8 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], names: tuple
     n = prototypes.count()
     blocks = max(1, -(-n // LANGUAGES))
     alphabet = spark.sparkContext.broadcast(codes)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    # by position within the tasks, as names may hold dots
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
     kinds = rows.schema.fields[:-1]
     told = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())]
     for k in range(blocks):
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], names: tuple
         last = k + 1 == blocks
         schema = T.StructType([*kinds, *told, *([] if last else [T.StructField("__text", T.StringType())])])
         rows = rows.mapInArrow(_predict(model, alphabet, len(kinds), k > 0, last, schema.names), schema)
-    return rows
+    return rows.toDF(*keep, *names)
 
 
 def _predict(model, alphabet, width: int, again: bool, last: bool, out: list[str]):
