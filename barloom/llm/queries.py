@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.binary_output import op7_binary_ids
+from barloom.llm.byte_codec import op13_byte_bpe
 from barloom.llm.decontamination import OP9_SQL, op9_minhash_containment
 from barloom.llm.language_id import op4_language_id
 from barloom.llm.language_model import op3_gated_lm
@@ -13,7 +14,19 @@ from barloom.llm.token_counts import op8_token_counts
 from barloom.llm.vector_search import op6_anisotropic_search
 from barloom.llm.warc import OP1_SQL, op1_warc_salvage
 
-ALL = (op1_warc_salvage, op2_pareto_mix, op3_gated_lm, op4_language_id, op5_sentence_spans, op6_anisotropic_search, op7_binary_ids, op8_token_counts, op9_minhash_containment, op10_probminhash)
+ALL = (
+    op1_warc_salvage,
+    op2_pareto_mix,
+    op3_gated_lm,
+    op4_language_id,
+    op5_sentence_spans,
+    op6_anisotropic_search,
+    op7_binary_ids,
+    op8_token_counts,
+    op9_minhash_containment,
+    op10_probminhash,
+    op13_byte_bpe,
+)
 
 
 def queries() -> dict:
