@@ -5,6 +5,7 @@ from __future__ import annotations
 from barloom.llm.binary_output import op7_binary_ids
 from barloom.llm.byte_codec import op13_byte_bpe
 from barloom.llm.decontamination import OP9_SQL, op9_minhash_containment
+from barloom.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from barloom.llm.language_id import op4_language_id
 from barloom.llm.language_model import op3_gated_lm
 from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
@@ -25,6 +26,7 @@ ALL = (
     op8_token_counts,
     op9_minhash_containment,
     op10_probminhash,
+    op11_fill_in_middle,
     op13_byte_bpe,
 )
 
@@ -34,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": OP1_SQL, "op2_pareto_mix": OP2_SQL, "op5_sentence_spans": OP5_SQL, "op9_minhash_containment": OP9_SQL}
+    return {"op1_warc_salvage": OP1_SQL, "op2_pareto_mix": OP2_SQL, "op5_sentence_spans": OP5_SQL, "op9_minhash_containment": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
