@@ -10,6 +10,7 @@ from barloom.llm.language_id import op4_language_id
 from barloom.llm.language_model import op3_gated_lm
 from barloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from barloom.llm.near_dedup import op10_probminhash
+from barloom.llm.run_detection import op12_periodic_runs
 from barloom.llm.sentence_spans import OP5_SQL, op5_sentence_spans
 from barloom.llm.token_counts import op8_token_counts
 from barloom.llm.vector_search import op6_anisotropic_search
@@ -27,6 +28,7 @@ ALL = (
     op9_minhash_containment,
     op10_probminhash,
     op11_fill_in_middle,
+    op12_periodic_runs,
     op13_byte_bpe,
 )
 
