@@ -87,6 +87,21 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs in a struct with names by position: helper columns beside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of docs from such a struct."""
+    return rows.select(*[F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def first_row(row: str) -> Column:
+    """Of a group of packed rows, the one whose columns have the least digest: the same in every run."""
+    return F.min_by(row, F.sha2(F.to_json(row).cast("binary"), 256)).alias(row)
+
+
 def tasks_for(files: DataFrame, most: int = 10_000) -> int:
     """Partitions to read files with, one row a file: a fixed number, which Spark does not merge as it
     would merge the few bytes that the rows themselves have."""

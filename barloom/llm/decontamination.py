@@ -34,7 +34,8 @@ from barloom.llm.shingles import WordHashes, mixed, shingle_hashes, words_of
 
 WIDTH, THRESHOLD, HASHES, ITEM_BLOCK, BLOCK_BYTES, SEED = 5, 0.8, 64, 20_000, 16_000_000, 77
 COLUMNS = "doc_id long, text_id long, n_shared long, n_item long, containment double"
-TABLE_BITS = 20
+#: Bits of a hash that a class's bitmaps tell apart, at least and at most; between them, some 64 values an item.
+FEWEST_BITS, MOST_BITS = 10, 20
 
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(2 * HASHES, dtype=np.uint64) + np.uint64(SEED))
@@ -55,18 +56,19 @@ class ItemIndex:
                 self.ids.append(item)
                 self.words.append(w)
                 self.sets.append(s)
-        self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.classes: dict[int, tuple[np.uint64, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = {}
         most = [1 << (len(s) - 1).bit_length() for s in self.sets]
         for m in sorted(set(most)):
             members = np.array([i for i, x in enumerate(most) if x == m])
-            tables = []
+            bits = min(MOST_BITS, max(FEWEST_BITS, (64 * len(members)).bit_length()))
+            shift, tables = np.uint64(64 - bits), []
             for k in range(HASHES):
                 low = np.array([(self.sets[i] * self.mul[k] + self.add[k]).min() for i in members], np.uint64)
-                there = np.zeros(1 << TABLE_BITS, bool)
-                there[low >> np.uint64(64 - TABLE_BITS)] = True
+                there = np.zeros(1 << bits, bool)
+                there[low >> shift] = True
                 order = np.argsort(low)
                 tables.append((there, low[order], members[order]))
-            self.classes[m] = tables
+            self.classes[m] = (shift, tables)
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs of which a window and the item share a minimum hash."""
@@ -94,8 +96,9 @@ class ItemIndex:
             while True:
                 window = np.minimum(level, np.append(level[1:], level[-1]))
                 if m in self.classes:
-                    there, low, members = self.classes[m][k]
-                    for w in np.flatnonzero(there[window >> np.uint64(64 - TABLE_BITS)]):
+                    shift, tables = self.classes[m]
+                    there, low, members = tables[k]
+                    for w in np.flatnonzero(there[window >> shift]):
                         a, b = np.searchsorted(low, window[w], "left"), np.searchsorted(low, window[w], "right")
                         if a < b:
                             step = m // base

@@ -137,14 +137,15 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it."""
-    names = ["__id", "__hash", "__source"]
-    told = pareto_mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), F.col("source").alias("__s")).agg(F.sum("copies").alias("__copies"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash(), "__source": F.col("source")})
-    rows = rows.join(told, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__hash").eqNullSafe(F.col("__h")) & F.col("__source").eqNullSafe(F.col("__s")))
-    # rows equal in id, text and source are interchangeable: one stands for all their copies
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*names).orderBy("text"))).where("__k = 1")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it; of rows equal in these
+    three, the one whose columns have the least digest is taken for all."""
+    told = pareto_mix(docs, **options).where("copies > 0").groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"))
+    # the columns of docs lie in one struct, so that no name can clash
+    rows = docs.select(common.packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), F.col("source").alias("from"))
+    rows = rows.join(told, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("text_hash")) & F.col("from").eqNullSafe(F.col("source")))
+    # rows equal in id, text and source are interchangeable: the first stands for all their copies
+    rows = rows.groupBy("doc_id", "text_hash", "source").agg(common.first_row("row"), F.first("copies").alias("copies"))
+    return common.unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import common
@@ -226,16 +226,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (doc_id, text, ...) that stay: of each group the first by doc_id (null last) and text
-    hash, and documents without words."""
+    hash (of rows equal in both, that whose columns have the least digest), and documents without words."""
     _, classes = _grouped(docs, threshold)
-    first = common.keep(classes.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__i"), F.col("row.hash").alias("__h")), "firsts")
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash()})
-    kept = rows.join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).drop("__i", "__h")
-    # rows equal in id and text: one of them
-    kept = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("text"))).where("__k = 1")
+    first = classes.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.hash").alias("kept_hash"))
     wordless = docs.where(F.coalesce(~F.col("text").rlike(common.WORD), F.lit(True)))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*names).unionByName(wordless)
+    # the columns of docs lie in one struct, so that no name can clash
+    rows = docs.select(common.packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+    kept = rows.join(common.keep(first, "firsts"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    # of rows equal in id and text, that whose other columns come first
+    kept = kept.groupBy("kept_id", "kept_hash").agg(common.first_row("row"))
+    return common.unpacked(kept, docs).unionByName(wordless)
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

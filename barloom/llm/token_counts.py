@@ -31,7 +31,7 @@ def _frequent(share: int, most: int):
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and zlib.crc32(text[:64].encode()) % share == 0:
+                if text and zlib.crc32(text.encode()) % share == 0:
                     seen.update(pieces.keys(text)[1:])
             if len(seen) > 20 * most:  # bounded; rare units may lose counts, which only costs speed
                 seen = Counter(dict(seen.most_common(10 * most)))

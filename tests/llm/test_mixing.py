@@ -63,3 +63,13 @@ def test_odd_rows(spark):
     assert rows.columns == docs.columns
     assert rows.count() == sum(r.copies for r in out)
     assert pareto_mix(empty(spark)).count() == 0 and mixed(empty(spark)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("__id", "__hash", "__source", "__k", "__copies", "id", "hash", "from", "row", "copies", "copy", "text_hash", "a.b")
+    docs = spark.createDataFrame([(k, "w " * (k + 1), "s") for k in range(30)], "doc_id long, text string, source string")
+    docs = docs.select("doc_id", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names], "text", "source")
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == pareto_mix(docs).agg(F.sum("copies")).first()[0] and all(tuple(r)[1:-2] == tuple(f"{c} {r.doc_id}" for c in names) for r in rows)

@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.near_dedup import near_duplicates
+from barloom.llm.near_dedup import near_duplicates, without_near_duplicates
 from barloom.llm.probminhash import signatures, similarity
 
 from .common_frames import documents, empty
@@ -92,3 +93,23 @@ def test_odd_rows(spark):
     got = {r.doc_id: (r.class_id, r.group_id) for r in rows}
     assert got[6] == got[7] == (6, 6) and got[2] == (2, 2) and got[3] == (3, 3) and got[4] == (4, 4) and got[9] == (9, 9)
     assert near_duplicates(empty(spark)).count() == 0
+
+
+CLASHES = ("__id", "__hash", "__k", "__doc", "__i", "__h", "id", "hash", "row", "kept_id", "group", "node", "copy", "a.b")
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "quite another text of some more words"), (4, None), (3, "quite another text of some more words")], "doc_id long, text string")
+    docs = docs.select("doc_id", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHES], "text").coalesce(1)
+    out = without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    rows = sorted(map(tuple, out.collect()))
+    assert [r[0] for r in rows] == [1, 3, 4] and all(r[1:-1] == tuple(f"{c} {r[0]}" for c in CLASHES) for r in rows)
+
+
+def test_of_equal_rows_always_the_same_stays(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text, f"source {k}") for k in range(20)], "doc_id long, text string, source string")
+    got = {without_near_duplicates(docs.repartition(n)).first().source for n in (1, 3, 7)}
+    assert len(got) == 1
