@@ -81,27 +81,66 @@ def rs_blend() -> Column:
     return weighted(*((100.0 * w, zero(F.col(f"roc{n}"))) for w, n in ((0.4, 21), (0.2, 63), (0.2, 126), (0.2, 252))))
 
 
+#: Columns of the feature history, as of the day and as of the day before.
+END_OF_DAY = ("daily_buy_pressure_eod", "adr_pct_20_eod", "industry_buy_pressure_eod", "sector_buy_pressure_eod", "daily_rrs_eod", "daily_rs_score_eod", "industry_rs_eod")
+DAY_BEFORE = (
+    "daily_buy_pressure_prev", "prev_day_adr_pct", "industry_buy_pressure_prev", "sector_buy_pressure_prev", "daily_rrs_prev", "daily_rs_score_prev",
+    "distance_to_avwap_63_prev", "industry_rs_prev", "prev_day_close_vs_sma50", "prev_day_high", "prev_day_atr14",
+)
+
+
 def daily_feature_history(daily: DataFrame, universe: DataFrame) -> DataFrame:
-    """End-of-day features of adjusted closes (adj_close where there is one), group means, and each of them
-    as of the previous session."""
+    """Features of adjusted closes (adj_close where there is one): END_OF_DAY, and DAY_BEFORE as of the symbol's
+    previous bar. Means of buy pressure by date and sector and by date and industry, and of the strength score by
+    date and industry; their previous values are the group's of its previous date. Symbols without a group have
+    none."""
     if "adj_close" in daily.columns:
         daily = daily.withColumn("close", F.coalesce("adj_close", "close"))
     out = base_features(daily)
-    out = out.withColumn("money_flow", money_flow_pressure())
+    out = out.withColumn("buy_pressure", money_flow_pressure())
     out = anchored_vwap(out).withColumn("rs_score", rs_blend())
     out = out.withColumn("rrs", div("rs_score", div("atr14", "close")))
-    out = out.join(universe.select("symbol", "sector", "industry"), "symbol", "left").fillna("Unknown", ["sector", "industry"])
-    for group in ("sector", "industry"):
-        means = group_mean_with_prev(out, "rs_score", group)
+    before = {
+        "daily_buy_pressure_prev": "buy_pressure",
+        "prev_day_adr_pct": "adr20_alt",
+        "daily_rrs_prev": "rrs",
+        "daily_rs_score_prev": "rs_score",
+        "distance_to_avwap_63_prev": div("close", "anchored_vwap") - 1.0,
+        "prev_day_close_vs_sma50": div("close", "sma50") - 1.0,
+        "prev_day_high": "high",
+        "prev_day_atr14": "atr14",
+    }
+    out = out.withColumns({name: lag(c) for name, c in before.items()})  # with the windows above, before any join
+    out = out.join(universe.select("symbol", "sector", "industry"), "symbol", "left")
+    for group, values in (("sector", {"buy_pressure": "buy_pressure"}), ("industry", {"buy_pressure": "buy_pressure", "rs": "rs_score"})):
+        means = group_means_with_prev(out, group, {f"{group}_{k}": c for k, c in values.items()})
         out = out.join(means, ["date", group], "left")
-    names = ["atr14", "sma20", "sma50", "adr20_alt", "money_flow", "anchored_vwap", "rs_score", "rrs"]
-    return out.withColumns({f"{c}_prev": lag(c) for c in names})
+    now = ("buy_pressure", "adr20_alt", "industry_buy_pressure", "sector_buy_pressure", "rrs", "rs_score", "industry_rs")
+    return out.withColumns({name: F.col(c) for name, c in zip(END_OF_DAY, now)})
+
+
+def group_means_with_prev(df: DataFrame, group: str, values: dict[str, str]) -> DataFrame:
+    """Means by date and group under the given names, and <name>_prev of the group's previous date."""
+    means = df.where(F.col(group).isNotNull()).groupBy("date", group).agg(*[F.avg(c).alias(name) for name, c in values.items()])
+    by = Window.partitionBy(group).orderBy("date")  # a row a date
+    return means.withColumns({f"{name}_prev": F.lag(name).over(by) for name in values})
 
 
 def group_mean_with_prev(df: DataFrame, value: str, group: str) -> DataFrame:
     """Mean by date and group, and the group's mean on its previous date."""
-    means = df.groupBy("date", group).agg(F.avg(value).alias(f"{group}_mean"))
-    return means.withColumn(f"{group}_mean_prev", F.lag(f"{group}_mean").over(Window.partitionBy(group).orderBy("date")))
+    return group_means_with_prev(df, group, {f"{group}_mean": value})
+
+
+#: Features of the plain watchlist and their weights.
+WATCHLIST_WEIGHTS = {
+    "daily_buy_pressure_eod": 0.20,
+    "daily_rs_score_eod": 0.25,
+    "daily_rrs_eod": 0.20,
+    "adr_pct_20_eod": 0.10,
+    "industry_buy_pressure_eod": 0.10,
+    "sector_buy_pressure_eod": 0.05,
+    "industry_rs_eod": 0.10,
+}
 
 
 def prior_runup() -> Column:
@@ -174,8 +213,9 @@ def cross_sectional_zscore(df: DataFrame, names: list[str], by: str = "date") ->
     return df.withColumns({f"{c}_z": div(F.col(c) - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))) for c in names})
 
 
-def legacy_watchlist(df: DataFrame, weights: dict[str, float], n: int) -> DataFrame:
-    """Top n by date of the weighted sum of percent ranks."""
+def legacy_watchlist(df: DataFrame, weights: dict[str, float], n: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Top n by date of the weighted sum of percent ranks (to nine decimals); ties go to the larger of the given columns, then to
+    the smaller symbol."""
     score = sum((w * zero(pct_rank(c, "date")) for c, w in weights.items()), F.lit(0.0))
     out = df.withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "symbol"))

@@ -5,11 +5,11 @@ Hash the bars by symbol once (by_symbol): windows by session and by slot then sh
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip01, div, floor0, session, weighted, yes, zero
+from barloom.operators.clean import session_fields
 
 
 def so_far() -> WindowSpec:
@@ -36,27 +36,67 @@ def session_running(bars: DataFrame) -> DataFrame:
     })
 
 
-def session_vwap(bars: DataFrame, every: int = 3) -> DataFrame:
-    """VWAP so far, and the close against it, sampled each `every` slots and carried on."""
+def minutes_from_open() -> Column:
+    """Minutes since 9:30 by the wall clock."""
+    return F.hour("ts") * 60 + F.minute("ts") - 570
+
+
+def at_boundary(every: int = 15) -> Column:
+    """Whether a bar stands at a boundary of so many minutes from the open, the open itself left out."""
+    m = minutes_from_open()
+    return (m % every == 0) & (m >= every)
+
+
+def session_vwap(bars: DataFrame, every: int = 15) -> DataFrame:
+    """VWAP so far, and the close against it, sampled at the boundaries and carried on within the session."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     out = bars.withColumn("vwap", div(F.sum(typical * F.col("volume")).over(so_far()), F.sum("volume").over(so_far())))
-    sampled = F.when(F.col("slot") % every == every - 1, div("close", "vwap") - 1.0)
+    sampled = F.when(at_boundary(every), div("close", "vwap") - 1.0)
     return out.withColumn("close_vs_vwap", F.last(sampled, ignorenulls=True).over(so_far()))
 
 
-def ema_15m(bars: DataFrame, span: int = 8, least: int = 8, every: int = 3) -> DataFrame:
-    """Exponential average of the closes at 15-minute boundaries of a symbol, across sessions, carried on
-    within a session. One symbol's boundary bars are one group."""
-    at = bars.where(F.col("slot") % every == every - 1).select("symbol", "ts", "close")
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        return rows.assign(ema=rows["close"].ewm(span=span, adjust=False, min_periods=least).mean())[["symbol", "ts", "ema"]]
-
-    kind = dict(bars.dtypes)["ts"]
-    means = at.groupBy("symbol").applyInPandas(smooth, f"symbol string, ts {kind}, ema double")
-    out = bars.join(means, ["symbol", "ts"], "left")
-    return out.withColumn("ema_15m", F.last("ema", ignorenulls=True).over(so_far())).drop("ema")
+def _carried(parts: str, at: str, keep: float, seen: Column, value: Column, kind: str) -> Column:
+    """For parts (at, n, local) in order: what was seen and the average before each of them. A part of n closes
+    turns an average a into keep**n * a + local, and such steps follow one another."""
+    state = F.struct(F.array().cast(f"array<struct<{at}:{kind},seen:bigint,value:double>>").alias("out"), seen.cast("long").alias("seen"), value.cast("double").alias("value"))
+
+    def step(s: Column, x: Column) -> Column:
+        told = F.struct(x[at].alias(at), s["seen"].alias("seen"), s["value"].alias("value"))
+        return F.struct(F.array_append(s["out"], told).alias("out"), (s["seen"] + x["n"]).alias("seen"), (s["value"] * F.pow(F.lit(keep), x["n"].cast("double")) + x["local"]).alias("value"))
+
+    return F.aggregate(parts, state, step, lambda s: s["out"])
+
+
+def ema_15m(bars: DataFrame, span: int = 8, least: int = 8, every: int = 15) -> DataFrame:
+    """Exponential average of a symbol's closes at the boundaries, across sessions: a bar has that of the last
+    boundary so far, once there were `least` of them; the first close starts it.
+
+    The average is a chain of affine steps, which may be put together in any grouping: a window sums up a session
+    by itself, sessions are put together by month and months by symbol (short arrays), and each session then starts
+    from what the ones before it left. So a symbol's bars spread over tasks by session, and none is a group."""
+    keep = 1.0 - 2.0 / (span + 1.0)
+    x = F.when(at_boundary(every), F.col("close"))
+    out = bars.withColumn("__x", x).withColumn("__n", F.count("__x").over(so_far()))
+    if keep > 0.0:
+        weighed = F.col("__x") * (1.0 - keep) * F.pow(F.lit(keep), -F.col("__n").cast("double"))
+        local = F.coalesce(F.sum(weighed).over(so_far()), F.lit(0.0)) * F.pow(F.lit(keep), F.col("__n").cast("double"))
+    else:
+        local = F.coalesce(F.last("__x", ignorenulls=True).over(so_far()), F.lit(0.0))
+    out = out.withColumn("__l", local)
+    first = F.min_by("__x", F.when(F.col("__x").isNotNull(), F.col("ts"))).alias("first")
+    days = out.groupBy("symbol", "session_date").agg(F.max("__n").alias("n"), F.max_by("__l", "ts").alias("local"), first)
+    parts = F.sort_array(F.collect_list(F.struct("session_date", "n", "local", "first"))).alias("days")
+    months = days.groupBy("symbol", F.trunc("session_date", "month").alias("month")).agg(parts)
+    whole_month = F.aggregate("days", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("local")), lambda s, d: F.struct((s["n"] + d["n"]).alias("n"), (s["local"] * F.pow(F.lit(keep), d["n"].cast("double")) + d["local"]).alias("local")))
+    begins = lambda a: F.get(F.filter(F.transform(a, lambda d: d["first"]), lambda v: v.isNotNull()), F.lit(0))
+    totals = months.withColumn("whole", whole_month).select("symbol", "month", F.col("whole.n").alias("n"), F.col("whole.local").alias("local"), begins("days").alias("first"))
+    series_ = totals.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "n", "local", "first"))).alias("months"))
+    start = series_.select("symbol", F.explode(_carried("months", "month", keep, F.lit(0), begins(F.col("months")), "date")).alias("m")).select("symbol", "m.*")
+    each = months.join(start, ["symbol", "month"]).select("symbol", F.explode(_carried("days", "session_date", keep, F.col("seen"), F.col("value"), "date")).alias("d")).select("symbol", "d.*")
+    out = out.join(each.withColumnsRenamed({"seen": "__seen", "value": "__v"}), ["symbol", "session_date"], "left")
+    average = F.when(F.col("__n") > 0, F.pow(F.lit(keep), F.col("__n").cast("double")) * F.col("__v") + F.col("__l")).otherwise(F.col("__v"))
+    upto = F.col("__seen") + F.col("__n")
+    return out.withColumn("ema_15m", F.when(upto >= max(1, least), average)).drop("__x", "__n", "__l", "__seen", "__v")
 
 
 def same_slot_volume(bars: DataFrame, lookback: int = 20, least: int = 5, slot: str = "slot") -> DataFrame:
@@ -72,14 +112,19 @@ def next_bar(bars: DataFrame) -> DataFrame:
 
 
 def intraday_feature_panel(bars: DataFrame, daily_prev: DataFrame, low: int = 5, high: int = 90) -> DataFrame:
-    """Features of the bars within the signal window, with what was known the day before (symbol, date,
-    prev_high, rs_score_prev, atr_pct_prev of the same date)."""
-    out = same_slot_volume(session_running(by_symbol(bars)))
-    out = next_bar(ema_15m(session_vwap(out)))
-    minutes = F.hour("ts") * 60 + F.minute("ts") - 570
-    out = out.withColumn("minutes_from_open", minutes).where(F.col("minutes_from_open").between(low, high))
+    """Features of the bars within the signal window, of sessions from 9:30 on, with slots of five minutes, and
+    what was known the day before (symbol, date, prev_day_high, daily_rs_score_prev, prev_day_atr14, ...)."""
+    out = session_fields(by_symbol(bars)).withColumnRenamed("slot", "minute_slot")
+    out = session_running(out).drop("slot").withColumnRenamed("minute_slot", "slot")
+    out = next_bar(ema_15m(session_vwap(same_slot_volume(out)))).where(F.col("minutes_from_open").between(low, high))
     out = out.join(daily_prev.withColumnRenamed("date", "session_date"), ["symbol", "session_date"], "left")
-    return out.withColumns({"dist_prev_high": div("close", "prev_high") - 1.0, "rs_x_rvol": F.col("rs_score_prev") * F.col("cum_vol_ratio"), "range_to_atr": div(div(F.col("high") - F.col("low"), "close"), "atr_pct_prev")})
+    return out.withColumns({
+        "intraday_rvol": F.col("bar_vol_ratio"),
+        "volume_spike_5m": F.col("bar_vol_ratio") - 1.0,
+        "distance_to_prev_day_high": div("close", "prev_day_high") - 1.0,
+        "rs_x_intraday_rvol": F.col("daily_rs_score_prev") * F.col("bar_vol_ratio"),
+        "intraday_range_expansion_vs_atr": div(F.col("session_high_so_far") - F.col("session_low_so_far"), "prev_day_atr14"),
+    })
 
 
 def exec_cost_labels(panel: DataFrame, slip: float = 0.0005, spread: float = 0.0005, commission: float = 0.002, floor: float = 0.0010, cap: float = 0.0040) -> DataFrame:

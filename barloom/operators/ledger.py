@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import div, series, yes, zero
+from barloom.functions.columns import div, last_n, series, yes, zero
 from barloom.operators.daily import week_key
 
 TAX_RATE = 0.20315
@@ -77,59 +77,112 @@ def open_trade_count(fills: DataFrame) -> DataFrame:
     return by.agg(F.count_if(F.col("b") > F.col("s")).alias("open_trades"))
 
 
-def _exit_bars(daily: DataFrame) -> DataFrame:
-    """Daily bars with what exits look at, and the next days on which the averages give way."""
-    c = F.col
-    later = series().rowsBetween(1, Window.unboundedFollowing)
-    avg = lambda n: F.when(F.count("close").over(series().rowsBetween(1 - n, 0)) >= n, F.avg("close").over(series().rowsBetween(1 - n, 0)))
-    bars = daily.select("symbol", c("date").alias("d"), "date", "high", "low", "close", F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end"))
-    bars = bars.withColumns({"last": F.max("date").over(Window.partitionBy("symbol")), "next21": F.min(F.when(c("close") < c("dma21"), c("date"))).over(later), "next50": F.min(F.when(c("week_end") & (c("close") < c("dma50")), c("date"))).over(series().rowsBetween(0, Window.unboundedFollowing))})
-    return bars.drop("date").withColumn("month", F.trunc("d", "month"))
-
+#: Bars of a symbol that a block of the skip index holds.
+BLOCK = 64
+#: Why a position is left, in the order in which rules of one day are looked at.
+HARD, FAILED, FAILED_AT_ONCE = "hard_stop_lod", "pivot_fail_exit_all", "day0_close_below_pivot_exit_all"
+TRAILED, WEEKLY, BELOW_21 = "super_winner_prior_low_stop", "weekly_close_below_50dma", "pre_partial_dma21_exit"
 
-def _path(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Signals (symbol, date, until, ...) with their later bars up to a day, joined by symbol and month."""
-    months = F.explode(F.sequence(F.trunc("date", "month"), F.trunc("until", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month")
-    return signals.where("until > date").select("*", months).join(bars, ["symbol", "month"]).where((F.col("d") > F.col("date")) & (F.col("d") <= F.col("until"))).drop("month")
 
-
-def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float = 0.20, peak_at: float = 3.0, fail_days: int = 1) -> DataFrame:
-    """First exit of each signal (id, symbol, date, entry, stop, pivot; fail_days where they differ),
-    independently of all others.
-
-    The earliest rule wins: hard stop or pivot failure, then the prior-low stop after a peak, then the weekly
-    close below the 50-day or, before a partial profit, below the 21-day average. A trade cannot outlive the
-    first close below the 21-day average or, where the partial profit came by then, the first weekly close
-    below the 50-day average after it; only bars up to that day are joined, however long the history is.
+def _exit_bars(daily: DataFrame, ahead: int) -> DataFrame:
+    """Daily bars by position n with what exits look at: the next bars, and the next ones on which the rules that
+    do not depend on a position come into force, each as (n, d, price)."""
+    c = F.col
+    onward = series().rowsBetween(0, Window.unboundedFollowing)
+    later = series().rowsBetween(1, Window.unboundedFollowing)
+    avg = lambda n: F.when(F.count("close").over(last_n(n)) >= n, F.avg("close").over(last_n(n)))
+    week_end = (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end")
+    bars = daily.select("symbol", "date", "high", "low", "close", F.row_number().over(series()).cast("long").alias("n"), F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), week_end)
+    first = lambda cond, price, over: F.min(F.when(cond, F.struct("n", c("date").alias("d"), c(price).alias("price")))).over(over)
+    return bars.select(
+        "symbol", "n", "date", "high", "low", "close",
+        first(c("close") < c("dma21"), "close", later).alias("next21"),
+        first(c("week_end") & (c("close") < c("dma50")), "close", onward).alias("week50"),
+        first(c("low") < c("prev_low"), "prev_low", onward).alias("dip"),
+        F.collect_list(F.struct("n", c("date").alias("d"), c("close").alias("price"))).over(series().rowsBetween(0, ahead)).alias("ahead"),
+        F.last("close").over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_close"),
+    )
+
+
+def _skip_index(bars: DataFrame, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Values of bars in blocks of BLOCK (kind, symbol, block, v), and each symbol's blocks' maxima (kind, symbol,
+    first, top): a row a block, and a row a symbol."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("x")) for k, v in values.items()])).alias("e")
+    rows = bars.select("symbol", "n", F.floor(F.col("n") / BLOCK).alias("block"), each)
+    blocks = rows.groupBy(F.col("e.kind").alias("kind"), "symbol", "block").agg(F.sort_array(F.collect_list(F.struct("n", F.col("e.x").alias("x")))).alias("v"), F.max("e.x").alias("top"))
+    tops = blocks.groupBy("kind", "symbol").agg(F.sort_array(F.collect_list(F.struct("block", "top"))).alias("tops"))
+    return blocks.drop("top"), tops
+
+
+def first_at_or_above(asked: DataFrame, bars: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(id, kind, n): the first bar from `since` on where a value (by kind) of the symbol's bars (symbol, n, ...)
+    reaches `least`, for questions (id, kind, symbol, since, least); no row where there is none.
+
+    A question reads the rest of its own block, then the maxima of the symbol's blocks, then the first block that
+    holds an answer: of n bars some 2 BLOCK + n / BLOCK values, and three rows go through joins, not its path."""
+    blocks, tops = _skip_index(bars, values)
+
+    def found(rows: DataFrame) -> DataFrame:
+        hit = F.filter("v", lambda e: (e["n"] >= F.col("since")) & (e["x"] >= F.col("least")))
+        return rows.withColumn("n", F.get(hit, F.lit(0))["n"]).drop("v")
+
+    here = asked.withColumn("block", F.floor(F.col("since") / BLOCK)).join(blocks, ["kind", "symbol", "block"], "left")
+    here = found(here)
+    rest = here.where("n IS NULL").drop("n").join(tops, ["kind", "symbol"])
+    after = F.filter("tops", lambda e: (e["block"] > F.col("block")) & (e["top"] >= F.col("least")))
+    rest = rest.withColumn("block", F.get(after, F.lit(0))["block"]).drop("tops").where("block IS NOT NULL")
+    rest = found(rest.join(blocks, ["kind", "symbol", "block"]))
+    return here.where("n IS NOT NULL").select("id", "kind", "n").unionByName(rest.select("id", "kind", "n"))
+
+
+def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float = 0.20, peak_at: float = 3.0, fail_days: int = 1, most_fail_days: int = 5) -> DataFrame:
+    """First exit of each signal (id, symbol, date, entry, stop, pivot; fail_days where they differ, most_fail_days
+    at most), independently of all others.
+
+    A position is left on its first day if that day closes below the pivot. From the next day on the earliest rule
+    wins: hard stop or, within fail_days, a close below the pivot; once half was sold at partial_at, the prior
+    low after a peak of peak_at times the entry (of closes before that day, the first day's among them), or the
+    weekly close below the 50-day average; before that, a close below the 21-day average. Rules with a level of
+    the position's own are looked up in a skip index; the others are pointers that every bar carries. An open
+    position is valued at the symbol's last close.
     """
     c = F.col
-    bars = _exit_bars(daily)
-    signals_ = signals if "fail_days" in signals.columns else signals.withColumn("fail_days", F.lit(fail_days))
-    names = ("id", "symbol", "date", "entry", "stop", "pivot", "fail_days")
-    here = bars.select("symbol", c("d").alias("date"), "last", "next21")
-    rows = signals_.select(*names).join(here, ["symbol", "date"], "left").withColumn("until", F.coalesce("next21", "last"))
-    partial = F.min(F.when(c("high") >= c("entry") * (1.0 + partial_at), c("d"))).alias("P")
-    first = _path(rows, bars.select("symbol", "month", "d", "high")).groupBy("id").agg(partial)
-    rows = rows.join(first, "id", "left").join(bars.select("symbol", c("d").alias("P"), "next50"), ["symbol", "P"], "left")
-    rows = rows.withColumn("until", F.when(c("P").isNotNull(), F.coalesce("next50", "last")).otherwise(c("until")))
-    rows = _path(rows.select(*names, "until", "P"), bars.drop("last", "next21", "next50", "high"))
-    path = Window.partitionBy("id").orderBy("d")
-    rows = rows.withColumns({"age": F.datediff("d", "date"), "peak": F.greatest("entry", F.coalesce(F.max("close").over(path.rowsBetween(Window.unboundedPreceding, -1)), c("entry")))})
-    hard = yes(c("low") <= c("stop"))
-    failed = yes((c("age") <= c("fail_days")) & (c("close") < c("pivot")))
-    pre = yes(c("P").isNull() | (c("d") < c("P")))
-    drop21 = pre & yes(c("close") < c("dma21"))
-    trail = ~pre & yes((c("peak") >= peak_at * c("entry")) & (c("low") < c("prev_low")))
-    weekly = ~pre & yes(c("week_end") & (c("close") < c("dma50")))
-    reason = F.when(hard, "hard_stop").when(failed, "pivot_fail").when(trail, "prior_low_stop").when(weekly, "weekly_dma50").when(drop21, "dma21")
-    price = F.when(hard, c("stop")).when(failed, c("close")).when(trail, c("prev_low")).otherwise(c("close"))
-    hits = rows.withColumns({"reason": reason, "price": price}).groupBy("id").agg(F.min(F.when(c("reason").isNotNull(), F.struct("d", "reason", "price"))).alias("hit"), F.first("P").alias("P"), F.max_by("close", "d").alias("last_close"))
-    out = signals.join(hits, "id", "left")
-    early = c("hit.reason").isin("hard_stop", "pivot_fail")
-    took = yes(c("P").isNotNull() & (c("hit.d").isNull() | (c("P") < c("hit.d")) | ((c("P") == c("hit.d")) & ~early)))
-    final = F.coalesce("hit.price", "last_close")
-    ret = F.when(took, 0.5 * partial_at + 0.5 * (div(final, "entry") - 1.0)).otherwise(div(final, "entry") - 1.0)
-    return out.select("id", "symbol", "date", "entry", c("hit.d").alias("exit_date"), F.coalesce("hit.reason", F.lit("open")).alias("reason"), c("hit.price").alias("exit_price"), took.alias("partial"), ret.alias("ret"))
+    bars = _exit_bars(daily, most_fail_days)
+    days = c("fail_days") if "fail_days" in signals.columns else F.lit(fail_days)
+    rows = signals.select("id", "symbol", "date", "entry", "stop", "pivot", days.alias("fail_days"))
+    here = bars.select("symbol", "date", "n", "next21", "ahead", "last_close")
+    rows = rows.join(here, ["symbol", "date"])
+    ask = lambda kind, since, least: F.struct(F.lit(kind).alias("kind"), since.alias("since"), least.alias("least"))
+    each = F.explode(F.array(ask("stop", c("n") + 1, -c("stop")), ask("part", c("n") + 1, c("entry") * (1.0 + partial_at)), ask("peak", c("n"), c("entry") * peak_at))).alias("q")
+    asked = rows.select("id", "symbol", each).select("id", "symbol", "q.*").where("least IS NOT NULL")
+    hits = first_at_or_above(asked, bars, {"stop": -c("low"), "part": c("high"), "peak": c("close")})
+    at = lambda kind: F.max(F.when(c("kind") == kind, c("n")))
+    hits = hits.groupBy("id").agg(at("stop").alias("stop_n"), at("part").alias("part_n"), at("peak").alias("peak_n"))
+    rows = rows.join(hits, "id", "left")
+
+    # the day of the stop, and what a position looks at after half was sold: from the bar of the sale and from that
+    # behind the peak on; one lookup for all three
+    spot = lambda what, n: F.when(n.isNotNull(), F.struct(F.lit(what).alias("what"), n.alias("n")))
+    behind = F.when(c("peak_n").isNotNull(), F.greatest("part_n", c("peak_n") + 1))
+    spots = F.array_compact(F.array(spot("stop", c("stop_n")), spot("sold", c("part_n")), spot("peak", F.when(c("part_n").isNotNull(), behind))))
+    looked = rows.select("id", "symbol", F.explode(spots).alias("s")).select("id", "symbol", "s.*").join(bars.select("symbol", "n", c("date").alias("d"), "week50", "dip"), ["symbol", "n"])
+    of = lambda what, x: F.max(F.when(c("what") == what, c(x)))
+    looked = looked.groupBy("id").agg(of("stop", "d").alias("stop_d"), of("sold", "week50").alias("week50"), of("peak", "dip").alias("dip"))
+    rows = rows.join(looked, "id", "left")
+
+    too_many = F.when(c("fail_days") > most_fail_days, F.raise_error(F.lit("fail_days exceed most_fail_days"))).otherwise(c("fail_days"))
+    fails = F.filter("ahead", lambda e: (F.datediff(e["d"], c("date")) <= too_many) & (e["price"] < c("pivot")))
+    fail = F.get(fails, F.lit(0))
+    hit = lambda x, order, reason: F.when(x["n"].isNotNull(), F.struct(x["n"].alias("n"), F.lit(order).alias("o"), F.lit(reason).alias("reason"), x["d"].alias("d"), x["price"].cast("double").alias("price")))
+    stop = F.struct(c("stop_n").alias("n"), c("stop_d").alias("d"), c("stop").alias("price"))
+    before = c("part_n").isNull() | (c("next21.n") < c("part_n"))
+    candidates = [hit(F.when(fail["n"] == c("n"), fail), 0, FAILED_AT_ONCE), hit(stop, 1, HARD), hit(F.when(fail["n"] > c("n"), fail), 2, FAILED), hit(c("dip"), 3, TRAILED), hit(c("week50"), 4, WEEKLY), hit(F.when(before, c("next21")), 5, BELOW_21)]
+    rows = rows.withColumn("hit", F.least(*candidates))
+    early = c("hit.reason").isin(HARD, FAILED, FAILED_AT_ONCE)
+    took = yes(c("part_n").isNotNull() & (c("hit.n").isNull() | (c("part_n") < c("hit.n")) | ((c("part_n") == c("hit.n")) & ~early)))
+    final = div(F.coalesce("hit.price", "last_close"), "entry") - 1.0
+    out = rows.select("id", took.alias("partial"), F.when(took, 0.5 * partial_at + 0.5 * final).otherwise(final).alias("ret"), c("hit.d").alias("exit_date"), F.coalesce("hit.reason", F.lit("open")).alias("reason"), c("hit.price").alias("exit_price"))
+    return signals.select("id", "symbol", "date", "entry").join(out, "id", "left").select("id", "symbol", "date", "entry", "exit_date", F.coalesce("reason", F.lit("open")).alias("reason"), "exit_price", yes(c("partial")).alias("partial"), "ret")
 
 
 @dataclass(frozen=True)
@@ -211,27 +264,76 @@ def latest_order_per_slot(orders: DataFrame) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
-def exit_action(positions: DataFrame, latest: DataFrame, partial_at: float = 0.20, peak_at: float = 2.0, hold_branch: bool = False, hold_floor: float = 50.0) -> DataFrame:
-    """What to do with each position given the latest daily row (symbol, date, close, low, prev_low, dma21,
-    dma50, week_end, hold_score): a struct of action, reason, price and target shares."""
+@dataclass(frozen=True)
+class ExitRules:
+    """Thresholds of the exit rules. compact looks at weekly closes and the 21-day average alone once
+    half was sold or not; otherwise hold scores decide below the 21- and the 10-day average."""
+
+    fail_days: int = 1
+    pivot_fail: bool = True
+    partial_r: float = 999.0
+    partial_pct: float = 0.20
+    prior_low: bool = True
+    peak_gain: float = 2.0
+    compact: bool = True
+    grace: bool = True
+    reduce21_to: float = 0.10
+    reduce21_below: float = 45.0
+    exit21_below: float = 40.0
+    reduce10_to: float = 0.25
+    reduce10_below: float = 55.0
+    exit10_below: float = 50.0
+
+
+def exit_action(positions: DataFrame, latest: DataFrame, rules: ExitRules = ExitRules()) -> DataFrame:
+    """What to do with each position (symbol, quantity, entry_date, entry_price, initial_stop, pivot_level,
+    initial_shares, initial_risk, partial_profit_taken, reduced_on_dma21, pending_dma21_grace, peak_close) given the
+    symbol's latest row (date, high, low, close, prev_low, dma10, dma21, dma50, week_end, hold_score,
+    tight_low_volume_day): adds action (exit_all, reduce, hold), reason, price (of a trade), target_shares and the
+    position's flags and peak afterwards. The first rule that applies decides; what is missing does not apply."""
+    c, r = F.col, rules
     p = positions.join(latest, "symbol", "left")
-    c = F.col
-    half = F.floor(c("initial_shares") / 2.0).cast("long")
-    rules: list[tuple[Column, str, str, Column, Column]] = [
-        (c("low") <= c("initial_stop"), "exit", "hard_stop", c("initial_stop"), F.lit(0).cast("long")),
-        ((F.datediff("date", "entry_date") <= 1) & (c("close") < c("pivot_level")), "exit", "pivot_fail", c("close"), F.lit(0).cast("long")),
-        (c("partial_profit_taken") & (c("peak_close") >= c("entry_price") * (1.0 + peak_at)) & (c("low") < c("prev_low")), "exit", "prior_low_stop", c("prev_low"), F.lit(0).cast("long")),
-        (~c("partial_profit_taken") & (c("high") >= c("entry_price") * (1.0 + partial_at)), "reduce", "partial_profit", c("entry_price") * (1.0 + partial_at), half),
-        (c("partial_profit_taken") & c("week_end") & (c("close") < c("dma50")), "exit", "weekly_dma50", c("close"), F.lit(0).cast("long")),
-    ]
-    if hold_branch:
-        rules += [
-            (~c("partial_profit_taken") & (c("close") < c("dma21")) & (c("hold_score") >= hold_floor) & ~c("pending_dma21_grace"), "hold", "dma21_grace", c("close"), c("quantity").cast("long")),
-            (~c("partial_profit_taken") & (c("close") < c("dma21")) & (c("hold_score") >= hold_floor) & ~c("reduced_on_dma21"), "reduce", "dma21_reduce", c("close"), half),
+    taken, reduced, pending = (yes(c(x)) for x in ("partial_profit_taken", "reduced_on_dma21", "pending_dma21_grace"))
+    held = c("quantity") > 0
+    peak = F.coalesce("peak_close", "entry_price")
+    new_peak = F.greatest(peak, "close")
+    target = F.least(c("entry_price") + r.partial_r * c("initial_risk"), c("entry_price") * (1.0 + r.partial_pct))
+    left = lambda share: F.ceil(c("initial_shares") * F.lit(share)).cast("long")
+    none, all_left, no, on = F.lit(None).cast("double"), c("quantity").cast("long"), F.lit(False), F.lit(True)
+
+    def outcome(action: str, reason: str, price: Column = none, shares: Column = all_left, grace: Column = no, partial: Column = taken, small: Column = reduced, top: Column = peak) -> Column:
+        return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"), price.cast("double").alias("price"), shares.alias("target_shares"), partial.alias("partial_now"), small.alias("reduced_now"), grace.alias("grace_now"), top.alias("peak_now"))
+
+    def leave(reason: str, price: Column, **more: Column) -> Column:
+        return outcome("exit_all", reason, price, F.lit(0).cast("long"), **more)
+
+    close, below21, below10 = c("close"), c("close") < c("dma21"), c("close") < c("dma10")
+    chain = [(held & (c("low") <= c("initial_stop")), leave(HARD, c("initial_stop")))]
+    if r.pivot_fail:
+        chain += [(held & (F.datediff("date", "entry_date") <= r.fail_days) & (close < c("pivot_level")), leave(FAILED, close))]
+    chain += [(held & ~taken & (c("high") >= target), outcome("reduce", "partial_tp_1st", target, left(0.50), grace=pending, partial=on))]
+    if r.prior_low:
+        chain += [(held & taken & (div(peak, "entry_price") - 1.0 >= r.peak_gain) & (c("low") < c("prev_low")), leave(TRAILED, c("prev_low")))]
+    if r.compact:
+        chain += [
+            (taken & c("week_end") & (close < c("dma50")), leave(WEEKLY, close, top=new_peak)),
+            (taken, outcome("hold", "compact_runner_hold", top=new_peak)),
+            (below21, leave(BELOW_21, close, top=new_peak)),
+            (on, outcome("hold", "compact_pre_partial_hold", top=new_peak)),
+        ]
+    else:
+        if r.grace:
+            chain += [(held & below21 & c("tight_low_volume_day") & ~pending, outcome("hold", "dma21_grace", grace=on))]
+        chain += [
+            (held & below21 & ~reduced & (c("hold_score") < r.reduce21_below), outcome("reduce", "dma21_reduce_to_small_runner", close, left(r.reduce21_to), small=on)),
+            (held & below21 & ~reduced, outcome("hold", "dma21_hold", small=no)),
+            (held & below21 & (c("hold_score") < r.exit21_below), leave("dma21_exit_after_reduce", close, small=on)),
+            (held & below21, outcome("hold", "dma21_runner_hold", small=on)),
+            (held & below10 & (c("hold_score") < r.exit10_below), leave("dma10_holdscore_exit_all", close, grace=pending)),
+            (held & below10 & (c("hold_score") < r.reduce10_below) & (c("quantity") > left(r.reduce10_to)), outcome("reduce", "dma10_holdscore_reduce", close, left(r.reduce10_to), grace=pending)),
+            (on, outcome("hold", "hold")),
         ]
-    rules += [(~c("partial_profit_taken") & (c("close") < c("dma21")), "exit", "dma21", c("close"), F.lit(0).cast("long"))]
-    action = F.struct(F.lit("hold").alias("action"), F.lit("none").alias("reason"), c("close").alias("price"), c("quantity").cast("long").alias("target_shares"))
-    for cond, what, why, price, target in reversed(rules):
-        action = F.when(yes(cond), F.struct(F.lit(what).alias("action"), F.lit(why).alias("reason"), price.alias("price"), target.alias("target_shares"))).otherwise(action)
-    out = p.withColumn("exit", action)
-    return out.select(*positions.columns, "exit.*", (yes(c("partial_profit_taken")) | (c("exit.reason") == "partial_profit")).alias("partial_now"), F.greatest("peak_close", "close").alias("peak_now"), (yes(c("pending_dma21_grace")) | (c("exit.reason") == "dma21_grace")).alias("grace_now"))
+    out = None
+    for cond, then in chain:
+        out = F.when(yes(cond), then) if out is None else out.when(yes(cond), then)
+    return p.withColumn("exit", out).select(*positions.columns, "exit.*")

@@ -20,19 +20,19 @@ class StandardRules:
     trigger_min: float = 0.0
     cum_vol_min: float = 1.5
     bar_vol_min: float = 0.0
-    move_min: float = 0.0
+    move_min: float = -1.0
     above_pivot: float = 0.01
 
 
 @dataclass(frozen=True)
 class TightEntry:
-    leader_min: float = 60.0
-    setup_min: float = 50.0
-    trigger_min: float = 60.0
+    leader_min: float = 89.0
+    setup_min: float = 57.0
+    trigger_min: float = 69.0
     cum_vol_min: float = 0.0
     bar_vol_min: float = 0.0
-    max_dist: float = 1.0
-    max_gap: float = 1.0
+    max_dist: float = 0.80
+    max_gap: float = 0.70
     override_dist: float = 0.35
     override_setup: float = 62.0
     override_trigger: float = 80.0
@@ -103,6 +103,18 @@ def merge_lanes(standard: DataFrame, zigzag: DataFrame, leader_min: float = 60.0
     })
 
 
+def lane_summary(report: DataFrame) -> DataFrame:
+    """Counts a date of the standard lane: setups, by tier, breakouts and signals."""
+    c = F.col
+    return report.groupBy("date").agg(
+        F.count(F.lit(1)).alias("setup_count"),
+        F.count_if(c("setup_tier") == "normal").alias("normal_setup_count"),
+        F.count_if(c("setup_tier") == "override").alias("override_setup_count"),
+        F.count_if(c("broke_out")).alias("breakout_count"),
+        F.count_if(c("breakout_signal")).alias("breakout_signal_count"),
+    )
+
+
 def daily_summary(report: DataFrame) -> DataFrame:
     """Counts a date of the merged report: setups, signals, what each lane alone had signalled, and rows whose
     source is the tight lane."""
@@ -126,7 +138,8 @@ class ReportConfig:
     setup_floor: float = 50.0
     leader_min: float = 60.0
     standard: StandardRules = StandardRules()
-    tight: TightEntry = TightEntry()
+    tight: TightEntry = TightEntry(leader_min=60.0, setup_min=0.0, trigger_min=0.0, cum_vol_min=1.5, max_dist=99.0, max_gap=99.0)
+    compact_leader: float = 60.0
     compact_cum_vol: float = 1.5
     compact_above_pivot: float = 0.01
 
@@ -175,7 +188,7 @@ def breakout_signal_report(daily: DataFrame, bars: DataFrame, cfg: ReportConfig
     slots = same_slot_volume(session_running(by_symbol(bars)))
     standard = standard_lane(scoped, slots, first, last, cfg).select(*_MERGED, "breakout_signal", "standard_rule_pass", "setup_tier")
     zigzag = zigzag_lane(scoped, slots, first, last, cfg).select(*_MERGED, "zigzag_line_value", "entry_signal", "entry_dist_norm", "gap_norm", "entry_filter_reason", "pts_hold")
-    report = merge_lanes(standard, zigzag, cfg.leader_min, cfg.compact_cum_vol, cfg.compact_above_pivot)
+    report = merge_lanes(standard, zigzag, cfg.compact_leader, cfg.compact_cum_vol, cfg.compact_above_pivot)
     return report, daily_summary(report)
 
 
@@ -315,7 +328,7 @@ def industry_priority(report: DataFrame, features: DataFrame, universe: DataFram
     return out.withColumns({"a_plus": a_plus, "leader95": yes(c("leader_score") >= 95)}).withColumn("industry_priority", score)
 
 
-def risk_sizing(signals: DataFrame, equity: float, cash: float, risk: float = 0.01, slots: int = 3, buffer: float = 0.001) -> DataFrame:
+def risk_sizing(signals: DataFrame, equity: float, cash: float, risk: float = 1.0, slots: int = 3, buffer: float = 0.001) -> DataFrame:
     """Stop and share count of each signal; no row for gaps of 10 % and more (an unknown gap passes), without
     a low, a level or a price, or where the stop is wider than the limits that are known."""
     c = F.col

@@ -52,7 +52,7 @@ def pct_rank(c: str, by: str) -> str:
 LINES = "SELECT *, 50.0 + l_extendedprice / 2000.0 AS px, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS o FROM lineitem"
 DAILY = f"""daily AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 5, '0') AS symbol, l_shipdate::DATE AS date, arg_min(px, o) AS open, max(px * (1.0 + l_discount)) AS high, min(px * (1.0 - l_tax)) AS low, arg_max(px, o) AS close, sum(l_quantity) * 1000.0 AS volume FROM ({LINES}) GROUP BY 1, 2)"""
 UNIVERSE = """universe AS (SELECT 'S' || lpad(s_suppkey::VARCHAR, 5, '0') AS symbol, s_acctbal AS market_cap, n_name AS industry, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-EVENTS = """ev AS (SELECT event_id, ts, 'E' || (user_id % 10) AS symbol, 20.0 + value / 10.0 AS px, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.0) AS k FROM events)"""
+EVENTS = """ev AS (SELECT event_id, ts, 'E' || (user_id // 15) AS symbol, 20.0 + value / 10.0 AS px, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.0) AS k FROM events)"""
 INTRADAY = f"""{EVENTS}, bars AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, min(ts::DATE) AS session_date, arg_min(px, event_id) AS open, max(px * (1.0 + 0.001 * (event_id % 7))) AS high, min(px * (1.0 - 0.001 * (event_id % 5))) AS low, arg_max(px, event_id) AS close, sum(k) AS volume FROM ev GROUP BY 1, 2)"""
 RUNNING = f"""running AS (SELECT *, row_number() OVER ({S}) - 1 AS slot, sum(volume) OVER ({S}) AS cum_volume, first(open) OVER ({S}) AS session_open, max(high) OVER ({S}) AS session_high_so_far, min(low) OVER ({S}) AS session_low_so_far, lag(close) OVER ({S}) AS prev_bar_close FROM bars)"""
 _SLOT = "PARTITION BY symbol, slot ORDER BY session_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING"
@@ -171,6 +171,35 @@ def scores(source: str = "diag", rs: str = "rs", out: str = "scored", history: i
 , {out} AS (SELECT *, enough AND leader_pass AND breakout_type <> 'none' AND (coalesce(setup_score_pre >= 60, false) OR coalesce(setup_score_pre >= 50 AND trigger_score_daily >= 85, false)) AS daily_signal, 0.4 * setup_score_pre + 0.35 * trigger_score_daily + 0.25 * {zero('leader_score')} AS total_score FROM {out}_e)"""
 
 
+def vwap(source: str = "daily", out: str = "vwap") -> str:
+    """VWAP since the first bar of the highest high of 63 bars."""
+    return f"""{out}_t AS (SELECT *, (high + low + close) / 3.0 * volume AS pv, row_number() OVER ({W}) AS n FROM {source})
+, {out}_m AS (SELECT *, max(high) OVER ({W} ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS m FROM {out}_t)
+, {out}_a AS (SELECT t.symbol, t.date, t.n, (SELECT min(u.n) FROM {out}_t u WHERE u.symbol = t.symbol AND u.n BETWEEN t.n - 62 AND t.n AND u.high = m) AS anchor FROM {out}_m t)
+, {out} AS (SELECT a.symbol, a.date, sum(t.pv) / nullif(sum(t.volume), 0) AS anchored_vwap FROM {out}_a a JOIN {out}_t t ON a.symbol = t.symbol AND t.n BETWEEN a.anchor AND a.n GROUP BY 1, 2)"""
+
+
+def feature_history(out: str = "history") -> str:
+    """Over base, vwap and universe: features as of the day and as of the day before."""
+    rs = " + ".join(f"{w} * coalesce(roc{n}, 0)" for w, n in ((40.0, 21), (20.0, 63), (20.0, 126), (20.0, 252)))
+    mean = lambda g, names: ", ".join(f"avg({c}) AS {g}_{n}" for n, c in names)
+    before = lambda g, names: ", ".join(f"lag({g}_{n}) OVER (PARTITION BY {g} ORDER BY date) AS {g}_{n}_prev" for n, _ in names)
+    of = {"sector": (("buy_pressure", "bp"),), "industry": (("buy_pressure", "bp"), ("rs", "rs_score"))}
+    groups = "".join(f"""
+, {out}_{g} AS (SELECT *, {before(g, names)} FROM (SELECT date, {g}, {mean(g, names)} FROM {out}_b WHERE {g} IS NOT NULL GROUP BY 1, 2))""" for g, names in of.items())
+    own = {
+        "daily_buy_pressure_prev": "bp", "prev_day_adr_pct": "adr20_alt", "daily_rrs_prev": "rrs", "daily_rs_score_prev": "rs_score",
+        "distance_to_avwap_63_prev": "close / nullif(anchored_vwap, 0) - 1.0", "prev_day_close_vs_sma50": "close / nullif(sma50, 0) - 1.0",
+        "prev_day_high": "high", "prev_day_atr14": "atr14",
+    }
+    return f"""{out}_a AS (SELECT b.*, anchored_vwap, sector, industry, ((close - low) - (high - close)) / nullif(high - low, 0) AS mf FROM base b JOIN vwap USING (symbol, date) LEFT JOIN universe USING (symbol))
+, {out}_b AS (SELECT *, {roll('avg', 'mf', 20, 10)} AS bp, {rs} AS rs_score, ({rs}) / nullif(atr14 / nullif(close, 0), 0) AS rrs FROM {out}_a)
+, {out}_c AS (SELECT *, {', '.join(f'{lag(x)} AS {name}' for name, x in own.items())} FROM {out}_b){groups}
+, {out} AS (SELECT *, bp AS daily_buy_pressure_eod, adr20_alt AS adr_pct_20_eod, industry_buy_pressure AS industry_buy_pressure_eod, sector_buy_pressure AS sector_buy_pressure_eod,
+    rrs AS daily_rrs_eod, rs_score AS daily_rs_score_eod, industry_rs AS industry_rs_eod
+  FROM {out}_c LEFT JOIN {out}_sector USING (date, sector) LEFT JOIN {out}_industry USING (date, industry))"""
+
+
 def fifo(out: str = "trips") -> str:
     """Round trips over every overlap of bought and effectively sold intervals."""
     w = "PARTITION BY symbol ORDER BY date, o"

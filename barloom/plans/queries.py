@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import div, lag, last_n, pct_rank, prior_n, rolling, series, yes, zero
-from barloom.operators import clean, daily, intraday, learn, ledger, levels, report
+from barloom.operators import calibration, clean, daily, evaluate, intraday, learn, ledger, levels, report
 from barloom.plans import oracle as q
 from barloom.sources import fixtures as fx
 from barloom.streaming.bars import clean_quotes, quotes_to_bars, stop_alerts
@@ -60,7 +60,7 @@ def tradeability(spark, d):
     return out.select("symbol", "date", r4("dollar_volume"), F.col("tradeable").cast("int").alias("tradeable"))
 
 
-@query(q.stack(q.DAILY, f"t AS (SELECT *, (high + low + close) / 3.0 * volume AS pv, row_number() OVER ({q.W}) AS n FROM daily)", "a AS (SELECT t.symbol, t.date, t.n, (SELECT min(u.n) FROM t u WHERE u.symbol = t.symbol AND u.n BETWEEN t.n - 62 AND t.n AND u.high = m) AS anchor FROM (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS m FROM t) t)", select=f"SELECT a.symbol, a.date, {q.r4('sum(t.pv) / nullif(sum(t.volume), 0)', 'anchored_vwap')} FROM a JOIN t ON a.symbol = t.symbol AND t.n BETWEEN a.anchor AND a.n GROUP BY 1, 2"))
+@query(q.stack(q.DAILY, q.vwap(), select=f"SELECT symbol, date, {q.r4('anchored_vwap')} FROM vwap"))
 def anchored_vwap(spark, d):
     return rows(daily.anchored_vwap(fx.daily(spark, d)), "anchored_vwap", "symbol", "date")
 
@@ -70,10 +70,14 @@ def relative_strength(spark, d):
     return rows(daily.relative_strength(daily.base_features(fx.daily(spark, d))), "rs_today leader_score", "symbol", "date")
 
 
-@query(q.stack(q.DAILY, q.features(), f"t AS (SELECT symbol, date, 40.0 * coalesce(roc21, 0) + 20.0 * coalesce(roc63, 0) + 20.0 * coalesce(roc126, 0) + 20.0 * coalesce(roc252, 0) AS rs_score, atr14 / nullif(close, 0) AS atr_pct, ((close - low) - (high - close)) / nullif(high - low, 0) AS mf FROM base)", f"v AS (SELECT *, rs_score / nullif(atr_pct, 0) AS rrs, {q.roll('avg', 'mf', 20, 10)} AS money_flow FROM t)", select=f"SELECT symbol, date, {q.rows('rs_score rrs money_flow')}, {q.r4(q.lag('rs_score'), 'rs_score_prev')}, {q.r4(q.lag('rrs'), 'rrs_prev')} FROM v"))
+HISTORY = q.stack(q.DAILY, q.UNIVERSE, q.features(), q.vwap(), q.feature_history(), select="")
+HISTORY_COLUMNS = " ".join((*daily.END_OF_DAY, *daily.DAY_BEFORE))
+
+
+@query(HISTORY + f"SELECT {q.rows(HISTORY_COLUMNS, 'symbol', 'date', 'sector', 'industry')} FROM history")
 def feature_history(spark, d):
     out = daily.daily_feature_history(fx.daily(spark, d), fx.universe(spark, d))
-    return rows(out, "rs_score rrs money_flow rs_score_prev rrs_prev", "symbol", "date")
+    return rows(out, HISTORY_COLUMNS, "symbol", "date", "sector", "industry")
 
 
 @query(q.stack(q.DAILY, q.UNIVERSE, "m AS (SELECT date, sector, avg(close) AS sector_mean FROM daily JOIN universe USING (symbol) GROUP BY 1, 2)", select=f"SELECT date, sector, {q.r4('sector_mean')}, {q.r4('lag(sector_mean) OVER (PARTITION BY sector ORDER BY date)', 'sector_mean_prev')} FROM m"))
@@ -92,9 +96,17 @@ def zscores(spark, d):
     return rows(daily.cross_sectional_zscore(fx.daily(spark, d), ["close", "volume"]), "close_z volume_z", "symbol", "date")
 
 
-@query(q.stack(q.DAILY, f"s AS (SELECT symbol, date, 0.6 * coalesce({q.pct_rank('close', 'date')}, 0) + 0.4 * coalesce({q.pct_rank('volume', 'date')}, 0) AS score FROM daily)", select=f"SELECT symbol, date, {q.r4('score')}, k AS rank_order FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS k FROM s) WHERE k <= 5"))
+_LIST_SCORE = " + ".join(f"{w} * coalesce({q.pct_rank(c, 'date')}, 0)" for c, w in daily.WATCHLIST_WEIGHTS.items())
+
+
+@query(HISTORY + f""", s AS (SELECT symbol, date, daily_rs_score_eod, {_LIST_SCORE} AS score FROM history)
+, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, daily_rs_score_eod DESC NULLS LAST, symbol) AS rank_order FROM s)
+SELECT symbol, date, {q.r4('score')}, rank_order FROM k WHERE rank_order <= 5""")
 def watchlist(spark, d):
-    return daily.legacy_watchlist(fx.daily(spark, d), {"close": 0.6, "volume": 0.4}, 5).select("symbol", "date", r4("score"), F.col("rank_order").cast("long").alias("rank_order"))
+    """The plain watchlist of each date over its seven features."""
+    out = daily.daily_feature_history(fx.daily(spark, d), fx.universe(spark, d))
+    best = daily.legacy_watchlist(out, daily.WATCHLIST_WEIGHTS, 5, ("daily_rs_score_eod",))
+    return best.select("symbol", "date", r4("score"), F.col("rank_order").cast("long").alias("rank_order"))
 
 
 @query("WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity FROM lineitem) SELECT l_quantity, any_value(rk) AS qty_rank, count(*) AS n FROM (SELECT l_quantity, (rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0) / count(*) OVER () AS rk FROM t) GROUP BY 1")
@@ -275,24 +287,28 @@ def feature_distribution(spark, d):
 
 
 def exit_sql(events: str = "evs", fail_days: str = "1") -> str:
-    """First exits of events (id, symbol, date, entry, stop, pivot_level), up to the day that no trade outlives."""
-    later = "PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
-    here = "PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
-    return f"""xa AS (SELECT symbol, date, date AS d, high, low, close, {q.lag('low')} AS prev_low, {q.roll('avg', 'close', 21)} AS dma21, {q.roll('avg', 'close', 50)} AS dma50, date = max(date) OVER (PARTITION BY symbol, date + ((5 - isodow(date) + 7) % 7)::INT) AS week_end, max(date) OVER (PARTITION BY symbol) AS last FROM daily)
-, xb AS (SELECT *, min(CASE WHEN close < dma21 THEN d END) OVER ({later}) AS next21, min(CASE WHEN week_end AND close < dma50 THEN d END) OVER ({here}) AS next50 FROM xa)
-, xe AS (SELECT e.*, last, coalesce(next21, last) AS until FROM {events} e JOIN xb USING (symbol, date))
-, xf AS (SELECT id, min(d) AS p FROM xe e JOIN xa b ON e.symbol = b.symbol AND b.d > e.date AND b.d <= until WHERE b.high >= entry * 1.2 GROUP BY id)
-, xg AS (SELECT e.* EXCLUDE (until), p, CASE WHEN p IS NULL THEN until ELSE coalesce(b.next50, e.last) END AS until FROM xe e LEFT JOIN xf USING (id) LEFT JOIN xb b ON b.symbol = e.symbol AND b.d = p)
-, xp AS (SELECT e.*, b.d, b.low, b.close, prev_low, dma21, dma50, week_end, b.d - e.date AS age FROM xg e JOIN xa b ON e.symbol = b.symbol AND b.d > e.date AND b.d <= until)
-, xq AS (SELECT *, greatest(entry, coalesce(max(close) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS peak FROM xp)
-, xr AS (SELECT *, CASE WHEN low <= stop THEN 'hard_stop' WHEN age <= {fail_days} AND close < pivot_level THEN 'pivot_fail' WHEN p IS NOT NULL AND d >= p AND peak >= 3.0 * entry AND low < prev_low THEN 'prior_low_stop' WHEN p IS NOT NULL AND d >= p AND week_end AND close < dma50 THEN 'weekly_dma50' WHEN (p IS NULL OR d < p) AND close < dma21 THEN 'dma21' END AS reason FROM xq)
-, xs AS (SELECT id, min(d) AS exit_date, arg_min(reason, d) AS reason, arg_min(CASE reason WHEN 'hard_stop' THEN stop WHEN 'prior_low_stop' THEN prev_low ELSE close END, d) AS exit_price FROM xr WHERE reason IS NOT NULL GROUP BY id)
-, xt AS (SELECT id, min(p) AS p, arg_max(close, d) AS last_close FROM xq GROUP BY id)
-, xu AS (SELECT e.id, e.symbol, e.date, entry, exit_date, coalesce(reason, 'open') AS reason, exit_price, coalesce(p IS NOT NULL AND (exit_date IS NULL OR p < exit_date OR (p = exit_date AND reason NOT IN ('hard_stop', 'pivot_fail'))), false) AS partial, coalesce(exit_price, last_close) / nullif(entry, 0) - 1.0 AS raw FROM {events} e LEFT JOIN xs USING (id) LEFT JOIN xt USING (id))
-, exits AS (SELECT *, CASE WHEN partial THEN 0.1 + 0.5 * raw ELSE raw END AS ret FROM xu)"""
-
-
-@query(q.stack(q.DAILY, EVENTS_SQL, exit_sql(), select=f"SELECT {q.rows('exit_price ret', 'symbol', 'date', 'exit_date', 'reason', 'partial')} FROM exits"))
+    """First exits by plain search of every signal's path."""
+    week = "date = max(date) OVER (PARTITION BY symbol, date + ((5 - isodow(date) + 7) % 7)::INT)"
+    rule = ["stop_n", "fail_n", "trail_n", "week_n", "drop_n"]
+    return f"""xa AS MATERIALIZED (SELECT symbol, date, high, low, close, row_number() OVER ({q.W}) AS n, {q.lag('low')} AS prev_low, {q.roll('avg', 'close', 21)} AS dma21,
+    {q.roll('avg', 'close', 50)} AS dma50, {week} AS week_end, last(close) OVER ({q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_close FROM daily)
+, xe AS MATERIALIZED (SELECT e.id, e.symbol, e.date, e.entry, e.stop, e.pivot_level, {fail_days} AS fd, b.n AS n0, b.close AS close0, last_close FROM {events} e JOIN xa b USING (symbol, date))
+, xp AS MATERIALIZED (SELECT id, min(b.n) FILTER (b.n > n0 AND b.low <= stop) AS stop_n, min(b.n) FILTER (b.date - e.date <= fd AND b.close < pivot_level) AS fail_n,
+    min(b.n) FILTER (b.n > n0 AND b.high >= entry * 1.2) AS p, min(b.n) FILTER (b.close >= entry * 3.0) AS k, min(b.n) FILTER (b.n > n0 AND b.close < dma21) AS drop_n
+  FROM xe e JOIN xa b ON e.symbol = b.symbol AND b.n >= n0 GROUP BY id)
+, xr AS MATERIALIZED (SELECT id, min(b.n) FILTER (b.n >= p AND b.n > k AND b.low < prev_low) AS trail_n, min(b.n) FILTER (b.n >= p AND week_end AND b.close < dma50) AS week_n
+  FROM xe e JOIN xp USING (id) JOIN xa b ON e.symbol = b.symbol AND b.n >= p GROUP BY id)
+, xs AS (SELECT id, stop_n, fail_n, p, trail_n, week_n, CASE WHEN p IS NULL OR drop_n < p THEN drop_n END AS drop_n FROM xp LEFT JOIN xr USING (id))
+, xt AS (SELECT *, least({', '.join(rule)}) AS hit FROM xs)
+, xu AS (SELECT e.*, p, hit, b.date AS exit_date, CASE WHEN hit IS NULL THEN 'open' WHEN hit = n0 THEN '{ledger.FAILED_AT_ONCE}' WHEN hit = stop_n THEN '{ledger.HARD}' WHEN hit = fail_n THEN '{ledger.FAILED}'
+    WHEN hit = trail_n THEN '{ledger.TRAILED}' WHEN hit = week_n THEN '{ledger.WEEKLY}' ELSE '{ledger.BELOW_21}' END AS reason, b.close AS hit_close, b.prev_low AS hit_prev_low
+  FROM xe e JOIN xt USING (id) LEFT JOIN xa b ON e.symbol = b.symbol AND b.n = hit)
+, xv AS (SELECT *, CASE reason WHEN '{ledger.HARD}' THEN stop WHEN '{ledger.TRAILED}' THEN hit_prev_low ELSE hit_close END AS exit_price FROM xu)
+, xw AS (SELECT *, coalesce(p < hit OR (p = hit AND reason NOT IN ('{ledger.HARD}', '{ledger.FAILED}')) OR (p IS NOT NULL AND hit IS NULL), false) AS partial, coalesce(exit_price, last_close) / nullif(entry, 0) - 1.0 AS raw FROM xv)
+, exits AS (SELECT id, symbol, date, entry, exit_date, reason, exit_price, partial, CASE WHEN partial THEN 0.1 + 0.5 * raw ELSE raw END AS ret FROM xw)"""
+
+
+@query(q.stack(q.DAILY, EVENTS_SQL.replace("evs AS (", "evs AS MATERIALIZED ("), exit_sql(), select=f"SELECT {q.rows('exit_price ret', 'symbol', 'date', 'exit_date', 'reason', 'partial')} FROM exits"))
 def exit_outcomes(spark, d):
     return rows(ledger.exit_rule_outcomes(breakout_events(spark, d), fx.daily(spark, d)), "exit_price ret", "symbol", "date", "exit_date", "reason", "partial")
 
@@ -304,7 +320,7 @@ def _variant_sql(v: ledger.Variant) -> str:
     return f"SELECT '{v.name}' AS variant, reason, ret FROM rv JOIN exits USING (id) WHERE {' AND '.join(parts)}"
 
 
-_RULES = "rv AS (SELECT e.* EXCLUDE (stop, id), base * (1.0::DOUBLE - buffer) AS stop, id || '#' || buffer || '#' || fail_days AS id, buffer, fail_days FROM evs e, (VALUES (0.001::DOUBLE), (0.0025)) b(buffer), (VALUES (1), (2)) f(fail_days))"
+_RULES = "rv AS MATERIALIZED (SELECT e.* EXCLUDE (stop, id), base * (1.0::DOUBLE - buffer) AS stop, id || '#' || buffer || '#' || fail_days AS id, buffer, fail_days FROM evs e, (VALUES (0.001::DOUBLE), (0.0025)) b(buffer), (VALUES (1), (2)) f(fail_days))"
 
 
 @query(q.stack(q.DAILY, EVENTS_SQL, _RULES, exit_sql("rv", "fail_days"), f"vs AS ({' UNION ALL '.join(map(_variant_sql, ledger.VARIANTS))})", select=f"SELECT variant, count(*) AS n, {q.r4('avg(ret)', 'mean_ret')}, {q.r4('median(ret)', 'median_ret')}, {q.r4('avg((ret > 0)::INT)', 'win_rate')}, count(*) FILTER (reason = 'open') AS still_open FROM vs GROUP BY 1"))
@@ -529,20 +545,44 @@ def ranking_metrics(spark, d):
     return rows(both, "roc_auc average_precision")
 
 
+MODEL_FEATURES = list(daily.WATCHLIST_WEIGHTS)
+
+
+def _walk_forward(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Next-day direction from the seven features of the day, by walk-forward fits; all folds are fitted together."""
+    history = daily.daily_feature_history(fx.daily(spark, d), fx.universe(spark, d))
+    panel = history.withColumn("y", (F.lead("close").over(series()) > F.col("close")).cast("int")).select("symbol", "date", "y", *MODEL_FEATURES)
+    return evaluate.walk_forward_fits(panel, learn.walk_forward_folds(panel.select("date"), 5, 40, 5), MODEL_FEATURES, "y")
+
+
 @query(None)
 def logistic_scores(spark, d):
-    """Next-day direction by logistic regression on preprocessed features; scores of all rows."""
-    names = ["roc21", "range_pct", "pullback_depth"]
-    panel = daily.base_features(fx.daily(spark, d)).withColumn("y", (F.lead("close").over(series()) > F.col("close")).cast("int"))
-    ready = learn.transform(panel, learn.fit_preprocessor(panel, names)).select("symbol", "date", "y", *[f"{c}_x" for c in names])
-    return learn.train_and_score_logistic(ready.where("y IS NOT NULL"), ready, [f"{c}_x" for c in names], "y").select("symbol", "date", "score")
+    """Scores of the validation blocks by the fits of their folds: no row is scored by a fit that saw it."""
+    return _walk_forward(spark, d)[0].select("symbol", "date", "fold", "score")
 
 
 @query(None)
+def fold_metrics(spark, d):
+    """AUC, average precision and top-5 precision and recall of each fold, over real fits."""
+    return evaluate.fold_metrics(_walk_forward(spark, d)[0], "y", 5, ("daily_buy_pressure_eod", "daily_rs_score_eod"))
+
+
+@query(None)
+def fold_coefficients(spark, d):
+    """Mean, deviation and median over the folds of each coefficient."""
+    return learn.coefficient_summary(_walk_forward(spark, d)[1])
+
+
+_MINUTES = "hour(ts) * 60 + minute(ts) - 570"
+
+
+@query("WITH RECURSIVE " + f"""{q.INTRADAY}
+, marks AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars WHERE ({_MINUTES}) % 15 = 0 AND ({_MINUTES}) >= 15)
+, smooth AS (SELECT symbol, n, ts, close::DOUBLE AS ema FROM marks WHERE n = 1
+  UNION ALL SELECT m.symbol, m.n, m.ts, s.ema * (7.0::DOUBLE / 9.0) + m.close * (2.0::DOUBLE / 9.0) FROM smooth s JOIN marks m ON m.symbol = s.symbol AND m.n = s.n + 1)
+SELECT b.symbol, b.ts, {q.r4('CASE WHEN s.n >= 8 THEN s.ema END', 'ema_15m')} FROM bars b ASOF LEFT JOIN smooth s ON b.symbol = s.symbol AND b.ts >= s.ts""")
 def ema_15m(spark, d):
-    """Exponential averages have no closed form in SQL; tests hold them against a loop."""
-    out = intraday.ema_15m(intraday.session_running(fx.intraday(spark, d)))
-    return rows(out, "ema_15m", "symbol", "ts")
+    return rows(intraday.ema_15m(intraday.session_running(fx.intraday(spark, d))), "ema_15m", "symbol", "ts")
 
 
 _STATES = ("new", "Submitted", "filled", "cancelled", "pending cancel", "Cancel Requested", "user cancel", "rejected", "order rejected", "fail: limit", "part filled", "expired", "")
@@ -614,7 +654,7 @@ def _gappy(signals: DataFrame) -> DataFrame:
 @query(SCORED + f""", {_SIG}
 , lk AS (SELECT symbol, date, open, close, leader_score, coalesce(resistance_used, pivot_high) AS level, CASE WHEN day(date) % 13 <> 0 THEN low END AS low, CASE WHEN day(date) % 5 <> 0 THEN prev_close END AS prev_close, CASE WHEN day(date) % 3 <> 0 THEN atr20 END AS atr20, CASE WHEN day(date) % 4 <> 0 THEN adr20_pct END AS adr20_pct FROM sig)
 , st AS (SELECT *, least(low, level) * (1.0 - 0.001::DOUBLE) AS stop, least(atr20, adr20_pct * close) AS most FROM lk WHERE low IS NOT NULL AND level IS NOT NULL AND NOT coalesce(prev_close > 0 AND open / nullif(prev_close, 0) - 1.0 >= 0.10, false))
-, sz AS (SELECT *, floor(least(100000.0 * 0.01 / nullif(close - stop, 0), 100000.0 / 3 / close, 50000.0 / close))::BIGINT AS shares FROM st WHERE close - stop > 0 AND (coalesce(leader_score >= 90, false) OR most IS NULL OR close - stop <= most))
+, sz AS (SELECT *, floor(least(100000.0 * 1.0 / nullif(close - stop, 0), 100000.0 / 3 / close, 50000.0 / close))::BIGINT AS shares FROM st WHERE close - stop > 0 AND (coalesce(leader_score >= 90, false) OR most IS NULL OR close - stop <= most))
 SELECT symbol, date, shares, {q.rows('stop')} FROM sz WHERE shares > 0""")
 def sized_signals(spark, d):
     return rows(report.risk_sizing(_gappy(_signals(spark, d)), 100000.0, 50000.0), "stop", "symbol", "date", "shares")
@@ -633,7 +673,7 @@ def industry_priorities(spark, d):
 
 
 #: Thresholds that let signals through on thirty sessions: ranks of one return, windows of five and ten bars.
-CFG = report.ReportConfig(min_history=10, pivot_window=5, lookback_days=20, setup_floor=10.0, leader_min=15.0, standard=report.StandardRules(leader_min=15.0, trigger_min=20.0, cum_vol_min=0.5, above_pivot=0.0), tight=report.TightEntry(leader_min=15.0, setup_min=20.0, trigger_min=20.0, max_dist=3.0, max_gap=2.0, override_dist=1.0, override_setup=40.0, override_trigger=40.0), compact_cum_vol=0.5, compact_above_pivot=0.001)
+CFG = report.ReportConfig(min_history=10, pivot_window=5, lookback_days=20, setup_floor=10.0, leader_min=15.0, standard=report.StandardRules(leader_min=15.0, trigger_min=20.0, cum_vol_min=0.5, above_pivot=0.0), tight=report.TightEntry(leader_min=15.0, setup_min=20.0, trigger_min=20.0, max_dist=3.0, max_gap=2.0, override_dist=1.0, override_setup=40.0, override_trigger=40.0), compact_leader=15.0, compact_cum_vol=0.5, compact_above_pivot=0.001)
 
 
 def signal_report(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -641,36 +681,40 @@ def signal_report(spark, d) -> tuple[DataFrame, DataFrame]:
     return report.breakout_signal_report(fx.daily_of(bars), bars, CFG)
 
 
-_SLOTS = q.stack(q.INTRADAY, q.RUNNING, q.SLOTTED, q.ROLLED.replace("rolled AS (", "rolled0 AS ("), select="") + ", span AS (SELECT min(session_date) AS a, max(session_date) AS b FROM bars), rolled AS (SELECT r.* FROM rolled0 r, span WHERE r.date BETWEEN a - 20 AND b)"
-_STD = f"""{q.features('rolled', pivot=5)}
+def report_sql(cfg: report.ReportConfig) -> str:
+    """The report's tables under a configuration, up to `rep`."""
+    s, t = cfg.standard, cfg.tight
+    slots = q.stack(q.INTRADAY, q.RUNNING, q.SLOTTED, q.ROLLED.replace("rolled AS (", "rolled0 AS ("), select="") + f", span AS (SELECT min(session_date) AS a, max(session_date) AS b FROM bars), rolled AS (SELECT r.* FROM rolled0 r, span WHERE r.date BETWEEN a - {cfg.lookback_days} AND b)"
+    std = f"""{q.features('rolled', pivot=cfg.pivot_window)}
 , {q.diagonal()}
 , {q.strength()}
-, {q.scores(history=10)}
-, sc0 AS (SELECT *, coalesce(leader_score >= 15, false) OR coalesce({q.lag('roc21')} >= 0.15 AND {q.lag('roc63')} >= 0.3 AND {q.lag('roc126')} >= 0.5, false) AS lead_ok FROM scored)
-, cand AS (SELECT sc0.*, CASE WHEN setup_score_pre >= 60 THEN 'normal' WHEN setup_score_pre >= 50 THEN 'override' ELSE 'none' END AS setup_tier FROM sc0, span WHERE date BETWEEN a AND b AND history_n >= 10 AND lead_ok AND setup_score_pre >= 10)
+, {q.scores(history=cfg.min_history)}
+, sc0 AS (SELECT *, coalesce(leader_score >= {cfg.leader_min}, false) OR coalesce({q.lag('roc21')} >= 0.15 AND {q.lag('roc63')} >= 0.3 AND {q.lag('roc126')} >= 0.5, false) AS lead_ok FROM scored)
+, cand AS (SELECT sc0.*, CASE WHEN setup_score_pre >= 60 THEN 'normal' WHEN setup_score_pre >= 50 THEN 'override' ELSE 'none' END AS setup_tier FROM sc0, span WHERE date BETWEEN a AND b AND history_n >= {cfg.min_history} AND lead_ok AND setup_score_pre >= {cfg.setup_floor})
 , ctx AS (SELECT symbol, date, pivot_high, diag_valid, diag_resistance, atr20, prev_close FROM cand)"""
-_REPORT = (
-    _SLOTS
-    + f""", {_STD}
+    return slots + f""", {std}
 , {STD_SQL.replace('FROM slotted s LEFT JOIN ctx', 'FROM slotted s JOIN ctx')}
 , ft AS (SELECT symbol, session_date, min(ts) AS trigger_time, {', '.join(f'arg_min({c}, ts) FILTER ({c} IS NOT NULL) AS {n}' for c, n in (('close', 'trigger_close'), ('trigger_score', 'trigger_score'), ('cum_vol_ratio', 'cum_vol_ratio'), ('bar_vol_ratio', 'bar_vol_ratio'), ('move_from_open', 'move_from_open'), ('low', 'trigger_bar_low'), ('session_low_so_far', 'low_so_far'), ('breakout_type', 'kind')))} FROM std WHERE h_up OR d_up GROUP BY 1, 2)
 , sl AS (SELECT c.symbol, c.date, 'standard' AS lane, true AS setup_candidate, setup_tier, leader_score, setup_score_pre, pivot_high, pivot_high AS level, trigger_time, trigger_close, trigger_score, cum_vol_ratio, bar_vol_ratio, move_from_open, trigger_bar_low, low_so_far, coalesce(kind, 'none') AS breakout_type, kind IS NOT NULL AS broke_out,
-    coalesce(kind IS NOT NULL AND leader_score >= 15 AND trigger_score >= 20 AND coalesce(cum_vol_ratio, 0) >= 0.5 AND coalesce(bar_vol_ratio, 0) >= 0 AND move_from_open >= 0 AND trigger_close >= pivot_high, false) AS lane_signal, NULL AS reason FROM cand c LEFT JOIN ft ON c.symbol = ft.symbol AND c.date = ft.session_date)
+    coalesce(kind IS NOT NULL AND leader_score >= {s.leader_min} AND trigger_score >= {s.trigger_min} AND coalesce(cum_vol_ratio, 0) >= {s.cum_vol_min} AND coalesce(bar_vol_ratio, 0) >= {s.bar_vol_min} AND move_from_open >= {s.move_min}
+      AND trigger_close >= pivot_high * (1.0 + {s.above_pivot}::DOUBLE), false) AS lane_signal, NULL AS reason FROM cand c LEFT JOIN ft ON c.symbol = ft.symbol AND c.date = ft.session_date)
 , {q.zigzag('rolled')}
 , {q.zigzag_lines()}
 , {q.zigzag_scores()}
-, zc AS (SELECT z.*, leader_score FROM zscore z JOIN rs USING (symbol, date), span WHERE date BETWEEN a AND b AND history_n >= 10 AND coalesce(leader_score >= 15, false) AND zigzag_line_valid_pre)
+, zc AS (SELECT z.*, leader_score FROM zscore z JOIN rs USING (symbol, date), span WHERE date BETWEEN a AND b AND history_n >= {cfg.min_history} AND coalesce(leader_score >= {cfg.leader_min}, false) AND zigzag_line_valid_pre)
 , {ZZ_SQL.replace('JOIN zscore c ON', 'JOIN zc c ON')}
 , bf AS (SELECT *, min(slot) OVER (PARTITION BY symbol, session_date) AS f0 FROM zev WHERE up)
 , bt AS (SELECT * FROM (SELECT *, {_MOVE} AS move_from_open, 10.0 * (0.7 * {q.zero(_HOLD)} + 0.3 * {q.zero(q.clip01(f'1.0 - {_ZOVER} / 0.06'))}) AS pts_hold, row_number() OVER (PARTITION BY symbol, session_date ORDER BY trigger_score DESC NULLS LAST, ts) AS k FROM bf WHERE slot <= f0 + 6) WHERE k = 1)
 , zj AS (SELECT c.symbol, c.date, c.leader_score, c.zigzag_setup_pre AS setup_score_pre, c.pivot_high, c.zigzag_line_value, c.history_n, b.ts AS trigger_time, b.close AS trigger_close, b.trigger_score, b.cum_vol_ratio, b.bar_vol_ratio, b.move_from_open, b.low AS trigger_bar_low, b.session_low_so_far AS low_so_far, coalesce(b.up, false) AS broke_out, (b.close / nullif(c.zigzag_line_value, 0) - 1.0) / nullif(c.adr20_pct, 0) AS dist, {q.floor0('c.open / nullif(c.prev_close, 0) - 1.0')} / nullif(c.adr20_pct, 0) AS gap FROM zc c LEFT JOIN bt b ON c.symbol = b.symbol AND c.date = b.session_date)
-, zt AS (SELECT *, broke_out AND coalesce(leader_score >= 15 AND setup_score_pre >= 20 AND trigger_score >= 20, false) AS base_ok FROM zj)
+, zt AS (SELECT *, broke_out AND coalesce(leader_score >= {t.leader_min} AND setup_score_pre >= {t.setup_min} AND trigger_score >= {t.trigger_min}, false) AND coalesce(cum_vol_ratio, 0) >= {t.cum_vol_min} AND coalesce(bar_vol_ratio, 0) >= {t.bar_vol_min} AS base_ok FROM zj)
 , zl AS (SELECT symbol, date, 'zigzag' AS lane, true AS setup_candidate, NULL AS setup_tier, leader_score, setup_score_pre, pivot_high, zigzag_line_value AS level, trigger_time, trigger_close, trigger_score, cum_vol_ratio, bar_vol_ratio, move_from_open, trigger_bar_low, low_so_far, CASE WHEN broke_out THEN 'zigzag_diagonal' ELSE 'none' END AS breakout_type, broke_out,
-    base_ok AND coalesce(dist <= 3.0 AND gap <= 2.0, false) AS lane_signal,
-    CASE WHEN NOT base_ok THEN 'failed_base_signal' WHEN coalesce(dist <= 3.0 AND gap <= 2.0, false) THEN 'passed_entry_engine' WHEN coalesce(dist > 3.0, false) THEN 'entry_distance_norm_too_high' WHEN coalesce(gap > 2.0, false) THEN 'gap_norm_too_high' ELSE 'failed_tight_lane_shape' END AS reason FROM zt)
-, rep AS (SELECT *, broke_out AND coalesce(leader_score >= 15, false) AND coalesce(cum_vol_ratio, 0.0) >= 0.5 AND coalesce(trigger_close >= coalesce(level, pivot_high) * (1.0 + 0.001::DOUBLE), false) AS signal FROM (SELECT * FROM sl UNION ALL SELECT * FROM zl))
+    base_ok AND coalesce(dist <= {t.max_dist} AND gap <= {t.max_gap}, false) AS lane_signal,
+    CASE WHEN NOT base_ok THEN 'failed_base_signal' WHEN coalesce(dist <= {t.max_dist} AND gap <= {t.max_gap}, false) THEN 'passed_entry_engine' WHEN coalesce(dist > {t.max_dist}, false) THEN 'entry_distance_norm_too_high' WHEN coalesce(gap > {t.max_gap}, false) THEN 'gap_norm_too_high' ELSE 'failed_tight_lane_shape' END AS reason FROM zt)
+, rep AS (SELECT *, broke_out AND coalesce(leader_score >= {cfg.compact_leader}, false) AND coalesce(cum_vol_ratio, 0.0) >= {cfg.compact_cum_vol} AND coalesce(trigger_close >= coalesce(level, pivot_high) * (1.0 + {cfg.compact_above_pivot}::DOUBLE), false) AS signal FROM (SELECT * FROM sl UNION ALL SELECT * FROM zl))
 """
-)
+
+
+_REPORT = report_sql(CFG)
 _PICKED = "trigger_close trigger_score cum_vol_ratio leader_score setup_score_pre"
 
 
@@ -682,6 +726,40 @@ def breakout_report(spark, d):
     return rows(out, _PICKED + " trigger_bar_low low_so_far level", "symbol", "date", "lane", "breakout_type", "setup_tier", "trigger_time", "lane_signal", "breakout_signal", "entry_filter_reason", "bucket")
 
 
+#: The thresholds of the report's defaults and of the default parameters, over thirty sessions.
+DEFAULT_CFG = report.ReportConfig(min_history=10, pivot_window=5, lookback_days=20)
+CALIBRATED_CFG = calibration.report_config(calibration.DEFAULTS, min_history=10, pivot_window=5, lookback_days=20)
+_SHORT = f"SELECT symbol, date, lane, breakout_type, lane_signal, signal AS breakout_signal, reason AS entry_filter_reason, {q.rows(_PICKED)} FROM rep"
+
+
+def _short_report(spark, d, cfg: report.ReportConfig) -> DataFrame:
+    bars = fx.intraday(spark, d)
+    out, _ = report.breakout_signal_report(fx.daily_of(bars), bars, cfg)
+    return rows(out.withColumnsRenamed({"lane_before": "lane", "signal_before": "lane_signal"}), _PICKED, "symbol", "date", "lane", "breakout_type", "lane_signal", "breakout_signal", "entry_filter_reason")
+
+
+@query(report_sql(DEFAULT_CFG) + _SHORT)
+def default_report(spark, d):
+    """The report under its default thresholds."""
+    return _short_report(spark, d, DEFAULT_CFG)
+
+
+@query(report_sql(CALIBRATED_CFG) + _SHORT)
+def calibrated_report(spark, d):
+    """The report under the thresholds that the default parameters carry."""
+    return _short_report(spark, d, CALIBRATED_CFG)
+
+
+@query(_REPORT + """SELECT date, count(*) AS setup_count, count(*) FILTER (setup_tier = 'normal') AS normal_setup_count, count(*) FILTER (setup_tier = 'override') AS override_setup_count,
+  count(*) FILTER (broke_out) AS breakout_count, count(*) FILTER (lane_signal) AS breakout_signal_count FROM sl GROUP BY 1""")
+def standard_lane_summary(spark, d):
+    """Setups by tier, breakouts and signals a date of the standard lane."""
+    out, _ = signal_report(spark, d)
+    standard = out.where("lane_before = 'standard'").withColumn("breakout_signal", F.col("signal_before"))
+    summary = report.lane_summary(standard)
+    return summary.select("date", *[F.col(c).cast("long").alias(c) for c in summary.columns[1:]])
+
+
 @query(_REPORT + "SELECT date, count(*) AS setup_count, count(*) FILTER (signal) AS signal_count, count(*) FILTER (signal AND lane_signal AND lane = 'standard') AS standard_count, count(*) FILTER (signal AND lane_signal AND lane = 'zigzag') AS zigzag_count, 0 AS tight_reversal_count FROM rep GROUP BY 1")
 def report_summary(spark, d):
     _, out = signal_report(spark, d)
@@ -770,49 +848,81 @@ def ranked_watchlist(spark, d):
 def _positions(spark, d) -> DataFrame:
     """A position in each symbol, entered ten bars before its newest bar, with flags by symbol."""
     n = F.col("symbol").substr(2, 5).cast("int")
-    bars = fx.daily(spark, d).withColumns({"k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))), "low10": F.min("low").over(last_n(10))})
-    p = bars.where(F.col("k") == F.when(n % 6 == 0, 2).otherwise(11))
+    bars = fx.daily(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
     entry = F.col("close") * F.when(n % 5 == 0, 0.4).when(n % 5 == 1, 0.8).otherwise(1.0)
-    return p.select("symbol", F.col("date").alias("entry_date"), entry.alias("entry_price"), (entry * F.when(n % 7 == 0, 1.2).otherwise(0.5)).alias("initial_stop"), (entry * F.when(n % 6 == 0, 1.5).otherwise(1.0)).alias("pivot_level"), F.lit(101).alias("initial_shares"), F.lit(101).alias("quantity"), (n % 3 == 0).alias("partial_profit_taken"), (n % 4 == 0).alias("reduced_on_dma21"), (n % 2 == 0).alias("pending_dma21_grace"), (entry * F.when(n % 5 == 0, 3.2).otherwise(1.1)).alias("peak_close"))
+    return bars.where(F.col("k") == F.when(n % 6 == 0, 2).otherwise(11)).select(
+        "symbol",
+        F.col("date").alias("entry_date"),
+        entry.alias("entry_price"),
+        (entry * F.when(n % 7 == 0, 1.2).otherwise(0.5)).alias("initial_stop"),
+        (entry * F.when(n % 6 == 0, 1.5).otherwise(1.0)).alias("pivot_level"),
+        (101 + n % 2).alias("initial_shares"),
+        (20 + n % 82).alias("quantity"),
+        (entry * 0.5).alias("initial_risk"),
+        (n % 3 == 0).alias("partial_profit_taken"),
+        (n % 4 < 2).alias("reduced_on_dma21"),
+        (n % 8 < 4).alias("pending_dma21_grace"),
+        (entry * F.when(n % 5 == 0, 3.2).otherwise(1.1)).alias("peak_close"),
+    )
 
 
 def _exit_rows(spark, d) -> DataFrame:
-    out = daily.hold_score(fx.daily(spark, d)).withColumn("dma50", F.col("sma50"))
-    return report.latest_per_symbol(out.withColumns({"dma21": F.col("sma21")})).select("symbol", "date", "close", "high", "low", "prev_low", "dma21", "dma50", "week_end", "hold_score")
-
-
-_HOLD_ROWS = f"hx AS (SELECT *, {q.surf('sma10', 5, 0.8, 1.0, 0.985, 1.0)} AS s10, {q.surf('sma21', 8, 0.75, 1.2, 0.98, 1.5)} AS s21, {q.roll('max', 'high', 10)} AS h10, {q.lag('low')} AS prev_low, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM base), hs AS (SELECT *, {HOLD_SQL} AS hold_score FROM hx)"
+    out = daily.hold_score(fx.daily(spark, d)).withColumnsRenamed({"sma10": "dma10", "sma21": "dma21", "sma50": "dma50"}).withColumn("tight_low_volume_day", F.col("hold_quiet") > 0)
+    return report.latest_per_symbol(out).select("symbol", "date", "close", "high", "low", "prev_low", "dma10", "dma21", "dma50", "week_end", "hold_score", "tight_low_volume_day")
+
+
+_HOLD_ROWS = f"""hx AS (SELECT *, {q.surf('sma10', 5, 0.8, 1.0, 0.985, 1.0)} AS s10, {q.surf('sma21', 8, 0.75, 1.2, 0.98, 1.5)} AS s21, {q.roll('max', 'high', 10)} AS h10, {q.lag('low')} AS prev_low,
+    row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM base)
+, hs AS MATERIALIZED (SELECT symbol, date, high, low, close, prev_low, sma10, sma21, sma50, week_end, k, substr(symbol, 2)::INT AS n, {HOLD_SQL} AS hold_score,
+    coalesce(range_pct < range_median10 AND volume < vol20 AND close <= prev_close, false) AS quiet FROM hx)"""
+_EXIT_SQL = """ps AS (SELECT symbol, n, date AS entry_date, e AS entry_price, e * CASE WHEN n % 7 = 0 THEN 1.2 ELSE 0.5 END AS initial_stop, e * CASE WHEN n % 6 = 0 THEN 1.5 ELSE 1.0 END AS pivot_level, n % 3 = 0 AS taken,
+    n % 4 < 2 AS reduced, n % 8 < 4 AS grace, e * CASE WHEN n % 5 = 0 THEN 3.2 ELSE 1.1 END AS peak, 101 + n % 2 AS shares, 20 + n % 82 AS quantity
+  FROM (SELECT *, close * CASE n % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 0.8 ELSE 1.0 END AS e FROM hs WHERE k = CASE WHEN n % 6 = 0 THEN 2 ELSE 11 END))
+, act AS (SELECT p.*, h.close, prev_low, compact, CASE
+    WHEN h.low <= initial_stop THEN 'hard_stop_lod' WHEN h.date - entry_date <= 1 AND h.close < pivot_level THEN 'pivot_fail_exit_all'
+    WHEN NOT taken AND h.high >= entry_price * 1.2 THEN 'partial_tp_1st' WHEN taken AND peak / entry_price - 1.0 >= 2.0 AND h.low < prev_low THEN 'super_winner_prior_low_stop'
+    WHEN compact AND taken AND h.week_end AND h.close < sma50 THEN 'weekly_close_below_50dma' WHEN compact AND taken THEN 'compact_runner_hold'
+    WHEN compact AND h.close < sma21 THEN 'pre_partial_dma21_exit' WHEN compact THEN 'compact_pre_partial_hold'
+    WHEN h.close < sma21 AND quiet AND NOT grace THEN 'dma21_grace'
+    WHEN h.close < sma21 AND NOT reduced THEN CASE WHEN hold_score < 45 THEN 'dma21_reduce_to_small_runner' ELSE 'dma21_hold' END
+    WHEN h.close < sma21 THEN CASE WHEN hold_score < 40 THEN 'dma21_exit_after_reduce' ELSE 'dma21_runner_hold' END
+    WHEN h.close < sma10 AND hold_score < 50 THEN 'dma10_holdscore_exit_all' WHEN h.close < sma10 AND hold_score < 55 AND quantity > ceil(shares * 0.25) THEN 'dma10_holdscore_reduce' ELSE 'hold' END AS reason
+  FROM ps p JOIN hs h ON p.symbol = h.symbol AND h.k = 1, (VALUES (true), (false)) c(compact))
+, told AS (SELECT *, CASE WHEN reason IN ('partial_tp_1st', 'dma21_reduce_to_small_runner', 'dma10_holdscore_reduce') THEN 'reduce' WHEN reason LIKE '%hold' OR reason = 'dma21_grace' THEN 'hold' ELSE 'exit_all' END AS action FROM act)"""
+
+
+@query(q.stack(q.DAILY, q.features(), _HOLD_ROWS, _EXIT_SQL, select=f"""SELECT symbol, compact, action, reason,
+  CASE WHEN action = 'exit_all' THEN 0 WHEN action = 'hold' THEN quantity ELSE ceil(shares * CASE reason WHEN 'partial_tp_1st' THEN 0.5 WHEN 'dma10_holdscore_reduce' THEN 0.25 ELSE 0.1 END)::BIGINT END AS target_shares,
+  taken OR reason = 'partial_tp_1st' AS partial_now, CASE reason WHEN 'dma21_reduce_to_small_runner' THEN true ELSE reduced END AS reduced_now,
+  reason = 'dma21_grace' OR (grace AND reason IN ('partial_tp_1st', 'dma10_holdscore_exit_all', 'dma10_holdscore_reduce')) AS grace_now,
+  {q.r4("CASE WHEN action = 'hold' THEN NULL WHEN reason = 'hard_stop_lod' THEN initial_stop WHEN reason = 'super_winner_prior_low_stop' THEN prev_low WHEN reason = 'partial_tp_1st' THEN entry_price * 1.2 ELSE close END", 'price')},
+  {q.r4("CASE WHEN reason LIKE 'compact%' OR reason IN ('weekly_close_below_50dma', 'pre_partial_dma21_exit') THEN greatest(peak, close) ELSE peak END", 'peak_now')} FROM told"""))
+def exit_actions(spark, d):
+    """What to do with a position in each symbol, by the compact rules and by hold scores."""
+    positions, latest = _positions(spark, d), _exit_rows(spark, d)
+    both = [ledger.exit_action(positions, latest, ledger.ExitRules(compact=x)).withColumn("compact", F.lit(x)) for x in (True, False)]
+    return rows(both[0].unionByName(both[1]), "price peak_now", "symbol", "compact", "action", "reason", "target_shares", "partial_now", "reduced_now", "grace_now")
 
 
-@query(q.stack(
-    q.DAILY, q.features(), _HOLD_ROWS,
-    """ps AS (SELECT symbol, n, date AS entry_date, e AS entry_price, e * CASE WHEN n % 7 = 0 THEN 1.2 ELSE 0.5 END AS initial_stop, e * CASE WHEN n % 6 = 0 THEN 1.5 ELSE 1.0 END AS pivot_level, n % 3 = 0 AS taken, n % 4 = 0 AS reduced, n % 2 = 0 AS grace, e * CASE WHEN n % 5 = 0 THEN 3.2 ELSE 1.1 END AS peak
-  FROM (SELECT *, close * CASE n % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 0.8 ELSE 1.0 END AS e FROM (SELECT *, substr(symbol, 2)::INT AS n FROM hs) WHERE k = CASE WHEN n % 6 = 0 THEN 2 ELSE 11 END))""",
-    """act AS (SELECT p.*, h.close, h.date, CASE
-  WHEN h.low <= initial_stop THEN ['exit', 'hard_stop'] WHEN h.date - entry_date <= 1 AND h.close < pivot_level THEN ['exit', 'pivot_fail']
-  WHEN taken AND peak >= entry_price * 3.0 AND h.low < prev_low THEN ['exit', 'prior_low_stop'] WHEN NOT taken AND h.high >= entry_price * 1.2 THEN ['reduce', 'partial_profit']
-  WHEN taken AND h.week_end AND h.close < h.sma50 THEN ['exit', 'weekly_dma50']
-  WHEN NOT taken AND h.close < h.sma21 AND hold_score >= 20 AND NOT grace THEN ['hold', 'dma21_grace'] WHEN NOT taken AND h.close < h.sma21 AND hold_score >= 20 AND NOT reduced THEN ['reduce', 'dma21_reduce']
-  WHEN NOT taken AND h.close < h.sma21 THEN ['exit', 'dma21'] ELSE ['hold', 'none'] END AS x, initial_stop AS stop, prev_low FROM ps p JOIN hs h ON p.symbol = h.symbol AND h.k = 1)""",
-    select=f"SELECT symbol, x[1] AS action, x[2] AS reason, CASE x[1] WHEN 'exit' THEN 0 WHEN 'reduce' THEN 50 ELSE 101 END AS target_shares, {q.r4("CASE x[2] WHEN 'hard_stop' THEN stop WHEN 'prior_low_stop' THEN prev_low WHEN 'partial_profit' THEN entry_price * 1.2 ELSE close END", 'price')}, taken OR x[2] = 'partial_profit' AS partial_now, grace OR x[2] = 'dma21_grace' AS grace_now, {q.r4('greatest(peak, close)', 'peak_now')} FROM act",
-))
-def exit_actions(spark, d):
-    """What to do with a position in each symbol, hold-score branch included."""
-    out = ledger.exit_action(_positions(spark, d), _exit_rows(spark, d), hold_branch=True, hold_floor=20.0)
-    return rows(out, "price peak_now", "symbol", "action", "reason", "target_shares", "partial_now", "grace_now")
+PANEL = "close_vs_vwap next_open session_close intraday_rvol volume_spike_5m distance_to_prev_day_high rs_x_intraday_rvol intraday_range_expansion_vs_atr"
+_SESSIONS = q.stack(q.INTRADAY.replace("bars AS (", "every_bar AS ("), f"bars AS (SELECT * FROM every_bar WHERE {_MINUTES} >= 0)", q.RUNNING.replace(
+    f"row_number() OVER ({q.S}) - 1 AS slot", f"({_MINUTES}) // 5 AS slot"), q.SLOTTED, select="")
 
 
-@query(RUN + f""", v AS (SELECT *, sum((high + low + close) / 3.0 * volume) OVER ({q.S}) / nullif(sum(volume) OVER ({q.S}), 0) AS vwap, hour(ts) * 60 + minute(ts) - 570 AS minutes_from_open, lead(open) OVER ({q.S}) AS next_open, last(close) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_close FROM slotted)
-, w AS (SELECT *, last_value(CASE WHEN slot % 3 = 2 THEN close / nullif(vwap, 0) - 1.0 END IGNORE NULLS) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close_vs_vwap FROM v)
-, {q.ROLLED}
-, dp AS (SELECT symbol, date AS session_date, {q.lag('high')} AS prev_high, {q.lag('close / nullif(open, 0) - 1.0')} AS rs_score_prev, {q.lag('(high - low) / nullif(close, 0)')} AS atr_pct_prev FROM rolled)
-SELECT w.symbol, w.ts, minutes_from_open, {q.rows('close_vs_vwap next_open session_close')}, {q.r4('close / nullif(prev_high, 0) - 1.0', 'dist_prev_high')}, {q.r4('rs_score_prev * cum_vol_ratio', 'rs_x_rvol')}, {q.r4('((high - low) / nullif(close, 0)) / nullif(atr_pct_prev, 0)', 'range_to_atr')} FROM w LEFT JOIN dp USING (symbol, session_date) WHERE minutes_from_open BETWEEN 5 AND 90""")
+@query(_SESSIONS + f""", v AS (SELECT *, sum((high + low + close) / 3.0 * volume) OVER ({q.S}) / nullif(sum(volume) OVER ({q.S}), 0) AS vwap, {_MINUTES} AS minutes_from_open,
+    lead(open) OVER ({q.S}) AS next_open, last(close) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS session_close FROM slotted)
+, w AS (SELECT *, last_value(CASE WHEN minutes_from_open % 15 = 0 AND minutes_from_open >= 15 THEN close / nullif(vwap, 0) - 1.0 END IGNORE NULLS) OVER ({q.S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close_vs_vwap FROM v)
+, {q.ROLLED.replace('FROM bars', 'FROM every_bar')}
+, dp AS (SELECT symbol, date AS session_date, {q.lag('high')} AS prev_day_high, {q.lag('close / nullif(open, 0) - 1.0')} AS rs, {q.lag('high - low')} AS atr FROM rolled)
+, p AS (SELECT *, bar_vol_ratio AS intraday_rvol, bar_vol_ratio - 1.0 AS volume_spike_5m, close / nullif(prev_day_high, 0) - 1.0 AS distance_to_prev_day_high, rs * bar_vol_ratio AS rs_x_intraday_rvol,
+    (session_high_so_far - session_low_so_far) / nullif(atr, 0) AS intraday_range_expansion_vs_atr FROM w LEFT JOIN dp USING (symbol, session_date))
+SELECT symbol, ts, minutes_from_open, {q.rows(PANEL)} FROM p WHERE minutes_from_open BETWEEN 5 AND 90""")
 def intraday_panel(spark, d):
-    """Features of the bars within the signal window (the exponential average is tested apart)."""
+    """Features of the bars within the signal window (the exponential average has a query of its own)."""
     bars = fx.intraday(spark, d)
-    rolled = fx.daily_of(bars).withColumns({"prev_high": lag("high"), "rs_score_prev": lag(div("close", "open") - 1.0), "atr_pct_prev": lag(div(F.col("high") - F.col("low"), "close"))})
-    out = intraday.intraday_feature_panel(bars, rolled.select("symbol", "date", "prev_high", "rs_score_prev", "atr_pct_prev"))
-    return rows(out, "close_vs_vwap next_open session_close dist_prev_high rs_x_rvol range_to_atr", "symbol", "ts", F.col("minutes_from_open").cast("long").alias("minutes_from_open"))
+    before = {"prev_day_high": lag("high"), "daily_rs_score_prev": lag(div("close", "open") - 1.0), "prev_day_atr14": lag(F.col("high") - F.col("low"))}
+    out = intraday.intraday_feature_panel(bars, fx.daily_of(bars).withColumns(before).select("symbol", "date", *before))
+    return rows(out, PANEL, "symbol", "ts", F.col("minutes_from_open").cast("long").alias("minutes_from_open"))
 
 
 @query(q.stack(q.INTRADAY, select=f"SELECT replace(symbol, 'E', 'E-') AS symbol, timezone('America/New_York', timezone('UTC', ts)) AS ts, timezone('America/New_York', timezone('UTC', ts))::DATE AS session_date, {q.rows(BAR)} FROM bars"))

@@ -36,10 +36,14 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("symbol"), F.col("s_acctbal").alias("market_cap"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"))
 
 
+#: Users that trade one symbol of the events: symbols grow with the table.
+USERS = 15
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
-    return e.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("E"), (F.col("user_id") % 10).cast("string")).alias("symbol"), (20.0 + F.col("value") / 10.0).alias("px"), k.alias("k"))
+    return e.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("E"), F.floor(F.col("user_id") / USERS).cast("string")).alias("symbol"), (20.0 + F.col("value") / 10.0).alias("px"), k.alias("k"))
 
 
 def intraday(spark: SparkSession, sf_dir: str) -> DataFrame:

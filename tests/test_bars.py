@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import ranks
 from barloom.functions.columns import assert_unique, pct_rank, require_columns
-from barloom.operators import clean, daily, intraday, learn, ledger, levels, report
+from barloom.operators import clean, daily, evaluate, intraday, learn, ledger, levels, report
 from barloom.sources import fixtures as fx
 from barloom.sources import io
 
@@ -124,13 +125,13 @@ def exits(spark, highs, lows, closes, entry=10.0, stop=8.0, pivot=9.0):
 
 def test_stop_beats_partial_on_the_same_day(spark):
     r = exits(spark, [10, 13, 10], [9, 7.5, 9], [10, 9.5, 9.5])
-    assert (r.reason, r.exit_date, r.partial, r.exit_price) == ("hard_stop", day(1), False, 8.0)
+    assert (r.reason, r.exit_date, r.partial, r.exit_price) == ("hard_stop_lod", day(1), False, 8.0)
 
 
 def test_peak_of_today_counts_from_tomorrow(spark):
     r = exits(spark, [10, 13, 40, 33], [9, 12, 12.5, 11], [10, 12, 31, 30])
     # day 2 closes above three times the entry: its low is not below day 1's; day 3 falls below day 2's low
-    assert (r.reason, r.exit_date, r.partial) == ("prior_low_stop", day(3), True)
+    assert (r.reason, r.exit_date, r.partial) == ("super_winner_prior_low_stop", day(3), True)
 
 
 def test_still_open(spark):
@@ -138,6 +139,69 @@ def test_still_open(spark):
     assert r.reason == "open" and r.exit_date is None and r.ret == pytest.approx(0.05)
 
 
+def test_first_day(spark):
+    # closes below the pivot on the day of the signal: left at that close; the stop counts from the next day on
+    r = exits(spark, [10, 13], [7, 12], [8.5, 12])
+    assert (r.reason, r.exit_date, r.exit_price, r.partial) == ("day0_close_below_pivot_exit_all", day(0), 8.5, False) and r.ret == pytest.approx(-0.15)
+    # the first day's close is a peak: day 1 takes half and falls below day 0's low
+    r = exits(spark, [31, 32, 33], [29, 28, 30], [30.5, 31, 32])
+    assert (r.reason, r.exit_date, r.exit_price, r.partial) == ("super_winner_prior_low_stop", day(1), 29.0, True)
+    r = exits(spark, [13], [12], [12.5])
+    assert (r.reason, r.ret) == ("open", pytest.approx(0.25))
+
+
+def exits_by_loop(rows, at, entry, stop, pivot, fail_days):
+    """Day by day, as a position is kept; rows are (date, high, low, close)."""
+    closes = [r[3] for r in rows]
+    avg = lambda k, n: sum(closes[k - n + 1 : k + 1]) / n if k >= n - 1 else None
+    friday = lambda d: d + dt.timedelta(days=(4 - d.weekday()) % 7)
+    if closes[at] < pivot:
+        return "day0_close_below_pivot_exit_all", rows[at][0], closes[at], False
+    peak, taken = max(entry, closes[at]), False
+    for k in range(at + 1, len(rows)):
+        d, high, low, close = rows[k]
+        if low <= stop:
+            return "hard_stop_lod", d, stop, taken
+        if (d - rows[at][0]).days <= fail_days and close < pivot:
+            return "pivot_fail_exit_all", d, close, taken
+        taken = taken or high >= entry * 1.2
+        if taken and peak >= 3.0 * entry and low < rows[k - 1][2]:
+            return "super_winner_prior_low_stop", d, rows[k - 1][2], True
+        week_end = k + 1 == len(rows) or friday(rows[k + 1][0]) != friday(d)
+        if taken and week_end and avg(k, 50) is not None and close < avg(k, 50):
+            return "weekly_close_below_50dma", d, close, True
+        if not taken and avg(k, 21) is not None and close < avg(k, 21):
+            return "pre_partial_dma21_exit", d, close, False
+        peak = max(peak, close)
+    return "open", None, None, taken
+
+
+def test_exits_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "BLOCK", 8)  # so that paths run over many blocks
+    r = random.Random(21)
+    rows, signals, want = [], [], {}
+    for s in range(12):
+        price, path = 20.0, []
+        for k in range(150 + 20 * s):
+            price *= math.exp(r.gauss(0.004, 0.035))
+            high, low = price * (1 + abs(r.gauss(0, 0.02))), price * (1 - abs(r.gauss(0, 0.02)))
+            path.append((day(k + k // 5 * 2), high, low, price))
+        rows += [(f"S{s}", d, c, h, low, c, 1.0) for d, h, low, c in path]
+        for at in range(0, len(path), 3):
+            entry, stop, pivot, fail = path[at][3] * r.choice([1.0, 0.9, 0.4]), path[at][3] * r.choice([0.3, 0.8, 0.95]), path[at][3] * r.choice([0.5, 0.97, 1.001]), r.choice([1, 2, 4])
+            key = f"{s}/{at}"
+            signals.append((key, f"S{s}", path[at][0], entry, stop, pivot, fail))
+            reason, d, x, partial = exits_by_loop(path, at, entry, stop, pivot, fail)
+            final = (x if x is not None else path[-1][3]) / entry - 1
+            want[key] = (reason, d, x, partial, 0.1 + 0.5 * final if partial else final)
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
+    asked = spark.createDataFrame(signals, "id string, symbol string, date date, entry double, stop double, pivot double, fail_days int")
+    got = {x.id: (x.reason, x.exit_date, x.exit_price, x.partial, x.ret) for x in ledger.exit_rule_outcomes(asked, df).collect()}
+    assert got.keys() == want.keys() and {w[0] for w in want.values()} >= {"hard_stop_lod", "pivot_fail_exit_all", "super_winner_prior_low_stop", "weekly_close_below_50dma", "pre_partial_dma21_exit", "open"}
+    for k, w in want.items():
+        assert got[k][:2] == w[:2] and got[k][3] == w[3] and got[k][2] == (pytest.approx(w[2]) if w[2] else None) and got[k][4] == pytest.approx(w[4]), k
+
+
 def test_tight_entry_reasons_in_order(spark):
     base = dict(history_ok=True, broke_out=True, leader_score=90.0, setup_score_pre=70.0, trigger_score=85.0, trigger_close=10.1, zigzag_line_value=10.0, prev_close=10.0, open=10.0, adr20_pct=0.05, cum_vol_ratio=2.0, bar_vol_ratio=2.0, pts_hold=5.0)
     rows = [dict(base, k=0), dict(base, k=1, leader_score=1.0, trigger_close=20.0), dict(base, k=2, trigger_close=12.0, open=12.0), dict(base, k=3, open=11.0), dict(base, k=4, adr20_pct=None)]
@@ -208,8 +272,10 @@ def test_sizing_with_missing_values(spark):
         (9, 10.0, 10.0, 10.5, 10.8, None, 10.0, 1.0, 0.1, "respect_stop_limit"),  # no risk
     ]
     got = {r.id: r.shares for r in report.risk_sizing(spark.createDataFrame(rows, names), 9000.0, 9000.0).collect()}
-    shares = int(90 / (10 - 9.5 * 0.999))
+    shares = int(3000 / 10)  # a third of the equity, as a risk of all of it leaves more
     assert got == dict.fromkeys((1, 3, 6, 8), shares)
+    small = {r.id: r.shares for r in report.risk_sizing(spark.createDataFrame(rows, names), 9000.0, 9000.0, risk=0.01).collect()}
+    assert small == dict.fromkeys((1, 3, 6, 8), int(90 / (10 - 9.5 * 0.999)))
 
 
 def test_priority_bonus_and_missing_ranks(spark):
@@ -284,6 +350,96 @@ def test_logistic_scores_equal_a_plain_fit(spark):
     assert (c.folds, c.mean, c.median) == (3, 4.0, 3.0)
 
 
+def plain_fit(x, y, c=1.0):
+    """Newton's method on the penalised, balanced likelihood, the intercept free."""
+    x, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    weight = c * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    penalty = np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(60):
+        m = 1 / (1 + np.exp(-x @ beta))
+        beta = beta - np.linalg.solve(x.T @ (x * (weight * m * (1 - m))[:, None]) + penalty, x.T @ (weight * (m - y)) + penalty @ beta)
+    return beta
+
+
+def test_walk_forward_fits_equal_a_plain_fit_a_fold(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        for s in range(12):
+            x = [r.gauss(0, 1), r.choice([None, r.gauss(0, 2)]), r.gauss(1, 1)]
+            y = None if r.random() < 0.05 else int(x[0] - (x[1] or 0) + r.gauss(0, 2) > 0.5) if k >= 8 else 0
+            rows.append((f"S{s:02d}", day(k), *x, y))
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "symbol string, date date, a double, b double, c double, y int").repartition(7)
+    folds = learn.walk_forward_folds(df.select("date"), 4, 10, 3)
+    scored, coefficients = evaluate.walk_forward_fits(df, folds, names, "y")
+    got = {(x.symbol, x.date): (x.fold, x.score) for x in scored.collect()}
+    fits = {(x.fold, x.feature): x.coefficient for x in coefficients.collect()}
+    p = pd.DataFrame(rows, columns=["symbol", "date", *names, "y"])
+    raw = p.groupby("date")[names].transform(lambda c: (c - c.mean()) / c.std(ddof=1))
+    days = sorted(p["date"].unique())
+    assert len(fits) == 4 * folds.count()
+    seen, checked = 0, 0
+    for f in folds.collect():
+        train = p["date"].isin(days[: f.train_to]) & p["y"].notna()
+        valid = p["date"].isin(days[f.valid_from : f.valid_to])
+        low, high = raw[train].quantile(0.01), raw[train].quantile(0.99)
+        z = raw.clip(low, high, axis=1)
+        z = z.fillna(z[train].median())
+        z = (z - z[train].mean()) / z[train].std(ddof=0)
+        beta = plain_fit(z[train].to_numpy(), p["y"][train].to_numpy())
+        assert [fits[f.fold, n] for n in ["intercept", *names]] == pytest.approx(list(beta), abs=1e-6)
+        for i in p[valid].index:
+            fold, score = got[p["symbol"][i], p["date"][i]]
+            assert fold == f.fold and score == pytest.approx(1 / (1 + math.exp(-beta[0] - z.loc[i].to_numpy() @ beta[1:])), abs=1e-6)
+            seen += 1
+        mine = p[valid & p["y"].notna()].assign(s=[got[k][1] for k in zip(p["symbol"][valid & p["y"].notna()], p["date"][valid & p["y"].notna()])])
+        m = next(x for x in evaluate.fold_metrics(scored, "y", 3, ("c",)).collect() if x.fold == f.fold)
+        best = mine.sort_values(["date", "s"], ascending=[True, False]).groupby("date").head(3)
+        pos, neg = mine[mine["y"] == 1]["s"], mine[mine["y"] == 0]["s"]
+        auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+        assert (m.validation_rows, m.selected_count) == (len(mine), len(best)) and m.validation_start == days[f.valid_from]
+        assert (m.positive_rate, m.roc_auc, m.topk_precision, m.topk_recall) == pytest.approx((mine["y"].mean(), auc, best["y"].mean(), best["y"].sum() / len(pos)))
+        ranked = mine.sort_values("s", ascending=False)["y"].to_numpy()
+        assert m.average_precision == pytest.approx((np.cumsum(ranked) / np.arange(1, len(ranked) + 1))[ranked == 1].mean())
+        checked += 1
+    assert seen == len(got) and checked == folds.count() >= 2
+    summary = {x.feature: x for x in learn.coefficient_summary(coefficients).collect()}
+    a = [v for (_, n), v in fits.items() if n == "a"]
+    assert (summary["a"].mean, summary["a"].std, summary["a"].median) == pytest.approx((np.mean(a), np.std(a, ddof=1), np.median(a)))
+
+
+def test_folds_of_one_class_have_no_fit(spark):
+    rows = [(f"S{s}", day(k), float(s * k % 7), int(k >= 20 and s % 2)) for k in range(40) for s in range(4)]
+    df = spark.createDataFrame(rows, "symbol string, date date, a double, y int")
+    scored, coefficients = evaluate.walk_forward_fits(df, learn.walk_forward_folds(df.select("date"), 3, 10, 1), ["a"], "y")
+    assert {x.fold for x in coefficients.collect()} == {x.fold for x in scored.collect()} == {1}
+    one = spark.createDataFrame([("S", day(0), 0.5, 1), ("T", day(0), 0.4, 1)], "symbol string, date date, score double, y int")
+    assert learn.average_precision(one, "score", "y").first()[0] is None and learn.roc_auc(one, "score", "y").first()[0] is None
+    none = learn.top_k_metrics(one.withColumn("y", F.lit(0)), "score", "y", 1).first()
+    assert tuple(none) == (0.0, 0.0, 1)
+    empty, nothing = evaluate.walk_forward_fits(df.where("a > 99"), learn.walk_forward_folds(df.where("a > 99").select("date"), 3, 10, 1), ["a"], "y")
+    assert empty.count() == nothing.count() == 0
+
+
+def test_quantiles_of_many_columns_at_once(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(k % 3, r.choice([None, float("nan"), round(r.gauss(0, 3), 1)]), r.gauss(0, 1), None) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double").repartition(5)
+    probabilities = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    for small, accuracy in ((20_000, 10_000), (10, 300)):  # the second: through brackets of some fifty values
+        monkeypatch.setattr(ranks, "SMALL", small)
+        monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+        got = {(x.g, x.column): x for x in ranks.quantiles_by(df, ["a", "b", "c"], probabilities, ("g",)).collect()}
+        assert set(got) == {(g, c) for g in range(3) for c in "ab"}
+        for (g, c), row in got.items():
+            known = pd.Series([x["ab".index(c) + 1] for x in rows if x[0] == g]).dropna().astype(float)
+            assert row.n == len(known) and [row[f"q{i}"] for i in range(6)] == pytest.approx([known.quantile(p) for p in probabilities])
+            assert (row["mean"], row["std"]) == pytest.approx((known.mean(), known.std()))
+    told = {x.feature: x for x in learn.feature_distribution(df, ["a", "b", "c"]).collect()}
+    assert told["c"].n == 0 and told["c"].p50 is None and told["b"].n == 5000
+
+
 def test_truncation_leaves_earlier_rows_unchanged(spark):
     full = fx.daily(spark, SF)
     cut = dt.date(1999, 1, 1)
@@ -305,17 +461,38 @@ def test_symbols_do_not_touch(spark):
 
 
 def test_ema_equals_a_loop(spark):
-    out = intraday.ema_15m(intraday.session_running(fx.intraday(spark, SF))).toPandas().sort_values(["symbol", "ts"])
-    for _, g in out.groupby("symbol"):
-        value, n, last = None, 0, None
-        for r in g.itertuples():
-            if r.slot == 0:
-                last = None
-            if r.slot % 3 == 2:
-                value = r.close if value is None else value + (r.close - value) * 2 / 9
-                n += 1
-                last = value if n >= 8 else last
-            assert (pd.isna(r.ema_15m) and last is None) or r.ema_15m == pytest.approx(last)
+    r = random.Random(2)
+    rows = []
+    for s in ("A", "B"):
+        for k in list(range(3)) + list(range(29, 36)) + [70, 100]:  # sessions with gaps, over months
+            for m in range(0, 120, 5):
+                if r.random() < 0.85:  # bars are missing, also at boundaries
+                    at = dt.datetime(2024, 1, 1, 9, 30) + dt.timedelta(days=k, minutes=m)
+                    rows.append((s, at, at.date(), r.uniform(9, 11)))
+    rows.append(("C", dt.datetime(2024, 1, 1, 9, 40), dt.date(2024, 1, 1), 5.0))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, session_date date, close double").repartition(5)
+    for span, least in ((8, 8), (2, 1), (1, 2)):
+        got = {(x.symbol, x.ts): x.ema_15m for x in intraday.ema_15m(df, span, least).collect()}
+        assert len(got) == len(rows)
+        for s in ("A", "B", "C"):
+            value, n = None, 0
+            for _, at, _, close in sorted(x for x in rows if x[0] == s):
+                m = at.hour * 60 + at.minute - 570
+                if m % 15 == 0 and m >= 15:
+                    value = close if value is None else value + (close - value) * 2 / (span + 1)
+                    n += 1
+                assert got[s, at] == (pytest.approx(value) if n >= least else None), (s, at)
+
+
+def test_boundaries_by_hand(spark):
+    at = lambda d, h, m: dt.datetime(2024, 1, d, h, m)
+    # the bar of 9:45 is the first boundary; that of 10:00 is missing; the next session starts without a sample
+    rows = [("A", at(1, 9, 30), 10.0), ("A", at(1, 9, 40), 11.0), ("A", at(1, 9, 45), 12.0), ("A", at(1, 10, 5), 13.0), ("A", at(2, 9, 30), 14.0), ("A", at(2, 9, 45), 15.0)]
+    bars_ = spark.createDataFrame([(s, t, t.date(), c, c, c, c, 100.0) for s, t, c in rows], "symbol string, ts timestamp_ntz, session_date date, open double, high double, low double, close double, volume double")
+    out = intraday.ema_15m(intraday.session_vwap(bars_), least=1).orderBy("ts").collect()
+    sample = 12 / ((10 + 11 + 12) / 3) - 1
+    assert [x.close_vs_vwap for x in out] == [None, None, pytest.approx(sample), pytest.approx(sample), None, pytest.approx(15 / 14.5 - 1)]
+    assert [x.ema_15m for x in out] == [None, None, 12.0, 12.0, 12.0, pytest.approx(12 + 3 * 2 / 9)]
 
 
 def test_cleaning(spark):
@@ -378,9 +555,95 @@ def test_live_functions(spark):
     from barloom.streaming.bars import stop_alerts
 
     assert sorted(r.alert for r in stop_alerts(q, held).collect()) == ["prior_low_stop", "prior_low_stop"]
-    pos = spark.createDataFrame([("A", 10, day(0), 10.0, 8.0, 9.0, 12, False, False, False, 11.0), ("B", 10, day(0), 10.0, 8.0, 9.0, 12, False, False, False, 11.0)], "symbol string, quantity int, entry_date date, entry_price double, initial_stop double, pivot_level double, initial_shares int, partial_profit_taken boolean, reduced_on_dma21 boolean, pending_dma21_grace boolean, peak_close double")
-    rows = spark.createDataFrame([("A", day(5), 13.0, 12.5, 11.0, 10.0, 9.0, 9.0, False, 60.0), ("B", day(5), 9.9, 9.5, 9.0, 8.9, 10.0, 9.0, False, 60.0)], "symbol string, date date, high double, close double, low double, prev_low double, dma21 double, dma50 double, week_end boolean, hold_score double")
-    got = {r.symbol: (r.action, r.reason, r.target_shares) for r in ledger.exit_action(pos, rows).collect()}
-    assert got == {"A": ("reduce", "partial_profit", 6), "B": ("exit", "dma21", 0)}
-    held_on = {r.symbol: (r.action, r.reason) for r in ledger.exit_action(pos, rows, hold_branch=True).collect()}
-    assert held_on["B"] == ("hold", "dma21_grace")
+
+
+def test_exit_actions_by_hand(spark):
+    held = dict(quantity=7, entry_date=day(0), entry_price=10.0, initial_stop=8.0, pivot_level=9.0, initial_shares=7, initial_risk=2.0, partial_profit_taken=False, reduced_on_dma21=False, pending_dma21_grace=False, peak_close=11.0)
+    now = dict(date=day(5), high=10.8, low=9.6, close=10.5, prev_low=9.5, dma10=10.0, dma21=9.8, dma50=9.0, week_end=False, hold_score=60.0, tight_low_volume_day=False)
+    below21, below10 = dict(close=9.7, dma21=9.8), dict(close=9.9, dma21=9.8, dma10=10.0)
+    taken, reduced = dict(partial_profit_taken=True), dict(reduced_on_dma21=True)
+    # (position, row, compact, (action, reason, price, target, partial, reduced, grace, peak))
+    cases = [
+        ({}, dict(low=8.0, close=8.5), True, ("exit_all", "hard_stop_lod", 8.0, 0, False, False, False, 11.0)),
+        ({}, dict(date=day(1), close=8.9), True, ("exit_all", "pivot_fail_exit_all", 8.9, 0, False, False, False, 11.0)),
+        ({}, dict(date=day(2), close=8.9), True, ("exit_all", "pre_partial_dma21_exit", 8.9, 0, False, False, False, 11.0)),
+        (dict(pending_dma21_grace=True), dict(high=12.0), True, ("reduce", "partial_tp_1st", 12.0, 4, True, False, True, 11.0)),  # seven shares leave four
+        (dict(peak_close=30.0) | taken, dict(low=9.4), True, ("exit_all", "super_winner_prior_low_stop", 9.5, 0, True, False, False, 30.0)),
+        (dict(peak_close=29.9) | taken, dict(low=9.4), True, ("hold", "compact_runner_hold", None, 7, True, False, False, 29.9)),
+        (taken, dict(week_end=True, close=8.9), True, ("exit_all", "weekly_close_below_50dma", 8.9, 0, True, False, False, 11.0)),
+        (taken, dict(close=11.5), True, ("hold", "compact_runner_hold", None, 7, True, False, False, 11.5)),
+        ({}, dict(close=11.5), True, ("hold", "compact_pre_partial_hold", None, 7, False, False, False, 11.5)),
+        ({}, dict(close=9.7, dma21=None), True, ("hold", "compact_pre_partial_hold", None, 7, False, False, False, 11.0)),
+        ({}, dict(tight_low_volume_day=True) | below21, False, ("hold", "dma21_grace", None, 7, False, False, True, 11.0)),
+        (dict(pending_dma21_grace=True), dict(tight_low_volume_day=True, hold_score=45.0) | below21, False, ("hold", "dma21_hold", None, 7, False, False, False, 11.0)),
+        ({}, dict(hold_score=30.0) | below21, False, ("reduce", "dma21_reduce_to_small_runner", 9.7, 1, False, True, False, 11.0)),
+        (reduced, dict(hold_score=39.9) | below21, False, ("exit_all", "dma21_exit_after_reduce", 9.7, 0, False, True, False, 11.0)),
+        (reduced, dict(hold_score=None) | below21, False, ("hold", "dma21_runner_hold", None, 7, False, True, False, 11.0)),
+        (dict(pending_dma21_grace=True), dict(hold_score=49.0) | below10, False, ("exit_all", "dma10_holdscore_exit_all", 9.9, 0, False, False, True, 11.0)),
+        ({}, dict(hold_score=54.0) | below10, False, ("reduce", "dma10_holdscore_reduce", 9.9, 2, False, False, False, 11.0)),
+        (dict(quantity=2), dict(hold_score=54.0) | below10, False, ("hold", "hold", None, 2, False, False, False, 11.0)),
+        (taken, dict(week_end=True, close=8.9, dma21=8.0, dma10=8.0), False, ("hold", "hold", None, 7, True, False, False, 11.0)),  # weekly closes count in the compact rules alone
+    ]
+    pos = pd.DataFrame([dict(held, **p, symbol=f"{k:02d}") if not p else {**held, **p, "symbol": f"{k:02d}"} for k, (p, *_) in enumerate(cases)])
+    kinds = "quantity int, entry_date date, entry_price double, initial_stop double, pivot_level double, initial_shares int, initial_risk double, partial_profit_taken boolean, reduced_on_dma21 boolean, pending_dma21_grace boolean, peak_close double, symbol string"
+    row_kinds = "date date, high double, low double, close double, prev_low double, dma10 double, dma21 double, dma50 double, week_end boolean, hold_score double, tight_low_volume_day boolean, symbol string"
+    latest = spark.createDataFrame([tuple({**now, **r, "symbol": f"{k:02d}"}.values()) for k, (_, r, *_) in enumerate(cases)], row_kinds)
+    positions = spark.createDataFrame([tuple(x) for x in pos[[c.split()[0] for c in kinds.split(", ")]].itertuples(index=False)], kinds)
+    for compact in (True, False):
+        out = {x.symbol: x for x in ledger.exit_action(positions, latest, ledger.ExitRules(compact=compact)).collect()}
+        for k, (_, _, when, want) in enumerate(cases):
+            if when is compact:
+                x = out[f"{k:02d}"]
+                assert (x.action, x.reason, x.price, x.target_shares, x.partial_now, x.reduced_now, x.grace_now, x.peak_now) == want, k
+    early = ledger.exit_action(positions, latest, ledger.ExitRules(partial_r=0.2)).where("symbol = '08'").first()
+    assert (early.reason, early.price) == ("partial_tp_1st", 10.4)  # the nearer of the two targets
+
+
+def test_parameter_file(spark, tmp_path):
+    from pyspark.sql import Row
+
+    from barloom.operators import calibration
+
+    standard = Row(leader_min=85.0, setup_min=58.0, trigger_min=72.0, cum_vol_min=1.2, bar_vol_min=1.0)
+    tight = Row(leader_min=80.0, setup_min=57.0, trigger_min=69.0, cum_vol_min=1.0, dist_max=0.8, gap_max=0.7)
+    params = calibration.calibrated(standard, tight, source="test")
+    assert params["daily_calibration"]["leader_min"] == 80.0 and params["intraday_calibration"]["tight_reversal"]["same_day_stop_rate_max"] == 0.35
+    calibration.write_parameters(spark, params, f"{tmp_path}/params")
+    assert calibration.read_parameters(spark, f"{tmp_path}/params") == params
+    cfg = calibration.report_config(params, min_history=10)
+    assert cfg.standard == report.StandardRules(60.0, 72.0, 1.2, 1.0, -1.0, 0.01) and cfg.compact_leader == 80.0 and cfg.min_history == 10
+    assert (cfg.tight.leader_min, cfg.tight.setup_min, cfg.tight.max_dist, cfg.tight.max_gap) == (63.0, 57.0, 0.8, 0.7)
+    (tmp_path / "part.json").write_text('{"daily_calibration": {"leader_min": 77.0}, "intraday_calibration": {"standard_breakout": {"trigger_min": 5.0}}, "note": 1}')
+    found = calibration.read_parameters(spark, f"{tmp_path}/part.json")
+    assert found["daily_calibration"]["leader_min"] == 77.0 and found["daily_calibration"]["tight_leader_min"] == 63.0 and found["note"] == 1
+    assert found["intraday_calibration"] == {"standard_breakout": {"trigger_min": 5.0}, "tight_reversal": calibration.DEFAULTS["intraday_calibration"]["tight_reversal"]}
+    assert calibration.read_parameters(spark, None) == calibration.DEFAULTS and calibration.calibrated(None, None)["daily_calibration"] == calibration.DEFAULTS["daily_calibration"]
+    # defaults of the rules and of the report
+    assert report.TightEntry() == report.TightEntry(89.0, 57.0, 69.0, 0.0, 0.0, 0.80, 0.70) and report.StandardRules().move_min == -1.0
+    t = report.ReportConfig().tight
+    assert (t.setup_min, t.trigger_min, t.cum_vol_min, t.max_dist, t.max_gap) == (0.0, 0.0, 1.5, 99.0, 99.0)
+
+
+def test_bars_and_quotes_of_a_day(spark):
+    utc = lambda text: pd.Timestamp(text, tz="UTC").to_pydatetime()
+    df = spark.createDataFrame([("B", utc("2024-01-02"), 1.0), ("A", utc("2024-01-03"), 2.0), ("A", utc("2024-01-02"), 3.0), ("C", utc("2024-01-02"), 4.0)], "symbol string, ts timestamp, close double")
+    assert [x.close for x in io.load_bars(df, ["A", "B"]).collect()] == [3.0, 2.0, 1.0] and [x.close for x in io.load_bars(df).collect()] == [3.0, 2.0, 1.0, 4.0]
+    assert [x.close for x in io.load_bars(df, spark.createDataFrame([("C",), ("C",)], "symbol string")).collect()] == [4.0]
+    # New York goes to summer time on 10 March 2024: that day has 23 hours, from 5:00 to 4:00 UTC
+    times = ["2024-03-10 04:59:59", "2024-03-10 05:00:00", "2024-03-11 03:59:59", "2024-03-11 04:00:00", "2024-03-12 03:59:59", "2024-03-12 04:00:00"]
+    quotes = spark.createDataFrame([("A", utc(t), float(k)) for k, t in enumerate(times)] + [("B", utc(times[1]), 9.0)], "symbol string, ts timestamp, price double")
+    of = lambda d, *a: sorted(x.price for x in io.load_quotes(quotes, d, *a).collect())
+    assert of("2024-03-09") == [0.0] and of("2024-03-10") == [1.0, 2.0, 9.0] and of("2024-03-10", ["A"]) == [1.0, 2.0] and of("2024-03-11") == [3.0, 4.0] and of("2024-03-12") == [5.0]
+
+
+def test_snapshots_reports_and_duplicates(spark, tmp_path):
+    df = spark.createDataFrame([("A", day(0), 1, True), ("A", day(0), 2, None), ("B", day(1), 3, False)], "symbol string, date date, k int, breakout_signal boolean")
+    assert sorted((x.symbol, x.k) for x in clean.dedupe_keep_last(df, ["symbol", "date"], "k").collect()) == [("A", 2), ("B", 3)]
+    io.write_latest_snapshot(df, f"{tmp_path}/snap")
+    io.write_latest_snapshot(df.where("k = 3"), f"{tmp_path}/snap")  # replaces what was there
+    assert [tuple(x) for x in spark.read.parquet(f"{tmp_path}/snap").collect()] == [("B", day(1), 3, False)]
+    summary, run = df.groupBy("date").count(), spark.createDataFrame([("r1", 3)], "run string, n int")
+    io.write_reports(df, summary, run, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/report").count() == 3 and [x.n for x in spark.read.json(f"{tmp_path}/out/run").collect()] == [3]
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/out/{name}")
+    assert [x.k for x in read("signals").collect()] == ["1"] and sorted((x.date, x["count"]) for x in read("summary").collect()) == [("2024-01-01", "2"), ("2024-01-02", "1")]
