@@ -98,12 +98,12 @@ class ItemIndex:
                 if m in self.classes:
                     shift, tables = self.classes[m]
                     there, low, members = tables[k]
-                    for w in np.flatnonzero(there[window >> shift]):
-                        a, b = np.searchsorted(low, window[w], "left"), np.searchsorted(low, window[w], "right")
-                        if a < b:
-                            step = m // base
-                            near = set(owner[w * step : (w + 2) * step].tolist())  # a window may reach into the next documents
-                            found.update((d, i) for d in near for i in members[a:b].tolist())
+                    at = np.flatnonzero(there[window >> shift])
+                    a, b = np.searchsorted(low, window[at], "left"), np.searchsorted(low, window[at], "right")
+                    step = m // base
+                    for w, x, y in zip(at[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist()):
+                        near = set(owner[w * step : (w + 2) * step].tolist())  # a window may reach into the next documents
+                        found.update((d, i) for d in near for i in members[x:y].tolist())
                 if m >= largest:
                     break
                 level = np.minimum(level[0::2], np.append(level, level[-1])[1::2][: len(level[0::2])])
