@@ -88,12 +88,13 @@ def _exit_bars(daily: DataFrame, ahead: int) -> DataFrame:
     """Daily bars by position n with what exits look at: the next bars, and the next ones on which the rules that
     do not depend on a position come into force, each as (n, d, price)."""
     c = F.col
-    onward = series().rowsBetween(0, Window.unboundedFollowing)
-    later = series().rowsBetween(1, Window.unboundedFollowing)
+    # from the newest bar backwards, so that a window carries the nearest bar along
+    down = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    onward, later = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
     avg = lambda n: F.when(F.count("close").over(last_n(n)) >= n, F.avg("close").over(last_n(n)))
     week_end = (c("date") == F.max("date").over(Window.partitionBy("symbol", week_key()))).alias("week_end")
     bars = daily.select("symbol", "date", "high", "low", "close", F.row_number().over(series()).cast("long").alias("n"), F.lag("low").over(series()).alias("prev_low"), avg(21).alias("dma21"), avg(50).alias("dma50"), week_end)
-    first = lambda cond, price, over: F.min(F.when(cond, F.struct("n", c("date").alias("d"), c(price).alias("price")))).over(over)
+    first = lambda cond, price, over: F.last(F.when(cond, F.struct("n", c("date").alias("d"), c(price).alias("price"))), ignorenulls=True).over(over)
     return bars.select(
         "symbol", "n", "date", "high", "low", "close",
         first(c("close") < c("dma21"), "close", later).alias("next21"),
