@@ -37,13 +37,22 @@ class GatedModel:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def load(self, flat: np.ndarray) -> GatedModel:
-        at = 0
+    def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Arrays of the parameters' shapes from numbers in a row."""
+        out, at = {}, 0
         for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
+        return out
+
+    def load(self, flat: np.ndarray) -> GatedModel:
+        self.p = self.parts(flat)
         return self
 
+    def fresh_memory(self) -> dict[str, np.ndarray]:
+        """Adagrad's sums before the first update."""
+        return {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
+
     def forward(self, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, saved: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States before each of the tokens (steps, lanes), and the last state. keep is 0 where a
         document begins. Gates are clipped lines, 0.5 + x / 4 between 0 and 1."""
@@ -148,7 +157,7 @@ class GatedModel:
 
     def train(self, docs: list[np.ndarray], rate: float, lanes: int = 64, window: int = 16, memory: dict | None = None) -> dict:
         """One pass of truncated backpropagation through time with Adagrad; memory goes on between calls."""
-        memory = memory if memory is not None else {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
+        memory = memory if memory is not None else self.fresh_memory()
         for ids, valid, keep, h, put, _ in windows(docs, lanes, window):
             n = max(1, int(valid.sum()))
             grads, _, last = self.gradients(ids, valid, keep, h)

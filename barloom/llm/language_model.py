@@ -44,8 +44,9 @@ FOLDS, HELD_OUT = 7, 2
 HEADS, TABLE = 1024, 400_000
 #: Training: rounds, tokens a copy and round, tokens of a segment, copies averaged at a time.
 ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 1_500_000, 2048, 32, 0.2
-#: Lanes and window of a copy's first updates in the first round, how many tokens those see, and of the rest.
-FIRST, FIRST_TOKENS, THEN = (32, 16), 100_000, (256, 24)
+#: Lanes and window of a copy's narrow updates and of the others. A copy starts with FIRST_TOKENS of narrow ones in
+#: the first round; copies of up to SMALL_COPY tokens have narrow ones only, of fewer lanes where they are very small.
+FIRST, FIRST_TOKENS, THEN, SMALL_COPY = (32, 16), 150_000, (128, 16), 400_000
 #: The end token's key: no word is empty.
 END = b""
 #: Tokens that are scored at a time.
@@ -183,8 +184,11 @@ def _average(table: pa.Table) -> pa.Table:
 
 
 def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int = COPY_TOKENS) -> np.ndarray:
-    """Parameters after ROUNDS rounds over training documents (doc_id, tokens of two bytes)."""
-    spark, flat = encoded.sparkSession, vocabulary.model().flat()
+    """Parameters after ROUNDS rounds over training documents (doc_id, tokens of two bytes). A copy goes on with the
+    parameters and with Adagrad's sums that the round before left, both averaged."""
+    spark, model = encoded.sparkSession, vocabulary.model()
+    n = len(model.flat())
+    flat = np.concatenate([model.flat(), *(x.ravel() for x in model.fresh_memory().values())])
     width = 2 * SEGMENT
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("tokens") - 1) / width).cast("int"))).alias("at")
     rows = encoded.where(F.length("tokens") > 0).select("doc_id", "key", "tokens", at)
@@ -197,16 +201,21 @@ def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int =
         start, again = spark.sparkContext.broadcast(flat), k > 0
 
         def learn(table: pa.Table) -> pa.Table:
-            model = _index(shared.value)[0].model().load(start.value)
+            model = _index(shared.value)[0].model()
+            memory = model.parts(start.value[n:].copy())
+            model.load(start.value[:n].copy())
             table = table.sort_by([("name", "ascending"), ("tokens", "ascending")])
             docs = [np.frombuffer(t.as_py(), np.uint16) for t in table.column("tokens")]
             sizes = np.cumsum([len(d) for d in docs])
-            first = 0 if again else int(np.searchsorted(sizes, FIRST_TOKENS, "right"))
-            memory = None
-            for part, (lanes, window) in ((docs[:first], FIRST), (docs[first:], THEN)):
+            total = int(sizes[-1])
+            narrow = total if total <= SMALL_COPY else 0 if again else FIRST_TOKENS
+            first = int(np.searchsorted(sizes, narrow, "right"))
+            lanes = max(4, min(FIRST[0], total // 1024))
+            for part, (width, window) in ((docs[:first], (lanes, FIRST[1])), (docs[first:], THEN)):
                 if part:
-                    memory = model.train(part, RATE, lanes, window, memory)
-            return pa.table({"copy": pa.array([table.column("copy")[0].as_py()], pa.int64()), "n": [int(sizes[-1])], "p": pa.array([model.flat().tobytes()], pa.binary())})
+                    memory = model.train(part, RATE, width, window, memory)
+            out = np.concatenate([model.flat(), *(x.ravel() for x in memory.values())])
+            return pa.table({"copy": pa.array([table.column("copy")[0].as_py()], pa.int64()), "n": [total], "p": pa.array([out.tobytes()], pa.binary())})
 
         mine = rows.where(F.col("round") == k).select("name", "copy", "tokens")
         # a task a copy: these few bytes are much work, so Spark must not merge partitions by size
@@ -221,7 +230,7 @@ def train(encoded: DataFrame, shared, vocabulary: Vocabulary, copy_tokens: int =
         trained = merged.orderBy("copy").collect()  # FAN at most
         if trained:
             flat = (sum(c.n * np.frombuffer(c.p, np.float32).astype(np.float64) for c in trained) / sum(c.n for c in trained)).astype(np.float32)
-    return flat
+    return flat[:n]
 
 
 def _scorer(shared, parameters):
