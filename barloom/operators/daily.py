@@ -214,11 +214,11 @@ def cross_sectional_zscore(df: DataFrame, names: list[str], by: str = "date") ->
 
 
 def legacy_watchlist(df: DataFrame, weights: dict[str, float], n: int, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Top n by date of the weighted sum of percent ranks (to nine decimals); ties go to the larger of the given columns, then to
-    the smaller symbol."""
+    """Top n by date of the weighted sum of percent ranks (to nine decimals); ties go to the larger of the given
+    columns, then to the smaller symbol."""
     score = sum((w * zero(pct_rank(c, "date")) for c, w in weights.items()), F.lit(0.0))
     out = df.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "symbol"))
+    rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("score", 9)), *map(F.desc_nulls_last, ties), "symbol"))
     return out.withColumn("rank_order", rank).where(F.col("rank_order") <= n)
 
 
