@@ -233,11 +233,17 @@ def lookback_sessions(bars: DataFrame, candidates: DataFrame, back: int = 25) ->
 
 
 def entry_as_of(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Forward as-of: the first bar of the session at or after the trigger, and the session's low by then."""
-    at = signals.select("symbol", "session_date", "trigger_time").distinct().join(bars, ["symbol", "session_date"])
-    after = F.when(F.col("ts") >= F.col("trigger_time"), F.col("ts"))
-    rows = at.withColumn("__entry", F.min(after).over(Window.partitionBy("symbol", "session_date", "trigger_time")))
-    return rows.groupBy("symbol", "session_date", "trigger_time").agg(F.min("__entry").alias("entry_ts"), F.min_by("close", after).alias("entry_close"), F.min(F.when(F.col("ts") <= F.col("__entry"), F.col("low"))).alias("low_at_entry"))
+    """Forward as-of: the first bar of the session at or after the trigger, and the session's low by then. Triggers
+    and bars go through one window a session, from its end, where a trigger takes the bar that came last."""
+    c = F.col
+    low = F.min("low").over(so_far())
+    there = bars.select("symbol", "session_date", "ts", F.struct("ts", "close", low.alias("low")).alias("bar"))
+    asked = signals.select("symbol", "session_date", c("trigger_time").alias("ts")).distinct()
+    rows = there.unionByName(asked.withColumn("bar", F.lit(None).cast(there.schema["bar"].dataType)))
+    # at equal times the bar counts as later than the trigger
+    back = Window.partitionBy("symbol", "session_date").orderBy(F.desc("ts"), c("bar").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("entry", F.last("bar", ignorenulls=True).over(back)).where("bar IS NULL")
+    return rows.select("symbol", "session_date", c("ts").alias("trigger_time"), c("entry.ts").alias("entry_ts"), c("entry.close").alias("entry_close"), c("entry.low").alias("low_at_entry"))
 
 
 def first_touch(entries: DataFrame, bars: DataFrame) -> DataFrame:

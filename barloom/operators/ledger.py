@@ -13,30 +13,62 @@ from barloom.operators.daily import week_key
 TAX_RATE = 0.20315
 
 
+def _share_intervals(fills: DataFrame, order: list[str]) -> DataFrame:
+    """Fills with buy and sell (shares), and the intervals that they take on the axis of shares: since and upto of
+    all effective sells, bought less buy and bought of all buys. The oversell so far (sold less bought, at its
+    largest) is no part of a sell.
+
+    A scan in two levels: windows run within a symbol's fills of one day (the first order column), and over one row
+    a day; a day starts from what the days before it add up to. So a symbol spreads over tasks."""
+    day = order[0]
+    within = Window.partitionBy("symbol", day).orderBy(*order)
+    w = within.rowsBetween(Window.unboundedPreceding, 0)
+    side = lambda name: F.when(F.col("side") == name, F.col("shares")).otherwise(0)
+    rows = fills.withColumns({"buy": side("buy"), "sell": side("sell")}).withColumns({"__b": F.sum("buy").over(w), "__s": F.sum("sell").over(w)})
+    rows = rows.withColumn("__m", F.max(F.col("__s") - F.col("__b")).over(w))
+    days = rows.groupBy("symbol", day).agg(F.sum("buy").alias("b"), F.sum("sell").alias("s"), F.max("__m").alias("m"))
+    before = Window.partitionBy("symbol").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = days.withColumns({"__b0": F.coalesce(F.sum("b").over(before), F.lit(0)), "__s0": F.coalesce(F.sum("s").over(before), F.lit(0))})
+    days = days.withColumn("__m0", F.greatest(F.lit(0), F.max(F.col("__s0") - F.col("__b0") + F.col("m")).over(before)))
+    rows = rows.join(days.select("symbol", day, "__b0", "__s0", "__m0"), ["symbol", day])
+    over = F.greatest("__m0", F.col("__s0") - F.col("__b0") + F.col("__m"))
+    rows = rows.withColumns({"bought": F.col("__b0") + F.col("__b"), "upto": F.col("__s0") + F.col("__s") - over})
+    return rows.withColumn("since", F.coalesce(F.lag("upto").over(within), F.col("__s0") - F.col("__m0")))
+
+
+#: Parts into which a symbol's axis of shares is cut; with few fills, some hold nothing.
+PARTS = 64
+
+
 def fifo_round_trips(fills: DataFrame, order: list[str]) -> DataFrame:
     """Sells matched to the oldest buys of a symbol; sells beyond the inventory are discarded.
 
-    Every buy is an interval of cumulative bought shares, every effective sell one of cumulative sold
-    shares; a sell is effective for its shares less the growth of the running oversell. Pieces are the
-    overlaps, found by a join on the symbol and blocks of BLOCK shares, not by comparing all pairs.
+    Buys are intervals of cumulative bought shares, effective sells of cumulative sold shares. Both tile their axis
+    without gaps, so that a piece of a trip begins where an interval begins, and goes on to the nearer end of the
+    buy and the sell that are open there: one row a fill at most, however many shares it has. A symbol's axis is
+    cut at quantiles of the places where intervals begin, and each part starts from what those before it left
+    open, so that a symbol of very many fills spreads over tasks here as well.
     """
-    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = fills.withColumns({"buy": F.when(F.col("side") == "buy", F.col("shares")).otherwise(0), "sell": F.when(F.col("side") == "sell", F.col("shares")).otherwise(0)})
-    rows = rows.withColumns({"bought": F.sum("buy").over(w), "sold": F.sum("sell").over(w)})
-    over = F.greatest(F.lit(0), F.max(F.col("sold") - F.col("bought")).over(w))
-    rows = rows.withColumn("upto", F.col("sold") - over)
-    before = F.coalesce(F.lag("upto").over(Window.partitionBy("symbol").orderBy(*order)), F.lit(0))
-    rows = rows.withColumn("since", before)
-    buys = rows.where("buy > 0").select("symbol", F.col("date").alias("entry_date"), F.col("price").alias("entry_price"), (F.col("bought") - F.col("buy")).alias("lo"), F.col("bought").alias("hi"))
-    sells = rows.where("sell > 0 AND upto > since").select("symbol", F.col("date").alias("exit_date"), F.col("price").alias("exit_price"), F.col("since").alias("slo"), F.col("upto").alias("shi"))
-    block = 64
-    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(b) - 1) / block)))
-    pairs = buys.withColumn("block", blocks("lo", "hi")).join(sells.withColumn("block", blocks("slo", "shi")), ["symbol", "block"]).where("lo < shi AND slo < hi")
-    # a pair that shares several blocks counts in the first of them
-    pairs = pairs.where(F.col("block") == F.floor(F.greatest("lo", "slo") / block))
-    shares = F.least("hi", "shi") - F.greatest("lo", "slo")
-    out = pairs.withColumn("shares", shares)
-    return out.select("symbol", "entry_date", "exit_date", "entry_price", "exit_price", "shares", ((F.col("exit_price") - F.col("entry_price")) * F.col("shares")).alias("pnl"), (div("exit_price", "entry_price") - 1.0).alias("ret"))
+    c = F.col
+    rows = _share_intervals(fills, order)
+    interval = lambda hi: F.struct(c("date").alias("date"), c("price").alias("price"), c(hi).cast("long").alias("hi"))
+    none = F.lit(None).cast(f"struct<date:{dict(fills.dtypes)['date']},price:{dict(fills.dtypes)['price']},hi:bigint>")
+    buys = rows.where("buy > 0").select("symbol", (c("bought") - c("buy")).cast("long").alias("x"), interval("bought").alias("buy"), none.alias("sell"))
+    sells = rows.where("sell > 0 AND upto > since").select("symbol", c("since").cast("long").alias("x"), none.alias("buy"), interval("upto").alias("sell"))
+    points = buys.unionByName(sells)
+    cuts = points.groupBy("symbol").agg(F.percentile_approx("x", [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("cuts"))
+    points = points.join(cuts, "symbol").withColumn("part", F.size(F.filter("cuts", lambda e: e <= c("x")))).drop("cuts")
+    newest = {k: F.max_by(k, F.when(c(k).isNotNull(), c("x"))).alias(k) for k in ("buy", "sell")}
+    parts = points.groupBy("symbol", "part").agg(*newest.values())
+    before = Window.partitionBy("symbol").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    parts = parts.select("symbol", "part", *[F.last(k, ignorenulls=True).over(before).alias(f"{k}_before") for k in newest])
+    # of two intervals that begin at one place, the later row sees both; to the earlier one the other kind has ended
+    upto = Window.partitionBy("symbol", "part").orderBy("x", c("buy").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = points.withColumns({f"{k}_here": F.last(k, ignorenulls=True).over(upto) for k in newest}).join(parts, ["symbol", "part"])
+    met = met.select("symbol", "x", F.coalesce("buy_here", "buy_before").alias("b"), F.coalesce("sell_here", "sell_before").alias("s"))
+    out = met.withColumn("shares", F.least("b.hi", "s.hi") - c("x")).where("b IS NOT NULL AND s IS NOT NULL AND shares > 0")
+    out = out.select("symbol", c("b.date").alias("entry_date"), c("s.date").alias("exit_date"), c("b.price").alias("entry_price"), c("s.price").alias("exit_price"), "shares")
+    return out.select("*", ((c("exit_price") - c("entry_price")) * c("shares")).alias("pnl"), (div("exit_price", "entry_price") - 1.0).alias("ret"))
 
 
 def equity_stats(curve: DataFrame) -> DataFrame:

@@ -96,18 +96,21 @@ def test_fifo_discards_what_was_not_there(spark):
     assert got == [(day(0), day(1), 10, 10.0), (day(2), day(3), 2, 2.0), (day(2), day(4), 3, 6.0)]
 
 
-def test_fifo_equals_a_queue(spark):
+@pytest.mark.parametrize(("parts", "days"), [(64, 1), (3, 9), (7, 1000)])  # fills a day; parts of the axis
+def test_fifo_equals_a_queue(spark, monkeypatch, parts, days):
+    monkeypatch.setattr(ledger, "PARTS", parts)
     r, rows, want = random.Random(4), [], []
+    at = lambda k: day(k // days)
     for s in "ABC":
         queue = []
         for k in range(80):
-            side, n, price = r.choice(["buy", "sell"]), r.randint(1, 300), r.randint(1, 9)
-            rows.append((s, day(k), side, n, float(price), k))
+            side, n, price = r.choice(["buy", "sell"]), r.choice([r.randint(1, 300), 10**6]), r.randint(1, 9)
+            rows.append((s, at(k), side, n, float(price), k))
             if side == "buy":
                 queue.append([k, n, price])
             while side == "sell" and n and queue:
                 m = min(n, queue[0][1])
-                want.append((s, day(queue[0][0]), day(k), m, float((price - queue[0][2]) * m)))
+                want.append((s, at(queue[0][0]), at(k), m, float((price - queue[0][2]) * m)))
                 queue[0][1] -= m
                 n -= m
                 if not queue[0][1]:
@@ -117,6 +120,18 @@ def test_fifo_equals_a_queue(spark):
     assert got == sorted(want)
 
 
+def test_entries_as_of_by_hand(spark):
+    at = lambda m: dt.datetime(2024, 1, 2, 9, 30) + dt.timedelta(minutes=m)
+    d = at(0).date()
+    rows = [("A", d, at(m), c, low) for m, c, low in ((0, 1.0, 0.9), (5, 2.0, 0.8), (10, 3.0, 2.9), (15, 4.0, 0.1))] + [("B", d, at(0), 9.0, 9.0)]
+    bars_ = spark.createDataFrame(rows, "symbol string, session_date date, ts timestamp_ntz, close double, low double")
+    asked = [("A", d, at(5)), ("A", d, at(5)), ("A", d, at(6)), ("A", d, at(-3)), ("A", d, at(16)), ("B", d, at(0)), ("C", d, at(0))]
+    signals = spark.createDataFrame(asked, "symbol string, session_date date, trigger_time timestamp_ntz")
+    got = {(x.symbol, x.trigger_time): (x.entry_ts, x.entry_close, x.low_at_entry) for x in intraday.entry_as_of(signals, bars_).collect()}
+    none = (None, None, None)
+    assert got == {("A", at(5)): (at(5), 2.0, 0.8), ("A", at(6)): (at(10), 3.0, 0.8), ("A", at(-3)): (at(0), 1.0, 0.9), ("A", at(16)): none, ("B", at(0)): (at(0), 9.0, 9.0), ("C", at(0)): none}
+
+
 def exits(spark, highs, lows, closes, entry=10.0, stop=8.0, pivot=9.0):
     b = bars(spark, highs, lows, closes)
     s = spark.createDataFrame([(1, "A", day(0), entry, stop, pivot)], "id long, symbol string, date date, entry double, stop double, pivot double")
@@ -314,8 +329,8 @@ def test_sweep_equals_brute_force(spark):
     rows = [(r.choice([None, r.random()]), r.random(), round(r.gauss(0, 1), 1), -r.random()) for _ in range(700)]
     df = spark.createDataFrame(rows, "a double, b double, ret double, mae double").repartition(3)
     grid = spark.createDataFrame([(f"{x}/{y}", x, y) for x in (0.0, 0.3, 0.7) for y in (0.2, 0.5, 0.9, 1.0)], "grid_id string, x double, y double")
-    for chunk in (50, 10**6):
-        got = {g.grid_id: g for g in learn.threshold_sweep(df, grid, {"a": "x"}, {"b": "y"}, min_count=2, chunk_rows=chunk).collect()}
+    for fan in (3, 64):
+        got = {g.grid_id: g for g in learn.threshold_sweep(df, grid, {"a": "x"}, {"b": "y"}, min_count=2, fan=fan).collect()}
         for g in grid.collect():
             mine = [(ret, mae) for a, b, ret, mae in rows if a is not None and a >= g.x and b <= g.y]
             assert len(mine) >= 2
