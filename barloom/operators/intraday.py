@@ -107,6 +107,36 @@ def same_slot_volume(bars: DataFrame, lookback: int = 20, least: int = 5, slot:
     return out.withColumns({"bar_vol_ratio": div("volume", "slot_volume_mean"), "cum_vol_ratio": div("cum_volume", "slot_cum_volume_mean")})
 
 
+def slot_baseline(bars: DataFrame, lookback: int = 20, slot: str = "slot") -> DataFrame:
+    """The newest sessions of each symbol and slot (symbol, slot, sessions: session_date, volume, cum_volume), of
+    bars with running volume: the slim table from which baselines are told without the bars."""
+    entry = F.struct("session_date", "volume", "cum_volume")
+    newest = F.sort_array(F.collect_list(entry), asc=False)
+    return bars.groupBy("symbol", F.col(slot).alias("slot")).agg(F.reverse(F.slice(newest, 1, lookback)).alias("sessions"))
+
+
+def update_baseline(baseline: DataFrame, bars: DataFrame, lookback: int = 20, slot: str = "slot") -> DataFrame:
+    """The baseline after further sessions (bars with running volume); sessions that it has already are replaced."""
+    new = slot_baseline(bars, lookback, slot).withColumnRenamed("sessions", "__new")
+    both = baseline.join(new, ["symbol", "slot"], "full")
+    days = F.transform("__new", lambda e: e["session_date"])
+    kept = F.when(F.col("__new").isNull(), F.col("sessions")).otherwise(F.filter("sessions", lambda e: ~F.array_contains(days, e["session_date"])))
+    empty = F.array().cast(new.schema["__new"].dataType)
+    every = F.sort_array(F.concat(F.coalesce(kept, empty), F.coalesce("__new", empty)), asc=False)
+    return both.select("symbol", "slot", F.reverse(F.slice(every, 1, lookback)).alias("sessions"))
+
+
+def against_baseline(bars: DataFrame, baseline: DataFrame, lookback: int = 20, least: int = 5, slot: str = "slot") -> DataFrame:
+    """What same_slot_volume() adds, from a baseline that holds the sessions before those of the bars."""
+    rows = bars.join(baseline.withColumnRenamed("slot", slot), ["symbol", slot], "left")
+    before = F.slice(F.sort_array(F.filter("sessions", lambda e: e["session_date"] < F.col("session_date")), asc=False), 1, lookback)
+    rows = rows.withColumn("sessions", before)
+    mean = lambda c: F.when(F.size(known := F.filter(F.transform("sessions", lambda e: e[c].cast("double")), lambda v: v.isNotNull())) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known))
+    enough = F.size(F.filter("sessions", lambda e: e["volume"].isNotNull())) >= least
+    out = rows.withColumns({"slot_volume_mean": F.when(enough, mean("volume")), "slot_cum_volume_mean": F.when(enough, mean("cum_volume"))}).drop("sessions")
+    return out.withColumns({"bar_vol_ratio": div("volume", "slot_volume_mean"), "cum_vol_ratio": div("cum_volume", "slot_cum_volume_mean")})
+
+
 def next_bar(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"next_open": F.lead("open").over(session()), "next_ts": F.lead("ts").over(session()), "session_close": F.last("close", ignorenulls=True).over(whole())})
 

@@ -47,10 +47,11 @@ def fifo_round_trips(fills: DataFrame, order: list[str]) -> DataFrame:
     without gaps, so that a piece of a trip begins where an interval begins, and goes on to the nearer end of the
     buy and the sell that are open there: one row a fill at most, however many shares it has. A symbol's axis is
     cut at quantiles of the places where intervals begin, and each part starts from what those before it left
-    open, so that a symbol of very many fills spreads over tasks here as well.
+    open, so that a symbol of very many fills spreads over tasks here as well. The intervals
+    stay persisted.
     """
     c = F.col
-    rows = _share_intervals(fills, order)
+    rows = _share_intervals(fills, order).persist()  # read for cuts, parts and points
     interval = lambda hi: F.struct(c("date").alias("date"), c("price").alias("price"), c(hi).cast("long").alias("hi"))
     none = F.lit(None).cast(f"struct<date:{dict(fills.dtypes)['date']},price:{dict(fills.dtypes)['price']},hi:bigint>")
     buys = rows.where("buy > 0").select("symbol", (c("bought") - c("buy")).cast("long").alias("x"), interval("bought").alias("buy"), none.alias("sell"))
@@ -177,14 +178,15 @@ def exit_rule_outcomes(signals: DataFrame, daily: DataFrame, partial_at: float =
     low after a peak of peak_at times the entry (of closes before that day, the first day's among them), or the
     weekly close below the 50-day average; before that, a close below the 21-day average. Rules with a level of
     the position's own are looked up in a skip index; the others are pointers that every bar carries. An open
-    position is valued at the symbol's last close.
+    position is valued at the symbol's last close. Bars with their pointers, and signals with their bars, stay
+    persisted.
     """
     c = F.col
-    bars = _exit_bars(daily, most_fail_days)
+    bars = _exit_bars(daily, most_fail_days).persist()  # three joins read it
     days = c("fail_days") if "fail_days" in signals.columns else F.lit(fail_days)
     rows = signals.select("id", "symbol", "date", "entry", "stop", "pivot", days.alias("fail_days"))
     here = bars.select("symbol", "date", "n", "next21", "ahead", "last_close")
-    rows = rows.join(here, ["symbol", "date"])
+    rows = rows.join(here, ["symbol", "date"]).persist()
     ask = lambda kind, since, least: F.struct(F.lit(kind).alias("kind"), since.alias("since"), least.alias("least"))
     each = F.explode(F.array(ask("stop", c("n") + 1, -c("stop")), ask("part", c("n") + 1, c("entry") * (1.0 + partial_at)), ask("peak", c("n"), c("entry") * peak_at))).alias("q")
     asked = rows.select("id", "symbol", each).select("id", "symbol", "q.*").where("least IS NOT NULL")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.columns import yes
-from barloom.operators.intraday import first_trigger, same_slot_volume, session_running, standard_breakouts
+from barloom.operators.intraday import against_baseline, first_trigger, session_running, standard_breakouts
 
 MINUTES = 5
 BAR = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
@@ -97,24 +97,25 @@ def stop_alerts(quotes: DataFrame, positions: DataFrame, peak_at: float = 2.0) -
 TRIGGER = "symbol string, session_date date, trigger_time timestamp, trigger_close double, trigger_score double, trigger_cum_vol_ratio double, trigger_bar_vol_ratio double, trigger_move_from_open double, trigger_low double, trigger_session_low_so_far double, trigger_breakout_type string"
 
 
-def live_breakouts(bars: DataFrame, history: DataFrame, context: DataFrame, out: str, checkpoint: str, lookback_days: int = 45, **trigger) -> StreamingQuery:
+def live_breakouts(bars: DataFrame, history: DataFrame, baseline: DataFrame, context: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """First triggers of sessions, as bars arrive: each once, in the folder of the micro-batch that found it
     (out/epoch=n, overwritten where a batch is run again).
 
-    A batch looks at its own symbols alone, in the history (a table that the caller's bar sink appends to) of
-    the last `lookback_days`, which hold the sessions of the same-slot baseline. trigger: as for
-    DataStreamWriter.trigger, all that is available at once by default."""
+    A batch reads its own symbols' bars of its own sessions in the history (a table that the caller's bar sink
+    appends to; session_date prunes it) and their rows of the baseline (intraday.slot_baseline of the sessions
+    before, which update_baseline carries on from night to night). trigger: as for DataStreamWriter.trigger, all
+    that is available at once by default."""
 
     def each(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumn("session_date", F.to_date("ts"))
-        first = rows.agg(F.min("session_date")).first()[0]
-        if first is None:
+        days = [r.session_date for r in rows.select("session_date").distinct().collect()]  # the batch's days
+        if not days:
             return
-        touched = rows.select("symbol").distinct()
-        recent = history.where(F.col("session_date") >= F.date_sub(F.lit(first), lookback_days))
-        seen = recent.unionByName(rows, allowMissingColumns=True).dropDuplicates(["symbol", "ts"]).join(touched, "symbol", "left_semi")
-        events = standard_breakouts(same_slot_volume(session_running(seen)), context)
-        found = first_trigger(events).join(rows.select("symbol", "session_date").distinct(), ["symbol", "session_date"], "left_semi")
+        touched = rows.select("symbol", "session_date").distinct()
+        today = history.where(F.col("session_date").isin(days))
+        seen = today.unionByName(rows, allowMissingColumns=True).dropDuplicates(["symbol", "ts"]).join(touched, ["symbol", "session_date"], "left_semi")
+        slim = baseline.join(touched.select("symbol").distinct(), "symbol", "left_semi")
+        found = first_trigger(standard_breakouts(against_baseline(session_running(seen), slim), context))
         told = _earlier(batch.sparkSession, out, epoch)
         found = found if told is None else found.join(told, ["symbol", "session_date"], "left_anti")
         found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")

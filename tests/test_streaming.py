@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from barloom.sources import fixtures as fx
-from barloom.operators.intraday import first_trigger, same_slot_volume, session_running, standard_breakouts
+from barloom.operators.intraday import against_baseline, first_trigger, same_slot_volume, session_running, slot_baseline, standard_breakouts, update_baseline
 from barloom.streaming.bars import bar_stream, clean_quotes, live_breakouts, quote_stream, quotes_to_bars, read_triggers
 
 SF = "/root/testdata/sf0.001"
@@ -56,11 +56,12 @@ def test_live_triggers_come_once(spark, tmp_path):
         part = spark.createDataFrame(rows.iloc[k::3] if k else rows.iloc[0::3])
         part.coalesce(1).write.mode("append").parquet(str(folder))
     schema = spark.read.parquet(str(folder)).schema
+    baseline = slot_baseline(session_running(old))
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
 
     def run(path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-        live_breakouts(stream, old.unionByName(new), context, out, path).awaitTermination(240)
+        live_breakouts(stream, old.unionByName(new), baseline, context, out, path).awaitTermination(240)
 
     run(mark)
     events = standard_breakouts(same_slot_volume(session_running(bars)), context)
@@ -70,3 +71,19 @@ def test_live_triggers_come_once(spark, tmp_path):
     run(str(tmp_path / "again"))  # a new checkpoint runs all batches again: each overwrites its own folder
     assert sorted((r.symbol, r.session_date, r.trigger_time) for r in read_triggers(spark, out).collect()) == sorted(want)
     shutil.rmtree(out)
+
+
+def test_baseline_from_night_to_night(spark):
+    bars = session_running(fx.intraday(spark, SF)).withColumn("volume", F.when(F.col("slot") % 7 != 3, F.col("volume")))
+    bars = session_running(bars.drop("slot", "cum_volume", "session_open", "session_high_so_far", "session_low_so_far", "prev_bar_close"))
+    days = [r.session_date for r in bars.select("session_date").distinct().orderBy("session_date").collect()]
+    assert len(days) > 25
+    of = lambda a, b: bars.where(F.col("session_date").between(days[a], days[b]))
+    baseline = slot_baseline(of(0, 11), 8)
+    for a, b in ((10, 15), (16, 16), (17, len(days) - 2)):  # the first night repeats two sessions
+        baseline = update_baseline(baseline, of(a, b), 8)
+    columns = ("slot_volume_mean", "slot_cum_volume_mean", "bar_vol_ratio", "cum_vol_ratio")
+    today = bars.where(F.col("session_date") == days[-1])
+    rows = lambda df: sorted((r.symbol, r.ts, *(None if r[c] is None else round(r[c], 9) for c in columns)) for r in df.collect())
+    want = rows(same_slot_volume(bars, 8, 3).where(F.col("session_date") == days[-1]))
+    assert rows(against_baseline(today, baseline, 8, 3)) == want and any(r[2] for r in want) and max(len(r.sessions) for r in baseline.collect()) == 8
