@@ -87,23 +87,28 @@ class GatedModel:
         head = np.flatnonzero(ids < self.heads)
         ids = ids.astype(np.int16)
         cls = np.where(ids < self.heads, ids // SIZE, ids - self.heads + self.head_classes)
-        logit = h @ p["W"] + p["b"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
         rows = np.arange(len(ids))
-        out = logit[rows, cls] - np.log(total)
+        e = h @ p["W"]
+        e += p["b"]
+        e -= e.max(1, keepdims=True)
+        out = e[rows, cls]
+        np.exp(e, out=e)
+        total = e.sum(1)
+        out = out - np.log(total)
         order = head[np.argsort(cls[head], kind="stable")]
         c = cls[order].astype(np.int64)
         first = np.flatnonzero(np.diff(c, prepend=-1))
-        word = ids[order] - c * SIZE
-        inner = np.empty((len(order), SIZE), np.float32)
-        for a, b in zip(first, np.append(first[1:], len(order))):
-            inner[a:b] = h[order[a:b]] @ p["V"][c[a]].T + p["c"][c[a]]
-        inner -= inner.max(1, keepdims=True, initial=-1e30)
-        ei = np.exp(inner)
+        spans = list(zip(c[first].tolist(), first.tolist(), np.append(first[1:], len(order)).tolist()))
+        word, mine, rows_in = ids[order] - c * SIZE, h[order], np.arange(len(order))
+        ei = np.empty((len(order), SIZE), h.dtype)
+        for k, x, y in spans:
+            part = np.matmul(mine[x:y], p["V"][k].T, out=ei[x:y])
+            part += p["c"][k]
+        ei -= ei.max(1, keepdims=True, initial=-1e30)
+        picked = ei[rows_in, word]
+        np.exp(ei, out=ei)
         inner_total = ei.sum(1)
-        out[order] += inner[np.arange(len(order)), word] - np.log(inner_total)
+        out[order] += picked - np.log(inner_total)
         if grads is None:
             return out, None
         e /= total[:, None]
@@ -111,12 +116,15 @@ class GatedModel:
         grads["W"], grads["b"] = h.T @ e, e.sum(0)
         dh = e @ p["W"].T
         ei /= inner_total[:, None]
-        ei[np.arange(len(order)), word] -= 1.0
+        ei[rows_in, word] -= 1.0
         grads["V"], grads["c"] = np.zeros_like(p["V"]), np.zeros_like(p["c"])
-        for a, b in zip(first, np.append(first[1:], len(order))):
-            grads["V"][c[a]] = ei[a:b].T @ h[order[a:b]]
-            grads["c"][c[a]] = ei[a:b].sum(0)
-            dh[order[a:b]] += ei[a:b] @ p["V"][c[a]]
+        if len(order):
+            grads["c"][c[first]] = np.add.reduceat(ei, first)
+        back = np.empty_like(mine)
+        for k, x, y in spans:
+            np.matmul(ei[x:y].T, mine[x:y], out=grads["V"][k])
+            np.matmul(ei[x:y], p["V"][k], out=back[x:y])
+        dh[order] += back
         return out, dh
 
     def gradients(self, ids: np.ndarray, valid: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:

@@ -46,7 +46,7 @@ HEADS, TABLE = 1024, 400_000
 ROUNDS, COPY_TOKENS, SEGMENT, FAN, RATE = 2, 1_500_000, 2048, 32, 0.2
 #: Lanes and window of a copy's narrow updates and of the others. A copy starts with FIRST_TOKENS of narrow ones in
 #: the first round; copies of up to SMALL_COPY tokens have narrow ones only, of fewer lanes where they are very small.
-FIRST, FIRST_TOKENS, THEN, SMALL_COPY = (32, 16), 150_000, (128, 16), 400_000
+FIRST, FIRST_TOKENS, THEN, SMALL_COPY = (32, 16), 100_000, (192, 24), 400_000
 #: The end token's key: no word is empty.
 END = b""
 #: Tokens that are scored at a time.
