@@ -7,14 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barloom.functions.columns import yes
 from barloom.operators.intraday import against_baseline, first_trigger, session_running, standard_breakouts
 
 MINUTES = 5
-BAR = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
 STATE = "start long, open double, high double, low double, close double, volume double, cum double"
 
 
@@ -43,45 +41,85 @@ def quotes_to_bars(quotes: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", F.col("bar").alias("ts")).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("v").alias("volume"))
 
 
-def _bar(symbol: str, s: tuple) -> dict:
-    start, o, h, low, c, v, _ = s
-    return {"symbol": symbol, "ts": pd.Timestamp(start, unit="us"), "open": o, "high": h, "low": low, "close": c, "volume": v}
-
-
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One symbol: a bar goes out when a quote of a later bar comes, or when the watermark passes its end;
-    the last cumulative volume stays. Quotes of earlier bars are late and are dropped."""
-    width = MINUTES * 60_000_000
-    bars: list[dict] = []
-    s = state.get if state.exists else None
-    if state.hasTimedOut:
-        if s[1] is not None:
-            bars.append(_bar(key[0], s))
-        state.update((s[0], None, None, None, None, 0.0, s[6]))  # only the volume counter goes on
-    else:
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, price, cum in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["price"], rows["cumulative_volume"]):
-            start = ts - ts % width
+WIDTH = MINUTES * 60_000_000
+EVENTS = "symbol string, kind string, us long, open double, high double, low double, close double, volume double"
+
+
+class BarProcessor(StatefulProcessor):
+    """One symbol's open bar and volume counter. A bar goes out when a quote of a later bar comes, or by a timer when
+    the watermark passes its end; the counter stays. Quotes of bars that are closed are told as late ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.bar = handle, handle.getValueState("bar", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s = self.bar.get() if self.bar.exists() else None
+        told: list[tuple] = []
+        data = pd.concat(list(rows)).sort_values("us")
+        for us, price, cum in zip(data["us"].tolist(), data["price"].tolist(), data["cumulative_volume"].tolist()):
+            start = us - us % WIDTH
             if s is not None and (start < s[0] or (start == s[0] and s[1] is None)):
+                told.append((key[0], "late", us, None, None, None, price, cum))
                 continue
             step = max(0.0, cum - s[6]) if s is not None else 0.0
             if s is not None and start == s[0]:
                 s = (start, s[1], max(s[2], price), min(s[3], price), price, s[5] + step, cum)
             else:
                 if s is not None and s[1] is not None:
-                    bars.append(_bar(key[0], s))
+                    told.append((key[0], "bar", *s[:6]))
                 s = (start, price, price, price, price, step, cum)
         if s is not None:
-            state.update(s)
+            self.bar.update(s)
             if s[1] is not None:
-                state.setTimeoutTimestamp(max(s[0] // 1000 + width // 1000, state.getCurrentWatermarkMs() + 1))
-    if bars:
-        yield pd.DataFrame(bars)
+                self.handle.registerTimer((s[0] + WIDTH) // 1000)
+        if told:
+            yield pd.DataFrame(told, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s = self.bar.get() if self.bar.exists() else None
+        if s is not None and s[1] is not None and (s[0] + WIDTH) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.bar.update((s[0], None, None, None, None, 0.0, s[6]))
+            yield pd.DataFrame([(key[0], "bar", *s[:6])], columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.bar.update((int(r["start"]), *(float(r[c]) for c in ("open", "high", "low", "close", "volume", "cum"))))
+
+    def close(self) -> None:
+        pass
+
+
+def open_bars(history: DataFrame) -> DataFrame:
+    """What a stream that follows on clean quotes of a history starts from: each symbol's newest bar, which is still
+    open, and its volume counter."""
+    newest = quotes_to_bars(history).groupBy("symbol").agg(F.max_by(F.struct("ts", "open", "high", "low", "close", "volume"), "ts").alias("b"))
+    counters = history.groupBy("symbol").agg(F.max_by("cumulative_volume", "ts").alias("cum"))
+    return newest.join(counters, "symbol").select("symbol", F.unix_micros("b.ts").alias("start"), *[f"b.{c}" for c in ("open", "high", "low", "close", "volume")], "cum")
+
+
+def bar_events(quotes: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Completed bars (kind `bar`) and quotes of bars that were closed already (kind `late`: close is the price,
+    volume the cumulative volume) of a quote stream (quote_stream), with state by symbol; us are microseconds. With a
+    history of clean quotes, the state starts from where that ends. Quotes that the watermark excludes do not get
+    here; the stream's progress counts them. Needs the RocksDB state store, which is set where none is chosen."""
+    spark = quotes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = open_bars(history).groupBy("symbol") if history is not None else None
+    rows = quotes.select("symbol", "ts", F.unix_micros("ts").alias("us"), "price", "cumulative_volume")
+    return rows.groupBy("symbol").transformWithStateInPandas(BarProcessor(), EVENTS, "Append", "EventTime", start)
+
+
+def completed_bars(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'bar'").select("symbol", F.timestamp_micros("us").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def late_quotes(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'late'").select("symbol", F.timestamp_micros("us").alias("ts"), F.col("close").alias("price"), F.col("volume").alias("cumulative_volume"))
 
 
-def bar_stream(quotes: DataFrame) -> DataFrame:
-    """Completed bars of a quote stream (quote_stream), state by symbol."""
-    return quotes.groupBy("symbol").applyInPandasWithState(_update, BAR, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def bar_stream(quotes: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Completed bars of a quote stream."""
+    return completed_bars(bar_events(quotes, history))
 
 
 def stop_alerts(quotes: DataFrame, positions: DataFrame, peak_at: float = 2.0) -> DataFrame:

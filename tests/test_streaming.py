@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from barloom.sources import fixtures as fx
 from barloom.operators.intraday import against_baseline, first_trigger, same_slot_volume, session_running, slot_baseline, standard_breakouts, update_baseline
-from barloom.streaming.bars import bar_stream, clean_quotes, live_breakouts, quote_stream, quotes_to_bars, read_triggers
+from barloom.streaming.bars import bar_events, bar_stream, clean_quotes, completed_bars, late_quotes, live_breakouts, quote_stream, quotes_to_bars, read_triggers
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,26 @@ def test_baseline_from_night_to_night(spark):
     rows = lambda df: sorted((r.symbol, r.ts, *(None if r[c] is None else round(r[c], 9) for c in columns)) for r in df.collect())
     want = rows(same_slot_volume(bars, 8, 3).where(F.col("session_date") == days[-1]))
     assert rows(against_baseline(today, baseline, 8, 3)) == want and any(r[2] for r in want) and max(len(r.sessions) for r in baseline.collect()) == 8
+
+
+def test_restarted_stream_goes_on_from_history_and_tells_late_quotes(spark, tmp_path):
+    at = lambda m, sec=0: f"2024-01-02 10:{m:02d}:{sec:02d}"
+    old = [("a", at(0), 1.0, 100.0), ("a", at(6), 2.0, 150.0), ("a", at(7), 1.5, 160.0)]
+    batches = [
+        [("a", at(8), 3.0, 190.0), ("b", at(8), 9.0, 10.0)],  # goes on with the bar that history left open
+        [("a", at(11), 4.0, 200.0), ("a", at(6, 30), 7.0, 155.0)],  # the second row's bar is open until the first comes
+        [("a", at(7, 30), 8.0, 170.0), ("a", at(16), 5.0, 230.0)],  # its bar is closed by now
+        [("a", at(40), 6.0, 260.0), ("b", at(41), 8.0, 30.0)],
+    ]
+    schema = "symbol string, ts string, price double, cumulative_volume double"
+    history = clean_quotes(spark.createDataFrame(old, schema))
+    folder, mark, out = str(tmp_path / "in"), str(tmp_path / "mark"), str(tmp_path / "out")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = quote_stream(spark.readStream.schema(schema).parquet(folder), "30 minutes")
+        events = bar_events(stream, history)  # a query of its own each time: what it knows is in its checkpoint
+        events.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination(240)
+    events = spark.read.parquet(out)
+    got = sorted((r.symbol, r.ts.strftime("%H:%M"), r.open, r.high, r.low, r.close, r.volume) for r in completed_bars(events).collect())
+    assert got == [("A", "10:05", 2.0, 7.0, 1.5, 7.0, 90.0), ("A", "10:10", 4.0, 4.0, 4.0, 4.0, 45.0), ("A", "10:15", 5.0, 5.0, 5.0, 5.0, 30.0), ("B", "10:05", 9.0, 9.0, 9.0, 9.0, 0.0)]
+    assert [(r.symbol, r.ts.strftime("%H:%M:%S"), r.price, r.cumulative_volume) for r in late_quotes(events).collect()] == [("A", "10:07:30", 8.0, 170.0)]
