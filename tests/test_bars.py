@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import ranks
 from barloom.functions.columns import assert_unique, pct_rank, require_columns
 from barloom.operators import clean, daily, evaluate, intraday, learn, ledger, levels, report
+from barloom.plans import queries
 from barloom.sources import fixtures as fx
 from barloom.sources import io
 
@@ -293,6 +294,19 @@ def test_sizing_with_missing_values(spark):
     assert small == dict.fromkeys((1, 3, 6, 8), int(90 / (10 - 9.5 * 0.999)))
 
 
+def test_signals_of_every_day_are_sized_by_what_they_have(spark):
+    sf = "/root/testdata/sf0.01"
+    found = queries._signals(spark, sf).where("low IS NOT NULL AND prev_close > 0 AND atr20 IS NOT NULL AND adr20_pct IS NOT NULL")
+    fits = {
+        (r.symbol, r.date)
+        for r in found.select("symbol", "date", "open", "close", "low", "prev_close", "atr20", "adr20_pct", "leader_score", "resistance_used").collect()
+        if r.open / r.prev_close - 1.0 < 0.10 and 0 < (risk := r.close - min(r.low, r.resistance_used) * (1.0 - 0.001)) and ((r.leader_score or 0) >= 90 or risk <= min(r.atr20, r.adr20_pct * r.close))
+    }
+    whole = {(r.symbol, r.date) for r in found.select("symbol", "date").collect()}
+    got = {(r.symbol, r.date) for r in queries.QUERIES["sized_signals"](spark, sf).collect()}
+    assert got & whole == fits and any(date.day % 13 == 0 for _, date in got)
+
+
 def test_priority_bonus_and_missing_ranks(spark):
     report_ = spark.createDataFrame([("A", day(3), 96.0, 10.0, 0.0, 0.0, 0.0), ("B", day(3), 94.0, 10.0, 0.0, 0.0, 0.0)], "symbol string, date date, leader_score double, setup_score_pre double, trigger_score double, cum_vol_ratio double, move_from_open double")
     features = daily.base_features(bars(spark, range(10, 60))).withColumn("runup", daily.prior_runup())
