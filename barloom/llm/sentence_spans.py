@@ -5,13 +5,13 @@ are cut by content, behind words whose md5 begins with one of CUT_DIGITS, so tha
 documents share, or parts of it, falls into the same pieces in both; all other sentences are one piece. From
 every piece a run takes as many consecutive pieces as it needs to hold RUN pieces and MIN_WORDS words, and
 another run does so backwards from every piece, so that a passage is covered up to both of its ends; a text of
-fewer words is one run, if it has RUN pieces. The runs' words, in lower case, are hashed to 96 bits and joined
+fewer words is one run, if it has RUN pieces. The runs' words, in lower case, are hashed to 96 bits and ranked
 over all documents. The first occurrence of a run, by doc_id and position, stays; pieces that any later
 occurrence covers are removed. Passages that begin or end within a sentence lose the pieces between.
 
-Only hashes with document and position are shuffled; they are made twice, as writing them costs more. Their
-counts are combined before the exchange, and the join back is an inner join that Spark may split where one run
-is in very many documents.
+Texts are cut and hashed once, and only hashes with document and position are shuffled. Of a run's occurrences
+among some WINDOW runs of a task only the first one is ranked by its hash; the rest are later ones already and
+are dealt by their documents, so that a run in very many documents comes to few rows in one place.
 
 Defined results: null, empty and sentence-less texts, and texts with fewer pieces than RUN, have no run and
 stay as they are; very long texts, with or without sentences, are cut and hashed whole; rows with equal doc_id
@@ -32,16 +32,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from barloom.llm import common
 
 RUN, MIN_WORDS = 2, 10
-LONGEST, CUT_DIGITS = 24, "01"
+LONGEST, CUT_DIGITS = 24, "0123"
 #: Runs hold fewer pieces: RUN or MIN_WORDS at most.
 SIZES = 64
+#: Runs that a task compares among themselves at a time.
+WINDOW = 1 << 20
 _END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 #: Odd numbers: what stands for a run is a polynomial in its pieces' hashes, modulo 2**64.
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -99,25 +101,60 @@ def run_hashes(pieces: list[bytes], start: np.ndarray, end: np.ndarray) -> tuple
     return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _hashed(run: int, min_words: int):
-    """doc, spot (32 bits of the text's hash, then piece and number of pieces of a run) and the run's hash."""
+def _first_ones(doc: np.ndarray, spot: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which of the runs have no equal run before them, by doc and spot."""
+    order = np.argsort(h1, kind="stable")
+    same = h1[order[1:]] == h1[order[:-1]]
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    some = some[np.lexsort((spot[some], doc[some], h2[some], h1[some]))]
+    new = np.concatenate([[True], (h1[some[1:]] != h1[some[:-1]]) | (h2[some[1:]] != h2[some[:-1]])])[: len(some)]
+    first = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.ones(len(doc), bool)
+    out[some] = (doc[some] == doc[first]) & (spot[some] == spot[first])  # rows of equal doc and text are one document
+    return out
+
+
+def _hashed(run: int, min_words: int, window: int = WINDOW):
+    """doc, spot (32 bits of the text's hash, then piece and number of pieces of a run) and the run's hash. No
+    h2 and any h1: a run that is known to be a later one, or, with 0 as the number, the document's pieces."""
+
+    def told(found: list[list[np.ndarray]], known: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def rows(doc, spot, h1, h2):
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(spot, pa.int64()), pa.array(h1, pa.int64()), h2], names=["doc", "spot", "h1", "h2"])
+
+        if found:
+            doc, spot, h1, h2 = (np.concatenate(x) for x in zip(*found))
+            first = _first_ones(doc, spot, h1, h2)
+            yield rows(doc[first], spot[first], h1[first], pa.array(h2[first], pa.int32()))
+            known = [*known, [doc[~first], spot[~first]]]
+        if known:
+            doc, spot = (np.concatenate(x) for x in zip(*known))
+            yield rows(doc, spot, doc * np.int64(0x5851F42D4C957F2D) + spot, pa.nulls(len(doc), pa.int32()))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, known, n = [], [], 0
         for batch in batches:
-            owner, place, h1, h2 = [], [], [], []
+            owner, place, h1, h2, sizes = [], [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 pieces = pieces_of(text, plain=True)
+                sizes.append(len(pieces))
                 start, end = runs_of(np.fromiter((p.count(b" ") + 1 for p in pieces), np.int64, len(pieces)), run, min_words)
                 if len(start):
                     owner.append(np.full(len(start), k))
                     place.append(start * SIZES + (end - start))
                     for to, x in zip((h1, h2), run_hashes(pieces, start, end)):
                         to.append(x)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            tie = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << 32
+            known.append([doc, tie | np.array(sizes, np.int64) * SIZES])
             if owner:
                 whose = np.concatenate(owner)
-                tie = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[whose]
-                told = [pa.array(x) for x in (tie << 32 | np.concatenate(place), np.concatenate(h1), np.concatenate(h2))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), *told], names=["doc", "spot", "h1", "h2"])
+                found.append([doc[whose], tie[whose] | np.concatenate(place), np.concatenate(h1), np.concatenate(h2)])
+                n += len(whose)
+            if n >= window:
+                yield from told(found, known)
+                found, known, n = [], [], 0
+        yield from told(found, known)
 
     return spans
 
@@ -127,11 +164,10 @@ def _cleaned(run: int):
         for batch in batches:
             texts, n, removed = [], [], []
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                pieces = pieces_of(text)
-                gone = sorted({k for s in starts or () for k in range(s // SIZES, s // SIZES + s % SIZES)})
+                gone = sorted({k for s in starts for k in range(s // SIZES, s // SIZES + s % SIZES)})
                 out = set(gone)
-                texts.append(b" ".join(p for k, p in enumerate(pieces) if k not in out).decode() if gone else text)
-                n.append(len(pieces))
+                texts.append(b" ".join(p for k, p in enumerate(pieces_of(text)) if k not in out).decode() if gone else text)
+                n.append(max(s // SIZES for s in starts if s % SIZES == 0))
                 removed.append(gone)
             told = [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(list(map(len, removed)), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=["row", "text", "n_sentences", "removed", "n_removed"])
@@ -154,11 +190,13 @@ def remove_repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_
         "text",
     )
     spans = base.select("doc", "tie", "text").mapInArrow(_hashed(run, min_words), "doc long, spot long, h1 long, h2 int")
-    here = F.struct("doc", "spot")
-    firsts = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = spans.join(firsts, ["h1", "h2"]).where(here != F.col("first"))
-    covered = later.groupBy("doc", F.shiftright("spot", 32).cast("int").alias("tie")).agg(F.collect_set(F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))).alias("starts"))
-    rows = base.join(covered, ["doc", "tie"], "inner" if changed_only else "left")
+    order = Window.partitionBy("h1", "h2").orderBy("doc", "spot")
+    later = spans.withColumn("k", F.rank().over(order)).where("h2 IS NULL OR k > 1")
+    place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    covered = later.groupBy("doc", F.shiftright("spot", 32).cast("int").alias("tie")).agg(F.collect_set(place).alias("starts"))
+    if changed_only:
+        covered = covered.where(F.exists("starts", lambda s: s % SIZES > 0))
+    rows = base.join(covered, ["doc", "tie"])
     told = [StructField("text", StringType()), StructField("n_sentences", LongType()), StructField("removed", ArrayType(IntegerType())), StructField("n_removed", LongType())]
     out = rows.select("row", "text", "starts").mapInArrow(_cleaned(run), StructType([StructField("row", base.schema["row"].dataType), *told]))
     columns = [F.col("text") if c == "text" else F.col(f"row.c{names.index(c)}").alias(c) for c in docs.columns if c == "text" or c in names]
@@ -166,16 +204,16 @@ def remove_repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose sentences."""
+    """Every document, without the sentences that it loses."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = remove_repeated_spans(docs, changed_only=True)
+    out = remove_repeated_spans(docs)
     return out.select("doc_id", "n_sentences", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
 
 
 _W, _S = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]+"
 OP5_SQL = f"""
 WITH cut AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '([.!?]){_S}', '\\1' || chr(10), 'g'), chr(10)) AS ss
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(regexp_replace(text, '([.!?]){_S}', '\\1' || chr(10), 'g'), chr(10)) AS ss
   FROM documents
 ), sentence AS (
   SELECT r, doc_id, sn, s, regexp_extract_all(s, '{_W}') AS ws FROM (SELECT r, doc_id, unnest(range(len(ss))) AS sn, unnest(ss) AS s FROM cut)
@@ -208,7 +246,7 @@ WITH cut AS (
 ), gone AS (
   SELECT DISTINCT r, unnest(range(pos, pos + size)) AS pos FROM ranked WHERE k > 1
 )
-SELECT doc_id, count(*) AS n_sentences, count(g.pos) AS n_removed, string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos) AS removed,
-  coalesce(string_agg(p.s, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS text
-FROM placed p LEFT JOIN gone g ON p.r = g.r AND p.pos = g.pos
-GROUP BY p.r, doc_id HAVING count(g.pos) > 0"""
+SELECT c.doc_id, count(p.pos) AS n_sentences, count(g.pos) AS n_removed, coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS removed,
+  CASE WHEN count(g.pos) > 0 THEN coalesce(string_agg(p.s, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') ELSE any_value(c.text) END AS text
+FROM cut c LEFT JOIN placed p ON c.r = p.r LEFT JOIN gone g ON p.r = g.r AND p.pos = g.pos
+GROUP BY c.r, c.doc_id"""

@@ -2,8 +2,10 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from barloom.llm import sentence_spans
 from barloom.llm.sentence_spans import LONGEST, OP5_SQL, op5_sentence_spans, pieces_of, remove_repeated_spans, run_hashes, runs_of
 
 from .common_frames import documents, empty
@@ -23,6 +25,34 @@ def test_equals_sql(spark):
     assert sorted(tuple(x[k] for k in r.columns) for x in op5_sentence_spans(spark, SF).collect()) == want and want
 
 
+def test_query_returns_every_document(spark, tmp_path):
+    docs = documents(spark, extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op5_sentence_spans(spark, str(tmp_path)).collect()
+    assert len(out) == docs.count() and {r.doc_id for r in out if r.n_removed} < {r.doc_id for r in out}
+    told = {r.doc_id: r for r in out}
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert all(told[k].text == kept[k] and told[k].removed == "" for k in told if not told[k].n_removed)
+    assert told[2].n_sentences == 0 and told[6].n_sentences == 3 and told[5].n_sentences == len(pieces_of(kept[5]))
+
+
+def test_long_sentences_are_cut_behind_one_word_in_four():
+    words = [f"word{k}" for k in range(4000)]
+    assert 850 < len(pieces_of(" ".join(words))) < 1150
+
+
+def test_runs_known_within_a_task():
+    r = np.random.default_rng(3)
+    doc, spot, h1, h2 = (r.integers(0, n, 5000) for n in (40, 25, 300, 3))
+    want = [(d, s) == min((doc[k], spot[k]) for k in np.flatnonzero((h1 == a) & (h2 == b))) for d, s, a, b in zip(doc, spot, h1, h2)]
+    assert sentence_spans._first_ones(doc, spot, h1, h2).tolist() == want and 300 < sum(want) < 2000
+    # a run that all documents share comes to one row to rank, however many documents a task has
+    texts = pa.array(["Here is a line that everyone has. And one more that all have."] * 500)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([1] * 500, pa.int32()), texts], names=["doc", "tie", "text"])
+    out = [x for b in sentence_spans._hashed(2, 10)(iter([rows])) for x in b.to_pylist()]
+    assert sum(x["h2"] is not None for x in out) == 1 and len(out) == 1000 and len({x["h1"] for x in out}) > 900
+
+
 def test_first_occurrence_stays_and_odd_rows(spark):
     docs = documents(spark)
     out = {}
