@@ -16,8 +16,9 @@ is capped. The bounds, for classes with m and n distinct shingles:
 - where no shingle repeats, c shared shingles give a similarity of c / (m + n - c), and c is at most the
   number of shingles that others have too: this leaves a range of sizes n, which is part of the join's key;
 - c is also at most m less the set bits of one document's bitmap of shingles that the other's lacks;
-- with u and v the shares of weight on shingles of no other candidate, the similarity is at most
-  1 / (1 / (1 - u) + v / (1 - v)).
+- with u and v the shares of weight on shingles that the other lacks, the similarity is at most
+  (1 - u) * (1 - v) / (1 - u * v); u is at least the share on shingles of no other candidate, and at least that of
+  the set bits that the other's bitmap lacks, each of which stands for one shingle or more.
 
 Pairs must also agree in MIN_AGREE of the signature's registers by two bits of each (a pair at the
 threshold misses this a few times in a million).
@@ -104,13 +105,13 @@ def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
 
 
 def _counts(shingles: DataFrame) -> DataFrame:
-    """node, bits (a bitmap of its shingles), m (distinct shingles), flat (none repeats), common (distinct
-    shingles that another one has too) and alone (the share of the weight on those that none has)."""
+    """node, bits (a bitmap of its shingles), m (distinct shingles), n (all of them), flat (none repeats), common
+    (distinct shingles that another one has too) and alone (the share of the weight on those that none has)."""
     found = shingles.mapInArrow(_counted, "node long, shingle long, n long")
     once = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.first("node").alias("node"), F.sum("n").alias("n")).where("docs = 1")
     once = once.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n"))
     out = shingles.mapInArrow(_sized, "node long, m long, n long, bits array<long>").join(once, "node", "left").fillna(0, ["own", "own_n"])
-    return out.select("node", "bits", "m", (F.col("m") == F.col("n")).alias("flat"), (F.col("m") - F.col("own")).alias("common"), (F.col("own_n") / F.col("n")).alias("alone"))
+    return out.select("node", "bits", "m", "n", (F.col("m") == F.col("n")).alias("flat"), (F.col("m") - F.col("own")).alias("common"), (F.col("own_n") / F.col("n")).alias("alone"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +138,12 @@ def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different components that share a bucket and may reach the threshold."""
     low = threshold - EPS
     mixed = mixed.where(F.col("alone") <= 1.0 - low)
-    names = ("node", "root", "sketch", "bits", "m", "flat", "common", "alone")
+    names = ("node", "root", "sketch", "bits", "m", "n", "flat", "common", "alone")
     minor = mixed.where("root <> main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in names])
     every = mixed.select("band", "value", "main", *[F.col(c).alias(f"y_{c}") for c in names])
     differ = [F.get("x_sketch", k).bitwiseXOR(F.get("y_sketch", k)) for k in range(4)]
     agree = BANDS * ROWS - F.bit_count(differ[0].bitwiseOR(differ[1])) - F.bit_count(differ[2].bitwiseOR(differ[3]))
 
-    def most(u: str, v: str) -> Column:
-        """Upper bound of the similarity, both shares below one."""
-        return 1.0 / (1.0 / (1.0 - F.col(u)) + F.col(v) / (1.0 - F.col(v)))
-
     def lacking(x: str, y: str) -> Column:
         """Set bits of x's bitmap that y's lacks."""
         return sum((F.bit_count(F.get(f"{x}_bits", k).bitwiseAND(F.bitwise_not(F.get(f"{y}_bits", k)))) for k in range(WORDS)), F.lit(0))
@@ -164,10 +161,13 @@ def _open_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     plain = every.where("y_flat").withColumn("size", size_class(F.col("y_m")))
     coarse = F.least("x_common", "y_common") >= low * (F.col("x_m") + F.col("y_m") - F.least("x_common", "y_common"))
     met = flat.join(plain, ["band", "value", "size"]).where(differs & coarse & (agree >= MIN_AGREE) & (shared >= low * (F.col("x_m") + F.col("y_m") - shared))).select(*ends)
-    # one with repeats: by bucket and the shares alone
-    possible = ~(F.col("x_flat") & F.col("y_flat")) & (most("x_alone", "y_alone") >= low) & (most("y_alone", "x_alone") >= low)
-    other = minor.drop("x_bits").join(every.drop("y_bits"), ["band", "value"]).where(differs & possible & (agree >= MIN_AGREE)).select(*ends)
-    return met.unionByName(other).distinct()
+    # one with repeats: by bucket and the shares of the weight that the other lacks, each at least that of the set bits
+    lone = [F.greatest(f"{x}_alone", lacking(x, y) / F.col(f"{x}_n")) for x, y in (("x", "y"), ("y", "x"))]
+    few = (1.0 - lone[0]) * (1.0 - lone[1]) >= low * (1.0 - lone[0] * lone[1])
+    sides = ((minor.where("NOT x_flat"), every), (minor.where("x_flat"), every.where("NOT y_flat")))
+    for x, y in sides:
+        met = met.unionByName(x.join(y, ["band", "value"]).where(differs & (agree >= MIN_AGREE) & few).select(*ends))
+    return met.distinct()
 
 
 def text_hash() -> Column:

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.near_dedup import near_duplicates, without_near_duplicates
+from barloom.llm.near_dedup import _counts, _open_pairs, _shingles, near_duplicates, without_near_duplicates
 from barloom.llm.probminhash import signatures, similarity
 
 from .common_frames import documents, empty
@@ -86,6 +86,24 @@ def test_groups_equal_brute_force(spark):
     assert got == brute(texts)
 
 
+def test_open_pairs_of_texts_that_repeat_themselves(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = r.choices(vocabulary, k=110)
+    texts = []
+    for k in range(80):  # as one bucket of a large group, each a component of its own
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 3, 5, 6, 7])):
+            copy[r.randrange(len(copy))] = r.choice(vocabulary)
+        texts.append(" ".join(copy + copy[:8] * (k % 3)))
+    _, found = _shingles(texts)
+    counts = _counts(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(found)], "node long, shingles binary"))
+    mixed = counts.select(F.lit(0).alias("band"), F.lit(0).alias("value"), "*", F.col("node").alias("root"), F.lit(0).alias("main"), F.array(*[F.lit(0).cast("long")] * 4).alias("sketch"))
+    got = {(x.a, x.b) for x in _open_pairs(mixed, 0.8).collect()}
+    near = {(a, b) for b in range(80) for a in range(b) if similarity(found[a], found[b]) >= 0.8}
+    assert near <= got and near and len(got) < 1.5 * len(near) < 0.5 * 80 * 79 / 2
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     rows = near_duplicates(docs).collect()
