@@ -25,6 +25,8 @@ from barloom.llm import common, pieces
 from barloom.llm.dac import Dac, build
 
 MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
+#: Documents whose ids are decoded at a time.
+READ_DOCS = 1000
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -44,12 +46,14 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
                 f.write(build(docs, lengths, np.concatenate(chunks), end_id))
             row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)], "n_ids": [total]})
             docs, lengths, chunks, total, seq = [], [], [], 0, seq + 1
+            common.give_back()
             return row
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in pieces.slices(texts):
                 found, sizes = encoder.ids(texts[a:b], [end_id])
+                common.give_back()
                 doc = at = 0
                 while doc < len(sizes):  # a file ends with the document that fills it
                     upto = total + np.cumsum(sizes[doc:])
@@ -84,9 +88,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, name = common.open_fs(path)
             with store.open_input_file(name) as f:
                 dac = Dac(f.read())
-            every, at = memoryview(dac.slice(0, dac.n)).cast("B"), (4 * dac.starts).tolist()
-            sums = [zlib.crc32(every[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(dac.doc_ids, mask=dac.null.astype(bool)), "start": first + dac.starts[:-1], "n_tokens": np.diff(dac.starts), "ids_crc32": pa.array(sums, pa.int64())})
+            for k in range(0, dac.docs, READ_DOCS):
+                at = dac.starts[k : k + READ_DOCS + 1]
+                ids, cuts = dac.slice(int(at[0]), int(at[-1])), (at - at[0]).tolist()
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                docs = slice(k, k + len(sums))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(dac.doc_ids[docs], mask=dac.null[docs].astype(bool)), "start": first + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(sums, pa.int64())})
+            del dac, ids
+            common.give_back()
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

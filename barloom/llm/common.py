@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +48,21 @@ def worker_state(key, make):
     operator's caches go as soon as this one starts, so that stages in a row do not add up."""
     if key not in _worker:
         _worker.clear()
+        give_back()
         _worker[key] = make()
     return _worker[key]
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: the C library keeps the holes that large
+    arrays leave, and a worker lives as long as its executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI: spark.checkpoint.dir where it
     is set; where it is not, in local mode (tests), a temporary folder that this process sets."""

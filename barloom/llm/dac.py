@@ -19,7 +19,7 @@ BITS, BLOCK = 8, 512
 
 def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, end_id: int) -> bytes:
     """One file; ids holds all ids of the documents in order, end ids included."""
-    ids = np.ascontiguousarray(ids, dtype=np.uint32)
+    ids = np.ascontiguousarray(ids, dtype=np.uint16 if ids.dtype == np.uint16 else np.uint32)
     top = int(ids.max()) if len(ids) else 0
     levels = max(1, -(-top.bit_length() // BITS))
     starts = np.zeros(len(lengths) + 1, np.int64)
@@ -28,7 +28,7 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, end_id
     out += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), starts.astype("<i8").tobytes()]
     rest = ids
     for level in range(levels):
-        out += [struct.pack("<Q", len(rest)), (rest & 0xFF).astype(np.uint8).tobytes()]
+        out += [struct.pack("<Q", len(rest)), rest.astype(np.uint8).tobytes()]
         if level + 1 < levels:
             on = rest > 0xFF
             bits = np.packbits(on, bitorder="little")

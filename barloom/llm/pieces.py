@@ -27,6 +27,8 @@ LONGEST_CACHED = 48
 LAST_LETTER, MARKS = "\u024f", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that go through the model at a time.
 JOINED = 64
+#: Texts that the library encodes at a time; each of its results holds about a KB besides the ids.
+ENCODED = 1024
 #: Different runs of marks that are kept.
 MOST_MARKS = 20_000
 
@@ -127,7 +129,7 @@ class IdTable:
 class ByteLevelIds:
     """Ids of a `tokenizers` byte-level BPE as little-endian uint16 or uint32."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -153,7 +155,10 @@ class ByteLevelIds:
         self.together = not any(p.endswith(x) or x.endswith(p) for p in inner for x in letters)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), ENCODED):
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + ENCODED], add_special_tokens=False)]
+        return out
 
     def _spelled(self, words: list[str]) -> list[str]:
         return "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n") if words else []

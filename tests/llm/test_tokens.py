@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from barloom.llm import pieces
-from barloom.llm.binary_output import read_ids, write_ids
+from barloom.llm.binary_output import _read, read_ids, write_ids
 from barloom.llm.common import open_fs
 from barloom.llm.dac import Dac, build
 from barloom.llm.token_counts import count_tokens
@@ -36,6 +37,44 @@ def test_units_give_the_libraries_ids_and_lengths():
             assert n == len(lengths.sp.encode(text)), repr(text)
 
 
+def test_encoding_holds_few_results_at_a_time():
+    class Counting:
+        def __init__(self, tok):
+            self.model, self.tok, self.most = tok.model, tok, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.most = max(self.most, len(texts))
+            return self.tok.encode_batch_fast(texts, **how)
+
+    ids = pieces.ByteLevelIds(BPE)
+    texts = [f"{k}-x{k}" for k in range(5000)]
+    want = [np.array(e.ids, ids.kind).tobytes() for e in ids.tok.encode_batch(texts, add_special_tokens=False)]
+    ids.tok = Counting(ids.tok)
+    assert ids.encode(texts) == want
+    assert 0 < ids.tok.most <= pieces.ENCODED
+
+
+def test_files_are_built_and_read_in_little_memory(tmp_path):
+    import pyarrow as pa
+
+    n, size = 4000, 500
+    ids = np.random.default_rng(1).integers(0, 50_257, n * size).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        data = build(list(range(n)), [size] * n, ids, 0)
+        built = tracemalloc.get_traced_memory()[1]
+        (tmp_path / "a.dac").write_bytes(data)
+        del data
+        tracemalloc.reset_peak()
+        rows = [r for b in _read(iter([pa.RecordBatch.from_pydict({"path": [f"file://{tmp_path}/a.dac"], "first": [7]})])) for r in b.to_pylist()]
+        read = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in rows] == [(k, 7 + k * size, size) for k in range(n)]
+    assert all(r["ids_crc32"] == zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) for k, r in enumerate(rows))
+    assert built < 10 * len(ids) and read < 30 * len(ids), (built / len(ids), read / len(ids))
+
+
 def test_random_access():
     rng = np.random.default_rng(0)
     for top in (1, 255, 256, 50_256, 70_000, 2**32 - 1):
