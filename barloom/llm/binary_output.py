@@ -53,7 +53,6 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in pieces.slices(texts):
                 found, sizes = encoder.ids(texts[a:b], [end_id])
-                common.give_back()
                 doc = at = 0
                 while doc < len(sizes):  # a file ends with the document that fills it
                     upto = total + np.cumsum(sizes[doc:])
