@@ -121,6 +121,15 @@ def test_fifo_equals_a_queue(spark, monkeypatch, parts, days):
     assert got == sorted(want)
 
 
+def test_four_decimals_of_numbers_that_no_long_holds(spark):
+    values = [4.5e41, -4.5e41, 1e15, 12.34567, -0.00001, None]
+    trades = spark.createDataFrame([(day(k), 1e9) for k in range(5)], "date date, ret double")
+    got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").orderBy("k").select(queries.r4("x")).collect()]
+    assert got[:-1] == pytest.approx([4.5e41, -4.5e41, 1e15, 12.3457, 0.0], rel=1e-15) and got[-1] is None
+    curve = queries.rows(ledger.daily_trade_curve(trades, 1000), "day_ret equity", "date").orderBy("date").collect()
+    assert [r.equity for r in curve] == pytest.approx([(1 + 1e6) ** (k + 1) for k in range(5)])
+
+
 def test_entries_as_of_by_hand(spark):
     at = lambda m: dt.datetime(2024, 1, 2, 9, 30) + dt.timedelta(minutes=m)
     d = at(0).date()
