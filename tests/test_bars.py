@@ -121,6 +121,27 @@ def test_fifo_equals_a_queue(spark, monkeypatch, parts, days):
     assert got == sorted(want)
 
 
+def test_fifo_is_one_exchange_and_spreads_only_long_symbols(spark, monkeypatch):
+    r = random.Random(8)
+    sizes = {"A": 60, "B": 400, "C": 7, "D": 350, "E": 1}
+    rows = [(s, day(k // 3), r.choice(["buy", "sell"]), r.randint(1, 90), float(r.randint(1, 9)), k) for s, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame([*rows, (None, day(0), "buy", 5, 1.0, 0), (None, day(1), "sell", 5, 1.0, 1)], "symbol string, date date, side string, shares long, price double, o int")
+    plain = ledger.fifo_round_trips(df, ["date", "o"])
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want = sorted(map(tuple, plain.collect()))
+    monkeypatch.setattr(ledger, "MANY", 100)
+    monkeypatch.setattr(ledger, "BUCKETS", 2)
+    assert sorted(ledger._long_symbols(df)) == ["B", "D"]
+    assert sorted(map(tuple, ledger.fifo_round_trips(df, ["date", "o"]).collect())) == want and {w[0] for w in want} == set("ABCD")
+
+
+def test_trade_stats_by_hand(spark):
+    trips = spark.createDataFrame([(3.0, 0.3), (-1.0, -0.1), (0.0, 0.0), (5.0, None), (-1.0, 0.2)], "pnl double, ret double")
+    assert tuple(ledger.trade_stats(trips).first()) == pytest.approx((5, 0.4, 0.1, 0.1, 4.0))
+    assert tuple(ledger.trade_stats(trips.limit(0)).first()) == (0, None, None, None, None)
+
+
 def test_four_decimals_of_numbers_that_no_long_holds(spark):
     values = [4.5e41, -4.5e41, 1e15, 12.34567, -0.00001, None]
     trades = spark.createDataFrame([(day(k), 1e9) for k in range(5)], "date date, ret double")
