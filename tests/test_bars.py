@@ -248,6 +248,20 @@ def test_exits_equal_a_loop(spark, monkeypatch):
         assert got[k][:2] == w[:2] and got[k][3] == w[3] and got[k][2] == (pytest.approx(w[2]) if w[2] else None) and got[k][4] == pytest.approx(w[4]), k
 
 
+def test_exits_exchange_signals_and_bars_once(spark):
+    b = bars(spark, [10, 13, 12, 11], [9, 9, 9, 7], [10, 12, 11, 10.5])
+    names = "id long, symbol string, date date, entry double, stop double, pivot double"
+    s = spark.createDataFrame([(1, "A", day(0), 10.0, 8.0, 9.0), (2, "A", day(9), 10.0, 8.0, 9.0), (3, "B", day(0), 10.0, 8.0, 9.0), (4, None, day(0), 10.0, 8.0, 9.0), (5, "A", day(0), None, None, None), (6, "A", day(1), 0.0, 1.0, 12.5)], names)
+    out = ledger.exit_rule_outcomes(s, b)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+    got = {r.id: (r.exit_date, r.reason, r.exit_price, r.partial, r.ret) for r in out.collect()}
+    none = (None, "open", None, False, None)  # no bar of that day, none of that symbol, no symbol, no levels
+    assert got == {1: (day(3), "hard_stop_lod", 8.0, True, pytest.approx(0.0)), 2: none, 3: none, 4: none, 5: none, 6: (day(1), "day0_close_below_pivot_exit_all", 12.0, False, None)}
+    own = b.select(F.lit(7).alias("id"), "symbol", "date", F.col("close").alias("entry"), F.col("low").alias("stop"), F.col("low").alias("pivot")).where("close = 10")
+    assert [(r.id, r.exit_date, r.reason) for r in ledger.exit_rule_outcomes(own, b).collect()] == [(7, day(1), "hard_stop_lod")]
+
+
 def test_tight_entry_reasons_in_order(spark):
     base = dict(history_ok=True, broke_out=True, leader_score=90.0, setup_score_pre=70.0, trigger_score=85.0, trigger_close=10.1, zigzag_line_value=10.0, prev_close=10.0, open=10.0, adr20_pct=0.05, cum_vol_ratio=2.0, bar_vol_ratio=2.0, pts_hold=5.0)
     rows = [dict(base, k=0), dict(base, k=1, leader_score=1.0, trigger_close=20.0), dict(base, k=2, trigger_close=12.0, open=12.0), dict(base, k=3, open=11.0), dict(base, k=4, adr20_pct=None)]
