@@ -262,6 +262,19 @@ def test_exits_exchange_signals_and_bars_once(spark):
     assert [(r.id, r.exit_date, r.reason) for r in ledger.exit_rule_outcomes(own, b).collect()] == [(7, day(1), "hard_stop_lod")]
 
 
+def test_variants_by_hand(spark):
+    b = bars(spark, [10, 13, 12, 11], [9, 9, 9, 7], [10, 12, 11, 10.5])
+    s = spark.createDataFrame([(k, "A", day(0), 10.0 + k, 9.0, 9.0, g, t, "09:50") for k, (g, t) in enumerate([(0.0, 80.0), (0.07, 70.0), (0.2, 90.0), (None, None)])], "id long, symbol string, date date, entry double, base double, pivot double, gap double, trigger_score double, trigger_hhmm string")
+    every = (ledger.Variant("all"), ledger.Variant("gap", gap_max=0.05), ledger.Variant("late", after="09:55"), ledger.Variant("score", trigger_min=78.0, buffer=0.0025))
+    out = ledger.variant_compare(s, b, every)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.variant: (r.n, r.median_ret, r.still_open) for r in out.collect()}
+    ret = lambda e, x: x / e - 1
+    sold = lambda e, x: 0.1 + 0.5 * ret(e, x)
+    want = {e: sold(e, 8.991) if e * 1.2 <= 13 else ret(e, 8.991) for e in (10.0, 11.0, 13.0)}
+    assert got == {"all": (3, pytest.approx(sorted(want.values())[1]), 0), "gap": (2, pytest.approx((want[10.0] + want[13.0]) / 2), 0), "score": (1, pytest.approx(sold(10.0, 9.0 * 0.9975)), 0)}
+
+
 def test_tight_entry_reasons_in_order(spark):
     base = dict(history_ok=True, broke_out=True, leader_score=90.0, setup_score_pre=70.0, trigger_score=85.0, trigger_close=10.1, zigzag_line_value=10.0, prev_close=10.0, open=10.0, adr20_pct=0.05, cum_vol_ratio=2.0, bar_vol_ratio=2.0, pts_hold=5.0)
     rows = [dict(base, k=0), dict(base, k=1, leader_score=1.0, trigger_close=20.0), dict(base, k=2, trigger_close=12.0, open=12.0), dict(base, k=3, open=11.0), dict(base, k=4, adr20_pct=None)]
