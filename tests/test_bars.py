@@ -374,6 +374,19 @@ def test_priority_bonus_and_missing_ranks(spark):
     assert got["A"].small_cap_score == got["B"].industry_rs == 0.5
 
 
+def test_daily_scores_join_nothing_and_signals_are_kept(spark):
+    rows = fx.daily(spark, SF)
+    scored = levels.daily_scores(rows)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 3 and "Join" not in plan  # lines by symbol, bars by date and by symbol again
+    names = ["symbol", "date", "rs_today", "leader_score"]
+    want = daily.relative_strength(daily.base_features(rows)).select(names)
+    assert scored.select(names).exceptAll(want).count() == 0 and scored.count() == want.count()
+    priorities = queries.QUERIES["industry_priorities"](spark, SF)
+    assert "InMemoryTableScan" in priorities._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
+
+
 def test_best_point_falls_back_in_steps(spark):
     df = spark.createDataFrame([("a", 5, 9.0, 90.0), ("b", 60, 1.0, 80.0), ("c", 70, 0.5, 95.0)], "grid_id string, n long, score double, leader_min double")
     best = lambda *a: learn.select_best(df, *a).first().grid_id
