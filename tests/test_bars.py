@@ -387,6 +387,19 @@ def test_daily_scores_join_nothing_and_signals_are_kept(spark):
     spark.catalog.clearCache()
 
 
+def test_watchlist_exchanges_its_history_by_date_only(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is small by its nature says so
+    try:
+        plan = queries.QUERIES["watchlist"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = [x.lstrip(" :+-") for x in plan.split("\n")]
+    by = lambda *keys: len([x for x in lines if all(f"{k}#" in x for k in keys) and x.startswith("Exchange hash")])
+    assert not [x for x in lines if x.startswith("SortMergeJoin [date")]
+    assert by("date", "sector") == by("date", "industry") == 1 and by("date") == 3  # those of the means, and the history's
+
+
 def test_best_point_falls_back_in_steps(spark):
     df = spark.createDataFrame([("a", 5, 9.0, 90.0), ("b", 60, 1.0, 80.0), ("c", 70, 0.5, 95.0)], "grid_id string, n long, score double, leader_min double")
     best = lambda *a: learn.select_best(df, *a).first().grid_id
