@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -521,6 +522,14 @@ def test_walk_forward_fits_equal_a_plain_fit_a_fold(spark):
     assert (summary["a"].mean, summary["a"].std, summary["a"].median) == pytest.approx((np.mean(a), np.std(a, ddof=1), np.median(a)))
 
 
+def test_walk_forward_keeps_only_what_its_scores_need(spark):
+    scored, _ = queries._walk_forward(spark, SF, "symbol", "date")
+    assert scored.columns == ["symbol", "date", "fold", "score"] and scored.count() > 0
+    held = re.search(r"InMemoryRelation \[([^]]*)\]", scored._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert {x.split("#")[0].strip() for x in held.split(",")} == {"symbol", "date", "y", "day", *[f"{n}_z" for n in queries.MODEL_FEATURES]}
+    spark.catalog.clearCache()
+
+
 def test_folds_of_one_class_have_no_fit(spark):
     rows = [(f"S{s}", day(k), float(s * k % 7), int(k >= 20 and s % 2)) for k in range(40) for s in range(4)]
     df = spark.createDataFrame(rows, "symbol string, date date, a double, y int")
